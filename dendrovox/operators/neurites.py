@@ -23,14 +23,14 @@ def topology_nodes(tree: DataFrame, somas: DataFrame) -> DataFrame:
 
 
 def neurites(tree: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(lower, upper, inner): pairs of topology nodes on one way, and the nodes between them.
+    """(lower, upper, n_inner): pairs of topology nodes on one way, and the nodes between them.
 
     Each topology node climbs from its parent to the next one.
     """
     marked = tree.join(nodes, "node_id", "left")
     starts = marked.where(F.col("kind").isNotNull() & (F.col("parent_id") != ROOT)).select(F.col("node_id").alias("lower"), F.col("parent_id").alias("node_id"))
     up = climb(marked, F.lit(1).cast("long"), F.col("kind").isNotNull() | (F.col("parent_id") == ROOT))
-    return starts.join(up, "node_id").select("lower", F.col("top").alias("upper"), F.col("steps").alias("inner"))
+    return starts.join(up, "node_id").select("lower", F.col("top").alias("upper"), F.col("steps").alias("n_inner"))
 
 
 def units(neurites_: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -248,7 +248,7 @@ SEGMENTS = f"{TREE}, {KIDS}, s(node_id, top, depth) AS (SELECT node_id, node_id,
 ENDS = "ends AS (SELECT node_id FROM tree WHERE parent_id <> -1 AND node_id NOT IN (SELECT parent_id FROM tree))"
 KINDS = f"""{TREE}, {KIDS}, {ENDS}, kinds AS (SELECT t.node_id, CASE WHEN t.node_id % {SOMA_EVERY} = 0 THEN 'soma' WHEN children > 1 THEN 'branch' WHEN e.node_id IS NOT NULL OR t.parent_id = -1 THEN 'leaf' END AS kind FROM tree t LEFT JOIN kids k ON k.node_id = t.node_id LEFT JOIN ends e ON e.node_id = t.node_id)"""
 NEURITES = f"""{KINDS}, topo AS (SELECT * FROM kinds WHERE kind IS NOT NULL), walk(lower, pos, inner_) AS (SELECT t.node_id, tree.parent_id, CAST(0 AS BIGINT) FROM topo t JOIN tree USING (node_id) WHERE tree.parent_id <> -1
-    UNION ALL SELECT lower, tree.parent_id, inner_ + 1 FROM walk JOIN tree ON tree.node_id = walk.pos WHERE walk.pos NOT IN (SELECT node_id FROM topo)), neurites AS (SELECT lower, pos AS upper, inner_ AS inner FROM walk WHERE pos IN (SELECT node_id FROM topo))"""
+    UNION ALL SELECT lower, tree.parent_id, inner_ + 1 FROM walk JOIN tree ON tree.node_id = walk.pos WHERE walk.pos NOT IN (SELECT node_id FROM topo)), neurites AS (SELECT lower, pos AS upper, inner_ AS n_inner FROM walk WHERE pos IN (SELECT node_id FROM topo))"""
 UNITS = f"""{NEURITES}, links AS (SELECT lower AS u, upper AS w FROM neurites JOIN topo a ON a.node_id = lower JOIN topo b ON b.node_id = upper WHERE a.kind <> 'soma' AND b.kind <> 'soma'), both_ AS (SELECT u, w FROM links UNION SELECT w, u FROM links),
     reach(u, w) AS (SELECT node_id, node_id FROM topo WHERE kind <> 'soma' UNION SELECT reach.u, both_.w FROM reach JOIN both_ ON both_.u = reach.w), units AS (SELECT u AS node_id, min(w) AS unit FROM reach GROUP BY 1)"""
 HIER = f"""{TREE}, {ENDS}, w(node_id, total, depth) AS (SELECT node_id, CAST(0 AS DOUBLE), 0 FROM tree WHERE parent_id = -1 UNION ALL SELECT t.node_id, w.total + t.radius, w.depth + 1 FROM tree t JOIN w ON t.parent_id = w.node_id),
@@ -311,7 +311,7 @@ QUERIES = {
     "gof_angle": (gof_angle, f"WITH {ANGLES} SELECT line, round(angle, 6) AS angle FROM a"),
     "gof_probability": (gof_cost, f"WITH {ANGLES}, l AS (SELECT line, sum(sqrt((nx - x) * (nx - x) + (ny - y) * (ny - y) + (nz - z) * (nz - z))) AS length FROM s GROUP BY 1) SELECT line, round({_P}, 6) AS probability, round((1 - {_P} * ln(2.0)) * ln(1 + length), 5) AS cost FROM a JOIN l USING (line)"),
     "topo_nodes": (topo_nodes, f"WITH {KINDS} SELECT node_id, kind FROM kinds WHERE kind IS NOT NULL"),
-    "neurites": (neurite_table, f"WITH RECURSIVE {NEURITES} SELECT lower, upper, inner FROM neurites"),
+    "neurites": (neurite_table, f"WITH RECURSIVE {NEURITES} SELECT lower, upper, n_inner FROM neurites"),
     "gcut_units": (gcut_units, f"WITH RECURSIVE {UNITS} SELECT node_id, unit FROM units"),
     "gcut_unit_somas": (gcut_unit_somas, f"WITH RECURSIVE {UNITS}, p AS (SELECT lower AS soma, upper AS node_id FROM neurites UNION SELECT upper, lower FROM neurites), j AS (SELECT DISTINCT unit, soma FROM p JOIN units USING (node_id) JOIN topo ON topo.node_id = soma WHERE kind = 'soma') SELECT unit, count(*) AS somas, min(soma) AS least FROM j GROUP BY 1"),
     "gcut_assign": (gcut_assign, "WITH c AS (SELECT o_custkey % 300 AS neurite, o_orderkey % 4 AS soma, CAST(sum(floor(o_totalprice)) AS BIGINT) AS cost FROM orders GROUP BY 1, 2), n AS (SELECT DISTINCT neurite FROM c), f AS (SELECT n.neurite, s.range AS soma, coalesce(cost, 10000000) AS cost FROM n CROSS JOIN range(4) s LEFT JOIN c ON c.neurite = n.neurite AND c.soma = s.range), g AS (SELECT neurite % 100 AS grp, soma, sum(cost) AS cost FROM f GROUP BY 1, 2), b AS (SELECT grp, soma FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY cost, soma) AS r FROM g) WHERE r = 1) SELECT neurite, soma FROM n JOIN b ON grp = neurite % 100"),
