@@ -18,7 +18,7 @@ from dendrovox.operators.ranking import ranked
 from dendrovox.plans.durable import materialize
 
 HASH_BUCKETS = 4096
-BROADCAST_SOURCES = 50_000
+BROADCAST_ROWS = 500_000
 
 
 def _shares(df: DataFrame, weights: dict[str, float] | None, block_rows: int, cycle_slots: int, temperature: float) -> DataFrame:
@@ -84,10 +84,12 @@ def mix(df: DataFrame, weights: dict[str, float] | None = None, block_rows: int
 
     order = F.pmod(F.xxhash64(F.col(key)), F.lit(HASH_BUCKETS))
     share = shares.select("_key", "share")
-    rows = ranked(base, ["_key"], order, [F.col(key)], "_rank").join(F.broadcast(share) if len(starts) <= BROADCAST_SOURCES else share, "_key")
+    rows = ranked(base, ["_key"], order, [F.col(key)], "_rank").join(F.broadcast(share) if len(starts) <= BROADCAST_ROWS else share, "_key")
     rows = rows.withColumn("block", F.expr(f"_rank div {block_rows}"))
     rows = rows.withColumns({"cycle": F.expr("block div share"), "_in_cycle": F.expr("block % share")})
     rows = rows.withColumn("_kind", F.size(F.filter(kinds_in_order, lambda s: s <= F.col("cycle"))))
-    placed = rows.join(plan.drop("kind"), ["_key", "_in_cycle", "_kind"])
+    plan = materialize(plan.drop("kind"))
+    small = len(starts) * (cycle_slots + len(starts)) <= BROADCAST_ROWS
+    placed = rows.join(F.broadcast(plan) if small else plan, ["_key", "_in_cycle", "_kind"])
     placed = placed.withColumn("slot", F.expr("base + (cycle - first_cycle) * slots + at"))
     return placed.withColumn("place", F.col("slot") * block_rows + F.expr(f"_rank % {block_rows}")).select(*kept, "block", "cycle", "slot", "place")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dendrovox.llm import mixing, near_dups, packing, secrets, sharding, toxicity, url_filters, warc
+from dendrovox.llm import mixing, near_dups, packing, prefix_forest, progressive_jpeg, secrets, sharding, toxicity, url_filters, warc
 from dendrovox.plans.durable import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +24,11 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = progressive_jpeg.store_media(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return progressive_jpeg.digests(stored)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
@@ -59,6 +65,10 @@ def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
 
 
+def op8_prefix_forest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_forest.nearest(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filters.filter_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), url_filters.RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict")
@@ -71,7 +81,7 @@ def op10_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_toxicity, op3_minhash_near_dups, op4_mix_sources, op5_warc_index, op6_best_fit_packing, op7_secret_scans, op9_url_filters, op10_hash_tree_shards)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_progressive_jpeg, op2_toxicity, op3_minhash_near_dups, op4_mix_sources, op5_warc_index, op6_best_fit_packing, op7_secret_scans, op8_prefix_forest_neighbours, op9_url_filters, op10_hash_tree_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
