@@ -41,7 +41,7 @@ class View:
         return any(o >= d for o, d in zip(self.local.offsets, self.dims))
 
     def partially_outside(self) -> bool:
-        return not self.entirely_outside() and any(o + (n - 1) * s >= d for o, n, s, d in zip(self.local.offsets, self.strided_dims, self.local.strides, self.dims))
+        return any(o + (n - 1) * s >= d for o, n, s, d in zip(self.local.offsets, self.strided_dims, self.local.strides, self.dims))
 
     def dims_inside(self) -> Triple:
         return tuple(max(0, min(n, strided_extent(d - o, s))) for o, n, s, d in zip(self.local.offsets, self.strided_dims, self.local.strides, self.dims))
