@@ -10,9 +10,11 @@ piece r of a length goes to the place that the plan gives that number.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -22,42 +24,91 @@ from pyspark.sql import functions as F
 from dendrovox.operators.ranking import ranked
 from dendrovox.plans.durable import materialize
 
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
 END_ID = 1
-CACHE_WORDS = 300_000
+CACHE_WORDS = 1_000_000
 RANK_BUCKETS = 256
 
 
-class WordIds(dict):
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte: itself if it prints, else the next one from 256 on."""
+    prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in prints]
+    return {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+BYTE_LETTERS = _byte_letters() | {32: " "}
+
+
+class WordIds:
     """Ids, as little-endian bytes, of words between spaces and line feeds.
 
-    Spaces and line feeds only separate for the tokenizers in use, so a text's ids are its words'
-    ids in order. Words are encoded once a batch; the cache starts anew when it is full.
+    For a tokenizer that drops spaces and line feeds a text's ids are its words' ids in order, so
+    each word is encoded once. New words are encoded many at a time, with a NUL between them whose
+    id marks where a word ends. Words of plain letters go straight to the tokenizer's model, as its
+    normalization does no more than lower-case them. The cache starts anew when it is full.
     """
 
+    MARK = "\0"
+    AT_ONCE = 256
+    #: Letters that normalization only lower-cases, then signs that make one piece.
+    PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+[.,;:!?]*")
+    SIGNS = re.compile(r"[.,;:!?]+")
+    PROBES = ("Hello,", "ÉTÉ!!", "straße", "thanerand.", "x", "Añb;:")
+
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        super().__init__({"": b""})
+        self.known: dict[str, bytes] = {"": b""}
         self.tokenizer = Tokenizer.from_file(path)
-
-    def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > CACHE_WORDS:
-            self.clear()
-            self[""] = b""
-            new = list(words)
-        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            self.update((w, np.asarray(e.ids, "<u4").tobytes()) for w, e in zip(part, encode(part, add_special_tokens=False), strict=True))
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.mark = self._encode(self.MARK)
+        self.drops_blanks = len(self.mark) == 1 and self._encode("ab\n \0 b") == self._encode("ab") + self.mark + self._encode("b")
+        self.plain = self.drops_blanks and all(self.bare.encode(self._pieces([x])).ids == self._encode(x) for x in self.PROBES)
+
+    def _encode(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _pieces(self, words: list[str]) -> str:
+        """Plain words as the model's own alphabet spells them, pieces apart and marks between words."""
+        apart = self.SIGNS.sub(r" \g<0>", f" {self.MARK} ".join(words))
+        return apart.lower().encode().decode("latin-1").translate(BYTE_LETTERS)
+
+    def _add(self, tokenizer: Tokenizer, groups: list[list[str]], spelled: list[str]) -> None:
+        for group, e in zip(groups, tokenizer.encode_batch_fast(spelled, add_special_tokens=False), strict=True):
+            ids = np.asarray(e.ids, "<u4")
+            ends = [*(4 * np.flatnonzero(ids == self.mark[0])).tolist(), 4 * len(ids)]
+            data = ids.tobytes()
+            self.known.update(zip(group, [data[i:j] for i, j in zip([0, *(x + 4 for x in ends)], ends, strict=False)], strict=True))
+
+    def learn(self, words: list[str]) -> None:
+        plain = list(filter(self.PLAIN.fullmatch, words)) if self.plain else []
+        rest = set(words).difference(plain)
+        marked = [w for w in rest if self.MARK in w]
+        others = list(rest.difference(marked))
+        self.known.update((w, np.asarray(self._encode(w), "<u4").tobytes()) for w in marked)
+        groups = [plain[i : i + self.AT_ONCE] for i in range(0, len(plain), self.AT_ONCE)]
+        self._add(self.bare, groups, list(map(self._pieces, groups)))
+        groups = [others[i : i + self.AT_ONCE] for i in range(0, len(others), self.AT_ONCE)]
+        self._add(self.tokenizer, groups, list(map(f" {self.MARK} ".join, groups)))
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
-        for at in range(0, len(texts), 64):
-            split = [x.replace("\n", " ").split(" ") for x in texts[at : at + 64]]
-            self.learn(set().union(*split))
+        if not self.drops_blanks:
+            for x in texts:
+                yield np.asarray(self._encode(x), "<u4").tobytes()
+            return
+        for at in range(0, len(texts), 128):
+            split = [x.replace("\n", " ").split(" ") for x in texts[at : at + 128]]
+            words = set().union(*split)
+            if len(self.known) + len(words) > CACHE_WORDS:
+                self.known = {"": b""}
+            self.learn(list(words.difference(self.known)))
             for words in split:
-                yield b"".join(map(self.__getitem__, words))
+                yield b"".join(map(self.known.__getitem__, words))
 
 
 def cut_pieces(df: DataFrame, tokenizer: str, capacity: int = 4096, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
