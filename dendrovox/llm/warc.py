@@ -8,12 +8,13 @@ slices of the runs with a loser tree, so the ranges in order are one sorted inde
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dendrovox.plans.durable import materialize
@@ -67,8 +68,8 @@ def records(pages: DataFrame, page: str = "page_id", url: str = "url", html: str
 
 
 def write_archives(pages: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE, **columns: str) -> None:
-    """Write uncompressed archives below ``path``: each record ends with two CRLF."""
-    records(pages, **columns).write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).text(path)
+    """Write gzip archives below ``path``: each record ends with two CRLF."""
+    records(pages, **columns).write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).option("compression", "gzip").text(path)
 
 
 def url_key(url: str | None) -> str:
@@ -81,7 +82,7 @@ def url_key(url: str | None) -> str:
 
 
 def parse_archive(name: str, data: bytes) -> Iterator[tuple]:
-    """Index entries of an archive in file order, without their place in the run."""
+    """Index entries of an archive in file order, without their place in the run; offsets are those of the plain bytes."""
     at = 0
     while at < len(data):
         top = data.index(b"\r\n\r\n", at) + 4
@@ -129,7 +130,8 @@ def runs(spark: SparkSession, path: str) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                entries = sorted(parse_archive(name, content.as_py()), key=_order)
+                data = content.as_py()
+                entries = sorted(parse_archive(name, gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data), key=_order)
                 yield from _batches(((*e, i) for i, e in enumerate(entries)), ARROW_INDEX)
 
     files = spark.read.format("binaryFile").load(path)
@@ -176,7 +178,7 @@ class LoserTree:
 
 
 def merge_index(entries: DataFrame) -> DataFrame:
-    """All entries in one order, numbered by ``merge_order`` (increasing, with gaps between ranges)."""
+    """All entries numbered from 0 in one order, by ``capture_order``."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slices: dict[str, list[tuple]] = {}
@@ -188,7 +190,12 @@ def merge_index(entries: DataFrame) -> DataFrame:
         yield from _batches(iter(LoserTree([iter(slices[x]) for x in sorted(slices)])), ARROW_INDEX)
 
     dealt = entries.repartitionByRange("url_key", "timestamp", "page_id", "archive", "offset")
-    return dealt.mapInArrow(merge, INDEX).drop("run_place").withColumn("merge_order", F.monotonically_increasing_id())
+    merged = materialize(dealt.mapInArrow(merge, INDEX).drop("run_place").withColumn("_at", F.monotonically_increasing_id()))
+    ranges = merged.groupBy(F.shiftright("_at", 33).alias("_range")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranges.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    placed = merged.withColumn("_range", F.shiftright("_at", 33)).join(F.broadcast(starts), "_range")
+    return placed.withColumn("capture_order", F.col("_start") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at", "_range", "_start")
 
 
 def captures(spark: SparkSession, path: str) -> DataFrame:

@@ -167,7 +167,7 @@ def test_archives_round_trip(spark, tmp_path):
     frame = spark.createDataFrame([(*p, "d") for p in pages], "page_id long, url string, html string, digest string").repartition(3)
     path = f"file://{tmp_path}/warc"
     warc.write_archives(frame, path, records_per_file=2)
-    got = warc.captures(spark, path).orderBy("merge_order").collect()
+    got = warc.captures(spark, path).orderBy("capture_order").collect()
     assert len(got) == len(pages)
     for page, _, html in pages:
         data = (html or "").encode()
@@ -177,7 +177,7 @@ def test_archives_round_trip(spark, tmp_path):
             revisit = len(data) >= 1000 and page != best
             assert (r["record_type"], r["refers_to"]) == (("revisit", best) if revisit else ("response", None))
     order = [(r["url_key"], r["timestamp"], r["page_id"] is not None, r["page_id"] or 0) for r in got]
-    assert order == sorted(order)
+    assert order == sorted(order) and [r["capture_order"] for r in got] == list(range(len(got)))
     assert warc.url_key("http://A.b.org/x?y#z") == "org,b,a)/x?y" and warc.url_key("http://b.org") == "org,b)/"
 
 
