@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dendrovox.llm import mixing, near_dups, packing, prefix_forest, progressive_jpeg, secrets, sharding, toxicity, url_filters, warc
+from dendrovox.llm import mixing, near_dups, oracles, packing, prefix_forest, progressive_jpeg, secrets, sharding, toxicity, url_filters, warc
 from dendrovox.plans.durable import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,7 +46,7 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     warc.write_archives(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
-    return warc.captures(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "timestamp", "merge_order")
+    return warc.captures(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "timestamp", "capture_order")
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,4 +85,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.ORACLES)
