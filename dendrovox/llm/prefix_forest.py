@@ -113,7 +113,7 @@ def nearest(df: DataFrame, every: int = 100, k: int = 10, share: float = 2.2, ke
 
     ``share``: rows that the trees together hold for a query, as a multiple of all rows (a row
     counts once a tree). Null, zero and non-finite vectors, null keys and vectors of another than the
-    commonest dimension take no part. Of equal vectors only the k + 1 smallest keys are indexed: no
+    commonest dimension take no part. Some tree always holds k others, if there are as many. Of equal vectors only the k + 1 smallest keys are indexed: no
     other can be among the k nearest. Repeated rows count once.
     """
     spark = df.sparkSession
@@ -164,7 +164,7 @@ def nearest(df: DataFrame, every: int = 100, k: int = 10, share: float = 2.2, ke
                 strings = hashes.value.strings(_matrix(batch.column(1)))
                 out = [[], [], [], []]
                 for row, string in enumerate(strings):
-                    level = place.level(string >> (BITS - CELL_BITS), share * total)
+                    level = place.level(string >> (BITS - CELL_BITS), max(share * total, TREES * (k + 1)))
                     low = string >> (BITS - level) << (BITS - level)
                     high = low + (np.int64(1) << (BITS - level))
                     for tree in range(TREES):

@@ -165,7 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, ke
     counted = materialize(_counted(docs.select(key, text).join(F.broadcast(sample.limit(2 * sample_rows)), key).select(text, "_toxic")))
     n, positive = counted.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not 0 < positive < n:
-        rate = (positive + 0.5) / (n + 1.0)
+        rate = (positive + 0.5) / (n + 2.0)
         return OrdinalModel({}, np.log((1 - rate) / rate) + np.arange(GRADES - 1, dtype=float))
     chosen, strong = _features(counted, n, positive)
     rows = _indexed(counted, chosen).collect()
