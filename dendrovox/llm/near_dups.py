@@ -1,12 +1,14 @@
 """MinHash near-duplicates: banded universal-hash minima, exact confirmation, star components.
 
 Texts of equal words are first one class, held by its least document. Each class gets ``BANDS`` keys
-of ``ROWS`` minima; classes that share a key may be linked. Instead of all pairs of a bucket, every
-class is held against the bucket's leader, the pair that shares most keys first; a link is confirmed
-on the full shingle sets. Once the confirmed links are joined to components, the pairs that still
-matter are those of one bucket in two components; of these all are confirmed, after a comparison of
-all ``BANDS * ROWS`` minima has put aside those far below the threshold. A pair at the threshold of
-0.85 misses every band with probability (1 - 0.85 ** 7) ** 40 = 2e-7.
+of ``ROWS`` minima and a sketch: one bit of each of the minima. Classes that share a key may be
+linked; pairs whose sizes or sketches rule the threshold out are put aside, all others are confirmed
+on their full shingle sets. Instead of all pairs of a bucket, every class is held against the
+bucket's leader, the member whose buckets are the fullest: the text that the copies were made from
+shares more keys with them than they share with each other. Once the confirmed links are joined to
+components, the pairs that still matter are those of one bucket in two components; these meet on
+sketches inside the join, and only those that stay possible come out of it. A pair at the threshold
+of 0.85 misses every band with probability (1 - 0.85 ** 7) ** 40 = 2e-7.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dendrovox.plans.components import connected_components
@@ -26,8 +28,9 @@ SHINGLE = 5
 BANDS, ROWS = 40, 7
 SEED = 20240229
 CACHE_WORDS = 300_000
-#: Minima that two sets must share for a confirmation: eight standard deviations below 0.85.
-SURE_SHARE = 0.85 - 8 * (0.85 * 0.15 / (BANDS * ROWS)) ** 0.5
+SKETCH_LONGS = -(-BANDS * ROWS // 64)
+#: Bits of two sketches that may differ: seven standard deviations above the mean at 0.85.
+MOST_APART = int(BANDS * ROWS * 0.075 + 7 * (BANDS * ROWS * 0.075 * 0.925) ** 0.5)
 
 
 class WordHashes(dict):
@@ -94,29 +97,39 @@ class MinHash:
         return best
 
     def keys(self, minima: np.ndarray) -> np.ndarray:
-        """One 64-bit key a band, from rows of minima."""
+        """One 64-bit key a band, of each row of minima."""
         parts = minima.reshape(-1, self.bands, self.rows).astype(np.uint64) + np.uint64(1)
         total = _mixed(parts * self.spread).sum(axis=2, dtype=np.uint64) + np.arange(1, self.bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         return _mixed(total).view(np.int64)
 
+    def sketch(self, minima: np.ndarray) -> np.ndarray:
+        """One hashed bit of each minimum, as longs."""
+        bits = np.zeros(64 * SKETCH_LONGS, np.uint8)
+        mixed = _mixed(minima.astype(np.uint64) + np.uint64(1))
+        bits[: len(minima)] = mixed & np.uint64(1)
+        return np.packbits(bits).view(np.int64)
 
-FINGERPRINT = "doc long, n_shingles long, same binary, minima binary"
+
+FINGERPRINT = "doc long, n_shingles long, same binary, keys array<long>, sketch array<long>"
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc, n_shingles, same, minima) of rows (doc, text); without words: 0, null and null."""
+    """(doc, n_shingles, same, keys, sketch) of rows (doc, text); without words: 0 and nulls."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, minhash = WordHashes(), MinHash()
         for batch in batches:
-            n, same, minima = [], [], []
+            n, same, keys, sketches = [], [], [], []
             for text in batch.column(1).to_pylist():
                 words = words_of(text)
                 shingles = shingle_set(words, hashes)
+                minima = minhash.minima(shingles) if words else None
                 n.append(len(shingles))
                 same.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest() if words else None)
-                minima.append(minhash.minima(shingles).tobytes() if words else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(same, pa.binary()), pa.array(minima, pa.binary())], names=["doc", "n_shingles", "same", "minima"])
+                keys.append(minhash.keys(minima)[0] if words else None)
+                sketches.append(minhash.sketch(minima) if words else None)
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(same, pa.binary()), pa.array(keys, longs), pa.array(sketches, longs)], names=["doc", "n_shingles", "same", "keys", "sketch"])
 
     return docs.mapInArrow(make, FINGERPRINT)
 
@@ -133,33 +146,10 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(make, "doc long, shingles array<long>")
 
 
-def band_keys(prints: DataFrame) -> DataFrame:
-    """(doc, key) for each band."""
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        minhash = MinHash()
-        for batch in batches:
-            if batch.num_rows:
-                minima = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(batch.num_rows, -1)
-                doc = np.repeat(batch.column(0).to_numpy(), minhash.bands)
-                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(minhash.keys(minima).ravel())], names=["doc", "key"])
-
-    return prints.select("doc", "minima").mapInArrow(make, "doc long, key long")
-
-
-def _close(pairs: DataFrame, prints: DataFrame) -> DataFrame:
-    """Pairs whose minima agree often enough for the threshold."""
-    left = prints.select(F.col("doc").alias("u"), F.col("minima").alias("a"))
-    right = prints.select(F.col("doc").alias("v"), F.col("minima").alias("b"))
-
-    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(c.to_pylist()), np.uint32).reshape(batch.num_rows, -1) for c in (batch.column(2), batch.column(3)))
-                keep = (a == b).mean(axis=1) >= SURE_SHARE
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["u", "v"])
-
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(agree, "u long, v long")
+def _possible(percent: int) -> Column:
+    """Whether sizes (un, vn) and sketches (us, vs) leave the threshold possible."""
+    apart = sum((F.bit_count(F.get("us", F.lit(i)).bitwiseXOR(F.get("vs", F.lit(i)))) for i in range(SKETCH_LONGS)), F.lit(0))
+    return (100 * F.least("un", "vn") >= percent * F.greatest("un", "vn")) & (apart <= MOST_APART)
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -184,17 +174,23 @@ def near_duplicates(df: DataFrame, percent: int = 85, key: str = "doc_id", text:
 
     classes = materialize(prints.where("same is not null and doc is not null").groupBy("same").agg(F.min("doc").alias("head")))
     heads = prints.join(classes.select(F.col("head").alias("doc")).distinct(), "doc", "left_semi").dropDuplicates(["doc"])
-    heads.write.parquet(f"{path}/heads")
+    heads.drop("same").write.parquet(f"{path}/heads")
     heads = spark.read.parquet(f"{path}/heads")
+    u_facts = heads.select(F.col("doc").alias("u"), F.col("n_shingles").alias("un"), F.col("sketch").alias("us"))
+    v_facts = heads.select(F.col("doc").alias("v"), F.col("n_shingles").alias("vn"), F.col("sketch").alias("vs"))
 
-    keyed = band_keys(heads)
-    lead = F.min(F.struct(F.xxhash64("doc", "key").alias("draw"), F.col("doc").alias("leader")))
-    crowded = keyed.groupBy("key").agg(lead.alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.col("lead.leader").alias("leader"))
+    keyed = heads.select("doc", F.explode("keys").alias("key"))
+    crowded = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = materialize(keyed.join(crowded, "key"))
-
-    votes = buckets.where("doc <> leader").groupBy(F.least("doc", "leader").alias("u"), F.greatest("doc", "leader").alias("v")).agg(F.count(F.lit(1)).alias("votes"))
-    votes = materialize(votes)
-    involved = buckets.select("doc").distinct()
+    scores = buckets.groupBy("doc").agg(F.sum("n").alias("score"))
+    leads = buckets.join(scores, "doc").groupBy("key").agg(F.max(F.struct("score", "doc")).alias("lead")).select("key", F.col("lead.doc").alias("leader"))
+    led = materialize(buckets.join(leads, "key").where("doc <> leader").select("key", "doc", "leader"))
+
+    votes = led.groupBy(F.least("doc", "leader").alias("u"), F.greatest("doc", "leader").alias("v")).agg(F.count(F.lit(1)).alias("votes"))
+    votes = materialize(votes.join(u_facts, "u").join(v_facts, "v").where(_possible(percent)).select("u", "v", "votes"))
+    # Written, so that Spark knows its size and need not shuffle texts while it is small.
+    buckets.select("doc").distinct().write.parquet(f"{path}/involved")
+    involved = spark.read.parquet(f"{path}/involved")
     shingle_sets(docs.join(involved, "doc", "left_semi").dropDuplicates(["doc"])).write.parquet(f"{path}/sets")
     sets = spark.read.parquet(f"{path}/sets")
 
@@ -204,28 +200,26 @@ def near_duplicates(df: DataFrame, percent: int = 85, key: str = "doc_id", text:
     links = materialize(_linked(first, sets, percent))
     parts = connected_components(links)
 
-    def apart(pairs: DataFrame) -> DataFrame:
-        """Pairs in two components."""
-        u = parts.select(F.col("node").alias("u"), F.col("component").alias("cu"))
-        v = parts.select(F.col("node").alias("v"), F.col("component").alias("cv"))
-        return pairs.join(u, "u", "left").join(v, "v", "left").where("coalesce(cu, u) <> coalesce(cv, v)").select("u", "v")
-
-    rest = apart(votes.select("u", "v").join(first, ["u", "v"], "left_anti"))
-    found = materialize(_linked(_close(rest, heads), sets, percent))
+    u_part = parts.select(F.col("node").alias("u"), F.col("component").alias("cu"))
+    v_part = parts.select(F.col("node").alias("v"), F.col("component").alias("cv"))
+    rest = votes.select("u", "v").join(first, ["u", "v"], "left_anti").join(u_part, "u", "left").join(v_part, "v", "left")
+    rest = rest.where("coalesce(cu, u) <> coalesce(cv, v)").select("u", "v")
+    found = materialize(_linked(rest, sets, percent))
     if not found.isEmpty():
         links = links.union(found)
         parts = connected_components(links)
 
     # What is left: pairs of a bucket, neither the leader, in two components. All but the bucket's
-    # most frequent component are held against the whole bucket.
-    placed = buckets.join(parts.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    # most frequent component meet the whole bucket, and only possible pairs leave the join.
+    placed = led.join(parts.select(F.col("node").alias("doc"), "component"), "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("component"))
     sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     main = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", F.col("main.component").alias("main"))
-    mixed = materialize(placed.where("doc <> leader").join(main, "key"))
-    minor = mixed.where("component <> main").select("key", F.col("doc").alias("x"), F.col("component").alias("cx"))
-    left = minor.join(mixed.select("key", F.col("doc").alias("y"), F.col("component").alias("cy")), "key").where("cx <> cy")
-    left = left.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
-    found = materialize(_linked(_close(left, heads), sets, percent))
+    mixed = materialize(placed.join(main, "key"))
+    minor = mixed.where("component <> main").select("key", F.col("doc").alias("u"), F.col("component").alias("cu"), "main").join(u_facts, "u")
+    whole = mixed.select(F.col("key").alias("v_key"), F.col("doc").alias("v"), F.col("component").alias("cv")).join(v_facts, "v")
+    met = minor.join(whole, (F.col("key") == F.col("v_key")) & (F.col("cu") != F.col("cv")) & ((F.col("u") < F.col("v")) | (F.col("cv") == F.col("main"))) & _possible(percent))
+    left = met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    found = materialize(_linked(left, sets, percent))
     if not found.isEmpty():
         parts = connected_components(links.union(found))
 
@@ -236,5 +230,6 @@ def near_duplicates(df: DataFrame, percent: int = 85, key: str = "doc_id", text:
 
 def keep_one(df: DataFrame, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows of ``df`` but the near-duplicates: one of each component stays; null keys all stay."""
-    found = near_duplicates(df.where(F.col(key).isNotNull()), percent, key, text).where(~F.col("kept")).select(key)
-    return df.join(found.distinct(), key, "left_anti")
+    path = scratch_path(df.sparkSession, "copies")
+    near_duplicates(df.where(F.col(key).isNotNull()), percent, key, text).where(~F.col("kept")).select(key).distinct().write.parquet(path)
+    return df.join(df.sparkSession.read.parquet(path), key, "left_anti")
