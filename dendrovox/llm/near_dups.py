@@ -6,8 +6,8 @@ linked; pairs whose sizes or sketches rule the threshold out are put aside, all
 on their full shingle sets. Instead of all pairs of a bucket, every class is held against the
 bucket's leader, the member whose buckets are the fullest: the text that the copies were made from
 shares more keys with them than they share with each other. Once the confirmed links are joined to
-components, the pairs that still matter are those of one bucket in two components; these meet on
-sketches inside the join, and only those that stay possible come out of it. A pair at the threshold
+components, the pairs that still matter are those of one bucket in two components; their documents meet on their rarest shingles, an
+exact filter, and only pairs that stay possible come out of that join. A pair at the threshold
 of 0.85 misses every band with probability (1 - 0.85 ** 7) ** 40 = 2e-7.
 """
 
@@ -160,6 +160,29 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "u").join(right, "v").where(100 * both >= percent * (F.size("a") + F.size("b") - both)).select("u", "v")
 
 
+def _on_rare_shingles(pool: DataFrame, sets: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of ``pool`` (doc, component) in two components that may reach ``percent``.
+
+    Shingles are ordered by how few documents have them. Two linked sets share one among the first
+    n - ceil(n percent / 100) + 1 of each; what comes after the places where they meet bounds how
+    much they can share.
+    """
+    words = sets.join(pool, "doc").select("doc", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    seen = words.groupBy("s").agg(F.count(F.lit(1)).alias("seen"))
+    ordered = words.join(seen.where("seen > 1"), "s").groupBy("doc", "component", "n").agg(F.array_sort(F.collect_list(F.struct("seen", "s"))).alias("common"))
+    # Shingles that no other document has come first in the order and can match nothing.
+    alone = F.col("n") - F.size("common")
+    room = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - alone
+    prefix = ordered.withColumns({"alone": alone, "room": room.cast("int")}).where("room > 0").select("doc", "component", "n", "alone", F.posexplode(F.slice("common", F.lit(1), F.col("room"))).alias("i", "word"))
+    prefix = prefix.select("doc", "component", "n", (F.col("alone") + F.col("i")).alias("i"), F.col("word.s").alias("s"))
+    prefix = materialize(prefix.join(heads.select("doc", "sketch"), "doc"))
+    u, v = (prefix.select(F.col("s").alias(f"{x}w"), *[F.col(c).alias(n) for c, n in (("doc", x), ("component", f"{x}c"), ("n", f"{x}n"), ("i", f"{x}i"), ("sketch", f"{x}s"))]) for x in "uv")
+    rest = 1 + F.least(F.col("un") - F.col("ui") - 1, F.col("vn") - F.col("vi") - 1)
+    enough = (100 + percent) * rest >= percent * (F.col("un") + F.col("vn"))
+    met = u.join(v, (F.col("uw") == F.col("vw")) & (F.col("u") < F.col("v")) & (F.col("uc") != F.col("vc")) & enough & _possible(percent))
+    return met.select("u", "v").distinct()
+
+
 def near_duplicates(df: DataFrame, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id, kept) for each row of ``df``.
 
@@ -209,16 +232,12 @@ def near_duplicates(df: DataFrame, percent: int = 85, key: str = "doc_id", text:
         links = links.union(found)
         parts = connected_components(links)
 
-    # What is left: pairs of a bucket, neither the leader, in two components. All but the bucket's
-    # most frequent component meet the whole bucket, and only possible pairs leave the join.
+    # What is left: pairs of a bucket, neither the leader, in two components. Documents of such
+    # buckets meet on their rarest shingles, of which any linked pair shares one.
     placed = led.join(parts.select(F.col("node").alias("doc"), "component"), "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("component"))
-    sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    main = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", F.col("main.component").alias("main"))
-    mixed = materialize(placed.join(main, "key"))
-    minor = mixed.where("component <> main").select("key", F.col("doc").alias("u"), F.col("component").alias("cu"), "main").join(u_facts, "u")
-    whole = mixed.select(F.col("key").alias("v_key"), F.col("doc").alias("v"), F.col("component").alias("cv")).join(v_facts, "v")
-    met = minor.join(whole, (F.col("key") == F.col("v_key")) & (F.col("cu") != F.col("cv")) & ((F.col("u") < F.col("v")) | (F.col("cv") == F.col("main"))) & _possible(percent))
-    left = met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    mixed = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
+    pool = materialize(placed.join(mixed, "key").select("doc", "component").distinct())
+    left = _on_rare_shingles(pool, sets, heads, percent)
     found = materialize(_linked(left, sets, percent))
     if not found.isEmpty():
         parts = connected_components(links.union(found))
