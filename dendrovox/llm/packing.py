@@ -48,7 +48,8 @@ class WordIds:
     For a tokenizer that drops spaces and line feeds a text's ids are its words' ids in order, so
     each word is encoded once. New words are encoded many at a time, with a NUL between them whose
     id marks where a word ends. Words of plain letters go straight to the tokenizer's model, as its
-    normalization does no more than lower-case them. The cache starts anew when it is full.
+    normalization does no more than lower-case them; there the ids that end a piece tell the words
+    apart. The cache starts anew when it is full.
     """
 
     MARK = "\0"
@@ -68,22 +69,37 @@ class WordIds:
         self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.mark = self._encode(self.MARK)
         self.drops_blanks = len(self.mark) == 1 and self._encode("ab\n \0 b") == self._encode("ab") + self.mark + self._encode("b")
-        self.plain = self.drops_blanks and all(self.bare.encode(self._pieces([x])).ids == self._encode(x) for x in self.PROBES)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
+        self.plain = self.drops_blanks and self._spelled_right()
 
     def _encode(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _pieces(self, words: list[str]) -> str:
-        """Plain words as the model's own alphabet spells them, pieces apart and marks between words."""
-        apart = self.SIGNS.sub(r" \g<0>", f" {self.MARK} ".join(words))
-        return apart.lower().encode().decode("latin-1").translate(BYTE_LETTERS)
+        """Plain words as the model's own alphabet spells them, letters and signs apart."""
+        return self.SIGNS.sub(r" \g<0>", " ".join(words)).lower().encode().decode("latin-1").translate(BYTE_LETTERS)
 
-    def _add(self, tokenizer: Tokenizer, groups: list[list[str]], spelled: list[str]) -> None:
-        for group, e in zip(groups, tokenizer.encode_batch_fast(spelled, add_special_tokens=False), strict=True):
+    def _spelled_right(self) -> bool:
+        self._add_plain([list(self.PROBES)])
+        right = all(self.known.pop(x) == np.asarray(self._encode(x), "<u4").tobytes() for x in self.PROBES)
+        return right and set(self.known) == {""}
+
+    def _cut(self, group: list[str], data: bytes, ends: list[int], gap: int) -> None:
+        self.known.update(zip(group, [data[i:j] for i, j in zip([0, *(x + gap for x in ends)], ends, strict=False)], strict=True))
+
+    def _add_plain(self, groups: list[list[str]]) -> None:
+        for group, e in zip(groups, self.bare.encode_batch_fast(list(map(self._pieces, groups)), add_special_tokens=False), strict=True):
+            ids = np.asarray(e.ids, "<u4")
+            last = np.cumsum([1 if w[-1].isalpha() else 2 for w in group]) - 1
+            places = np.flatnonzero(self.ends[ids])
+            self._cut(group, ids.tobytes(), (4 * (places[np.minimum(last, len(places) - 1)] + 1)).tolist(), 0)
+
+    def _add(self, groups: list[list[str]]) -> None:
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast(list(map(f" {self.MARK} ".join, groups)), add_special_tokens=False), strict=True):
             ids = np.asarray(e.ids, "<u4")
-            ends = [*(4 * np.flatnonzero(ids == self.mark[0])).tolist(), 4 * len(ids)]
-            data = ids.tobytes()
-            self.known.update(zip(group, [data[i:j] for i, j in zip([0, *(x + 4 for x in ends)], ends, strict=False)], strict=True))
+            self._cut(group, ids.tobytes(), [*(4 * np.flatnonzero(ids == self.mark[0])).tolist(), 4 * len(ids)], 4)
 
     def learn(self, words: list[str]) -> None:
         plain = list(filter(self.PLAIN.fullmatch, words)) if self.plain else []
@@ -91,10 +107,8 @@ class WordIds:
         marked = [w for w in rest if self.MARK in w]
         others = list(rest.difference(marked))
         self.known.update((w, np.asarray(self._encode(w), "<u4").tobytes()) for w in marked)
-        groups = [plain[i : i + self.AT_ONCE] for i in range(0, len(plain), self.AT_ONCE)]
-        self._add(self.bare, groups, list(map(self._pieces, groups)))
-        groups = [others[i : i + self.AT_ONCE] for i in range(0, len(others), self.AT_ONCE)]
-        self._add(self.tokenizer, groups, list(map(f" {self.MARK} ".join, groups)))
+        for words, add in ((plain, self._add_plain), (others, self._add)):
+            add([words[i : i + self.AT_ONCE] for i in range(0, len(words), self.AT_ONCE)])
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
         if not self.drops_blanks:
