@@ -22,8 +22,8 @@ def make_tables(spark, folder):
         if i % 6 == 0:
             for w in random.choices(bad, k=3):
                 words.insert(random.randrange(len(words)), w)
-        elif i % 10 == 1 and rows:
-            words = rows[-1][1].split(" ")
+        elif i % 10 == 1 and i > 1:
+            words = rows[-2][1].split(" ")
             words[0] = "changed" if len(words) > 50 else words[0]
         elif i % 10 == 3:
             words.insert(3, "password=hunter22x")
