@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dendrovox.operators.trees import edges, length
+from dendrovox.plans.durable import materialize
 
 
 def segment_distance(p: tuple[str, str, str], a: tuple[str, str, str], b: tuple[str, str, str]) -> Column:
@@ -25,25 +26,54 @@ def samples(tree: DataFrame) -> DataFrame:
     return cut.select("node_id", "k", *[(F.col(a) + (F.col(f"p_{a}") - F.col(a)) * F.col("k") / F.col("_n")).alias(a) for a in "xyz"])
 
 
-def point_distances(points: DataFrame, tree: DataFrame, cell: float) -> DataFrame:
-    """``points`` with their distance to the nearest edge of ``tree``, if that is at most ``cell``.
+def spacing(tree: DataFrame) -> float:
+    """About the distance between neighbouring edges of ``tree``: a side for the cells of a first search."""
+    cut = edges(tree)
+    spread = F.lit(1.0)
+    for a in "xyz":
+        spread = spread * (F.coalesce(F.stddev_pop(a), F.lit(0.0)) * 4 + 1e-6)
+    side = cut.agg(F.sqrt(spread / (F.sum(length()) + 1e-6)).alias("side")).first()["side"]
+    return max(float(side or 1.0), 1e-3)
 
-    An edge is put in all grid cells of its box widened by ``cell``, a point in its own, so points
-    meet only edges close by; ``distance`` is null where none is.
-    """
-    near = edges(tree).select(*[F.col(c) for a in "xyz" for c in (a, f"p_{a}")])
+
+def _met(asked: DataFrame, cut: DataFrame, side: float) -> DataFrame:
+    """Distance of each point to the nearest of the edges close by; the nearest of all if at most ``side``."""
+    pieces = cut.withColumn("_n", F.greatest(F.lit(1), F.ceil(length() / side).cast("int"))).withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     for a in "xyz":
-        low, high = F.least(a, f"p_{a}") - cell, F.greatest(a, f"p_{a}") + cell
-        near = near.withColumn(f"c{a}", F.explode(F.sequence(F.floor(low / cell).cast("long"), F.floor(high / cell).cast("long"))))
-    near = near.select("cx", "cy", "cz", *[F.col(a).alias(f"a_{a}") for a in "xyz"], *[F.col(f"p_{a}").alias(f"b_{a}") for a in "xyz"])
-    asked = points.withColumns({f"c{a}": F.floor(F.col(a) / cell).cast("long") for a in "xyz"})
+        ends = [F.col(a) + (F.col(f"p_{a}") - F.col(a)) * (F.col("_k") + i) / F.col("_n") for i in (0, 1)]
+        low, high = F.least(*ends) - side * 1.001, F.greatest(*ends) + side * 1.001
+        pieces = pieces.withColumn(f"c{a}", F.explode(F.sequence(F.floor(low / side).cast("long"), F.floor(high / side).cast("long"))))
+    near = pieces.select("cx", "cy", "cz", *[F.col(a).alias(f"a_{a}") for a in "xyz"], *[F.col(f"p_{a}").alias(f"b_{a}") for a in "xyz"]).distinct()
+    asked = asked.withColumns({f"c{a}": F.floor(F.col(a) / side).cast("long") for a in "xyz"})
     far = segment_distance(("x", "y", "z"), ("a_x", "a_y", "a_z"), ("b_x", "b_y", "b_z"))
-    met = asked.join(near, ["cx", "cy", "cz"]).groupBy("node_id", "k").agg(F.min(far).alias("distance"))
-    return points.join(met.where(F.col("distance") <= cell), ["node_id", "k"], "left")
+    return asked.join(near, ["cx", "cy", "cz"]).groupBy("node_id", "k").agg(F.min(far).alias("distance"))
+
+
+def point_distances(points: DataFrame, tree: DataFrame, cell: float) -> DataFrame:
+    """``points`` with their distance to the nearest edge of ``tree``, however far it is.
+
+    An edge is cut into pieces no longer than ``cell`` and put in all grid cells of their boxes
+    widened by ``cell``, a point in its own, so points meet only edges close by. What a point finds
+    within ``cell`` is final; others look again in cells twice as wide until all are done.
+    ``distance`` is null only where the tree has no edge or the point no place.
+    """
+    cut = materialize(edges(tree).select(*[c for a in "xyz" for c in (a, f"p_{a}")]).where(" and ".join(f"abs({c}) < double('Infinity')" for a in "xyz" for c in (a, f"p_{a}"))).distinct())
+    points = materialize(points)
+    left, found, side = points.where(" and ".join(f"abs({a}) < double('Infinity')" for a in "xyz")).select("node_id", "k", "x", "y", "z"), None, float(cell)
+    if cut.isEmpty():
+        return points.withColumn("distance", F.lit(None).cast("double"))
+    while not left.isEmpty():
+        sure = materialize(_met(left, cut, side).where(F.col("distance") <= side))
+        found = sure if found is None else found.unionByName(sure)
+        left = materialize(left.join(sure, ["node_id", "k"], "left_anti"))
+        side *= 2
+    if found is None:
+        return points.withColumn("distance", F.lit(None).cast("double"))
+    return points.join(found, ["node_id", "k"], "left")
 
 
 def directional_distance(a: DataFrame, b: DataFrame, threshold: float, cell: float) -> DataFrame:
-    """One row: points of a near b, sum and max of their distances, and the same from ``threshold`` on."""
+    """One row: points of a, those with a distance to b, its sum and max, and the same from ``threshold`` on."""
     found = point_distances(samples(a), b, cell)
     over = F.col("distance") >= threshold
     return found.agg(

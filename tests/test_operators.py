@@ -219,3 +219,47 @@ def test_spatial_distance_of_shifted_lines(spark):
     assert r["sd"] == r["ssd"] == r["most"] == 3.0 and r["ssd_share"] == 1.0
     r = similarity.spatial_distance(a, a).first()
     assert abs(r["sd"]) < 1e-12 and r["ssd_share"] == 0.0
+
+
+def brute_spatial_distance(a, b, threshold=2.0):
+    """sd, ssd, share and smaller maximum over all pairs of sample points and edges; lines of points in order."""
+    def far(p, u, v):
+        d = [j - i for i, j in zip(u, v)]
+        dd = sum(x * x for x in d)
+        t = min(max(sum(x * (y - z) for x, y, z in zip(d, p, u)) / dd, 0), 1) if dd else 0
+        return math.dist(p, [x + t * y for x, y in zip(u, d)])
+
+    ways = []
+    for one, other in ((a, b), (b, a)):
+        found = []
+        for u, v in zip(one[1:], one):
+            n = math.floor(1.5 + math.dist(u, v))
+            for k in range(n):
+                p = [x + (y - x) * k / n for x, y in zip(u, v)]
+                found.append(min(far(p, x, y) for x, y in zip(other[1:], other)))
+        over = [f for f in found if f >= threshold]
+        ways.append((sum(found) / len(found), sum(over) / len(over) if over else 0.0, len(over) / len(found), max(found)))
+    sd, ssd, share, most = zip(*ways)
+    return sum(sd) / 2, sum(ssd) / 2, sum(share) / 2, min(most)
+
+
+def polyline_tree(spark, points):
+    return spark.createDataFrame([(i, 0, *p, 1.0, i - 1 if i else -1) for i, p in enumerate(points)], TREE)
+
+
+@pytest.mark.parametrize("shift", [0.0, 300.0])
+def test_spatial_distance_counts_far_branches(spark, shift):
+    random.seed(5)
+    a = [tuple(random.uniform(0, 40) for _ in "xyz") for _ in range(12)] + [(200.0, 5.0, 5.0)]
+    b = [(random.uniform(0, 40) + shift, random.uniform(0, 40), random.uniform(0, 40)) for _ in range(12)]
+    one, other = polyline_tree(spark, a), polyline_tree(spark, b)
+    for cell in (4.0, 16.0):
+        r = similarity.spatial_distance(one, other, cell=cell).first()
+        assert [r[c] for c in ("sd", "ssd", "ssd_share", "most")] == pytest.approx(brute_spatial_distance(a, b), rel=1e-9)
+    r = similarity.directional_distance(one, other, 2.0, 16.0).first()
+    assert r["points"] == r["near"]
+
+
+def test_spatial_distance_to_a_tree_without_edges(spark):
+    r = similarity.directional_distance(polyline_tree(spark, [(0.0, 0.0, 0.0), (9.0, 0.0, 0.0)]), polyline_tree(spark, [(0.0, 0.0, 0.0)]), 2.0, 16.0).first()
+    assert (r["points"], r["near"], r["total"]) == (10, 0, None)
