@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dendrovox.operators import graphs, neurites, similarity, trees, views
+from dendrovox.operators.ranking import ranked
+from dendrovox.plans.durable import materialize
 from dendrovox.queries.volumes import DIMS, FRONT, _near, front
 from dendrovox.sources import derived, swc
 from dendrovox.sources.derived import POINTS, POLYLINES, TREE
@@ -242,6 +244,26 @@ def spatial_distance(spark, d):
     return similarity.spatial_distance(a, b, cell=40.0).select(*[F.round(c, 6).alias(c) for c in ("sd", "ssd", "ssd_share", "most")])
 
 
+def _whole_pair(spark, d):
+    """The points of clouds 0 and 1, all of them, each cloud a line in order of id."""
+    p = derived.points(spark, d).where("cloud in (0, 1)")
+    p = materialize(ranked(p, ["cloud"], F.expr("id div 1024"), [F.col("id")], "_at"))
+    before = p.select("cloud", (F.col("_at") + 1).alias("_at"), F.col("id").alias("parent_id"))
+    line = p.join(before, ["cloud", "_at"], "left").select("cloud", F.col("id").alias("node_id"), F.lit(0).cast("long").alias("node_type"), "x", "y", "z", F.lit(1.0).alias("radius"), F.coalesce("parent_id", F.lit(-1)).alias("parent_id"))
+    line = materialize(line)
+    return line.where("cloud = 0").drop("cloud"), line.where("cloud = 1").drop("cloud")
+
+
+def directional_distance_whole(spark, d):
+    a, b = _whole_pair(spark, d)
+    return similarity.directional_distance(a, b, 2.0, similarity.spacing(b)).select("points", "near", F.round("total", 4).alias("total"), F.round("most", 6).alias("most"), F.round("over_total", 4).alias("over_total"), "over")
+
+
+def spatial_distance_whole(spark, d):
+    a, b = _whole_pair(spark, d)
+    return similarity.spatial_distance(a, b, cell=similarity.spacing(b)).select(*[F.round(c, 6).alias(c) for c in ("sd", "ssd", "ssd_share", "most")])
+
+
 KIDS = "kids AS (SELECT parent_id AS node_id, count(*) AS children FROM tree WHERE parent_id <> -1 GROUP BY 1)"
 ORDERS = f"{TREE}, {KIDS}, o(node_id, branch_order, root) AS (SELECT node_id, CAST(0 AS BIGINT), true FROM tree WHERE parent_id = -1 UNION ALL SELECT t.node_id, o.branch_order + CASE WHEN NOT o.root AND k.children > 1 THEN 1 ELSE 0 END, false FROM tree t JOIN o ON t.parent_id = o.node_id JOIN kids k ON k.node_id = o.node_id)"
 SEGMENTS = f"{TREE}, {KIDS}, s(node_id, top, depth) AS (SELECT node_id, node_id, 0 FROM tree WHERE parent_id = -1 UNION ALL SELECT t.node_id, CASE WHEN s.depth = 0 OR k.children > 1 THEN t.node_id ELSE s.top END, s.depth + 1 FROM tree t JOIN s ON t.parent_id = s.node_id JOIN kids k ON k.node_id = s.node_id)"
@@ -322,4 +344,6 @@ QUERIES = {
     "sssp_boundary": (sssp_boundary, None),
     "directional_distance": (directional_distance, f"WITH {FAR} SELECT count(*) AS points, count(*) AS near, round(sum(f), 4) AS total, round(max(f), 6) AS most, round(sum(CASE WHEN f >= 2 THEN f END), 4) AS over_total, count(CASE WHEN f >= 2 THEN 1 END) AS over FROM m WHERE cloud = 0"),
     "spatial_distance": (spatial_distance, f"WITH {FAR}, w AS (SELECT cloud, avg(f) AS sd, coalesce(avg(CASE WHEN f >= 2 THEN f END), 0.0) AS ssd, avg(CASE WHEN f >= 2 THEN 1.0 ELSE 0.0 END) AS share, max(f) AS most FROM m GROUP BY 1) SELECT round(avg(sd), 6) AS sd, round(avg(ssd), 6) AS ssd, round(avg(share), 6) AS ssd_share, round(min(most), 6) AS most FROM w"),
+    "directional_distance_whole": (directional_distance_whole, None),
+    "spatial_distance_whole": (spatial_distance_whole, None),
 }
