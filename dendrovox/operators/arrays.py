@@ -116,6 +116,10 @@ def match_histograms(df: DataFrame, history: int, decay: float = 1.0, by: str =
     whole = Window.partitionBy("_at")
     upto = whole.orderBy("_pv").rowsBetween(Window.unboundedPreceding, 0)
     past = past.withColumn("_share", F.sum("_w").over(upto) / F.sum("_w").over(whole))
-    pairs = placed.join(past, "_at", "left").where(F.col("_share").isNull() | (F.col("_share") >= F.col("cdf") - 1e-12))
-    matched = pairs.groupBy(by, v, "_at").agg(F.min("_pv").alias("_m"))
-    return matched.select(by, v, F.when((F.col("_at") > history) & F.col("_m").isNotNull(), F.col("_m")).otherwise(F.col(v)).alias("matched"))
+    # both CDFs of a plane in one order, past values behind equal shares; the next past value answers
+    none = F.lit(None)
+    asked = placed.select("_at", by, v, (F.col("cdf") - 1e-12).alias("_s"), F.lit(0).alias("_side"), none.cast(past.schema["_pv"].dataType).alias("_pv"))
+    given = past.select("_at", none.cast(placed.schema[by].dataType).alias(by), none.cast(placed.schema[v].dataType).alias(v), F.col("_share").alias("_s"), F.lit(1).alias("_side"), "_pv")
+    after = whole.orderBy("_s", "_side", "_pv").rowsBetween(0, Window.unboundedFollowing)
+    merged = asked.unionByName(given).withColumn("_m", F.first("_pv", ignorenulls=True).over(after)).where("_side = 0")
+    return merged.select(by, v, F.when((F.col("_at") > history) & F.col("_m").isNotNull(), F.col("_m")).otherwise(F.col(v)).alias("matched"))

@@ -192,6 +192,10 @@ def match_history(spark, d):
     return arrays.match_histograms(derived.planes(spark, d).withColumn("v", F.expr("least(v, 60)")), 2)
 
 
+def match_history_whole(spark, d):
+    return arrays.match_histograms(derived.planes(spark, d), 2)
+
+
 def _cc(connectivity):
     return lambda spark, d: components.label_voxels(front(spark, d), DIMS, connectivity).select("address", "label")
 
@@ -332,6 +336,7 @@ QUERIES = {
         c AS (SELECT k, z, v, n, CAST(sum(n) OVER (PARTITION BY z ORDER BY v) AS DOUBLE) / sum(n) OVER (PARTITION BY z) AS cdf FROM h JOIN o USING (z)),
         p AS (SELECT b.k AS k, a.v AS pv, sum(a.n) AS w FROM c a JOIN o b ON a.k BETWEEN b.k - 2 AND b.k - 1 GROUP BY 1, 2), s AS (SELECT k, pv, CAST(sum(w) OVER (PARTITION BY k ORDER BY pv) AS DOUBLE) / sum(w) OVER (PARTITION BY k) AS share FROM p)
         SELECT z, v, CASE WHEN k > 2 THEN coalesce((SELECT min(pv) FROM s WHERE s.k = c.k AND share >= cdf - 1e-12), v) ELSE v END AS matched FROM c"""),
+    "hist_match_history_whole": (match_history_whole, None),
     "cc_labels_6": (_cc(6), f"WITH RECURSIVE {_labelled(1)} SELECT address, label FROM labelled"),
     "cc_labels_18": (_cc(18), f"WITH RECURSIVE {_labelled(2)} SELECT address, label FROM labelled"),
     "cc_labels_26": (_cc(26), f"WITH RECURSIVE {_labelled(3)} SELECT address, label FROM labelled"),

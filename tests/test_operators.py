@@ -275,3 +275,38 @@ def test_whole_distance_takes_every_point(spark, tmp_path):
     a, b = ([points[i] for i, _, label in rows if label == cloud] for cloud in (0, 1))
     got = registry.queries()["spatial_distance_whole"](spark, str(tmp_path)).first()
     assert [got[c] for c in ("sd", "ssd", "ssd_share", "most")] == pytest.approx(brute_spatial_distance(a, b), abs=2e-6)
+
+
+def brute_matches(planes, history, decay):
+    out = {}
+    for at, z in enumerate(sorted(planes)):
+        values = sorted(planes[z])
+        past = sorted((v, decay**back) for back in range(history) if at > back for v in planes[sorted(planes)[at - back - 1]])
+        weight = sum(w for _, w in past)
+        for v in set(values):
+            share = sum(x <= v for x in values) / len(values)
+            out[z, v] = v if at < history else min(p for p, _ in past if sum(w for x, w in past if x <= p) / weight >= share - 1e-12)
+    return out
+
+
+@pytest.mark.parametrize("decay", [1.0, 0.5])
+def test_histograms_match_brute_force(spark, decay):
+    rng = random.Random(2)
+    planes = {z: [min(int(rng.expovariate(1 / 60)), 500) for _ in range(60)] for z in (0, 1, 3, 4, 7)}
+    frame = spark.createDataFrame([(z, v) for z, values in planes.items() for v in values], "z long, v long")
+    matched = arrays.match_histograms(frame, 2, decay)
+    assert {(r["z"], r["v"]): r["matched"] for r in matched.collect()} == brute_matches(planes, 2, decay)
+    plan = matched._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Join" in x and "_at#" in x]
+
+
+def test_whole_history_matches_values_of_60_and_more(spark, sf_dir):
+    from dendrovox import registry
+
+    planes = {}
+    for r in registry.queries()["hist_match_history_whole"](spark, sf_dir).collect():
+        planes[r["z"], r["v"]] = r["matched"]
+    events = {}
+    for z, v in spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("datediff(to_date(ts), '2020-01-01')", "cast(floor(value) as long)").collect():
+        events.setdefault(z, []).append(v)
+    assert max(v for _, v in planes) > 60 and planes == brute_matches(events, 2, 1.0)
