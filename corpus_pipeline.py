@@ -41,10 +41,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document lies in the training sequences."""
+    """Where each piece of each document lies in the training sequences, which follow the files' order."""
     import public_tokenizers
 
-    packed = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    packed = packing.pack(packing.in_file_order(docs), public_tokenizers.path("word_bpe_49k.json"), ordered=True)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 

@@ -30,6 +30,7 @@ if TYPE_CHECKING:
 END_ID = 1
 CACHE_WORDS = 1_000_000
 RANK_BUCKETS = 256
+RUN_ROWS = 4096
 
 
 def _byte_letters() -> dict[int, str]:
@@ -125,8 +126,8 @@ class WordIds:
                 yield b"".join(map(self.known.__getitem__, words))
 
 
-def cut_pieces(df: DataFrame, tokenizer: str, capacity: int = 4096, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
-    """Rows (key, piece, start, length, ids_crc32[, ids]); a null text counts as an empty one.
+def cut_pieces(df: DataFrame, tokenizer: str, capacity: int = 4096, key: str = "doc_id", text: str = "text", with_ids: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (key, piece, start, length, ids_crc32[, ids], *carry); a null text counts as an empty one.
 
     A document is its ids and one end id. Only documents of more than ``capacity`` ids are cut.
     """
@@ -137,11 +138,13 @@ def cut_pieces(df: DataFrame, tokenizer: str, capacity: int = 4096, key: str = "
         end = np.asarray([END_ID], "<u4").tobytes()
         for batch in batches:
             rows: list[list] = [[], [], [], [], [], []]
+            origin: list[int] = []
             keys = batch.column(0).to_pylist()
-            for k, body in zip(keys, words.ids([x or "" for x in batch.column(1).to_pylist()]), strict=True):
+            for i, (k, body) in enumerate(zip(keys, words.ids([x or "" for x in batch.column(1).to_pylist()]), strict=True)):
                 body += end
                 for piece, at in enumerate(range(0, len(body), 4 * capacity)):
                     ids = body[at : at + 4 * capacity]
+                    origin.append(i)
                     for column, value in zip(rows, (k, piece, at // 4, len(ids) // 4, zlib.crc32(ids), np.frombuffer(ids, "<i4") if with_ids else None), strict=True):
                         column.append(value)
             arrays = [pa.array(rows[0], batch.schema.field(0).type), pa.array(rows[1], pa.int32()), *[pa.array(x, pa.int64()) for x in rows[2:5]]]
@@ -149,10 +152,13 @@ def cut_pieces(df: DataFrame, tokenizer: str, capacity: int = 4096, key: str = "
             if with_ids:
                 arrays.append(pa.array(rows[5], pa.list_(pa.int32())))
                 names.append("ids")
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+            taken = pa.array(origin, pa.int64())
+            arrays += [batch.column(2 + i).take(taken) for i in range(len(carry))]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*names, *carry])
 
     schema = f"{key} {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return df.select(key, text).mapInArrow(cut, schema)
+    schema += "".join(f", {c} {df.schema[c].dataType.simpleString()}" for c in carry)
+    return df.select(key, text, *carry).mapInArrow(cut, schema)
 
 
 @dataclass(frozen=True)
@@ -226,16 +232,27 @@ def plan_bins(counts: dict[int, int], capacity: int) -> Plan:
     return Plan((table[:, 0] << 48) + table[:, 1], table[:, 1], table[:, 2], table[:, 3], table[:, 4], bins)
 
 
-def pack(df: DataFrame, tokenizer: str, capacity: int = 4096, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+def in_file_order(df: DataFrame) -> DataFrame:
+    """``df``, read from Parquet that Spark wrote, with _file and _line: the order its rows were written in."""
+    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+    part, more = (F.coalesce(F.regexp_extract(name, x, 1).try_cast("long"), F.lit(0).cast("long")) for x in (r"^part-(\d+)", r"-c(\d+)\."))
+    return df.select("*", (part * 1_000_000 + more).alias("_file"), F.col("_metadata.row_index").cast("long").alias("_line"))
+
+
+def pack(df: DataFrame, tokenizer: str, capacity: int = 4096, key: str = "doc_id", text: str = "text", with_ids: bool = False, ordered: bool = False) -> DataFrame:
     """Every piece of every document with sequence_id and offset; offsets of a sequence have no gap.
 
     The driver sees one count for each of at most ``capacity`` lengths and sends back one plan of
     that order of size. Repeated rows are packed as often as they come; other columns are left out.
+    Pieces of a length come in the order of hashes; with ``ordered``, in that of ``_file`` and
+    ``_line`` (see ``in_file_order``), and sequences are numbered by their first piece in that order.
     """
-    pieces = materialize(cut_pieces(df, tokenizer, capacity, key, text, with_ids))
+    carry = ("_file", "_line") if ordered else ()
+    pieces = materialize(cut_pieces(df, tokenizer, capacity, key, text, with_ids, carry))
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     plan = df.sparkSession.sparkContext.broadcast(plan_bins(counts, capacity))
-    numbered = ranked(pieces, ["length"], F.pmod(F.xxhash64(key, "piece"), F.lit(RANK_BUCKETS)), [F.col(key), F.col("piece")], "_rank")
+    run = F.struct("_file", F.expr(f"_line div {RUN_ROWS}").alias("run")) if ordered else F.pmod(F.xxhash64(key, "piece"), F.lit(RANK_BUCKETS))
+    numbered = ranked(pieces, ["length"], run, [F.col(c) for c in (*carry, key, "piece")], "_rank")
     order = [c for c in numbered.columns if c != "_rank"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,7 +262,14 @@ def pack(df: DataFrame, tokenizer: str, capacity: int = 4096, key: str = "doc_id
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in order], pa.array(bins), pa.array(offsets)], names=[*order, "sequence_id", "offset"])
 
     types = {f.name: f.dataType.simpleString() for f in numbered.schema}
-    return numbered.mapInArrow(place, ", ".join(f"{c} {types[c]}" for c in order) + ", sequence_id long, offset long")
+    packed = numbered.mapInArrow(place, ", ".join(f"{c} {types[c]}" for c in order) + ", sequence_id long, offset long")
+    if not ordered:
+        return packed
+    packed = materialize(packed)
+    first = packed.groupBy("sequence_id").agg(F.min(F.struct("_file", "_line", "piece")).alias("_first")).select("sequence_id", "_first.*", F.lit(0).alias("_all"))
+    renumbered = ranked(first, ["_all"], run, [F.col(c) for c in ("_file", "_line", "piece", "sequence_id")], "_at").select("sequence_id", "_at")
+    out = [c for c in packed.columns if c not in carry]
+    return packed.join(renumbered, "sequence_id").withColumn("sequence_id", F.col("_at")).select(*out)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from dendrovox.llm import registry, secrets, toxicity
+from dendrovox.llm import mixing, registry, secrets, toxicity
 from tests.llm.test_groups_and_order import brute_components
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -79,3 +79,25 @@ def test_stages_keep_the_columns_and_the_clean_documents(spark, tmp_path):
         assert out.columns == docs.columns and out.count() == len(texts), name
     placed = corpus_pipeline.mix_sources(spark, docs, folder).collect()
     assert {r["doc_id"]: r["text"] for r in placed} == texts
+
+
+def test_sequences_follow_the_mixture(spark, tmp_path):
+    rows = [(i, "one two three four five " * 12, "en", "a" if i < 500 else "b" if i < 560 else "c", 0) for i in range(600)]
+    docs = spark.createDataFrame(rows, DOCUMENTS)
+    place = {r["doc_id"]: r["place"] for r in mixing.mix(docs).collect()}
+    written = f"file://{tmp_path}/mixed"
+    corpus_pipeline.mix_sources(spark, docs, "").write.parquet(written)
+    got = corpus_pipeline.pack_sequences(spark, spark.read.parquet(written), "").collect()
+    assert len({r["sequence_id"] for r in got}) > 3
+    assert [r["doc_id"] for r in sorted(got, key=lambda r: (r["sequence_id"], r["offset"]))] == sorted(place, key=place.get)
+
+
+def test_sequences_are_numbered_by_their_first_piece(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(i, "one two three " * rng.choice([5, 40, 300, 900, 2000]), "en", "a", 0) for i in range(120)]
+    written = f"file://{tmp_path}/files"
+    spark.createDataFrame(rows, DOCUMENTS).repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id").write.parquet(written)
+    first = {}
+    for r in corpus_pipeline.pack_sequences(spark, spark.read.parquet(written), "").collect():
+        first[r["sequence_id"]] = min(first.get(r["sequence_id"], (999, 0)), (r["doc_id"], r["piece"]))
+    assert sorted(first) == list(range(len(first))) and [first[s] for s in sorted(first)] == sorted(first.values())
