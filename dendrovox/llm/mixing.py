@@ -5,7 +5,9 @@ brings ``share`` blocks to every cycle (its target weight in blocks) until it ru
 L slots in which s has m blocks, its block j is released at floor(j L / m) and due at
 ceil((j + 1) L / m); in every slot the released block with the earliest deadline goes out. Unit
 jobs with such windows always meet them, so at every slot each source is less than one block from
-its share. Cycles between two sources' ends are alike, so only one schedule per kind of cycle is
+its share m / L of the cycle. That share is rounded: against the target weight the difference adds
+up from cycle to cycle (the README has figures), and a weight below half a slot counts as one slot.
+Cycles between two sources' ends are alike, so only one schedule per kind of cycle is
 made: at most 2 * sources + 1 of them, however many rows there are.
 """
 
