@@ -18,7 +18,7 @@ from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dendrovox.operators.ranking import ranked
@@ -244,15 +244,16 @@ def pack(df: DataFrame, tokenizer: str, capacity: int = 4096, key: str = "doc_id
 
     The driver sees one count for each of at most ``capacity`` lengths and sends back one plan of
     that order of size. Repeated rows are packed as often as they come; other columns are left out.
-    Pieces of a length come in the order of hashes; with ``ordered``, in that of ``_file`` and
-    ``_line`` (see ``in_file_order``), and sequences are numbered by their first piece in that order.
+    With ``ordered``, each run of ``RUN_ROWS`` pieces in the order of ``_file`` and ``_line`` (see
+    ``in_file_order``) is packed by itself, and sequences are numbered by their first piece.
     """
     carry = ("_file", "_line") if ordered else ()
     pieces = materialize(cut_pieces(df, tokenizer, capacity, key, text, with_ids, carry))
+    if ordered:
+        return _pack_runs(pieces, capacity, key)
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     plan = df.sparkSession.sparkContext.broadcast(plan_bins(counts, capacity))
-    run = F.struct("_file", F.expr(f"_line div {RUN_ROWS}").alias("run")) if ordered else F.pmod(F.xxhash64(key, "piece"), F.lit(RANK_BUCKETS))
-    numbered = ranked(pieces, ["length"], run, [F.col(c) for c in (*carry, key, "piece")], "_rank")
+    numbered = ranked(pieces, ["length"], F.pmod(F.xxhash64(key, "piece"), F.lit(RANK_BUCKETS)), [F.col(key), F.col("piece")], "_rank")
     order = [c for c in numbered.columns if c != "_rank"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,14 +263,34 @@ def pack(df: DataFrame, tokenizer: str, capacity: int = 4096, key: str = "doc_id
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in order], pa.array(bins), pa.array(offsets)], names=[*order, "sequence_id", "offset"])
 
     types = {f.name: f.dataType.simpleString() for f in numbered.schema}
-    packed = numbered.mapInArrow(place, ", ".join(f"{c} {types[c]}" for c in order) + ", sequence_id long, offset long")
-    if not ordered:
-        return packed
-    packed = materialize(packed)
-    first = packed.groupBy("sequence_id").agg(F.min(F.struct("_file", "_line", "piece")).alias("_first")).select("sequence_id", "_first.*", F.lit(0).alias("_all"))
-    renumbered = ranked(first, ["_all"], run, [F.col(c) for c in ("_file", "_line", "piece", "sequence_id")], "_at").select("sequence_id", "_at")
-    out = [c for c in packed.columns if c not in carry]
-    return packed.join(renumbered, "sequence_id").withColumn("sequence_id", F.col("_at")).select(*out)
+    return numbered.mapInArrow(place, ", ".join(f"{c} {types[c]}" for c in order) + ", sequence_id long, offset long")
+
+
+def _pack_runs(pieces: DataFrame, capacity: int, key: str) -> DataFrame:
+    """``pieces`` with sequence_id and offset; a sequence holds pieces of one run only."""
+    bucket = F.struct("_file", F.expr(f"_line div {RUN_ROWS}").alias("part"))
+    numbered = ranked(pieces.withColumn("_all", F.lit(0)), ["_all"], bucket, [F.col("_line"), F.col(key), F.col("piece")], "_at")
+    numbered = numbered.withColumn("_run", F.expr(f"_at div {RUN_ROWS}")).drop("_all", "_file", "_line")
+    names = numbered.columns
+
+    def place(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_at").select(names)
+        length = table.column("length").to_numpy()
+        kinds, which, counts = np.unique(length, return_inverse=True, return_counts=True)
+        rank = np.empty(len(length), np.int64)
+        by_kind = np.argsort(which, kind="stable")
+        rank[by_kind] = np.arange(len(length)) - np.repeat(np.cumsum(counts) - counts, counts)
+        bins, offsets = plan_bins(dict(zip(kinds.tolist(), counts.tolist())), capacity).place(length, rank)
+        _, first, again = np.unique(bins, return_index=True, return_inverse=True)
+        number = np.argsort(np.argsort(first))[again]
+        return table.append_column("_bin", pa.array(number.astype(np.int64))).append_column("offset", pa.array(offsets.astype(np.int64)))
+
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in numbered.schema)
+    packed = materialize(numbered.groupBy("_run").applyInArrow(place, f"{types}, _bin long, offset long"))
+    before = Window.partitionBy().orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    base = packed.groupBy("_run").agg((F.max("_bin") + 1).alias("_n")).select("_run", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    out = [c for c in pieces.columns if c not in ("_file", "_line")]
+    return packed.join(base, "_run").select(*out, (F.col("_base") + F.col("_bin")).alias("sequence_id"), "offset")
 
 
 def sequences(packed: DataFrame) -> DataFrame:

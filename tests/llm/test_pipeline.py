@@ -7,7 +7,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from dendrovox.llm import mixing, registry, secrets, toxicity
+from dendrovox.llm import mixing, packing, registry, secrets, toxicity
 from tests.llm.test_groups_and_order import brute_components
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -101,3 +101,15 @@ def test_sequences_are_numbered_by_their_first_piece(spark, tmp_path):
     for r in corpus_pipeline.pack_sequences(spark, spark.read.parquet(written), "").collect():
         first[r["sequence_id"]] = min(first.get(r["sequence_id"], (999, 0)), (r["doc_id"], r["piece"]))
     assert sorted(first) == list(range(len(first))) and [first[s] for s in sorted(first)] == sorted(first.values())
+
+
+def test_a_sequence_holds_pieces_of_one_run(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(packing, "RUN_ROWS", 50)
+    rng = random.Random(7)
+    rows = [(i, "one two three " * rng.choice([5, 40, 300, 900]), "en", "a", 0) for i in range(150)]
+    written = f"file://{tmp_path}/files"
+    spark.createDataFrame(rows, DOCUMENTS).repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id").write.parquet(written)
+    runs = {}
+    for r in corpus_pipeline.pack_sequences(spark, spark.read.parquet(written), "").collect():
+        runs.setdefault(r["sequence_id"], set()).add(r["doc_id"] // 50)
+    assert [runs[s] for s in sorted(runs)] == sorted(runs.values(), key=min) and all(len(x) == 1 for x in runs.values())
