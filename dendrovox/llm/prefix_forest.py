@@ -2,10 +2,14 @@
 
 Each tree gives every vector a string of ``BITS`` bits, the sides of random hyperplanes set at the
 medians of a bounded sample, and holds the strings as sorted arrays, cut into segments of bounded
-size. A query goes down to its own string and comes up again in all trees at once: the prefix
-shortens level by level until the trees together hold enough candidates. Counts of all prefixes of
-``CELL_BITS`` bits (at most ``TREES << CELL_BITS`` of them) tell that level without a look at the
-arrays. Candidates are measured exactly.
+size. The arrays hold ids and sketches (the heads of all strings), no vectors. A query goes down to
+its own string and comes up again in all trees at once: the prefix shortens level by level until the
+trees together hold as many rows as the sample says are needed for ``RECALL``. Counts of all prefixes
+of ``CELL_BITS`` bits (at most ``TREES << CELL_BITS`` of them) tell that level without a look at the
+arrays. Rows below a query's prefix whose sketch could belong to one of the k nearest are measured
+exactly, on vectors fetched for them alone. How far apart such sketches may be follows from the k-th
+distance among the closest sketches of the first ``PROBE_TREES`` trees, so a query amid thousands of
+near copies has them all measured and one amid strangers only a few percent of all rows.
 """
 
 from __future__ import annotations
@@ -20,9 +24,17 @@ from pyspark.sql import functions as F
 
 from dendrovox.plans.durable import materialize
 
-TREES, BITS, CELL_BITS = 8, 32, 12
+TREES, BITS, CELL_BITS, HEAD_BITS = 32, 24, 9, 8
+#: Bound of the sample that the hyperplanes' medians and the depth of search are fitted on.
 SAMPLE_ROWS = 20_000
+SAMPLE_QUERIES = 256
+RECALL = 0.95
 SEGMENT_ROWS = 8192
+#: Trees, and rows of each of their segments, that a query's first distances come from.
+PROBE_TREES, PROBE_ROWS = 4, 128
+#: Standard deviations above the mean gap of two sketches at the k-th distance that are still looked at.
+DEVIATIONS = 2.5
+BROADCAST_BYTES = 64 << 20
 SEED = 7
 
 
@@ -48,6 +60,50 @@ class Hashes:
         return side @ (np.int64(1) << np.arange(bits - 1, -1, -1, dtype=np.int64))
 
 
+def sketches(strings: np.ndarray) -> np.ndarray:
+    """The first ``HEAD_BITS`` bits of each tree's string, as bytes."""
+    return (strings >> (BITS - HEAD_BITS)).astype(np.uint8)
+
+
+def apart(sketch: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Bits in which each of ``others`` differs from ``sketch``."""
+    return np.bitwise_count(others.view(np.uint64) ^ sketch.view(np.uint64)).sum(axis=1, dtype=np.int64)
+
+
+def distances(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Euclidean distances row by row; very large or small components neither overflow nor vanish."""
+    with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+        gap = vectors - query
+        found = np.sqrt((gap * gap).sum(axis=1))
+        top = np.abs(gap).max(axis=1, initial=0.0)
+        odd = (~np.isfinite(found) | (found < 1e-150)) & (top > 0) & np.isfinite(top)
+        if odd.any():
+            part = gap[odd] / top[odd, None]
+            found[odd] = top[odd] * np.sqrt((part * part).sum(axis=1))
+    return found
+
+
+def needed_share(hashes: Hashes, sample: np.ndarray, k: int, recall: float = RECALL) -> float:
+    """Rows that all trees together hold, as a multiple of all rows, where ``recall`` of the k nearest are met.
+
+    In a larger table the nearest rows are nearer than in the sample, so the share errs upwards.
+    """
+    strings = hashes.strings(sample)
+    rows = len(sample)
+    chosen = np.arange(rows) if rows <= SAMPLE_QUERIES else np.random.default_rng(SEED).choice(rows, SAMPLE_QUERIES, replace=False)
+    depth, load = [], np.zeros(BITS + 1)
+    for q in chosen:
+        far = distances(sample[q], sample)
+        far[q] = np.inf
+        near = np.argsort(far, kind="stable")[: min(k, rows - 1)]
+        shared = BITS - np.ceil(np.log2((strings ^ strings[q]) + 1.0)).astype(int)
+        depth.append(shared[near].max(axis=1))
+        load += np.bincount(shared.ravel(), minlength=BITS + 1)
+    depths = np.concatenate(depth) if depth else np.zeros(0, int)
+    level = next((x for x in range(BITS, 0, -1) if len(depths) and (depths >= x).mean() >= recall), 0)
+    return float(load[level:].sum() / max(1, len(chosen) * rows))
+
+
 @dataclass(frozen=True)
 class Layout:
     """Where the rows of each cell lie: ``count`` segments from ``first``; rows up to each cell."""
@@ -93,28 +149,18 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return values.reshape(len(flat), -1) if len(flat) else values.reshape(0, 1)
 
 
-def _nearest(query: np.ndarray, vectors: np.ndarray, norms: np.ndarray, ids: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k nearest of ``vectors`` but those of id ``own``: ids and distances, ties to smaller ids."""
-    near = norms - 2 * (vectors @ query)
-    near[ids == own] = np.inf
-    if len(near) > 2 * k:
-        bound = np.partition(near, k - 1)[k - 1]
-        chosen = np.flatnonzero(near <= bound + 1e-6 * (1 + abs(bound)))
-    else:
-        chosen = np.flatnonzero(np.isfinite(near))
-    chosen = chosen[ids[chosen] != own]
-    distance = np.sqrt(((vectors[chosen] - query) ** 2).sum(axis=1))
-    order = np.lexsort((ids[chosen], distance))[:k]
-    return ids[chosen[order]], distance[order]
+def _rows(arrays: list[np.ndarray], names: list[str], types: list[pa.DataType]) -> pa.Table:
+    return pa.table({n: pa.array(a, t) for n, a, t in zip(names, arrays, types, strict=True)})
 
 
-def nearest(df: DataFrame, every: int = 100, k: int = 10, share: float = 2.2, key: str = "vec_id", vector: str = "embedding", segment_rows: int = SEGMENT_ROWS) -> DataFrame:
+def nearest(df: DataFrame, every: int = 100, k: int = 10, key: str = "vec_id", vector: str = "embedding", segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found for each row whose key ``every`` divides.
 
-    ``share``: rows that the trees together hold for a query, as a multiple of all rows (a row
-    counts once a tree). Null, zero and non-finite vectors, null keys and vectors of another than the
-    commonest dimension take no part. Some tree always holds k others, if there are as many. Of equal vectors only the k + 1 smallest keys are indexed: no
-    other can be among the k nearest. Repeated rows count once.
+    Null, zero and non-finite vectors, null keys and vectors of another than the commonest dimension
+    (of equally common ones: the smallest) take no part; an empty table gives no rows. Some tree
+    always holds k others, if there are as many. Of equal vectors only the k + 1 smallest keys are
+    indexed: no other can be among the k nearest. Repeated rows count once; ties go to the smaller
+    key. Other columns, whatever their names, are left out.
     """
     spark = df.sparkSession
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
@@ -130,7 +176,12 @@ def nearest(df: DataFrame, every: int = 100, k: int = 10, share: float = 2.2, ke
     total = kept.count()
     part = min(1.0, SAMPLE_ROWS / total)
     sample = kept.where(F.pmod(F.xxhash64(F.lit("forest"), "id"), F.lit(1 << 20)) <= F.lit(round(part * (1 << 20)))).limit(2 * SAMPLE_ROWS)
-    hashes = spark.sparkContext.broadcast(Hashes.fit(np.array([r["v"] for r in sample.orderBy("id").select("v").collect()])))
+    vectors = np.array([r["v"] for r in sample.orderBy("id").select("v").collect()])
+    fitted = Hashes.fit(vectors)
+    middle = np.median(vectors, axis=0)
+    shortest, longest = np.quantile(distances(middle, vectors), [0.005, 0.995]).tolist()
+    wanted = max(needed_share(fitted, vectors, k) * total, TREES * (k + 1))
+    hashes = spark.sparkContext.broadcast(fitted)
 
     def cells(batches):
         for batch in batches:
@@ -150,21 +201,23 @@ def nearest(df: DataFrame, every: int = 100, k: int = 10, share: float = 2.2, ke
             if batch.num_rows:
                 place = layout.value
                 strings = hashes.value.strings(_matrix(batch.column(1)))
+                heads = pa.array(list(map(bytes, sketches(strings))), pa.binary())
                 ids = batch.column(0).to_numpy()
+                spread = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64)
                 for tree in range(TREES):
                     cell = strings[:, tree] >> (BITS - CELL_BITS)
-                    spread = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64)
                     segment = place.first[tree, cell] + spread % place.count[tree, cell]
-                    yield pa.RecordBatch.from_arrays([pa.array(segment), pa.array(strings[:, tree]), *batch.columns], names=["segment", "string", "id", "v"])
+                    yield pa.RecordBatch.from_arrays([pa.array(segment), pa.array(strings[:, tree]), batch.column(0), heads], names=["segment", "string", "id", "sketch"])
 
     def descend(batches):
         for batch in batches:
             if batch.num_rows:
                 place = layout.value
                 strings = hashes.value.strings(_matrix(batch.column(1)))
+                heads = sketches(strings)
                 out = [[], [], [], []]
                 for row, string in enumerate(strings):
-                    level = place.level(string >> (BITS - CELL_BITS), max(share * total, TREES * (k + 1)))
+                    level = place.level(string >> (BITS - CELL_BITS), wanted)
                     low = string >> (BITS - level) << (BITS - level)
                     high = low + (np.int64(1) << (BITS - level))
                     for tree in range(TREES):
@@ -173,27 +226,59 @@ def nearest(df: DataFrame, every: int = 100, k: int = 10, share: float = 2.2, ke
                         for column, value in zip(out, (segments, np.full(len(segments), low[tree]), np.full(len(segments), high[tree]), np.full(len(segments), row)), strict=True):
                             column.append(value)
                 segments, low, high, row = (np.concatenate(x) for x in out)
-                yield pa.RecordBatch.from_arrays([pa.array(segments), pa.array(low), pa.array(high), *batch.take(pa.array(row)).columns], names=["segment", "low", "high", "id", "v"])
+                asks = pa.array(list(map(bytes, heads)), pa.binary()).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([pa.array(segments), pa.array(low), pa.array(high), batch.column(0).take(pa.array(row)), asks], names=["segment", "low", "high", "id", "sketch"])
+
+    def heads_of(column: pa.ChunkedArray) -> np.ndarray:
+        return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, TREES)
 
     def search(arrays: pa.Table, queries: pa.Table) -> pa.Table:
-        found = [[], [], []]
+        """Rows in the range of each query: those at most ``most`` bits apart, or (null) the closest few."""
+        found = [[np.empty(0, np.int64)], [np.empty(0, np.int64)]]
         if arrays.num_rows and queries.num_rows:
             strings = arrays.column("string").to_numpy()
             order = np.argsort(strings, kind="stable")
-            strings, ids, vectors = strings[order], arrays.column("id").to_numpy()[order], _matrix(arrays.column("v"))[order]
-            norms = (vectors**2).sum(axis=1)
-            for own, low, high, query in zip(queries.column("id").to_pylist(), queries.column("low").to_pylist(), queries.column("high").to_pylist(), _matrix(queries.column("v")), strict=True):
-                a, b = np.searchsorted(strings, [low, high])
+            strings, ids, held = strings[order], arrays.column("id").to_numpy()[order], np.ascontiguousarray(heads_of(arrays.column("sketch"))[order])
+            ends = (np.searchsorted(strings, queries.column(x).to_numpy()) for x in ("low", "high"))
+            for own, most, a, b, sketch in zip(queries.column("id").to_pylist(), queries.column("most").to_pylist(), *ends, heads_of(queries.column("sketch")), strict=True):
                 if b > a:
-                    near, distance = _nearest(query, vectors[a:b], norms[a:b], ids[a:b], own, k)
-                    for column, value in zip(found, (np.full(len(near), own), near, distance), strict=True):
-                        column.append(value)
-        parts = [np.concatenate(x) if x else np.empty(0) for x in found]
-        return pa.table({"query_id": pa.array(parts[0].astype(np.int64)), "vec_id": pa.array(parts[1].astype(np.int64)), "score": pa.array(parts[2].astype(np.float64))})
-
-    arrays = kept.mapInArrow(index, "segment long, string long, id long, v array<double>")
-    asked = rows.where(F.col("id") % every == 0).dropDuplicates(["id"]).mapInArrow(descend, "segment long, low long, high long, id long, v array<double>")
-    found = arrays.groupBy("segment").cogroup(asked.groupBy("segment")).applyInArrow(search, "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+                    gap = apart(sketch, held[a:b])
+                    near = np.flatnonzero(gap <= most) if most is not None else np.argsort(gap, kind="stable")[: PROBE_ROWS + 1]
+                    near = ids[a:b][near]
+                    near = near[near != own]
+                    found[0].append(np.full(len(near), own))
+                    found[1].append(near)
+        return _rows([np.concatenate(x) for x in found], ["query_id", "vec_id"], [pa.int64()] * 2)
+
+    def measure(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(distances(_matrix(batch.column(2)), _matrix(batch.column(3))))], names=["query_id", "vec_id", "score"])
+
+    arrays = materialize(kept.mapInArrow(index, "segment long, string long, id long, sketch binary"))
+    queries = materialize(rows.where(F.col("id") % every == 0).dropDuplicates(["id"]))
+    asked = materialize(queries.mapInArrow(descend, "segment long, low long, high long, id long, sketch binary"))
+    asking = queries.select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    asking = F.broadcast(asking) if queries.count() * (8 * dim + 64) <= BROADCAST_BYTES else asking
+
+    def measured(held: DataFrame, asks: DataFrame) -> DataFrame:
+        met = held.groupBy("segment").cogroup(asks.groupBy("segment")).applyInArrow(search, "query_id long, vec_id long").distinct()
+        paired = met.join(kept.select(F.col("id").alias("vec_id"), "v"), "vec_id").join(asking, "query_id").select("query_id", "vec_id", "q", "v")
+        return paired.mapInArrow(measure, "query_id long, vec_id long, score double")
+
     nearer = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    first = F.col("segment") < int(layout.value.first[PROBE_TREES, 0])
+    probed = measured(arrays.where(first), asked.where(first).withColumn("most", F.lit(None).cast("int")))
+    bound = probed.withColumn("rank", F.row_number().over(nearer)).where(F.col("rank") <= k).groupBy("query_id").agg(F.max("rank").alias("n"), F.max("score").alias("far"))
+    # Sketches tell angles, seen from the middle: the widest that a row at the k-th distance makes with the query.
+    centre = F.array(*[F.lit(float(x)) for x in middle])
+    limits = queries.select("id", F.sqrt(F.aggregate(F.zip_with("v", centre, lambda x, c: (x - c) * (x - c)), F.lit(0.0), lambda a, x: a + x)).alias("own"))
+    limits = limits.join(bound.withColumnRenamed("query_id", "id"), "id", "left")
+    other = F.least(F.greatest(F.sqrt(F.greatest(F.col("own") * F.col("own") - F.col("far") * F.col("far"), F.lit(0.0))), F.lit(shortest)), F.lit(longest))
+    cosine = F.try_divide(F.col("own") * F.col("own") + other * other - F.col("far") * F.col("far"), 2 * F.col("own") * other)
+    bits = TREES * HEAD_BITS
+    gap = F.acos(F.greatest(F.least(F.coalesce(F.nanvl(cosine, F.lit(-1.0)), F.lit(-1.0)), F.lit(1.0)), F.lit(-1.0))) / math.pi * bits
+    most = F.when(F.col("n") >= k, F.ceil(gap + DEVIATIONS * F.sqrt(gap * (1 - gap / bits) + 1))).otherwise(bits).cast("int")
+    limits = limits.select("id", F.coalesce(most, F.lit(bits)).alias("most"))
+    found = measured(arrays, asked.join(limits, "id"))
     return found.withColumn("rank", F.row_number().over(nearer)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
