@@ -3,6 +3,7 @@ import hashlib
 import random
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -115,47 +116,112 @@ def test_toxicity_without_both_classes(spark):
 # ---- op4
 
 
-def brute_mixture(counts, shares, block_rows):
-    """Blocks by slot from a plain simulation of every slot."""
-    blocks = {s: -(-n // block_rows) for s, n in counts.items()}
-    order, cycle = [], 0
-    while any(cycle * shares[s] < blocks[s] for s in blocks):
-        m = {s: min(shares[s], max(0, blocks[s] - cycle * shares[s])) for s in sorted(blocks)}
-        m = {s: n for s, n in m.items() if n}
-        total, done = sum(m.values()), collections.Counter()
-        for t in range(total):
-            ready = [(-(-(done[s] + 1) * total // m[s]), i, s) for i, s in enumerate(m) if done[s] < m[s] and done[s] * total // m[s] <= t]
-            due, _, s = min(ready)
-            assert due >= t + 1
-            order.append((s, cycle * shares[s] + done[s]))
-            done[s] += 1
-            for x in m:
-                assert abs(done[x] - (t + 1) * m[x] / total) < 1
-        cycle += 1
-    return order
-
-
-@pytest.mark.parametrize("weights", [{"a": 5.0, "b": 1.0, "c": 0.1}, {"a": 1.0, "b": 1.0}, None])
-def test_mixture_matches_simulation(spark, weights):
-    counts = {"a": 200, "b": 61, "c": 7, None: 3}
-    rows = [(i, s, "x", 9) for i, s in enumerate(s for s, n in counts.items() for _ in range(n))]
+def brute_mixture(units, weights):
+    """Sources by slot: every node of the tree merges its children by exact deadlines."""
+    names = sorted(units, key=lambda s: (-weights[s], s))
+
+    def turns(members, x):
+        """The virtual time at which ``members`` have been due x units."""
+        due, rate, last = Fraction(0), sum(weights[s] for s in members), Fraction(0)
+        for s in sorted(members, key=lambda s: units[s] / weights[s]):
+            end = units[s] / weights[s]
+            if due + rate * (end - last) >= x:
+                break
+            due, rate, last = due + rate * (end - last), rate - weights[s], end
+        return last + (x - due) / rate
+
+    def merged(members, level):
+        if level < 0:
+            return [members[0]] * units[members[0]]
+        half = 1 << level
+        parts = [p for p in (members[:half], members[half:]) if p]
+        done = [(turns(p, Fraction(j + 1)), side, s) for side, p in enumerate(parts) for j, s in enumerate(merged(p, level - 1))]
+        return [s for _, _, s in sorted(done, key=lambda x: x[:2])]
+
+    return merged(names, (len(names) - 1).bit_length() - 1)
+
+
+def earliest_deadline_first(a, b, slots):
+    """Two tasks of weights a and b, slot by slot: released blocks, the earliest deadline first."""
+    out, done = [], [0, 0]
+    for t in range(slots):
+        ready = [(Fraction((done[i] + 1) * (a + b), w), i) for i, w in enumerate((a, b)) if done[i] * (a + b) // w <= t]
+        due, i = min(ready)
+        assert due > t
+        out.append(i)
+        done[i] += 1
+    return out
+
+
+def farthest(order, rows, weights, block_rows):
+    """The largest difference of any source from its target in front of any place, in rows."""
+    left = dict(rows)
+    seen, fair, most = collections.Counter(), collections.Counter(), Fraction(0)
+    active = sum(weights[s] for s, n in left.items() if n > 0)
+    for s in order:
+        rest = Fraction(1)
+        while rest and active:
+            step = min([rest] + [(rows[x] - fair[x]) * active / weights[x] for x in rows if fair[x] < rows[x]])
+            for x in rows:
+                if fair[x] < rows[x]:
+                    fair[x] += step * weights[x] / active
+            active = sum(weights[x] for x in rows if fair[x] < rows[x])
+            rest -= step
+        seen[s] += 1
+        most = max([most, *(abs(seen[x] - fair[x]) for x in rows)])
+    return most
+
+
+@pytest.mark.parametrize("weights", [{"a": 5.0, "b": 1.0, "c": 0.125}, {"a": 1.0, "b": 1.0}, {"a": 1.25, "b": 398.75, "c": 7.0, None: 2.0}])
+def test_mixture_matches_exact_deadlines(spark, weights):
+    counts = {"a": 200, "b": 161, "c": 7, None: 13}
+    rows = [(i, s, "x", 9, 1.5) for i, s in enumerate(s for s, n in counts.items() for _ in range(n))]
     random.Random(1).shuffle(rows)
-    frame = spark.createDataFrame(rows, "doc_id long, source string, place string, slot int")
-    got = mixing.mix(frame, weights, block_rows=3, cycle_slots=20).collect()
-    assert sorted(r["doc_id"] for r in got) == sorted(r[0] for r in rows)
-    weight = {s: (n**0.5 if weights is None else weights.get(s, 1.0)) for s, n in counts.items()}
-    shares = {s: max(1, round(w * 20 / sum(weight.values()))) for s, w in weight.items()}
+    frame = spark.createDataFrame(rows, "doc_id long, source string, place string, slot int, w double")
+    got = mixing.mix(frame, weights, block_rows=12).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(r[0] for r in rows) and all(r["w"] == 1.5 for r in got)
     key = {s: "n" if s is None else "s" + s for s in counts}
-    want = brute_mixture({key[s]: n for s, n in counts.items()}, {key[s]: n for s, n in shares.items()}, 3)
-    seen = {r["slot"]: (key[r["source"]], r["block"]) for r in got}
-    assert [seen[t] for t in range(len(want))] == want
+    exact = {key[s]: Fraction(weights.get(s, 1.0)) for s in counts}
+    unit, a_block = mixing.cut(4, 12)
+    assert (unit, a_block) == (4, 3)
+    want = brute_mixture({key[s]: -(-n // unit) for s, n in counts.items()}, exact)
+    seen = {r["slot"]: key[r["source"]] for r in got}
+    assert [seen[t] for t in range(len(want))] == want and len(seen) == len(want)
     assert len({r["place"] for r in got}) == len(got)
+    order = [key[r["source"]] for r in sorted(got, key=lambda r: r["place"])]
+    assert farthest(order, {key[s]: n for s, n in counts.items()}, exact, 12) < 12
+
+
+@pytest.mark.parametrize("a,b", [(3, 5), (1, 1), (1, 2000), (14, 3986)])
+def test_two_sources_are_served_earliest_deadline_first(spark, a, b):
+    sources = spark.createDataFrame([("b", 0, 3000, float(b)), ("a", 1, 3000 * a // b + 1, float(a))], "source string, at int, n long, w double")
+    units = sources.selectExpr("source", "explode(sequence(0L, n - 1)) as unit")
+    got = {r["slot"]: r["source"] for r in mixing.scheduled(units, sources, 2).collect()}
+    want = earliest_deadline_first(b, a, 2500)
+    assert [got[t] for t in range(2500)] == ["ba"[i] for i in want]
+
+
+def test_mixture_of_many_sources(spark):
+    n = 3000
+    frame = spark.range(3 * n).selectExpr("id as doc_id", f"concat('s', id % {n}) as source")
+    weights = {f"s{i}": 1.0 + i % 7 for i in range(n)}
+    got = mixing.mix(frame, weights).select("source", "slot", "place").collect()
+    assert len({r["place"] for r in got}) == 3 * n and len({r["slot"] for r in got}) == len({(r["source"], r["slot"]) for r in got})
+
+
+def test_mixture_by_row_counts_stays_near_its_target(spark):
+    counts = {"hot": 900, **{f"s{i}": 60 for i in range(19)}}
+    rows = [(i, s) for i, s in enumerate(s for s, n in counts.items() for _ in range(n))]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string")).orderBy("place").collect()
+    assert farthest([r["source"] for r in got], counts, {s: Fraction(n**0.5) for s, n in counts.items()}, 32) < 32
 
 
 def test_mixture_of_nothing_and_of_repeated_rows(spark):
     schema = "doc_id long, source string"
     assert mixing.mix(spark.createDataFrame([], schema)).count() == 0
     assert mixing.mix(spark.createDataFrame([(1, "a")] * 5 + [(None, "b")], schema)).count() == 6
+    with pytest.raises(ValueError):
+        mixing.mix(spark.createDataFrame([(1, "a")], schema), {"a": 0.0})
 
 
 # ---- op5
