@@ -8,8 +8,8 @@ trees together hold as many rows as the sample says are needed for ``RECALL``. C
 of ``CELL_BITS`` bits (at most ``TREES << CELL_BITS`` of them) tell that level without a look at the
 arrays. Rows below a query's prefix whose sketch could belong to one of the k nearest are measured
 exactly, on vectors fetched for them alone. How far apart such sketches may be follows from the k-th
-distance among the closest sketches of the first ``PROBE_TREES`` trees, so a query amid thousands of
-near copies has them all measured and one amid strangers only a few percent of all rows.
+distance among the few closest sketches of every tree, so a query amid thousands of near copies has
+them all measured and one amid strangers a small part of all rows.
 """
 
 from __future__ import annotations
@@ -30,10 +30,10 @@ SAMPLE_ROWS = 20_000
 SAMPLE_QUERIES = 256
 RECALL = 0.95
 SEGMENT_ROWS = 8192
-#: Trees, and rows of each of their segments, that a query's first distances come from.
-PROBE_TREES, PROBE_ROWS = 4, 128
+#: Rows of each segment that a query's first distances come from.
+PROBE_ROWS = 16
 #: Standard deviations above the mean gap of two sketches at the k-th distance that are still looked at.
-DEVIATIONS = 2.5
+DEVIATIONS = 2.0
 BROADCAST_BYTES = 64 << 20
 SEED = 7
 
@@ -243,7 +243,7 @@ def nearest(df: DataFrame, every: int = 100, k: int = 10, key: str = "vec_id", v
             for own, most, a, b, sketch in zip(queries.column("id").to_pylist(), queries.column("most").to_pylist(), *ends, heads_of(queries.column("sketch")), strict=True):
                 if b > a:
                     gap = apart(sketch, held[a:b])
-                    near = np.flatnonzero(gap <= most) if most is not None else np.argsort(gap, kind="stable")[: PROBE_ROWS + 1]
+                    near = np.flatnonzero(gap <= most) if most is not None else np.argsort(gap, kind="stable")[: max(PROBE_ROWS, k) + 1]
                     near = ids[a:b][near]
                     near = near[near != own]
                     found[0].append(np.full(len(near), own))
@@ -267,9 +267,9 @@ def nearest(df: DataFrame, every: int = 100, k: int = 10, key: str = "vec_id", v
         return paired.mapInArrow(measure, "query_id long, vec_id long, score double")
 
     nearer = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    first = F.col("segment") < int(layout.value.first[PROBE_TREES, 0])
-    probed = measured(arrays.where(first), asked.where(first).withColumn("most", F.lit(None).cast("int")))
-    bound = probed.withColumn("rank", F.row_number().over(nearer)).where(F.col("rank") <= k).groupBy("query_id").agg(F.max("rank").alias("n"), F.max("score").alias("far"))
+    probed = measured(arrays, asked.withColumn("most", F.lit(None).cast("int")))
+    probed = materialize(probed.withColumn("rank", F.row_number().over(nearer)).where(F.col("rank") <= k))
+    bound = probed.groupBy("query_id").agg(F.max("rank").alias("n"), F.max("score").alias("far"))
     # Sketches tell angles, seen from the middle: the widest that a row at the k-th distance makes with the query.
     centre = F.array(*[F.lit(float(x)) for x in middle])
     limits = queries.select("id", F.sqrt(F.aggregate(F.zip_with("v", centre, lambda x, c: (x - c) * (x - c)), F.lit(0.0), lambda a, x: a + x)).alias("own"))
@@ -280,5 +280,5 @@ def nearest(df: DataFrame, every: int = 100, k: int = 10, key: str = "vec_id", v
     gap = F.acos(F.greatest(F.least(F.coalesce(F.nanvl(cosine, F.lit(-1.0)), F.lit(-1.0)), F.lit(1.0)), F.lit(-1.0))) / math.pi * bits
     most = F.when(F.col("n") >= k, F.ceil(gap + DEVIATIONS * F.sqrt(gap * (1 - gap / bits) + 1))).otherwise(bits).cast("int")
     limits = limits.select("id", F.coalesce(most, F.lit(bits)).alias("most"))
-    found = measured(arrays, asked.join(limits, "id"))
+    found = measured(arrays, asked.join(limits, "id")).unionByName(probed.drop("rank")).dropDuplicates(["query_id", "vec_id"])
     return found.withColumn("rank", F.row_number().over(nearer)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
