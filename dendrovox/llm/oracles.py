@@ -24,19 +24,37 @@ URLS = rf"""WITH h AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(
 SELECT h.page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM h LEFT JOIN hits ON hits.page_id = h.page_id AND r = 1"""
 
 
-def _draw(leaf: int) -> str:
-    return f"-ln((CAST(CAST('0x' || substr(md5(doc_id || '/{leaf}'), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0)"
-
-
-def _least(shards: int) -> str:
-    draws = ", ".join(_draw(i) for i in range(shards))
-    return f"list_position([{draws}], list_min([{draws}])) - 1"
+def _least(nodes: list[tuple[str, int]]) -> str:
+    """Name of the child with the least draw; ``nodes``: (name, weight)."""
+    names = ", ".join(f"'{n}'" for n, _ in nodes)
+    draws = ", ".join(f"-ln((CAST(CAST('0x' || substr(md5(doc_id || '/{n}'), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0) / {w}.0" for n, w in nodes)
+    return f"[{names}][list_position([{draws}], list_min([{draws}]))]"
+
+
+def _descent(shards: int, name: str, source: str) -> str:
+    """CTEs that take each row of ``source`` from the root to a region, a rack and a shard of the even tree."""
+    def below(node: str, node_of: dict[int, str], all_of: dict[int, str]) -> list[tuple[str, int]]:
+        held = {n: 0 for i, n in node_of.items() if all_of[i] == node}
+        for i, n in node_of.items():
+            if all_of[i] == node:
+                held[n] += 1
+        return sorted(held.items())
+
+    levels = [{i: "" for i in range(shards)}, {i: f"{i // 4}" for i in range(shards)}, {i: f"{i // 4}/{i // 2}" for i in range(shards)}, {i: f"{i // 4}/{i // 2}/{i}" for i in range(shards)}]
+    out, last = [], source
+    for k in (1, 2, 3):
+        at = f"{name}{k}"
+        cases = " ".join(f"WHEN '{n}' THEN {_least(below(n, levels[k], levels[k - 1]))}" for n in dict.fromkeys(levels[k - 1].values()))
+        out.append(f"{at} AS (SELECT doc_id, CASE {'node' if k > 1 else chr(39) * 2} {cases} END AS node FROM {last})")
+        last = at
+    return ", ".join(out) + f", {name} AS (SELECT doc_id, CAST(split_part(node, '/', 1) AS INTEGER) AS region, CAST(split_part(node, '/', 2) AS INTEGER) AS rack, CAST(split_part(node, '/', 3) AS INTEGER) AS shard FROM {last})"
 
 
 SHARDS = f"""WITH crc_table AS (SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY n) AS t FROM range(256) r(n)),
   body AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
   bytes AS (SELECT doc_id, length(h) // 2 AS n, list_transform(range(length(h) // 2), lambda i: CAST('0x' || h[2 * i + 1:2 * i + 2] AS BIGINT)) AS l FROM body),
-  placed AS (SELECT doc_id, CAST(n + 1 AS BIGINT) AS size, xor(list_reduce(list_concat([4294967295], l), lambda c, x: xor(c >> 8, t[1 + (xor(c, x) & 255)])), 4294967295) AS text_crc32, CAST({_least(8)} AS INTEGER) AS shard, CAST({_least(9)} AS INTEGER) AS grown_shard FROM bytes, crc_table)
-SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY substr(md5(CAST(doc_id AS VARCHAR)), 1, 3), doc_id) - 1 AS slot, grown_shard, CAST(shard // 4 AS INTEGER) AS region, CAST(shard // 2 AS INTEGER) AS rack FROM placed"""
+  facts AS (SELECT doc_id, CAST(n + 1 AS BIGINT) AS size, xor(list_reduce(list_concat([4294967295], l), lambda c, x: xor(c >> 8, t[1 + (xor(c, x) & 255)])), 4294967295) AS text_crc32 FROM bytes, crc_table),
+  {_descent(8, 'now_', 'documents')}, {_descent(9, 'later', 'documents')}
+SELECT doc_id, size, text_crc32, 'key' AS law, now_.shard, row_number() OVER (PARTITION BY now_.shard ORDER BY substr(md5(CAST(doc_id AS VARCHAR)), 1, 3), doc_id) - 1 AS slot, later.shard AS grown_shard, now_.region, now_.rack FROM facts JOIN now_ USING (doc_id) JOIN later USING (doc_id)"""
 
 ORACLES = {"op3_minhash_near_dups": NEAR_DUPS, "op5_warc_index": WARC, "op9_url_filters": URLS, "op10_hash_tree_shards": SHARDS}

@@ -1,9 +1,10 @@
 """Sharding by a weighted hash tree of regions, racks and shards, in DataFrame operations only.
 
-Each leaf draws ``-ln(u) / weight`` from a hash of the key and the leaf; a node's draw is the least
-draw below it, which is again a weighted draw whose weight is the sum below. Each level takes the
-child with the least draw. A shard whose weight grows can only win rows that no other leaf's draw
-changes, so movement stays on the path to that shard.
+A key descends level by level: at a node every child draws ``-ln(u) / weight`` from a hash of the
+key and the child, its weight being the sum below it, and the least draw is taken. Where a weight
+grows, only the children on the way to it draw better than before, so rows move from anywhere only
+into subtrees whose weight has changed; a child whose weights stay keeps its draws and its rows'
+places below. A row costs one draw for each child of the nodes on its way, not one for each shard.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from dendrovox.operators.ranking import ranked
 
 DIGITS = 13
 SLOT_BUCKET_HEX = 3
+OUT = ("size", "text_crc32", "law", "region", "rack", "shard", "slot", "grown_shard")
 
 
 @dataclass(frozen=True)
@@ -26,51 +28,67 @@ class Leaf:
     shard: int
     weight: float = 1.0
 
+    def path(self, depth: int) -> tuple[int, ...]:
+        return (self.region, self.rack, self.shard)[:depth]
+
 
 def even_tree(shards: int, per_rack: int = 2, racks_per_region: int = 2) -> list[Leaf]:
     """Shards 0..n-1 of weight 1, filled into racks and regions in order."""
     return [Leaf(i // (per_rack * racks_per_region), i // per_rack, i) for i in range(shards)]
 
 
-def draw(key: Column, leaf: Leaf) -> Column:
-    u = F.conv(F.substring(F.md5(F.concat_ws("/", key, F.lit(str(leaf.shard)))), 1, DIGITS), 16, 10).cast("long")
-    return -F.log((u.cast("double") + 0.5) / float(16**DIGITS)) / F.lit(float(leaf.weight))
+def _name(path: tuple[int, ...]) -> str:
+    return "/".join(map(str, path))
+
+
+def children(tree: list[Leaf]) -> dict[str, list[tuple[str, int, float]]]:
+    """(name, number, weight) of the children of each inner node, by the node's name; the root is ''."""
+    below: dict[str, dict[str, tuple[int, float]]] = {}
+    for x in tree:
+        if x.weight > 0:
+            for depth in (1, 2, 3):
+                held = below.setdefault(_name(x.path(depth - 1)), {})
+                name = _name(x.path(depth))
+                held[name] = (x.path(depth)[-1], held.get(name, (0, 0.0))[1] + x.weight)
+    return {node: [(name, *held[name]) for name in sorted(held)] for node, held in below.items()}
+
+
+def draw(key: Column, child: Column, weight: Column) -> Column:
+    """A draw from the exponential distribution of rate ``weight``."""
+    u = F.conv(F.substring(F.md5(F.concat_ws("/", key, child)), 1, DIGITS), 16, 10).cast("long")
+    return -F.log((u.cast("double") + 0.5) / float(16**DIGITS)) / weight
 
 
-def _least(children: list[Column]) -> Column:
-    return children[0] if len(children) == 1 else F.array_min(F.array(*children))
+def descend(df: DataFrame, key: Column, tree: list[Leaf], out: str) -> DataFrame:
+    """``df`` with ``out``: struct (region, rack, shard) that the key reaches."""
+    held = children(tree)
+    if not held:
+        raise ValueError("no shard has a weight above 0")
+    table = F.create_map(*[x for node, parts in held.items() for x in (F.lit(node), F.array(*[F.struct(F.lit(n).alias("name"), F.lit(i).alias("number"), F.lit(float(w)).alias("weight")) for n, i, w in parts]))])
+    step = F.struct(F.lit("").alias("name"), F.array().cast("array<int>").alias("way"))
 
+    def down(at: Column, _: Column) -> Column:
+        best = F.array_min(F.transform(F.element_at(table, at["name"]), lambda c: F.struct(draw(key, c["name"], c["weight"]).alias("draw"), c["name"].alias("name"), c["number"].alias("number"))))
+        return F.struct(best["name"].alias("name"), F.concat(at["way"], F.array(best["number"])).alias("way"))
 
-def placed(key: Column, tree: list[Leaf]) -> Column:
-    """Struct (draw, region, rack, shard) of the leaf that the descent reaches."""
-    live = [x for x in tree if x.weight > 0]
-    regions = []
-    for region in dict.fromkeys(x.region for x in live):
-        racks = []
-        for rack in dict.fromkeys(x.rack for x in live if x.region == region):
-            racks.append(_least([F.struct(draw(key, x).alias("draw"), F.lit(region).alias("region"), F.lit(rack).alias("rack"), F.lit(x.shard).alias("shard")) for x in live if (x.region, x.rack) == (region, rack)]))
-        regions.append(_least(racks))
-    return _least(regions)
+    way = F.aggregate(F.array(F.lit(1), F.lit(2), F.lit(3)), step, down, lambda at: at["way"])
+    return df.withColumn(out, way).withColumn(out, F.struct(*[F.get(out, F.lit(i)).alias(n) for i, n in enumerate(("region", "rack", "shard"))]))
 
 
 def shard(df: DataFrame, tree: list[Leaf], grown: list[Leaf] | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Place every row: size, text_crc32, law, region, rack, shard, slot and grown_shard are added.
 
     Law ``key``: only the key and the tree decide. Rows with the same key (a null one included)
-    share a shard and get different slots. A null text counts no bytes. Slots are numbered from 0 in
-    each shard in the order of a hash of the key, so no task holds a shard.
+    share a shard and get different slots; repeated rows stay. A null text counts no bytes. Slots are
+    numbered from 0 in each shard in the order of a hash of the key, so no task holds a shard.
+    Columns with the names added are replaced; any other name is free. An empty table stays empty.
     """
-    own = {"size", "text_crc32", "law", "region", "rack", "shard", "slot", "grown_shard"}
-    kept = [c for c in df.columns if c not in own or c in (key, text)]
-    name = F.coalesce(F.col(key).cast("string"), F.lit("null"))
-    body = F.coalesce(F.col(text), F.lit(""))
-    base = df.select(
-        *kept,
-        (F.octet_length(body) + 1).cast("long").alias("size"),
-        F.crc32(body.cast("binary")).cast("long").alias("text_crc32"),
-        F.lit("key").alias("law"),
-        placed(name, tree).alias("_at"),
-        (placed(name, grown)["shard"] if grown else F.lit(None)).cast("int").alias("grown_shard"),
-    )
-    base = base.select("*", *[F.col(f"_at.{c}").cast("int").alias(c) for c in ("region", "rack", "shard")]).drop("_at")
-    return ranked(base, ["shard"], F.substring(F.md5(name), 1, SLOT_BUCKET_HEX), [F.col(key)], "slot")
+    kept = [c for c in df.columns if c not in OUT or c in (key, text)]
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    base = df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("null")).alias("name"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).cast("long").alias("text_crc32"))
+    base = descend(base, F.col("name"), tree, "at")
+    base = descend(base, F.col("name"), grown, "later") if grown else base.withColumn("later", F.struct(F.lit(None).cast("int").alias("shard")))
+    base = base.select("row", "size", "text_crc32", F.md5("name").alias("hash"), *[F.col(f"at.{c}").alias(c) for c in ("region", "rack", "shard")], F.col("later.shard").alias("grown_shard"))
+    placed = ranked(base, ["shard"], F.substring("hash", 1, SLOT_BUCKET_HEX), [F.col(f"row.`{key}`")], "slot")
+    added = {"law": F.lit("key")} | {c: F.col(c) for c in OUT if c != "law"}
+    return placed.select(*[F.col(f"row.`{c}`").alias(c) for c in kept if c not in OUT or c in (key, text)], *[added[c].alias(c) for c in OUT])

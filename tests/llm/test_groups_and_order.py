@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -353,7 +354,7 @@ def test_neighbours(spark):
 def test_shards_grow_only_into_the_new_one(spark):
     texts = [None, "", "é", "a" * 1000, *[f"t{i}" for i in range(400)]]
     frame = spark.createDataFrame([(i, x, "s", 3) for i, x in enumerate(texts)] + [(7, texts[7], "s", 3), (None, "n", "s", 3)], "doc_id long, text string, shard string, size int")
-    for n in (1, 3, 8, 9):
+    for n in (1, 4, 8, 12):  # the new shard begins a rack or a region of its own
         rows = sharding.shard(frame, sharding.even_tree(n), sharding.even_tree(n + 1)).collect()
         assert len(rows) == len(texts) + 2
         assert all(r["grown_shard"] in (r["shard"], n) for r in rows)
@@ -366,11 +367,40 @@ def test_shards_grow_only_into_the_new_one(spark):
     assert sharding.shard(frame.limit(0), sharding.even_tree(8)).count() == 0
 
 
-def test_weights_move_rows_only_into_grown_subtrees(spark):
-    tree = [sharding.Leaf(0, 0, 0, 2.0), sharding.Leaf(0, 1, 1, 1.0), sharding.Leaf(1, 2, 2, 1.0), sharding.Leaf(1, 2, 3, 0.0)]
-    grown = [sharding.Leaf(x.region, x.rack, x.shard, 3.0 if x.shard == 2 else x.weight) for x in tree]
+def brute_descent(key, tree):
+    """Region, rack and shard with the least draw among the children of each node, from plain Python."""
+    node, way = "", []
+    for depth in (1, 2, 3):
+        weights = collections.Counter()
+        for x in tree:
+            if x.weight > 0 and "/".join(map(str, x.path(depth - 1))) == node:
+                weights["/".join(map(str, x.path(depth)))] += x.weight
+        def far(child):
+            u = int(hashlib.md5(f"{key}/{child}".encode()).hexdigest()[:13], 16)
+            return -math.log((u + 0.5) / 16**13) / weights[child]
+        node = min(sorted(weights), key=far)
+        way.append(int(node.rpartition("/")[2]))
+    return tuple(way)
+
+
+def test_descent_matches_plain_draws(spark):
+    tree = [sharding.Leaf(0, 0, 0, 2.0), sharding.Leaf(0, 1, 1, 1.0), sharding.Leaf(1, 2, 2, 1.0), sharding.Leaf(1, 2, 3, 0.0), sharding.Leaf(1, 3, 10, 0.5)]
+    frame = spark.range(300).selectExpr("id as doc_id", "'' as text")
+    got = {r["doc_id"]: (r["region"], r["rack"], r["shard"]) for r in sharding.shard(frame, tree).collect()}
+    assert got == {k: brute_descent(k, tree) for k in range(300)}
+    with pytest.raises(ValueError):
+        sharding.shard(frame, [])
+
+
+def test_weights_move_rows_only_into_changed_subtrees(spark):
+    tree = [sharding.Leaf(0, 0, 0, 2.0), sharding.Leaf(0, 1, 1, 1.0), sharding.Leaf(1, 2, 2, 1.0), sharding.Leaf(1, 2, 3, 0.0), sharding.Leaf(1, 3, 4, 1.0)]
+    grown = [sharding.Leaf(x.region, x.rack, x.shard, 3.0 if x.shard == 2 else x.weight) for x in tree] + [sharding.Leaf(1, 2, 5, 1.0)]
     frame = spark.range(4000).selectExpr("id as doc_id", "'' as text")
-    rows = sharding.shard(frame, tree, grown).collect()
-    count = collections.Counter(r["shard"] for r in rows)
-    assert 0.45 < count[0] / 4000 < 0.55 and count[3] == 0
-    assert all(r["grown_shard"] in (r["shard"], 2) for r in rows)
+    now, later = ({r["doc_id"]: (r["region"], r["rack"], r["shard"]) for r in sharding.shard(frame, x).collect()} for x in (tree, grown))
+    share = collections.Counter(s for _, _, s in now.values())
+    assert 0.36 < share[0] / 4000 < 0.44 and share[3] == 0
+    later_share = collections.Counter(s for _, _, s in later.values())
+    assert abs(later_share[2] / 4000 - 3 / 8) < 0.03 and abs(later_share[5] / 4000 - 1 / 8) < 0.03
+    for k, (region, rack, shard) in later.items():
+        was = now[k]
+        assert was == (region, rack, shard) or (was[0] != region and region == 1) or (was[0] == region == 1 and rack == 2)
