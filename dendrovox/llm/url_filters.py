@@ -28,23 +28,37 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)\A.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+#: Rules up to this number are sent to every task; longer lists are joined by shuffle.
+BROADCAST_RULES = 200_000
+OUT = ("host", "path", "rule", "verdict")
+
+
+def _rule_table(df: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
+    table = df.sparkSession.createDataFrame(rules, "rule_host string, rule_path string, rule_verdict string").select(
+        F.concat("rule_host", "rule_path").alias("rule"), "rule_verdict", F.length("rule_host").alias("host_length"), F.sha2(F.concat_ws("\n", "rule_host", "rule_path"), 256).alias("rule_digest")
+    )
+    table = table.withColumn("short", F.substring("rule_digest", 1, PREFIX_HEX))
+    return F.broadcast(table) if len(rules) <= BROADCAST_RULES else table
+
+
 def filter_urls(df: DataFrame, rules: list[tuple[str, str, str]], url: str = "url", default: str = "allow") -> DataFrame:
     """Add host, path, rule and verdict to ``df``, one row out per row in.
 
     Null URLs and URLs without ``://`` have an empty host and path, match no rule and get
-    ``default``. Repeated URLs are judged once and the verdict is joined back, so a hot host or URL
-    costs one lookup. Columns of ``df`` with the names host, path, rule or verdict are replaced.
+    ``default``; they take no part in any join, so a table of nothing but nulls is no hot key. Each
+    distinct host and path is looked up once, however often it comes; only those that a rule fits
+    come back, and ties of equal length go to the longer host, then to block. Long URLs make no more
+    expressions than short ones. Repeated rows stay, an empty table stays empty. Columns of ``df``
+    named host, path, rule or verdict are replaced; any other name is free.
     """
-    spark = df.sparkSession
-    base = df.drop("host", "path", "rule", "verdict").withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
+    kept = [c for c in df.columns if c not in OUT or c == url]
+    base = df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), host_of(F.col(f"`{url}`")).alias("host"), path_of(F.col(f"`{url}`")).alias("path"))
+    back = [F.col(f"row.`{c}`").alias(c) for c in kept if c not in OUT]
+    none = [F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict")]
     if not rules:
-        return base.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
+        return base.select(*back, "host", "path", *none)
     labels = max(h.count(".") + 1 for h, _, _ in rules)
     lengths = sorted({len(p) for _, p, _ in rules})
-    table = spark.createDataFrame(rules, "rule_host string, rule_path string, rule_verdict string").select(
-        F.concat("rule_host", "rule_path").alias("rule"), "rule_verdict", F.length("rule_host").alias("host_length"), F.sha2(F.concat_ws("\n", "rule_host", "rule_path"), 256).alias("rule_digest")
-    )
-    table = table.withColumn("short", F.substring("rule_digest", 1, PREFIX_HEX))
 
     parts = F.split("host", r"\.", -1)
     most = F.least(F.size(parts), F.lit(labels))
@@ -54,10 +68,9 @@ def filter_urls(df: DataFrame, rules: list[tuple[str, str, str]], url: str = "ur
         prefixes = F.array_union(prefixes, F.array(F.lit("")))
     prefixes = F.array_distinct(prefixes)
     expressions = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.sha2(F.concat_ws("\n", s, p), 256))))
-    looked_up = base.select("host", "path").distinct().withColumn("digest", F.explode(expressions)).withColumn("short", F.substring("digest", 1, PREFIX_HEX))
-    hits = looked_up.join(table, "short").where("digest = rule_digest")
-    best = hits.groupBy(F.col("host").alias("_host"), F.col("path").alias("_path")).agg(
-        F.max(F.struct(F.length("rule"), "host_length", (F.col("rule_verdict") == "block").alias("blocks"), "rule", "rule_verdict")).alias("best")
-    )
-    joined = base.join(best, (F.col("host") == F.col("_host")) & (F.col("path") == F.col("_path")), "left")
-    return joined.withColumns({"rule": F.col("best.rule"), "verdict": F.coalesce("best.rule_verdict", F.lit(default))}).drop("_host", "_path", "best")
+    hosted = base.where("host <> ''")
+    looked_up = hosted.select("host", "path").distinct().withColumn("digest", F.explode(expressions)).withColumn("short", F.substring("digest", 1, PREFIX_HEX))
+    hits = looked_up.join(_rule_table(df, rules), "short").where("digest = rule_digest")
+    best = hits.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("length"), "host_length", (F.col("rule_verdict") == "block").alias("blocks"), "rule", "rule_verdict")).alias("best"))
+    judged = hosted.join(best, ["host", "path"], "left").select(*back, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.rule_verdict", F.lit(default)).alias("verdict"))
+    return judged.unionByName(base.where("host = ''").select(*back, "host", "path", *none))
