@@ -1,6 +1,8 @@
 import collections
+import gzip
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -233,7 +235,7 @@ def test_archives_round_trip(spark, tmp_path):
     pages = [(1, "http://A.example.org/x", long), (2, "http://b.example.org/\r\ny", long), (3, None, None), (4, "u", "short"), (5, "u", "short"), (6, "http://a.example.org/x", "WARC/1.1\r\n\r\n" * 200), (7, "", long), (8, "http://c/", other), (9, "q", ""), (None, "n", long), (8, "http://c/", other)]
     frame = spark.createDataFrame([(*p, "d") for p in pages], "page_id long, url string, html string, digest string").repartition(3)
     path = f"file://{tmp_path}/warc"
-    warc.write_archives(frame, path, records_per_file=2)
+    warc.write_archives(frame, path, archive_bytes=900)
     got = warc.captures(spark, path).orderBy("capture_order").collect()
     assert len(got) == len(pages)
     for page, _, html in pages:
@@ -243,6 +245,16 @@ def test_archives_round_trip(spark, tmp_path):
             best = max((p for p, _, h in pages if (h or "") == (html or "") and p is not None), default=None)
             revisit = len(data) >= 1000 and page != best
             assert (r["record_type"], r["refers_to"]) == (("revisit", best) if revisit else ("response", None))
+    files = {}
+    for name in os.listdir(f"{tmp_path}/warc"):
+        if name.startswith("part-"):
+            files[name] = open(f"{tmp_path}/warc/{name}", "rb").read()
+    assert len(files) > 3
+    for r in got:
+        record = gzip.decompress(files[r["archive"]][r["offset"] : r["offset"] + r["length"]])
+        assert record.startswith(b"WARC/1.1\r\n") and record.endswith(b"\r\n\r\n")
+        assert r["page_id"] is None or b"WARC-Record-ID: <urn:page:%d>\r\n" % r["page_id"] in record
+    assert all(sum(r["length"] for r in got if r["archive"] == name) == len(data) for name, data in files.items())
     order = [(r["url_key"], r["timestamp"], r["page_id"] is not None, r["page_id"] or 0) for r in got]
     assert order == sorted(order) and [r["capture_order"] for r in got] == list(range(len(got)))
     assert warc.url_key("http://A.b.org/x?y#z") == "org,b,a)/x?y" and warc.url_key("http://b.org") == "org,b)/"
@@ -254,14 +266,34 @@ def test_archives_of_no_pages(spark, tmp_path):
     assert warc.captures(spark, path).count() == 0
 
 
-@pytest.mark.parametrize("k", [0, 1, 2, 3, 7, 16])
+@pytest.mark.parametrize("k", [0, 1, 2, 3, 7, 16, 3000])
 def test_loser_tree_merges(k):
     random.seed(k)
-    runs = [sorted((random.choice("ab"), str(random.randint(0, 9)), random.randint(0, 5), "u", "response", None, 0, "", f"f{i}", j, 0) for j in range(random.randint(0, 9))) for i in range(k)]
-    for r in runs:
-        r.sort(key=lambda e: (e[0], e[1], True, e[2], e[8], e[9]))
+    runs = [sorted(((random.choice("ab"), random.randint(0, 9), i, j), j) for j in range(random.randint(0, 9))) for i in range(k)]
     merged = list(LoserTree([iter(r) for r in runs]))
-    assert merged == sorted((e for r in runs for e in r), key=lambda e: (e[0], e[1], True, e[2], e[8], e[9]))
+    assert merged == [j for _, j in sorted(e for r in runs for e in r)]
+
+
+def test_long_records_take_several_members(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "MEMBER_BYTES", 100)
+    data = ("WARC/1.1\r\n" + "X: y\r\n" * 40 + "Content-Length: 900\r\n\r\n").encode() + bytes(900) + b"\r\n\r\n"
+    stored = warc.member(data) + warc.member(data)
+    head, block, end = warc.read_record(memoryview(stored), 0)
+    assert block == bytes(900) and 2 * end == len(stored) and stored[end - 1] == 0 and gzip.decompress(stored[:end]) == data
+    with pytest.raises(ValueError):
+        warc.read_record(memoryview(stored[: end - 9]), 0)
+
+
+def test_ranges_of_the_index_are_bounded(spark):
+    names = warc.ARROW_INDEX.names
+    rows = []
+    for run in range(7):
+        entries = sorted((f"k{random.Random(run * 100 + i).randint(0, 30):02}", "t", i) for i in range(40))
+        rows += [(u, t, p, "u", "response", None, 1, "d", f"f{run}", 10 * i, 1, i) for i, (u, t, p) in enumerate(entries)]
+    frame = spark.createDataFrame(rows, warc.INDEX).repartition(5)
+    merged = warc.merge_index(frame, range_entries=50)
+    got = [tuple(r[c] for c in ("url_key", "timestamp", "page_id", "archive", "offset")) for r in merged.orderBy("capture_order").collect()]
+    assert got == sorted((r[0], r[1], r[2], r[8], r[9]) for r in rows) and "run_place" in names
 
 
 # ---- op6
