@@ -2,14 +2,12 @@
 
 Each tree gives every vector a string of ``BITS`` bits, the sides of random hyperplanes set at the
 medians of a bounded sample, and holds the strings as sorted arrays, cut into segments of bounded
-size. The arrays hold ids and sketches (the heads of all strings), no vectors. A query goes down to
-its own string and comes up again in all trees at once: the prefix shortens level by level until the
+size. The arrays hold ids and a code of one byte a component, no vectors. A query goes down to its
+own string and comes up again in all trees at once: the prefix shortens level by level until the
 trees together hold as many rows as the sample says are needed for ``RECALL``. Counts of all prefixes
 of ``CELL_BITS`` bits (at most ``TREES << CELL_BITS`` of them) tell that level without a look at the
-arrays. Rows below a query's prefix whose sketch could belong to one of the k nearest are measured
-exactly, on vectors fetched for them alone. How far apart such sketches may be follows from the k-th
-distance among the few closest sketches of every tree, so a query amid thousands of near copies has
-them all measured and one amid strangers a small part of all rows.
+arrays. Of the rows below a query's prefix those of the closest codes survive; only their vectors are
+fetched and measured exactly, a fixed number for each query.
 """
 
 from __future__ import annotations
@@ -24,16 +22,14 @@ from pyspark.sql import functions as F
 
 from dendrovox.plans.durable import materialize
 
-TREES, BITS, CELL_BITS, HEAD_BITS = 32, 24, 9, 8
+TREES, BITS, CELL_BITS = 32, 24, 9
 #: Bound of the sample that the hyperplanes' medians and the depth of search are fitted on.
 SAMPLE_ROWS = 20_000
 SAMPLE_QUERIES = 256
 RECALL = 0.95
 SEGMENT_ROWS = 8192
-#: Rows of each segment that a query's first distances come from.
-PROBE_ROWS = 16
-#: Standard deviations above the mean gap of two sketches at the k-th distance that are still looked at.
-DEVIATIONS = 2.0
+#: Closest codes that a segment sends on for a query, and those of all segments that are measured, a neighbour.
+SEGMENT_KEEP, KEEP = 4, 8
 BROADCAST_BYTES = 64 << 20
 SEED = 7
 
@@ -60,14 +56,26 @@ class Hashes:
         return side @ (np.int64(1) << np.arange(bits - 1, -1, -1, dtype=np.int64))
 
 
-def sketches(strings: np.ndarray) -> np.ndarray:
-    """The first ``HEAD_BITS`` bits of each tree's string, as bytes."""
-    return (strings >> (BITS - HEAD_BITS)).astype(np.uint8)
+@dataclass(frozen=True)
+class Codes:
+    """One byte a component: steps of one size in all components, from the middle of the sample's range."""
+
+    middle: np.ndarray
+    step: float
 
+    @classmethod
+    def fit(cls, sample: np.ndarray) -> Codes:
+        low, high = sample.min(axis=0), sample.max(axis=0)
+        return cls(low / 2 + high / 2, float((high / 254 - low / 254).max()) or 1.0)
 
-def apart(sketch: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """Bits in which each of ``others`` differs from ``sketch``."""
-    return np.bitwise_count(others.view(np.uint64) ^ sketch.view(np.uint64)).sum(axis=1, dtype=np.int64)
+    def of(self, vectors: np.ndarray) -> pa.Array:
+        with np.errstate(over="ignore"):
+            steps = np.clip(np.rint((vectors - self.middle) / self.step), -127, 127).astype(np.int8)
+        return pa.array([x.tobytes() for x in steps], pa.binary())
+
+    @staticmethod
+    def read(column: pa.ChunkedArray, dim: int) -> np.ndarray:
+        return np.frombuffer(b"".join(column.to_pylist()), np.int8).reshape(-1, dim).astype(np.float32)
 
 
 def distances(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
@@ -149,10 +157,6 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return values.reshape(len(flat), -1) if len(flat) else values.reshape(0, 1)
 
 
-def _rows(arrays: list[np.ndarray], names: list[str], types: list[pa.DataType]) -> pa.Table:
-    return pa.table({n: pa.array(a, t) for n, a, t in zip(names, arrays, types, strict=True)})
-
-
 def nearest(df: DataFrame, every: int = 100, k: int = 10, key: str = "vec_id", vector: str = "embedding", segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found for each row whose key ``every`` divides.
 
@@ -178,10 +182,9 @@ def nearest(df: DataFrame, every: int = 100, k: int = 10, key: str = "vec_id", v
     sample = kept.where(F.pmod(F.xxhash64(F.lit("forest"), "id"), F.lit(1 << 20)) <= F.lit(round(part * (1 << 20)))).limit(2 * SAMPLE_ROWS)
     vectors = np.array([r["v"] for r in sample.orderBy("id").select("v").collect()])
     fitted = Hashes.fit(vectors)
-    middle = np.median(vectors, axis=0)
-    shortest, longest = np.quantile(distances(middle, vectors), [0.005, 0.995]).tolist()
     wanted = max(needed_share(fitted, vectors, k) * total, TREES * (k + 1))
     hashes = spark.sparkContext.broadcast(fitted)
+    codes = Codes.fit(vectors)
 
     def cells(batches):
         for batch in batches:
@@ -201,20 +204,19 @@ def nearest(df: DataFrame, every: int = 100, k: int = 10, key: str = "vec_id", v
             if batch.num_rows:
                 place = layout.value
                 strings = hashes.value.strings(_matrix(batch.column(1)))
-                heads = pa.array(list(map(bytes, sketches(strings))), pa.binary())
+                code = codes.of(_matrix(batch.column(1)))
                 ids = batch.column(0).to_numpy()
                 spread = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64)
                 for tree in range(TREES):
                     cell = strings[:, tree] >> (BITS - CELL_BITS)
                     segment = place.first[tree, cell] + spread % place.count[tree, cell]
-                    yield pa.RecordBatch.from_arrays([pa.array(segment), pa.array(strings[:, tree]), batch.column(0), heads], names=["segment", "string", "id", "sketch"])
+                    yield pa.RecordBatch.from_arrays([pa.array(segment), pa.array(strings[:, tree]), batch.column(0), code], names=["segment", "string", "id", "code"])
 
     def descend(batches):
         for batch in batches:
             if batch.num_rows:
                 place = layout.value
                 strings = hashes.value.strings(_matrix(batch.column(1)))
-                heads = sketches(strings)
                 out = [[], [], [], []]
                 for row, string in enumerate(strings):
                     level = place.level(string >> (BITS - CELL_BITS), wanted)
@@ -226,59 +228,42 @@ def nearest(df: DataFrame, every: int = 100, k: int = 10, key: str = "vec_id", v
                         for column, value in zip(out, (segments, np.full(len(segments), low[tree]), np.full(len(segments), high[tree]), np.full(len(segments), row)), strict=True):
                             column.append(value)
                 segments, low, high, row = (np.concatenate(x) for x in out)
-                asks = pa.array(list(map(bytes, heads)), pa.binary()).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array(segments), pa.array(low), pa.array(high), batch.column(0).take(pa.array(row)), asks], names=["segment", "low", "high", "id", "sketch"])
-
-    def heads_of(column: pa.ChunkedArray) -> np.ndarray:
-        return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, TREES)
+                asks = codes.of(_matrix(batch.column(1))).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([pa.array(segments), pa.array(low), pa.array(high), batch.column(0).take(pa.array(row)), asks], names=["segment", "low", "high", "id", "code"])
 
     def search(arrays: pa.Table, queries: pa.Table) -> pa.Table:
-        """Rows in the range of each query: those at most ``most`` bits apart, or (null) the closest few."""
-        found = [[np.empty(0, np.int64)], [np.empty(0, np.int64)]]
+        """The rows in the range of each query whose codes are closest to its own."""
+        found = [[np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.float32)]]
         if arrays.num_rows and queries.num_rows:
             strings = arrays.column("string").to_numpy()
             order = np.argsort(strings, kind="stable")
-            strings, ids, held = strings[order], arrays.column("id").to_numpy()[order], np.ascontiguousarray(heads_of(arrays.column("sketch"))[order])
+            strings, ids, held = strings[order], arrays.column("id").to_numpy()[order], Codes.read(arrays.column("code"), dim)[order]
+            norms = (held * held).sum(axis=1)
             ends = (np.searchsorted(strings, queries.column(x).to_numpy()) for x in ("low", "high"))
-            for own, most, a, b, sketch in zip(queries.column("id").to_pylist(), queries.column("most").to_pylist(), *ends, heads_of(queries.column("sketch")), strict=True):
+            for own, a, b, code in zip(queries.column("id").to_pylist(), *ends, Codes.read(queries.column("code"), dim), strict=True):
                 if b > a:
-                    gap = apart(sketch, held[a:b])
-                    near = np.flatnonzero(gap <= most) if most is not None else np.argsort(gap, kind="stable")[: max(PROBE_ROWS, k) + 1]
-                    near = ids[a:b][near]
-                    near = near[near != own]
-                    found[0].append(np.full(len(near), own))
-                    found[1].append(near)
-        return _rows([np.concatenate(x) for x in found], ["query_id", "vec_id"], [pa.int64()] * 2)
+                    gap = norms[a:b] - 2 * (held[a:b] @ code) + code @ code
+                    near = np.argpartition(gap, SEGMENT_KEEP * k)[: SEGMENT_KEEP * k + 1] if b - a > SEGMENT_KEEP * k + 1 else np.arange(b - a)
+                    near = near[ids[a:b][near] != own]
+                    for column, value in zip(found, (np.full(len(near), own), ids[a:b][near], gap[near]), strict=True):
+                        column.append(value)
+        return pa.table({n: pa.array(np.concatenate(x)) for n, x in zip(("query_id", "vec_id", "gap"), found, strict=True)})
 
     def measure(batches):
         for batch in batches:
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(distances(_matrix(batch.column(2)), _matrix(batch.column(3))))], names=["query_id", "vec_id", "score"])
 
-    arrays = materialize(kept.mapInArrow(index, "segment long, string long, id long, sketch binary"))
+    arrays = kept.mapInArrow(index, "segment long, string long, id long, code binary")
     queries = materialize(rows.where(F.col("id") % every == 0).dropDuplicates(["id"]))
-    asked = materialize(queries.mapInArrow(descend, "segment long, low long, high long, id long, sketch binary"))
+    asked = queries.mapInArrow(descend, "segment long, low long, high long, id long, code binary")
+    met = arrays.groupBy("segment").cogroup(asked.groupBy("segment")).applyInArrow(search, "query_id long, vec_id long, gap float")
+    met = met.groupBy("query_id", "vec_id").agg(F.min("gap").alias("gap"))
+    closest = Window.partitionBy("query_id").orderBy("gap", "vec_id")
+    survivors = met.withColumn("r", F.row_number().over(closest)).where(F.col("r") <= KEEP * k).select("query_id", "vec_id")
     asking = queries.select(F.col("id").alias("query_id"), F.col("v").alias("q"))
     asking = F.broadcast(asking) if queries.count() * (8 * dim + 64) <= BROADCAST_BYTES else asking
-
-    def measured(held: DataFrame, asks: DataFrame) -> DataFrame:
-        met = held.groupBy("segment").cogroup(asks.groupBy("segment")).applyInArrow(search, "query_id long, vec_id long").distinct()
-        paired = met.join(kept.select(F.col("id").alias("vec_id"), "v"), "vec_id").join(asking, "query_id").select("query_id", "vec_id", "q", "v")
-        return paired.mapInArrow(measure, "query_id long, vec_id long, score double")
-
+    paired = survivors.join(kept.select(F.col("id").alias("vec_id"), "v"), "vec_id").join(asking, "query_id").select("query_id", "vec_id", "q", "v")
+    measured = paired.mapInArrow(measure, "query_id long, vec_id long, score double")
     nearer = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    probed = measured(arrays, asked.withColumn("most", F.lit(None).cast("int")))
-    probed = materialize(probed.withColumn("rank", F.row_number().over(nearer)).where(F.col("rank") <= k))
-    bound = probed.groupBy("query_id").agg(F.max("rank").alias("n"), F.max("score").alias("far"))
-    # Sketches tell angles, seen from the middle: the widest that a row at the k-th distance makes with the query.
-    centre = F.array(*[F.lit(float(x)) for x in middle])
-    limits = queries.select("id", F.sqrt(F.aggregate(F.zip_with("v", centre, lambda x, c: (x - c) * (x - c)), F.lit(0.0), lambda a, x: a + x)).alias("own"))
-    limits = limits.join(bound.withColumnRenamed("query_id", "id"), "id", "left")
-    other = F.least(F.greatest(F.sqrt(F.greatest(F.col("own") * F.col("own") - F.col("far") * F.col("far"), F.lit(0.0))), F.lit(shortest)), F.lit(longest))
-    cosine = F.try_divide(F.col("own") * F.col("own") + other * other - F.col("far") * F.col("far"), 2 * F.col("own") * other)
-    bits = TREES * HEAD_BITS
-    gap = F.acos(F.greatest(F.least(F.coalesce(F.nanvl(cosine, F.lit(-1.0)), F.lit(-1.0)), F.lit(1.0)), F.lit(-1.0))) / math.pi * bits
-    most = F.when(F.col("n") >= k, F.ceil(gap + DEVIATIONS * F.sqrt(gap * (1 - gap / bits) + 1))).otherwise(bits).cast("int")
-    limits = limits.select("id", F.coalesce(most, F.lit(bits)).alias("most"))
-    found = measured(arrays, asked.join(limits, "id")).unionByName(probed.drop("rank")).dropDuplicates(["query_id", "vec_id"])
-    return found.withColumn("rank", F.row_number().over(nearer)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return measured.withColumn("rank", F.row_number().over(nearer)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
