@@ -248,7 +248,10 @@ def near_duplicates(df: DataFrame, percent: int = 85, key: str = "doc_id", text:
 
 
 def keep_one(df: DataFrame, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of ``df`` but the near-duplicates: one of each component stays; null keys all stay."""
+    """Rows of ``df`` but the near-duplicates: one of each component stays; null keys all stay.
+
+    Rows that repeat the key that stays all stay; columns keep their values, whatever their names.
+    """
     path = scratch_path(df.sparkSession, "copies")
     near_duplicates(df.where(F.col(key).isNotNull()), percent, key, text).where(~F.col("kept")).select(key).distinct().write.parquet(path)
     return df.join(df.sparkSession.read.parquet(path), key, "left_anti")

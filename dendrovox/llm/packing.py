@@ -34,7 +34,7 @@ RUN_ROWS = 4096
 
 
 def _byte_letters() -> dict[int, str]:
-    """The letter that stands for each byte: itself if it prints, else the next one from 256 on."""
+    """The public alphabet of byte-level tokenizers: a byte that prints is itself, the others the letters from 256 on."""
     prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
     rest = [b for b in range(256) if b not in prints]
     return {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(rest)}
@@ -232,18 +232,20 @@ def plan_bins(counts: dict[int, int], capacity: int) -> Plan:
     return Plan((table[:, 0] << 48) + table[:, 1], table[:, 1], table[:, 2], table[:, 3], table[:, 4], bins)
 
 
-def in_file_order(df: DataFrame) -> DataFrame:
-    """``df``, read from Parquet that Spark wrote, with _file and _line: the order its rows were written in."""
-    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+def in_file_order(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Key and text of ``df``, read from Parquet that Spark wrote, with _file and _line: the order its rows were written in."""
+    meta = df.metadataColumn("_metadata")
+    name = F.element_at(F.split(meta["file_path"], "/"), -1)
     part, more = (F.coalesce(F.regexp_extract(name, x, 1).try_cast("long"), F.lit(0).cast("long")) for x in (r"^part-(\d+)", r"-c(\d+)\."))
-    return df.select("*", (part * 1_000_000 + more).alias("_file"), F.col("_metadata.row_index").cast("long").alias("_line"))
+    return df.select(key, text, (part * 1_000_000 + more).alias("_file"), meta["row_index"].cast("long").alias("_line"))
 
 
 def pack(df: DataFrame, tokenizer: str, capacity: int = 4096, key: str = "doc_id", text: str = "text", with_ids: bool = False, ordered: bool = False) -> DataFrame:
     """Every piece of every document with sequence_id and offset; offsets of a sequence have no gap.
 
     The driver sees one count for each of at most ``capacity`` lengths and sends back one plan of
-    that order of size. Repeated rows are packed as often as they come; other columns are left out.
+    that order of size. Repeated rows are packed as often as they come, null keys like others, null
+    texts as empty ones; other columns, whatever their names, are left out; no rows, no sequences.
     With ``ordered``, each run of ``RUN_ROWS`` pieces in the order of ``_file`` and ``_line`` (see
     ``in_file_order``) is packed by itself, and sequences are numbered by their first piece.
     """

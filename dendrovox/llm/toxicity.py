@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dendrovox.plans.durable import materialize
@@ -24,7 +24,6 @@ PREFIXES = (4, 5)
 GRADES = 4
 SAMPLE_ROWS = 12_000
 FEATURE_ROWS = 3
-FEATURE_LIMIT = 20_000
 #: Features in more than this share of the sampled rows tell grades apart by length alone.
 COMMON = 0.2
 ASSOCIATION = 4.0
@@ -91,12 +90,15 @@ def _counted(rows: DataFrame) -> DataFrame:
 
 
 def _features(counted: DataFrame, rows: int, positive: int) -> tuple[list[str], list[str]]:
-    """The features bound to either class, the strongest first, and those that mostly toxic rows have."""
+    """The features bound to either class, the strongest first, and those that mostly toxic rows have.
+
+    All features of the bounded sample that pass the test of association are taken.
+    """
     rate = positive / rows
     stats = counted.select("toxic", F.explode("names").alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("seen"), F.sum("toxic").alias("bound"))
     stats = stats.where(F.col("seen").between(FEATURE_ROWS, int(max(COMMON * rows, positive))))
     stats = stats.withColumn("z", (F.col("bound") - F.col("seen") * rate) / F.sqrt(F.col("seen") * (rate * (1 - rate))))
-    best = stats.where(F.abs("z") >= ASSOCIATION).orderBy(F.abs("z").desc(), "name").limit(FEATURE_LIMIT).collect()
+    best = stats.where(F.abs("z") >= ASSOCIATION).orderBy(F.abs("z").desc(), "name").collect()
     return [r["name"] for r in best], [r["name"] for r in best if r["z"] > 0 and r["bound"] >= 0.8 * r["seen"]]
 
 
@@ -155,25 +157,34 @@ def fit(rows: list, chosen: list[str], strong: list[str]) -> OrdinalModel:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, key: str = "doc_id", text: str = "text", toxic: str = "toxic") -> OrdinalModel:
-    """Fit on at most about ``sample_rows`` labelled rows, chosen by a hash of the key.
+    """Fit on about ``sample_rows`` labelled keys, chosen by a hash of the key; never more than twice as many.
 
-    Without rows of both classes the model knows no feature and scores every text by the class rate.
+    A key counts once, however often documents or labels repeat it: any toxic label makes it toxic,
+    and of its texts the one of the least hash is read. Null keys and null labels take no part, a
+    null text has no words. Without rows of both classes, or without any feature
+    bound to the toxic one, the model knows no feature and scores every text by the class rate.
     """
-    known = labels.where(F.col(toxic).isNotNull() & F.col(key).isNotNull()).select(key, F.col(toxic).alias("_toxic"))
+    known = labels.where(F.col(toxic).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max(F.col(toxic).cast("int")).alias("toxic"))
     share = min(1.0, sample_rows / max(1, known.count()))
-    sample = known.where(F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1 << 20)) < F.lit(round(share * (1 << 20))))
-    counted = materialize(_counted(docs.select(key, text).join(F.broadcast(sample.limit(2 * sample_rows)), key).select(text, "_toxic")))
+    sample = known.where(F.pmod(F.xxhash64(F.lit("sample"), "key"), F.lit(1 << 20)) < F.lit(round(share * (1 << 20)))).limit(2 * sample_rows)
+    met = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(sample), "key")
+    once = met.groupBy("key").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("toxic").alias("toxic"))
+    counted = materialize(_counted(once.select("text", "toxic")))
     n, positive = counted.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    if not 0 < positive < n:
+    chosen, strong = _features(counted, n, positive) if 0 < positive < n else ([], [])
+    if not strong:
         rate = (positive + 0.5) / (n + 2.0)
         return OrdinalModel({}, np.log((1 - rate) / rate) + np.arange(GRADES - 1, dtype=float))
-    chosen, strong = _features(counted, n, positive)
     rows = _indexed(counted, chosen).collect()
     return fit(sorted(rows, key=lambda r: (r["toxic"], r["place"], r["n"])), chosen, strong)
 
 
 def score(df: DataFrame, model: OrdinalModel, text: str = "text") -> DataFrame:
-    """``df`` with severity, p_toxic and grade; a null text scores as an empty one, every row stays."""
+    """``df`` with severity, p_toxic and grade; a null text scores as an empty one, every row stays.
+
+    Repeated rows score alike, whole texts are read, an empty table stays empty. Columns named
+    severity, p_toxic or grade are replaced; any other name is free.
+    """
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf(SCORE)
@@ -183,12 +194,10 @@ def score(df: DataFrame, model: OrdinalModel, text: str = "text") -> DataFrame:
             yield pa.array([scorer.score(x) for x in texts.to_pylist()], ARROW_SCORE)
 
     own = ("severity", "p_toxic", "grade")
-    return df.drop(*own).withColumn("_score", scored(F.col(text))).select("*", *[F.col(f"_score.{c}").alias(c) for c in own]).drop("_score")
+    kept = [c for c in df.columns if c not in own]
+    found = df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), scored(F.col(f"`{text}`")).alias("score"))
+    return found.select(*[F.col(f"row.`{c}`").alias(c) for c in kept], *[F.col(f"score.{c}").alias(c) for c in own])
 
 
 def rejects(threshold: float = 0.5) -> Column:
     return F.col("p_toxic") >= F.lit(threshold)
-
-
-def trained_on(spark: SparkSession, sf_dir: str) -> OrdinalModel:
-    return train(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
