@@ -25,12 +25,15 @@ from pyspark.sql import functions as F
 
 #: Fixed values of the format: the zigzag order of an 8x8 block.
 ZIGZAG = np.array(sorted(range(64), key=lambda n: (n // 8 + n % 8, (n // 8 if (n // 8 + n % 8) % 2 else n % 8))))
-SAMPLING = (2, 1, 1)
+#: Horizontal and vertical sampling factors of each component that the writer uses.
+SAMPLING = ((2, 2), (1, 1), (1, 1))
 #: (components, first and last coefficient, high and low bit) of each scan that the writer makes.
 SCANS = (((0, 1, 2), 0, 0, 0, 1), *(((c,), 1, 5, 0, 1) for c in range(3)), *(((c,), 6, 63, 0, 1) for c in range(3)), *(((c,), 1, 63, 1, 0) for c in range(3)), ((0, 1, 2), 0, 0, 1, 0))
 RESTART_BLOCKS = 4
 RESTART_UNITS = 4
 BATCH_BYTES = 1 << 20
+#: Pixels that a stream may declare; more are a problem of that stream, not of its task's memory.
+MOST_PIXELS = 1 << 27
 SCALE = 12
 
 
@@ -98,33 +101,47 @@ class Image:
     coefficients: np.ndarray
     comment: bytes = b""
     quant: np.ndarray = field(default_factory=lambda: np.ones((3, 64), np.int64))
-    sampling: tuple[int, ...] = SAMPLING
+    sampling: tuple[tuple[int, int], ...] = SAMPLING
     size: tuple[int, int] | None = None
 
+    def grid(self, c: int) -> tuple[int, int]:
+        """Rows and columns of blocks of a component, whole units."""
+        h, v = self.sampling[c]
+        return self.mcus_y * v, self.mcus_x * h
+
     def blocks(self, c: int) -> int:
-        return self.mcus_x * self.mcus_y * self.sampling[c] ** 2
+        rows, columns = self.grid(c)
+        return rows * columns
 
     def first(self, c: int) -> int:
         return sum(self.blocks(i) for i in range(c))
 
+    def covered(self, c: int) -> tuple[int, int]:
+        """Rows and columns of blocks that hold pixels: all that a scan of this component alone brings."""
+        if self.size is None:
+            return self.grid(c)
+        (h, v), (most_h, most_v) = self.sampling[c], (max(x) for x in zip(*self.sampling))
+        return -(-(-(-self.size[1] * v // most_v)) // 8), -(-(-(-self.size[0] * h // most_h)) // 8)
+
     def order(self, components: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
         """Block rows in scan order, and the component of each place of a unit."""
-        return _scan_order(self.mcus_x, self.mcus_y, self.sampling, components)
+        return _scan_order(self.mcus_x, self.mcus_y, self.sampling, components, self.covered(components[0]) if len(components) == 1 else (0, 0))
 
 
 @lru_cache(maxsize=8192)
-def _scan_order(mcus_x: int, mcus_y: int, sampling: tuple[int, ...], components: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-    blocks = [mcus_x * mcus_y * s * s for s in sampling]
-    firsts = np.cumsum([0, *blocks])
+def _scan_order(mcus_x: int, mcus_y: int, sampling: tuple[tuple[int, int], ...], components: tuple[int, ...], covered: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    firsts = np.cumsum([0, *(mcus_x * mcus_y * h * v for h, v in sampling)])
     if len(components) == 1:
         c = components[0]
-        return np.arange(firsts[c], firsts[c] + blocks[c])[:, None], np.array([c])
+        h, v = sampling[c]
+        grid = np.arange(mcus_y * v * mcus_x * h).reshape(mcus_y * v, mcus_x * h) + firsts[c]
+        return grid[: covered[0], : covered[1]].reshape(-1, 1), np.array([c])
     parts, slots = [], []
     for c in components:
-        s = sampling[c]
-        grid = np.arange(blocks[c]).reshape(mcus_y, s, mcus_x, s).transpose(0, 2, 1, 3)
-        parts.append(grid.reshape(-1, s * s) + firsts[c])
-        slots += [c] * (s * s)
+        h, v = sampling[c]
+        grid = np.arange(mcus_y * v * mcus_x * h).reshape(mcus_y, v, mcus_x, h).transpose(0, 2, 1, 3)
+        parts.append(grid.reshape(-1, h * v) + firsts[c])
+        slots += [c] * (h * v)
     return np.concatenate(parts, axis=1), np.array(slots)
 
 
@@ -309,7 +326,7 @@ def write_images(images: list[Image]) -> list[bytes]:
         head = b"\xff\xd8" + _segment(0xE0, b"JFIF\0\1\1\0\0\1\0\1\0\0") + (_segment(0xFE, x.comment) if x.comment else b"")
         quants = [q.astype(np.uint8).tobytes() for q in x.quant]
         head += b"".join(_segment(0xDB, bytes([quants.index(q)]) + q) for q in dict.fromkeys(quants))
-        head += _segment(0xC2, bytes([8]) + h.to_bytes(2, "big") + w.to_bytes(2, "big") + bytes([3]) + b"".join(bytes([i + 1, s << 4 | s, quants.index(quants[i])]) for i, s in enumerate(x.sampling)))
+        head += _segment(0xC2, bytes([8]) + h.to_bytes(2, "big") + w.to_bytes(2, "big") + bytes([3]) + b"".join(bytes([i + 1, s << 4 | v, quants.index(quants[i])]) for i, (s, v) in enumerate(x.sampling)))
         head += tables
         out.append([head])
     for components, first_k, last_k, high, low in SCANS:
@@ -388,6 +405,8 @@ def _parse(data: bytes, at: int, end: int, marks: list[int], closing: list[int],
         raise ValueError("not a JPEG stream")
     at += 2
     while at < end:
+        if data[at] != 0xFF:
+            raise ValueError("no marker where one is due")
         marker = data[at + 1]
         if marker == 0xD9:
             break
@@ -408,13 +427,13 @@ def _parse(data: bytes, at: int, end: int, marks: list[int], closing: list[int],
         elif marker == 0xC2:
             h, w = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big")
             ids = [tuple(body[6 + 3 * i : 9 + 3 * i]) for i in range(body[5])]
-            sampling = tuple(x[1] >> 4 for x in ids)
-            if any(x[1] >> 4 != x[1] & 15 for x in ids) or len(ids) != 3 or any(max(sampling) % s for s in sampling):
-                raise ValueError("unsupported sampling")
-            mcu = 8 * max(sampling)
-            image = Image(-(-w // mcu), -(-h // mcu), np.zeros((0, 64), np.int32), sampling=sampling, size=(w, h))
-            if max(sampling) > 1 and (w % mcu or h % mcu):
-                raise ValueError("unsupported size: whole units only")
+            sampling = tuple((x[1] >> 4, x[1] & 15) for x in ids) if len(ids) > 1 else ((1, 1),)
+            most_h, most_v = (max(x) for x in zip(*sampling, strict=True))
+            if len(ids) not in (1, 3) or any(not a or not b or most_h % a or most_v % b for a, b in sampling):
+                raise ValueError("unsupported components or sampling")
+            if not 0 < w * h <= MOST_PIXELS or body[0] != 8:
+                raise ValueError("unsupported size or precision")
+            image = Image(-(-w // (8 * most_h)), -(-h // (8 * most_v)), np.zeros((0, 64), np.int32), sampling=sampling, size=(w, h))
         elif marker in (0xC0, 0xC1):
             raise ValueError("not a progressive stream")
         elif marker == 0xDA:
@@ -427,6 +446,8 @@ def _parse(data: bytes, at: int, end: int, marks: list[int], closing: list[int],
             depth = 1 + max(depths.get(i, 0) for i in which)
             depths.update(dict.fromkeys(which, depth))
             scans.append(Scan(index, which, uses, band, interval, lanes, depth))
+    if image is None or not scans:
+        raise ValueError("no frame or no scan")
     image.comment = comment
     image.quant = np.stack([quant[x[2]] for x in ids])
     return image, scans
@@ -602,7 +623,7 @@ def read_images(streams: list[bytes]) -> list[Image]:
         images.append(image)
         scans += found
         at += len(stream)
-    sizes = [sum(x.blocks(i) for i in range(3)) for x in images]
+    sizes = [sum(x.blocks(i) for i in range(len(x.sampling))) for x in images]
     base = np.cumsum([0, *sizes])
     c = np.zeros((int(base[-1]), 64), np.int32)
     stream = _Stream(raw)
@@ -627,6 +648,7 @@ def read_images(streams: list[bytes]) -> list[Image]:
         starts = np.concatenate([part for x in group for part in ([x.lanes[0]], places[x.lanes[1] : x.lanes[2]] + 2)])
         if len(starts) != len(lengths):
             raise ValueError("restart intervals do not cover the scan")
+        ends = stream.moved[np.concatenate([places[x.lanes[1] : x.lanes[2] + 1] for x in group])] * 8
         at = stream.moved[starts] * 8
         for t in tables and (dict(tables).values() if first_k == 0 else [tables]) or []:
             if t is not None and t not in lookups:
@@ -637,6 +659,8 @@ def read_images(streams: list[bytes]) -> list[Image]:
             _read_refinement(stream, c, at, units, lengths, lookups[tables], first_k, last_k, low)
         else:
             _read_ac(stream, c, at, units, lengths, lookups[tables], first_k, last_k, low)
+        if ((at > ends) | (at <= ends - 8)).any():
+            raise ValueError("a scan does not end where its data do")
     for x, a, b in zip(images, base, base[1:], strict=False):
         x.coefficients = c[a:b]
     return images
@@ -646,23 +670,27 @@ def rgb_tensors(images: list[Image]) -> list[np.ndarray]:
     """Full-resolution (height, width, 3) bytes of each image. All arithmetic is on whole numbers."""
     if not images:
         return []
-    scaled = np.concatenate([x.coefficients[x.first(i) : x.first(i) + x.blocks(i)] * x.quant[i] for x in images for i in range(3)]).astype(np.float64)
+    scaled = np.concatenate([x.coefficients[x.first(i) : x.first(i) + x.blocks(i)] * x.quant[i] for x in images for i in range(len(x.sampling))]).astype(np.float64)
     samples = np.clip((((scaled @ BASES).astype(np.int64) + (1 << (SCALE - 1))) >> SCALE) + 128, 0, 255).astype(np.int32)
     out, at = [], 0
     for x in images:
         planes = []
-        for i in range(3):
-            s = x.sampling[i]
-            h, w = x.mcus_y * s, x.mcus_x * s
+        most_h, most_v = (max(n) for n in zip(*x.sampling, strict=True))
+        for i, (sh, sv) in enumerate(x.sampling):
+            h, w = x.grid(i)
             plane = samples[at : at + h * w].reshape(h, w, 8, 8).transpose(0, 2, 1, 3).reshape(8 * h, 8 * w)
             at += h * w
-            up = max(x.sampling) // s
-            planes.append(plane.repeat(up, axis=0).repeat(up, axis=1) if up > 1 else plane)
-        y, cb, cr = planes[0], planes[1] - 128, planes[2] - 128
-        rgb = np.empty((*y.shape, 3), np.uint8)
-        rgb[..., 0] = np.clip(y + (91881 * cr + 32768 >> 16), 0, 255)
-        rgb[..., 1] = np.clip(y - (22554 * cb + 46802 * cr + 32768 >> 16), 0, 255)
-        rgb[..., 2] = np.clip(y + (116130 * cb + 32768 >> 16), 0, 255)
+            down, along = most_v // sv, most_h // sh
+            plane = plane.repeat(down, axis=0) if down > 1 else plane
+            planes.append(plane.repeat(along, axis=1) if along > 1 else plane)
+        rgb = np.empty((*planes[0].shape, 3), np.uint8)
+        if len(planes) == 1:
+            rgb[...] = planes[0][..., None]
+        else:
+            y, cb, cr = planes[0], planes[1] - 128, planes[2] - 128
+            rgb[..., 0] = np.clip(y + (91881 * cr + 32768 >> 16), 0, 255)
+            rgb[..., 1] = np.clip(y - (22554 * cb + 46802 * cr + 32768 >> 16), 0, 255)
+            rgb[..., 2] = np.clip(y + (116130 * cb + 32768 >> 16), 0, 255)
         width, height = x.size or (rgb.shape[1], rgb.shape[0])
         out.append(rgb[:height, :width])
     return out
@@ -702,6 +730,23 @@ def feature(rgb: np.ndarray) -> str:
     return f"{rgb.shape[1]}x{rgb.shape[0]}:" + ":".join(map(str, sums)) + f":{zlib.crc32(rgb.tobytes())}"
 
 
+Decoded = tuple["Image | None", "np.ndarray | None", "str | None"]
+
+
+def decoded(streams: list[bytes]) -> list[Decoded]:
+    """Image, tensor and problem of each stream; streams that cannot be read are found by halving."""
+    if not streams:
+        return []
+    try:
+        images = read_images(streams)
+        return [(x, t, None) for x, t in zip(images, rgb_tensors(images), strict=True)]
+    except (ValueError, IndexError, KeyError, TypeError, OverflowError) as problem:
+        if len(streams) == 1:
+            return [(None, None, f"{type(problem).__name__}: {problem}")]
+        half = len(streams) // 2
+        return decoded(streams[:half]) + decoded(streams[half:])
+
+
 def _chunks(sizes: list[int], most: int) -> Iterator[slice]:
     start = total = 0
     for i, n in enumerate(sizes):
@@ -714,7 +759,11 @@ def _chunks(sizes: list[int], most: int) -> Iterator[slice]:
 
 
 def store_media(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_bytes, media): the payload of each text as a progressive JPEG. A null text is empty."""
+    """(key, n_bytes, media): the payload of each text as a progressive JPEG.
+
+    A null text is empty, repeated rows and null keys are stored as often as they come, long texts
+    whole; other columns, whatever their names, are left out.
+    """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -728,35 +777,37 @@ def store_media(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 
 
 def read_media(df: DataFrame, media: str = "media", with_tensor: bool = False) -> DataFrame:
-    """``df`` with the payload, the feature and, if asked for, the RGB tensor of each stored image.
+    """``df`` with payload, feature, problem and, if asked for, the RGB tensor of each stored image.
 
-    A null medium gives nulls. Columns named payload, feature, height, width or rgb are replaced.
+    Progressive streams of any size with one or three components are read. A null medium gives
+    nulls; one that cannot be read gives nulls and the ``problem``, and harms no other row. Payloads
+    are those that ``store_media`` wrote. Columns named payload, feature, problem, height, width or
+    rgb are replaced; any other name is free.
     """
-    own = ["payload", "feature"] + ["height", "width", "rgb"] * with_tensor
+    own = ["payload", "feature", "problem"] + ["height", "width", "rgb"] * with_tensor
     kept = [c for c in df.columns if c not in own or c == media]
     types = {f.name: f.dataType.simpleString() for f in df.schema}
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(media)
+            column = batch.column(kept.index(media))
             sizes = [len(x.as_buffer()) if x.is_valid else 0 for x in column]
             for part in _chunks(sizes, BATCH_BYTES):
                 streams = column[part].to_pylist()
-                images = iter(read_images([x for x in streams if x is not None]))
-                images = [next(images) if x is not None else None for x in streams]
-                tensors = iter(rgb_tensors([x for x in images if x is not None]))
-                tensors = [next(tensors) if x is not None else None for x in images]
-                arrays = [batch.column(c)[part] for c in kept]
-                arrays.append(pa.array([payload_from(x) if x is not None and x.comment.startswith(b"payload-blocks=") else None for x in images], pa.binary()))
-                arrays.append(pa.array([feature(x) if x is not None else None for x in tensors], pa.string()))
+                found = iter(decoded([x for x in streams if x is not None]))
+                rows = [next(found) if x is not None else (None, None, None) for x in streams]
+                arrays = [c[part] for c in batch.columns]
+                arrays.append(pa.array([payload_from(x) if x is not None and x.comment.startswith(b"payload-blocks=") else None for x, _, _ in rows], pa.binary()))
+                arrays.append(pa.array([feature(t) if t is not None else None for _, t, _ in rows], pa.string()))
+                arrays.append(pa.array([p for _, _, p in rows], pa.string()))
                 if with_tensor:
                     for i in (0, 1):
-                        arrays.append(pa.array([x.shape[i] if x is not None else None for x in tensors], pa.int32()))
-                    arrays.append(pa.array([x.tobytes() if x is not None else None for x in tensors], pa.binary()))
+                        arrays.append(pa.array([t.shape[i] if t is not None else None for _, t, _ in rows], pa.int32()))
+                    arrays.append(pa.array([t.tobytes() if t is not None else None for _, t, _ in rows], pa.binary()))
                 yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *own])
 
-    schema = ", ".join(f"`{c}` {types[c]}" for c in kept) + ", payload binary, feature string" + ", height int, width int, rgb binary" * with_tensor
-    return df.mapInArrow(decode, schema) if kept == df.columns else df.select(*kept).mapInArrow(decode, schema)
+    schema = ", ".join(f"`{c}` {types[c]}" for c in kept) + ", payload binary, feature string, problem string" + ", height int, width int, rgb binary" * with_tensor
+    return df.select(*[f"`{c}`" for c in kept]).mapInArrow(decode, schema)
 
 
 def digests(df: DataFrame) -> DataFrame:
@@ -768,4 +819,4 @@ def digests(df: DataFrame) -> DataFrame:
         "tail_crc32": F.crc32(F.substring("payload", -64, 64)).cast("long"),
         "media_bytes": F.octet_length("media").cast("long"),
         "media_sha256": F.sha2("media", 256),
-    }).drop("payload", "media")
+    }).drop("payload", "media", "problem")

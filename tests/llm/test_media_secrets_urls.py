@@ -65,6 +65,181 @@ def test_inverse_transform_and_colour():
     assert inside.any() and np.abs(grey - sample)[inside].max() < 2
 
 
+class PlainWriter:
+    """A progressive writer of its own, bit by bit: one table for DC, one for AC, no restarts."""
+
+    def __init__(self):
+        self.bits = []
+
+    def put(self, value, n):
+        self.bits += [value >> i & 1 for i in reversed(range(n))]
+
+    def dc(self, size):
+        self.put(size, 4)
+
+    def ac(self, symbol):
+        self.put(*((symbol, 8) if symbol < 128 else (256 + symbol - 128, 9)))
+
+    def number(self, v, size):
+        self.put(v if v > 0 else v + (1 << size) - 1, size)
+
+    def data(self):
+        bits = self.bits + [1] * (-len(self.bits) % 8)
+        return bytes(int("".join(map(str, bits[i : i + 8])), 2) for i in range(0, len(bits), 8)).replace(b"\xff", b"\xff\0")
+
+
+def segment(marker, body):
+    return bytes([255, marker]) + (len(body) + 2).to_bytes(2, "big") + body
+
+
+def plain_stream(width, height, sampling, blocks):
+    """``blocks[c][row][column]``: 64 zigzag coefficients; DC and AC each in a first and a refining scan."""
+    n, most_h, most_v = len(sampling), max(h for h, _ in sampling), max(v for _, v in sampling)
+    out = b"\xff\xd8" + segment(0xDB, bytes([0]) + bytes(range(1, 65)))
+    out += segment(0xC2, bytes([8]) + height.to_bytes(2, "big") + width.to_bytes(2, "big") + bytes([n]) + b"".join(bytes([7 + c, h << 4 | v, 0]) for c, (h, v) in enumerate(sampling)))
+    out += segment(0xC4, bytes([0x00]) + bytes([0, 0, 0, 12] + [0] * 12) + bytes(range(12))) + segment(0xC4, bytes([0x10]) + bytes([0] * 7 + [128, 128] + [0] * 7) + bytes(range(256)))
+
+    def scan(components, first, last, high, low, w):
+        head = bytes([len(components)]) + b"".join(bytes([7 + c, 0]) for c in components) + bytes([first, last, high << 4 | low])
+        return segment(0xDA, head) + w.data()
+
+    def units(c):
+        if n == 1:
+            return [b for row in blocks[0] for b in row]
+        h, v = sampling[c]
+        rows, columns = -(-(-(-height * v // most_v)) // 8), -(-(-(-width * h // most_h)) // 8)
+        return [b for row in blocks[c][:rows] for b in row[:columns]]
+
+    whole = []
+    if n == 1:
+        whole = [(0, b) for b in units(0)]
+    else:
+        for my in range(-(-height // (8 * most_v))):
+            for mx in range(-(-width // (8 * most_h))):
+                whole += [(c, blocks[c][my * v + y][mx * h + x]) for c, (h, v) in enumerate(sampling) for y in range(v) for x in range(h)]
+    w, before = PlainWriter(), [0] * n
+    for c, b in whole:
+        v = b[0] >> 1
+        size = abs(v - before[c]).bit_length()
+        w.dc(size)
+        w.number(v - before[c], size)
+        before[c] = v
+    out += scan(range(n), 0, 0, 0, 1, w)
+    for c in range(n):
+        w = PlainWriter()
+        for b in units(c):
+            run = 0
+            for k in range(1, 64):
+                v = (abs(b[k]) >> 1) * (1 if b[k] > 0 else -1)
+                if not v:
+                    run += 1
+                    continue
+                while run > 15:
+                    w.ac(0xF0)
+                    run -= 16
+                size = abs(v).bit_length()
+                w.ac(run << 4 | size)
+                w.number(v, size)
+                run = 0
+            if run:
+                w.ac(0)
+        out += scan([c], 1, 63, 0, 1, w)
+    w = PlainWriter()
+    for _, b in whole:
+        w.put(b[0] & 1, 1)
+    out += scan(range(n), 0, 0, 1, 0, w)
+    for c in range(n):
+        w = PlainWriter()
+        for b in units(c):
+            run, held, last = 0, [], max((k for k in range(1, 64) if abs(b[k]) == 1), default=0)
+            for k in range(1, 64):
+                v = abs(b[k])
+                if not v:
+                    run += 1
+                    continue
+                while run > 15 and k <= last:
+                    w.ac(0xF0)
+                    w.bits += held
+                    run, held = run - 16, []
+                if v > 1:
+                    held.append(v & 1)
+                    continue
+                w.ac(run << 4 | 1)
+                w.bits += [int(b[k] > 0), *held]
+                run, held = 0, []
+            if run or held:
+                w.ac(0)
+                w.bits += held
+        out += scan([c], 1, 63, 1, 0, w)
+    return out + b"\xff\xd9"
+
+
+def plain_image(width, height, sampling, seed):
+    rng = np.random.default_rng(seed)
+    most_h, most_v = max(h for h, _ in sampling), max(v for _, v in sampling)
+    blocks = []
+    for h, v in sampling:
+        rows, columns = -(-height // (8 * most_v)) * v, -(-width // (8 * most_h)) * h
+        c = rng.integers(-9, 10, (rows, columns, 64)) * (rng.random((rows, columns, 64)) < 0.15)
+        c[..., 0] = rng.integers(-200, 200, (rows, columns))
+        covered = -(-(-(-height * v // most_v)) // 8), -(-(-(-width * h // most_h)) // 8)
+        c[covered[0] :, :, 1:] = 0
+        c[:, covered[1] :, 1:] = 0
+        blocks.append(c.tolist())
+    return blocks
+
+
+@pytest.mark.parametrize("width,height,sampling", [
+    (24, 24, ((2, 2), (1, 1), (1, 1))), (32, 23, ((1, 1), (1, 1), (1, 1))), (33, 17, ((2, 1), (1, 1), (1, 1))), (17, 41, ((1, 2), (1, 1), (1, 1))), (640, 9, ((2, 2), (2, 1), (1, 1))), (13, 30, ((1, 1),)), (5, 5, ((2, 2),)),
+])
+def test_streams_of_another_writer(width, height, sampling):
+    one = ((1, 1),) if len(sampling) == 1 else sampling
+    blocks = plain_image(width, height, one, width)
+    stream = plain_stream(width, height, one, blocks)
+    if sampling == ((2, 2),):
+        stream = stream.replace(bytes([1, 7, 0x11, 0]), bytes([1, 7, 0x22, 0]))
+    image = jpeg.read_images([stream])[0]
+    at = 0
+    for c in blocks:
+        flat = np.array(c).reshape(-1, 64)
+        assert (image.coefficients[at : at + len(flat)] == flat).all()
+        at += len(flat)
+    rgb = jpeg.rgb_tensors([image])[0].astype(int)
+    assert rgb.shape == (height, width, 3)
+    n = np.arange(8)
+    basis = np.cos((2 * n[None] + 1) * n[:, None] * np.pi / 16) * np.where(n == 0, 0.5**0.5, 1)[:, None] / 2
+    most_h, most_v = max(h for h, _ in one), max(v for _, v in one)
+    planes = []
+    for (h, v), c in zip(one, blocks):
+        rows = []
+        for row in c:
+            line = []
+            for b in row:
+                grid = np.zeros(64)
+                grid[jpeg.ZIGZAG] = np.array(b) * np.arange(1, 65)
+                line.append(np.clip(np.rint(basis.T @ grid.reshape(8, 8) @ basis + 128), 0, 255))
+            rows.append(np.hstack(line))
+        planes.append(np.kron(np.vstack(rows), np.ones((most_v // v, most_h // h)))[:height, :width])
+    y, cb, cr = planes if len(planes) == 3 else (planes[0], 128, 128)
+    want = np.stack([y + 1.402 * (cr - 128), y - 0.344136 * (cb - 128) - 0.714136 * (cr - 128), y + 1.772 * (cb - 128)], axis=2)
+    assert np.abs(rgb - np.clip(want, 0, 255)).max() <= 4
+
+
+def test_a_bad_stream_is_a_row_with_a_problem(spark):
+    good = plain_stream(24, 24, ((2, 2), (1, 1), (1, 1)), plain_image(24, 24, ((2, 2), (1, 1), (1, 1)), 1))
+    grey = plain_stream(13, 30, ((1, 1),), plain_image(13, 30, ((1, 1),), 2))
+    baseline, torn, broken = good.replace(b"\xff\xc2", b"\xff\xc0"), good[: len(good) // 2], bytearray(good)
+    broken[len(good) * 2 // 3] ^= 0x55
+    huge = good.replace((24).to_bytes(2, "big") * 2, b"\xff\xff\xff\xff", 1)
+    media = [good, baseline, None, torn, grey, b"", b"no picture", huge, good]
+    rows = jpeg.read_media(spark.createDataFrame(list(enumerate(media)), "k int, media binary").coalesce(1), with_tensor=True).collect()
+    by = {r["k"]: r for r in rows}
+    assert [by[k]["problem"] is None for k in range(9)] == [True, False, True, False, True, False, False, False, True]
+    assert by[0]["feature"] == by[8]["feature"] and (by[4]["width"], by[4]["height"]) == (13, 30) and by[2]["feature"] is None
+    assert all(by[k]["rgb"] is None for k in (1, 2, 3, 5, 6, 7)) and len(by[0]["rgb"]) == 24 * 24 * 3
+    jpeg.decoded([bytes(broken), good])
+
+
 def test_zigzag_is_the_formats():
     assert sorted(jpeg.ZIGZAG.tolist()) == list(range(64))
     assert jpeg.ZIGZAG[:10].tolist() == [0, 1, 8, 16, 9, 2, 3, 10, 17, 24] and jpeg.ZIGZAG[-3:].tolist() == [55, 62, 63]
