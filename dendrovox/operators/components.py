@@ -17,54 +17,73 @@ def _labelled(nodes: DataFrame, parts: DataFrame, node: str) -> DataFrame:
     return nodes.join(parts.withColumnRenamed("node", node).withColumnRenamed("component", "label"), node, "left").withColumn("label", F.coalesce("label", node))
 
 
-def label_voxels(foreground: DataFrame, dims: Triple, connectivity: int = 26) -> DataFrame:
-    """``foreground`` (z, y, x, ...) with label: the least address of its component."""
-    nodes = materialize(foreground.withColumn("address", address(dims)))
-    pairs = neighbour_pairs(nodes, connectivity, forward=True, keep=("address",))
-    parts = connected_components(pairs.select(F.col("address").alias("u"), F.col("n_address").alias("v")))
-    return _labelled(nodes, parts, "address")
-
-
-def _least_in_chunk(z: np.ndarray, y: np.ndarray, x: np.ndarray, at: np.ndarray, steps: list[tuple[int, int, int]]) -> np.ndarray:
-    """The least address of each voxel's component inside one chunk, by label passing to a fixpoint."""
-    spot = {p: i for i, p in enumerate(zip(z.tolist(), y.tolist(), x.tolist(), strict=True))}
-    a, b = [], []
-    for (cz, cy, cx), i in spot.items():
-        for dz, dy, dx in steps:
-            j = spot.get((cz + dz, cy + dy, cx + dx))
-            if j is not None:
-                a.append(i)
-                b.append(j)
-    a, b, label = np.array(a, int), np.array(b, int), at.copy()
+def _least_in_chunk(place: np.ndarray, wide: tuple[int, int, int], at: np.ndarray, steps: list[tuple[int, int, int]]) -> np.ndarray:
+    """The least address of each voxel's component inside one chunk.
+
+    ``place``: addresses in the chunk widened by one on every side, so a step is one difference. Ends
+    of edges hang on the smaller of their heads, chains are halved, until all ends of edges agree.
+    """
+    order = np.argsort(place)
+    ordered = place[order]
+    ends = []
+    for dz, dy, dx in steps:
+        to = ordered + (dz * wide[1] + dy) * wide[2] + dx
+        spot = np.minimum(np.searchsorted(ordered, to), len(ordered) - 1)
+        met = np.flatnonzero(ordered[spot] == to)
+        ends.append(np.stack([met, spot[met]]))
+    a, b = np.concatenate(ends, axis=1)
+    head = np.arange(len(ordered))
     while len(a):
-        low = np.minimum(label[a], label[b])
-        before = label.copy()
-        np.minimum.at(label, a, low)
-        np.minimum.at(label, b, low)
-        if (before == label).all():
+        ha, hb = head[a], head[b]
+        apart = ha != hb
+        if not apart.any():
             break
-    return label
+        a, b = a[apart], b[apart]
+        np.minimum.at(head, np.maximum(ha[apart], hb[apart]), np.minimum(ha[apart], hb[apart]))
+        while (head[head] != head).any():
+            head = head[head]
+    least = np.full(len(ordered), np.iinfo(np.int64).max)
+    np.minimum.at(least, head, at[order])
+    out = np.empty(len(ordered), np.int64)
+    out[order] = least[head]
+    return out
 
 
-def label_chunks(foreground: DataFrame, dims: Triple, chunk: Triple, connectivity: int = 26) -> DataFrame:
-    """As ``label_voxels``, chunk by chunk: labels inside chunks first, then their joins over borders.
+CHUNK = (32, 64, 64)
+
+
+def label_voxels(foreground: DataFrame, dims: Triple, connectivity: int = 26, chunk: Triple = CHUNK) -> DataFrame:
+    """``foreground`` (z, y, x, ...) with address and label: the least address of its component.
 
-    Only pairs of voxels in two chunks reach the star rounds, so a component inside a chunk costs
-    no shuffle of its own.
+    Voxels are labelled inside chunks first. Only pairs of voxels in two chunks reach the star
+    rounds, so a component inside a chunk costs no shuffle of its own. Repeated voxels keep theirs.
     """
+    kept = [c for c in foreground.columns if c not in ("address", "label", "local", "cz", "cy", "cx")]
     cells = [F.expr(f"{a} div {n}").alias(f"c{a}") for a, n in zip("zyx", chunk)]
-    nodes = foreground.select("z", "y", "x", address(dims).alias("address"), *cells)
+    nodes = foreground.select(*kept, address(dims).cast("long").alias("address"), *cells)
     steps = offsets(connectivity, forward=True)
+    wide = tuple(n + 2 for n in chunk)
 
     def local(part: pa.Table) -> pa.Table:
-        z, y, x, at = (part.column(c).to_numpy() for c in ("z", "y", "x", "address"))
-        return pa.table({"z": z, "y": y, "x": x, "address": at, "local": _least_in_chunk(z, y, x, at, steps), "cz": part.column("cz"), "cy": part.column("cy"), "cx": part.column("cx")})
-
-    inside = materialize(nodes.groupBy("cz", "cy", "cx").applyInArrow(local, "z long, y long, x long, address long, local long, cz long, cy long, cx long"))
-    pairs = neighbour_pairs(inside, connectivity, forward=True, keep=("local", "cz", "cy", "cx"))
+        z, y, x = (part.column(c).to_numpy() % n + 1 for c, n in zip("zyx", chunk))
+        place, first, again = np.unique((z * wide[1] + y) * wide[2] + x, return_index=True, return_inverse=True)
+        least = _least_in_chunk(place, wide, part.column("address").to_numpy()[first], steps)
+        return part.append_column("local", pa.array(least[again]))
+
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in nodes.schema)
+    inside = materialize(nodes.groupBy("cz", "cy", "cx").applyInArrow(local, f"{types}, local long"))
+    sides = F.lit(False)
+    for a, n in zip("zyx", chunk):
+        sides |= (F.col(a) % n).isin(0, n - 1)
+    border = inside.where(sides).select("z", "y", "x", "local", "cz", "cy", "cx")
+    pairs = neighbour_pairs(border, connectivity, forward=True, keep=("local", "cz", "cy", "cx"))
     over = pairs.where("cz <> n_cz or cy <> n_cy or cx <> n_cx").select(F.col("local").alias("u"), F.col("n_local").alias("v"))
-    parts = connected_components(over)
-    return _labelled(inside, parts, "local").select("z", "y", "x", "address", "label")
+    return _labelled(inside, connected_components(over), "local").select(*kept, "address", "label")
+
+
+def label_chunks(foreground: DataFrame, dims: Triple, chunk: Triple, connectivity: int = 26) -> DataFrame:
+    """Places, address and label only, with chunks of a given size."""
+    return label_voxels(foreground.select("z", "y", "x"), dims, connectivity, chunk)
 
 
 def label_points(points: DataFrame, radius: float, key: str = "id") -> DataFrame:

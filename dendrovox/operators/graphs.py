@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dendrovox.operators.neighbours import neighbour_pairs
@@ -24,18 +24,18 @@ def voxel_graph(foreground: DataFrame, dims: Triple, connectivity: int = 26) ->
     return nodes, pairs.select(F.col("id").alias("u"), F.col("n_id").alias("v"), (length * (F.col("value") + F.col("n_value")) / 2).alias("cost"))
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, rounds: int = 10_000) -> DataFrame:
+def shortest_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """(id, distance, parent) of every vertex that the sources (id) reach; a source has no parent.
 
     Each round sends out only the vertices that came closer in the last one; ties go to the smaller
-    parent. Rounds stop at the longest path in edges. Negative costs are refused.
+    parent. Rounds end with the longest path in edges, however long. Negative costs are refused.
     """
     edges = materialize(edges)
     if not edges.where("cost < 0").isEmpty():
         raise ValueError("negative cost")
     best = materialize(sources.select("id", F.lit(0.0).alias("distance"), F.lit(None).cast("long").alias("parent")).distinct())
     front = best
-    for _ in range(rounds):
+    while True:
         sent = front.join(edges, front["id"] == edges["u"]).select(F.col("v").alias("id"), (F.col("distance") + F.col("cost")).alias("distance"), F.col("u").alias("parent"))
         nearest = sent.groupBy("id").agg(F.min(F.struct("distance", "parent")).alias("b")).select("id", "b.distance", "b.parent")
         had = best.select("id", F.col("distance").alias("_had"))
@@ -43,7 +43,6 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, rounds: int = 10_000) -
         if front.isEmpty():
             return best
         best = materialize(best.join(front.select("id"), "id", "left_anti").unionByName(front))
-    raise RuntimeError(f"paths of more than {rounds} edges")
 
 
 def hops(edges: DataFrame, sources: DataFrame) -> DataFrame:
@@ -60,8 +59,3 @@ def trapped(edges: DataFrame, sources: DataFrame, traps: DataFrame) -> DataFrame
     """Levels of a search that enters the traps (id) but goes on from none but its own sources."""
     shut = traps.join(sources, "id", "left_anti").select(F.col("id").alias("u"))
     return hops(edges.join(shut, "u", "left_anti"), sources)
-
-
-def marching_cost(v: Column, top: Column) -> Column:
-    """Grey-weighted value of a voxel for tracing."""
-    return F.exp(10 * F.pow(1 - v / top, F.lit(2)))

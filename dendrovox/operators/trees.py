@@ -183,26 +183,39 @@ def morphology(tree: DataFrame) -> DataFrame:
     return counts.join(F.broadcast(long))
 
 
+def _finite(*columns: str) -> Column:
+    test = F.lit(True)
+    for c in columns:
+        test &= F.coalesce(F.abs(F.col(c)) < float("inf"), F.lit(False)) & ~F.isnan(c)
+    return test
+
+
 def nearest_node(tree: DataFrame, targets: DataFrame, cell: float) -> DataFrame:
     """(target_id, node_id, distance) of the node nearest to each target (target_id, x, y, z).
 
     Nodes lie in cubes of side ``cell``. A target looks in the 27 cubes around its own, and what it
-    finds within ``cell`` is final; others look again in cubes twice as wide until all are done.
+    finds within ``cell`` is final; others look again in cubes twice as wide until all are done, so
+    ``cell`` decides the speed only. Equally near nodes: the smaller id. Targets without a place
+    (null, NaN or infinite) and all targets of a tree without placed nodes have null results.
     """
-    left, found, side = targets, None, float(cell)
     shift = F.array(*[F.struct(*[F.lit(v).alias(f"d{a}") for v, a in zip(d, "xyz")]) for d in [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]])
-    for _ in range(64):
-        cells = [F.floor(F.col(a) / side).cast("long").alias(f"c{a}") for a in "xyz"]
-        held = tree.select("node_id", *[F.col(a).alias(f"n{a}") for a in "xyz"], *cells)
+    nodes = materialize(tree.select("node_id", *[F.col(a).cast("double").alias(f"n{a}") for a in "xyz"]).where(_finite("nx", "ny", "nz")))
+    targets = materialize(targets.select("target_id", *[F.col(a).cast("double").alias(a) for a in "xyz"]))
+    nothing = [F.lit(None).cast(tree.schema["node_id"].dataType).alias("node_id"), F.lit(None).cast("double").alias("distance")]
+    if nodes.isEmpty():
+        return targets.select("target_id", *nothing)
+    found = targets.where(~_finite("x", "y", "z")).select("target_id", *nothing)
+    left, side = targets.where(_finite("x", "y", "z")), float(cell)
+    while not left.isEmpty():
+        cells = [F.floor(F.col(a) / side).alias(f"c{a}") for a in "xyz"]
+        held = nodes.select("*", *[F.floor(F.col(f"n{a}") / side).alias(f"c{a}") for a in "xyz"])
         asked = left.select("target_id", "x", "y", "z", *cells).withColumn("_s", F.explode(shift))
         asked = asked.select("target_id", "x", "y", "z", *[(F.col(f"c{a}") + F.col(f"_s.d{a}")).alias(f"c{a}") for a in "xyz"])
         far = F.sqrt(sum(((F.col(a) - F.col(f"n{a}")) * (F.col(a) - F.col(f"n{a}")) for a in "xyz"), F.lit(0.0)))
         best = asked.join(held, ["cx", "cy", "cz"]).groupBy("target_id").agg(F.min(F.struct(far.alias("distance"), "node_id")).alias("b"))
         sure = materialize(best.where(F.col("b.distance") <= side).select("target_id", F.col("b.node_id").alias("node_id"), F.col("b.distance").alias("distance")))
-        found = sure if found is None else found.unionByName(sure)
+        found = found.unionByName(sure)
         left = materialize(left.join(sure, "target_id", "left_anti"))
-        if left.isEmpty() or tree.isEmpty():
-            return found
         side *= 2
     return found
 
@@ -212,26 +225,33 @@ def tree_labels(forest: DataFrame) -> DataFrame:
     return climb(forest, F.lit(0).cast("long"), F.col("parent_id") == ROOT).select("node_id", F.col("top").alias("root"))
 
 
+def subtree_max(tree: DataFrame, value: DataFrame) -> DataFrame:
+    """(node_id, best): the largest ``value`` (node_id, best) at or below each node, where there is one.
+
+    Round i sends what nodes know of the 2^i levels below them to their ancestors 2^i levels up, so
+    a chain of n nodes takes log2(n) rounds.
+    """
+    state = tree.select("node_id", F.when(F.col("parent_id") != ROOT, F.col("parent_id")).alias("jump")).join(value, "node_id", "left")
+    state = materialize(state)
+    while not state.where("jump is not null").isEmpty():
+        sent = state.where("jump is not null and best is not null").groupBy(F.col("jump").alias("node_id")).agg(F.max("best").alias("_sent"))
+        above = state.select(F.col("node_id").alias("jump"), F.col("jump").alias("_next"))
+        state = state.join(above, "jump", "left").join(sent, "node_id", "left")
+        better = F.when(F.col("best").isNull() | (F.col("_sent") > F.col("best")), F.col("_sent")).otherwise(F.col("best"))
+        state = materialize(state.select("node_id", F.col("_next").alias("jump"), better.alias("best")))
+    return state.where("best is not null").select("node_id", "best")
+
+
 def hierarchical_segments(tree: DataFrame, weight: str = "radius") -> DataFrame:
-    """(node_id, leaf, top): each node's heaviest leaf below, and the top of that leaf's segment.
+    """(node_id, leaf, top, nodes): each node's heaviest leaf below, and the top of that leaf's segment.
 
     A leaf's weight is the sum of ``weight`` from the root to it; ties go to the larger id. The
-    segment of a leaf reaches up to the highest node whose heaviest leaf it is. Every node's leaf is
-    found by sending leaves upwards level by level.
+    segment of a leaf reaches up to the highest node whose heaviest leaf it is.
     """
     sums = climb(tree, F.col(weight), F.col("parent_id") == ROOT)
-    depth = materialize(tree.join(sums.select("node_id", "total", "steps"), "node_id"))
+    depth = materialize(tree.select("node_id").join(sums.select("node_id", "total", "steps"), "node_id"))
     tips = leaves(tree).select("node_id").join(depth.select("node_id", "total"), "node_id")
-    state = tips.select("node_id", F.struct("total", F.col("node_id").alias("leaf")).alias("best"))
-    state = materialize(state)
-    done = state
-    links = tree.select("node_id", "parent_id")
-    while True:
-        state = state.join(links, "node_id").where(F.col("parent_id") != ROOT).groupBy(F.col("parent_id").alias("node_id")).agg(F.max("best").alias("best"))
-        state = materialize(state.join(done.select("node_id", F.col("best").alias("_had")), "node_id", "left").where(F.col("_had").isNull() | (F.col("best") > F.col("_had"))).drop("_had"))
-        if state.isEmpty():
-            break
-        done = materialize(done.union(state).groupBy("node_id").agg(F.max("best").alias("best")))
+    done = subtree_max(tree, tips.select("node_id", F.struct("total", F.col("node_id").alias("leaf")).alias("best")))
     owned = done.join(depth.select("node_id", "steps"), "node_id")
     tops = owned.groupBy(F.col("best.leaf").alias("leaf")).agg(F.min(F.struct("steps", "node_id")).alias("t"), F.count(F.lit(1)).alias("nodes"))
     return owned.select("node_id", F.col("best.leaf").alias("leaf")).join(tops.select("leaf", F.col("t.node_id").alias("top"), "nodes"), "leaf")

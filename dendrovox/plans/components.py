@@ -35,24 +35,17 @@ def _settled(edges: DataFrame) -> bool:
     return ends.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above")).where("below > 1 or (below = 1 and above = 1)").isEmpty()
 
 
-#: Up to so many edges a round is one task's work and runs without a shuffle.
-ONE_TASK_EDGES = 200_000
-
-
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node that has an edge; component: the least node reachable.
 
     ``edges`` has columns u and v (long, not null); loops and repeated edges do no harm. Both stars
     aggregate before they join, so a node with very many edges is no single task, and each round is
-    checkpointed in shared storage.
+    checkpointed in shared storage. Rounds go on until all edges are stars; every round before that
+    moves some edge to a smaller node, so they end.
     """
     plain = edges.select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v"))
     state = materialize(plain.where("u <> v").distinct())
-    small = state.count() <= ONE_TASK_EDGES
-    for _ in range(rounds):
-        state = state.coalesce(1) if small else state
-        if _settled(state):
-            leaves = state.select(F.col("u").alias("node"), F.col("v").alias("component"))
-            return leaves.union(leaves.select(F.col("component").alias("node"), "component").distinct())
+    while not _settled(state):
         state = materialize(small_star(large_star(state)))
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+    leaves = state.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return leaves.union(leaves.select(F.col("component").alias("node"), "component").distinct())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -9,14 +10,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local one only where the setting is absent."""
+    """The folder named by ``spark.checkpoint.dir`` or given to ``setCheckpointDir``; without one this raises.
+
+    Only a folder that driver and executors share will do, so none is made up. A local session, whose
+    only machine is the driver's, takes one in its folder for temporary files.
+    """
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not root and context.master.startswith("local"):
+        root = f"file://{os.path.join(tempfile.gettempdir(), 'spark-checkpoint')}"
     if not root:
-        root = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(root)
-    return spark.conf.get("spark.checkpoint.dir", None) or root
+    return root
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
