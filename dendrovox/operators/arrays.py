@@ -105,7 +105,8 @@ def match_histograms(df: DataFrame, history: int, decay: float = 1.0, by: str =
     """Each plane's values mapped to those of the planes before it: (by, v, matched).
 
     A value goes to the least value whose share in the ``history`` planes before (weighted by
-    ``decay`` per step back) reaches its own share. The first ``history`` planes stay.
+    ``decay`` per step back) reaches its own share, or one step up where these planes hold that next
+    value too. The first ``history`` planes stay.
     """
     cdf = plane_cdf(df, by, v)
     order = cdf.select(by).distinct().withColumn("_at", F.row_number().over(Window.orderBy(by)))
@@ -116,10 +117,11 @@ def match_histograms(df: DataFrame, history: int, decay: float = 1.0, by: str =
     whole = Window.partitionBy("_at")
     upto = whole.orderBy("_pv").rowsBetween(Window.unboundedPreceding, 0)
     past = past.withColumn("_share", F.sum("_w").over(upto) / F.sum("_w").over(whole))
+    past = past.withColumn("_to", F.when(F.lead("_pv").over(whole.orderBy("_pv")) == F.col("_pv") + 1, F.col("_pv") + 1).otherwise(F.col("_pv")))
     # both CDFs of a plane in one order, past values behind equal shares; the next past value answers
     none = F.lit(None)
-    asked = placed.select("_at", by, v, (F.col("cdf") - 1e-12).alias("_s"), F.lit(0).alias("_side"), none.cast(past.schema["_pv"].dataType).alias("_pv"))
-    given = past.select("_at", none.cast(placed.schema[by].dataType).alias(by), none.cast(placed.schema[v].dataType).alias(v), F.col("_share").alias("_s"), F.lit(1).alias("_side"), "_pv")
+    asked = placed.select("_at", by, v, (F.col("cdf") - 1e-12).alias("_s"), F.lit(0).alias("_side"), none.cast(past.schema["_pv"].dataType).alias("_pv"), none.cast(past.schema["_to"].dataType).alias("_to"))
+    given = past.select("_at", none.cast(placed.schema[by].dataType).alias(by), none.cast(placed.schema[v].dataType).alias(v), F.col("_share").alias("_s"), F.lit(1).alias("_side"), "_pv", "_to")
     after = whole.orderBy("_s", "_side", "_pv").rowsBetween(0, Window.unboundedFollowing)
-    merged = asked.unionByName(given).withColumn("_m", F.first("_pv", ignorenulls=True).over(after)).where("_side = 0")
+    merged = asked.unionByName(given).withColumn("_m", F.first("_to", ignorenulls=True).over(after)).where("_side = 0")
     return merged.select(by, v, F.when((F.col("_at") > history) & F.col("_m").isNotNull(), F.col("_m")).otherwise(F.col(v)).alias("matched"))

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import heapq
+import math
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dendrovox.operators.neighbours import neighbour_pairs
@@ -24,30 +30,125 @@ def voxel_graph(foreground: DataFrame, dims: Triple, connectivity: int = 26) ->
     return nodes, pairs.select(F.col("id").alias("u"), F.col("n_id").alias("v"), (length * (F.col("value") + F.col("n_value")) / 2).alias("cost"))
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
+#: Edges that one task should hold where the graph gives no parts of its own.
+PART_EDGES = 500_000
+
+
+def voxel_part(dims: Triple, chunk: Triple = (32, 64, 64)) -> Callable[[Column], Column]:
+    """The chunk of a volume that an address lies in: vertices of one part are relaxed together."""
+    (_, ydim, xdim), (dz, dy, dx) = dims, chunk
+
+    def part(at: Column) -> Column:
+        z, y, x = F.floor(at / (ydim * xdim)), F.floor(at / xdim) % ydim, at % xdim
+        return F.xxhash64(F.floor(z / dz), F.floor(y / dy), F.floor(x / dx))
+
+    return part
+
+
+def _relaxed(state: pa.Table, edges: pa.Table) -> pa.Table:
+    """Shortest distances inside one part from its changed vertices on, and what they offer to other parts."""
+    known, far = state.column("id").to_numpy(), state.column("distance").to_numpy()
+    start, end, cost, inside = (edges.column(c).to_numpy() for c in ("u", "v", "cost", "inside"))
+    order = np.argsort(start, kind="stable")
+    start, end, cost, inside = start[order], end[order], cost[order], inside[order]
+    nodes = np.unique(np.concatenate([known, start, end[inside]]))
+    distance, parent = np.full(len(nodes), np.inf), np.full(len(nodes), -1)
+    spots = np.searchsorted(nodes, known)
+    distance[spots] = far
+    heap = [(float(distance[i]), int(i)) for i in spots[state.column("changed").to_numpy()]]
+    heapq.heapify(heap)
+    firsts, lasts = (np.searchsorted(start, nodes, side).tolist() for side in ("left", "right"))
+    to, to_id = np.where(inside, np.minimum(np.searchsorted(nodes, end), len(nodes) - 1), -1).tolist(), end.tolist()
+    cost, best, up, offers = cost.tolist(), distance.tolist(), parent.tolist(), {}
+    moved = set()
+    while heap:
+        d, i = heapq.heappop(heap)
+        if d > best[i]:
+            continue
+        for k in range(firsts[i], lasts[i]):
+            new, j = d + cost[k], to[k]
+            if j < 0:
+                if new < offers.get(to_id[k], (math.inf,))[0]:
+                    offers[to_id[k]] = new, i
+            elif new < best[j]:
+                best[j], up[j] = new, i
+                moved.add(j)
+                heapq.heappush(heap, (new, j))
+    mine = sorted(moved)
+    others = sorted(offers)
+    ids = [*(int(nodes[i]) for i in mine), *others]
+    distances = [*(best[i] for i in mine), *(offers[i][0] for i in others)]
+    parents = [int(nodes[up[i]]) for i in mine] + [int(nodes[offers[i][1]]) for i in others]
+    return pa.table({"id": pa.array(ids, pa.int64()), "distance": pa.array(distances, pa.float64()), "parent": pa.array(parents, pa.int64()), "own": pa.array([True] * len(mine) + [False] * len(others), pa.bool_())})
+
+
+def shortest_paths(edges: DataFrame, sources: DataFrame, part: Callable[[Column], Column] | None = None) -> DataFrame:
     """(id, distance, parent) of every vertex that the sources (id) reach; a source has no parent.
 
-    Each round sends out only the vertices that came closer in the last one; ties go to the smaller
-    parent. Rounds end with the longest path in edges, however long. Negative costs are refused.
+    Vertices are dealt to parts by ``part`` of their id (without one, by hash). A round relaxes all
+    paths inside the parts that changed and sends out only what crosses their borders, so rounds end
+    with the number of borders on a shortest path, not of its edges. Of several parents on shortest
+    ways (to a share of 1e-9) the smallest id is given. Negative costs are refused.
     """
+    edges = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"), F.col("cost").cast("double").alias("cost"))
     edges = materialize(edges)
     if not edges.where("cost < 0").isEmpty():
         raise ValueError("negative cost")
-    best = materialize(sources.select("id", F.lit(0.0).alias("distance"), F.lit(None).cast("long").alias("parent")).distinct())
-    front = best
-    while True:
-        sent = front.join(edges, front["id"] == edges["u"]).select(F.col("v").alias("id"), (F.col("distance") + F.col("cost")).alias("distance"), F.col("u").alias("parent"))
-        nearest = sent.groupBy("id").agg(F.min(F.struct("distance", "parent")).alias("b")).select("id", "b.distance", "b.parent")
+    if part is None:
+        parts = edges.count() // PART_EDGES + 1
+
+        def part(at: Column) -> Column:
+            return F.pmod(F.xxhash64(at), F.lit(parts))
+
+    dealt = materialize(edges.withColumns({"part": part(F.col("u")), "inside": part(F.col("u")) == part(F.col("v"))}))
+    best = materialize(sources.select(F.col("id").cast("long").alias("id"), F.lit(0.0).alias("distance"), F.lit(None).cast("long").alias("parent")).distinct())
+    front = best.select("id")
+    while not front.isEmpty():
+        placed = best.withColumn("part", part(F.col("id")))
+        touched = materialize(front.select(part(F.col("id")).alias("part")).distinct())
+        state = placed.join(touched, "part", "left_semi").join(front.withColumn("changed", F.lit(True)), "id", "left").select("id", "distance", F.coalesce("changed", F.lit(False)).alias("changed"), "part")
+        sent = state.groupBy("part").cogroup(dealt.join(touched, "part", "left_semi").groupBy("part")).applyInArrow(_relaxed, "id long, distance double, parent long, own boolean")
+        nearest = sent.groupBy("id").agg(F.min(F.struct("distance", "parent", "own")).alias("b")).select("id", "b.*")
         had = best.select("id", F.col("distance").alias("_had"))
-        front = materialize(nearest.join(had, "id", "left").where(F.col("_had").isNull() | (F.col("distance") < F.col("_had"))).drop("_had"))
-        if front.isEmpty():
-            return best
-        best = materialize(best.join(front.select("id"), "id", "left_anti").unionByName(front))
+        better = materialize(nearest.join(had, "id", "left").where(F.col("_had").isNull() | (F.col("distance") < F.col("_had"))).drop("_had"))
+        front = better.where("not own").select("id")
+        best = materialize(best.join(better.select("id"), "id", "left_anti").unionByName(better.drop("own")))
+    return _least_parents(best, edges)
+
+
+def reached(paths: DataFrame, targets: DataFrame) -> DataFrame:
+    """(id, reached, distance) of each target (id); those that no source reaches have no distance."""
+    found = paths.select("id", "distance")
+    return targets.select("id").distinct().join(found, "id", "left").select("id", F.col("distance").isNotNull().alias("reached"), "distance")
+
+
+def traced(paths: DataFrame, targets: DataFrame) -> DataFrame:
+    """``paths`` of the vertices on the ways from the sources to the targets (id) only: a tree to targets."""
+    state = materialize(paths.select("id", "parent"))
+    on = materialize(state.join(targets.select("id").distinct(), "id", "left_semi").select("id", "parent"))
+    jumps = state.select("id", F.col("parent").alias("jump"))
+    found = on.select("id")
+    # Round i adds the ancestors 2^i levels above all that are found; jumps double.
+    while not jumps.where("jump is not null").isEmpty():
+        jumps = materialize(jumps)
+        found = materialize(found.union(found.join(jumps.where("jump is not null"), "id").select(F.col("jump").alias("id"))).distinct())
+        above = jumps.select(F.col("id").alias("jump"), F.col("jump").alias("_next"))
+        jumps = jumps.join(above, "jump", "left").select("id", F.col("_next").alias("jump"))
+    return paths.join(found, "id", "left_semi")
+
+
+def _least_parents(paths: DataFrame, edges: DataFrame) -> DataFrame:
+    """``paths`` with the smallest of all equally good parents; one that is no nearer itself is none."""
+    far = paths.select(F.col("id").alias("u"), F.col("distance").alias("_u"))
+    met = edges.join(far, "u").join(paths.select(F.col("id").alias("v"), F.col("distance").alias("_v")), "v")
+    good = met.where((F.col("_u") < F.col("_v")) & (F.col("_u") + F.col("cost") <= F.col("_v") * (1 + 1e-9)))
+    least = good.groupBy(F.col("v").alias("id")).agg(F.min("u").alias("_least"))
+    return paths.join(least, "id", "left").select("id", "distance", F.coalesce("_least", "parent").alias("parent"))
 
 
-def hops(edges: DataFrame, sources: DataFrame) -> DataFrame:
+def hops(edges: DataFrame, sources: DataFrame, part: Callable[[Column], Column] | None = None) -> DataFrame:
     """Breadth-first levels: (id, hops)."""
-    return shortest_paths(edges.select("u", "v", F.lit(1.0).alias("cost")), sources).select("id", F.col("distance").cast("long").alias("hops"))
+    return shortest_paths(edges.select("u", "v", F.lit(1.0).alias("cost")), sources, part).select("id", F.col("distance").cast("long").alias("hops"))
 
 
 def outer_vertices(paths: DataFrame) -> DataFrame:
@@ -55,7 +156,7 @@ def outer_vertices(paths: DataFrame) -> DataFrame:
     return paths.join(paths.where("parent is not null").select(F.col("parent").alias("id")).distinct(), "id", "left_anti")
 
 
-def trapped(edges: DataFrame, sources: DataFrame, traps: DataFrame) -> DataFrame:
+def trapped(edges: DataFrame, sources: DataFrame, traps: DataFrame, part: Callable[[Column], Column] | None = None) -> DataFrame:
     """Levels of a search that enters the traps (id) but goes on from none but its own sources."""
     shut = traps.join(sources, "id", "left_anti").select(F.col("id").alias("u"))
-    return hops(edges.join(shut, "u", "left_anti"), sources)
+    return hops(edges.join(shut, "u", "left_anti"), sources, part)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from dendrovox.operators import graphs, neurites, similarity, trees, views
 from dendrovox.operators.ranking import ranked
 from dendrovox.plans.durable import materialize
-from dendrovox.queries.volumes import DIMS, FRONT, _near, front
+from dendrovox.queries.volumes import FRONT, front, pairs
 from dendrovox.sources import derived, swc
 from dendrovox.sources.derived import POINTS, POLYLINES, TREE
 
@@ -54,9 +54,7 @@ def prune_tips(spark, d):
 
 def prune_tips_stable(spark, d):
     t = tree(spark, d)
-    kept = trees.prune_short_tips(t, 2, stable=t.where("node_id % 3 = 0"))
-    leafless = trees.short_tips(kept, 2).join(t.where("node_id % 3 <> 0 and parent_id <> -1").select("node_id"), "node_id", "left_semi")
-    return kept.agg(F.count(F.lit(1)).alias("nodes")).select((F.col("nodes") > 0).alias("some"), F.lit(leafless.isEmpty()).alias("settled"))
+    return trees.prune_short_tips(t, 2, stable=t.where("node_id % 3 = 0")).select("node_id", "parent_id")
 
 
 def transform(spark, d):
@@ -195,22 +193,22 @@ def gcut_assign(spark, d):
 
 
 def bfs_hops(spark, d):
-    f = front(spark, d).withColumn("address", views.address(DIMS))
-    _, edges = graphs.voxel_graph(f.drop("address"), DIMS, 26)
-    return graphs.hops(edges, f.agg(F.min("address").alias("id")))
+    f = front(spark, d).withColumn("address", views.address(derived.dims(spark, d)))
+    _, edges = graphs.voxel_graph(f.drop("address"), derived.dims(spark, d), 26)
+    return graphs.hops(edges, f.agg(F.min("address").alias("id")), graphs.voxel_part(derived.dims(spark, d)))
 
 
 def trapped_hops(spark, d):
-    f = front(spark, d).withColumn("address", views.address(DIMS))
-    _, edges = graphs.voxel_graph(f.drop("address"), DIMS, 26)
+    f = front(spark, d).withColumn("address", views.address(derived.dims(spark, d)))
+    _, edges = graphs.voxel_graph(f.drop("address"), derived.dims(spark, d), 26)
     traps = f.where("(y + x) % 3 = 0").select(F.col("address").alias("id"))
-    return graphs.trapped(edges, f.agg(F.min("address").alias("id")), traps)
+    return graphs.trapped(edges, f.agg(F.min("address").alias("id")), traps, graphs.voxel_part(derived.dims(spark, d)))
 
 
 def _paths(spark, d):
-    f = front(spark, d).withColumn("address", views.address(DIMS))
-    _, edges = graphs.voxel_graph(f.drop("address"), DIMS, 26)
-    return graphs.shortest_paths(edges, f.agg(F.min("address").alias("id")))
+    f = front(spark, d).withColumn("address", views.address(derived.dims(spark, d)))
+    _, edges = graphs.voxel_graph(f.drop("address"), derived.dims(spark, d), 26)
+    return graphs.shortest_paths(edges, f.agg(F.min("address").alias("id")), graphs.voxel_part(derived.dims(spark, d)))
 
 
 def dijkstra_cost(spark, d):
@@ -226,42 +224,29 @@ def sssp_boundary(spark, d):
 
 
 def _pair(spark, d):
-    from pyspark.sql import Window
-
-    p = derived.points(spark, d).where("id < 400")
-    w = Window.partitionBy("cloud").orderBy("id")
-    line = p.select("cloud", F.col("id").alias("node_id"), F.lit(0).cast("long").alias("node_type"), "x", "y", "z", F.lit(1.0).alias("radius"), F.coalesce(F.lag("id").over(w), F.lit(-1)).alias("parent_id"))
-    return line.where("cloud = 0").drop("cloud"), line.where("cloud = 1").drop("cloud")
-
-
-def directional_distance(spark, d):
-    a, b = _pair(spark, d)
-    return similarity.directional_distance(a, b, 2.0, 40.0).select("points", "near", F.round("total", 4).alias("total"), F.round("most", 6).alias("most"), F.round("over_total", 4).alias("over_total"), "over")
-
-
-def spatial_distance(spark, d):
-    a, b = _pair(spark, d)
-    return similarity.spatial_distance(a, b, cell=40.0).select(*[F.round(c, 6).alias(c) for c in ("sd", "ssd", "ssd_share", "most")])
+    """All points as two trees: those of even clouds and those of odd ones, each a line in order of id."""
+    p = derived.points(spark, d).withColumn("side", F.col("cloud") % 2)
+    p = materialize(ranked(p, ["side"], F.expr("id div 1024"), [F.col("id")], "_at"))
+    before = p.select("side", (F.col("_at") + 1).alias("_at"), F.col("id").alias("parent_id"))
+    line = p.join(before, ["side", "_at"], "left").select("side", F.col("id").alias("node_id"), F.lit(0).cast("long").alias("node_type"), "x", "y", "z", F.lit(1.0).alias("radius"), F.coalesce("parent_id", F.lit(-1)).alias("parent_id"))
+    line = materialize(line)
+    return line.where("side = 0").drop("side"), line.where("side = 1").drop("side")
 
 
-def _whole_pair(spark, d):
-    """The points of clouds 0 and 1, all of them, each cloud a line in order of id."""
-    p = derived.points(spark, d).where("cloud in (0, 1)")
-    p = materialize(ranked(p, ["cloud"], F.expr("id div 1024"), [F.col("id")], "_at"))
-    before = p.select("cloud", (F.col("_at") + 1).alias("_at"), F.col("id").alias("parent_id"))
-    line = p.join(before, ["cloud", "_at"], "left").select("cloud", F.col("id").alias("node_id"), F.lit(0).cast("long").alias("node_type"), "x", "y", "z", F.lit(1.0).alias("radius"), F.coalesce("parent_id", F.lit(-1)).alias("parent_id"))
-    line = materialize(line)
-    return line.where("cloud = 0").drop("cloud"), line.where("cloud = 1").drop("cloud")
+def _directional(cell: float | None):
+    def run(spark, d):
+        a, b = _pair(spark, d)
+        return similarity.directional_distance(a, b, 2.0, cell or similarity.spacing(b)).select("points", "near", F.round("total", 4).alias("total"), F.round("most", 6).alias("most"), F.round("over_total", 4).alias("over_total"), "over")
 
+    return run
 
-def directional_distance_whole(spark, d):
-    a, b = _whole_pair(spark, d)
-    return similarity.directional_distance(a, b, 2.0, similarity.spacing(b)).select("points", "near", F.round("total", 4).alias("total"), F.round("most", 6).alias("most"), F.round("over_total", 4).alias("over_total"), "over")
 
+def _spatial(cell: float | None):
+    def run(spark, d):
+        a, b = _pair(spark, d)
+        return similarity.spatial_distance(a, b, cell=cell or similarity.spacing(b)).select(*[F.round(c, 6).alias(c) for c in ("sd", "ssd", "ssd_share", "most")])
 
-def spatial_distance_whole(spark, d):
-    a, b = _whole_pair(spark, d)
-    return similarity.spatial_distance(a, b, cell=similarity.spacing(b)).select(*[F.round(c, 6).alias(c) for c in ("sd", "ssd", "ssd_share", "most")])
+    return run
 
 
 KIDS = "kids AS (SELECT parent_id AS node_id, count(*) AS children FROM tree WHERE parent_id <> -1 GROUP BY 1)"
@@ -293,18 +278,39 @@ _LOW, _HIGH = (_horner(_WHOLE, f"CAST({v!r} AS DOUBLE)") for v in ((0.0 - MEAN)
 _P = f"(1 - least(greatest(({_horner(_WHOLE, f'((angle - CAST({MEAN} AS DOUBLE)) / CAST({STD} AS DOUBLE))')} - {_LOW}) / ({_HIGH} - {_LOW}), 0.0), 1.0))"
 DIST = "sqrt((t.x / 500 - p.x / 500) * (t.x / 500 - p.x / 500) + (t.y - p.y) * (t.y - p.y) + (t.z - p.z) * (t.z - p.z))"
 BALL = f"CAST({4 / 3 * math.pi!r} AS DOUBLE)"
-GRAPH = f"""{FRONT}, g AS (SELECT *, exp(10 * (1 - CAST(v AS DOUBLE) / m) * (1 - CAST(v AS DOUBLE) / m)) AS value FROM front, (SELECT max(v) AS m FROM front)), edges AS (SELECT a.address AS u, b.address AS w, sqrt(abs(a.z - b.z) + abs(a.y - b.y) + abs(a.x - b.x)) * (a.value + b.value) / 2 AS cost, (a.y + a.x) % 3 = 0 AS trap FROM g a JOIN g b ON {_near('a', 'b', 3)}),
+GRAPH = f"""{FRONT}, g AS (SELECT *, exp(10 * (1 - CAST(v AS DOUBLE) / m) * (1 - CAST(v AS DOUBLE) / m)) AS value FROM front, (SELECT max(v) AS m FROM front)),
+    {pairs(3, ", a.v AS uv, b.v AS wv, abs(a.z - b.z) + abs(a.y - b.y) + abs(a.x - b.x) AS step, (a.y + a.x) % 3 = 0 AS trap")},
+    edges AS MATERIALIZED (SELECT u, w, trap, sqrt(step) * (a.value + b.value) / 2 AS cost FROM pairs JOIN g a ON a.address = u JOIN g b ON b.address = w),
     src AS (SELECT min(address) AS id FROM front)"""
 
 
 def _levels(where: str) -> str:
-    return f"""WITH RECURSIVE {GRAPH}, b(id, hops) AS (SELECT id, CAST(0 AS BIGINT) FROM src UNION SELECT e.w, b.hops + 1 FROM b JOIN edges e ON e.u = b.id WHERE b.hops < 60 {where}) SELECT id, min(hops) AS hops FROM b GROUP BY 1"""
+    return f"""WITH RECURSIVE {GRAPH}, b(id, hops) USING KEY (id) AS (SELECT id, CAST(0 AS BIGINT) FROM src UNION SELECT e.w, min(x.hops + 1) FROM b x JOIN edges e ON e.u = x.id LEFT JOIN recurring.b c ON c.id = e.w WHERE (c.id IS NULL OR x.hops + 1 < c.hops) {where} GROUP BY e.w) SELECT id, hops FROM b"""
 
 
-LINES = f"{POINTS}, l AS (SELECT cloud, id, x, y, z, lag(x) OVER o AS px, lag(y) OVER o AS py, lag(z) OVER o AS pz FROM points WHERE id < 400 AND cloud < 2 WINDOW o AS (PARTITION BY cloud ORDER BY id)), e AS (SELECT *, sqrt((x - px) * (x - px) + (y - py) * (y - py) + (z - pz) * (z - pz)) AS len FROM l WHERE px IS NOT NULL), n AS (SELECT *, CAST(floor(1.5 + len) AS BIGINT) AS n FROM e), q AS (SELECT cloud, id, k, x + (px - x) * k / n AS qx, y + (py - y) * k / n AS qy, z + (pz - z) * k / n AS qz FROM (SELECT *, unnest(range(n)) AS k FROM n))"
+PATHS = f"""{GRAPH}, d(id, distance) USING KEY (id) AS (SELECT id, CAST(0 AS DOUBLE) FROM src UNION SELECT e.w, min(x.distance + e.cost) FROM d x JOIN edges e ON e.u = x.id LEFT JOIN recurring.d c ON c.id = e.w WHERE c.id IS NULL OR x.distance + e.cost < c.distance GROUP BY e.w),
+    up AS (SELECT v.id, min(u.id) AS parent FROM d v JOIN edges e ON e.w = v.id JOIN d u ON u.id = e.u WHERE u.distance < v.distance AND u.distance + e.cost <= v.distance * (1 + 1e-9) GROUP BY 1)"""
+
+
+LINES = f"{POINTS}, l AS (SELECT cloud, id, x, y, z, lag(x) OVER o AS px, lag(y) OVER o AS py, lag(z) OVER o AS pz FROM (SELECT id, cloud % 2 AS cloud, x, y, z FROM points) WINDOW o AS (PARTITION BY cloud ORDER BY id)), e AS (SELECT *, sqrt((x - px) * (x - px) + (y - py) * (y - py) + (z - pz) * (z - pz)) AS len FROM l WHERE px IS NOT NULL), n AS (SELECT *, CAST(floor(1.5 + len) AS BIGINT) AS n FROM e), q AS (SELECT cloud, id, k, x + (px - x) * k / n AS qx, y + (py - y) * k / n AS qy, z + (pz - z) * k / n AS qz FROM (SELECT *, unnest(range(n)) AS k FROM n))"
 _T = "least(greatest(CASE WHEN len > 0 THEN ((px - x) * (qx - x) + (py - y) * (qy - y) + (pz - z) * (qz - z)) / ((px - x) * (px - x) + (py - y) * (py - y) + (pz - z) * (pz - z)) ELSE 0.0 END, 0.0), 1.0)"
 FAR = f"{LINES}, m AS (SELECT q.cloud, q.id, q.k, min(sqrt((qx - x - {_T} * (px - x)) ** 2 + (qy - y - {_T} * (py - y)) ** 2 + (qz - z - {_T} * (pz - z)) ** 2)) AS f FROM q JOIN e ON e.cloud <> q.cloud GROUP BY 1, 2, 3)"
 
+#: With tips of one node a round takes every leaf whose parent branches; 30 rounds are more than the tree has levels.
+_ROUNDS = 30
+
+
+def _round(k: int) -> str:
+    """Tips of the tree that is left: a leaf goes unless it is stable, the root or the only child of its parent (but for the root's)."""
+    t = f"t{k}"
+    return f"""t{k + 1} AS MATERIALIZED (SELECT a.node_id, a.parent_id FROM {t} a LEFT JOIN (SELECT DISTINCT parent_id AS p FROM {t}) kids ON kids.p = a.node_id LEFT JOIN (SELECT parent_id AS p, count(*) AS n FROM {t} GROUP BY 1) sib ON sib.p = a.parent_id LEFT JOIN {t} up ON up.node_id = a.parent_id
+        WHERE a.parent_id = -1 OR kids.p IS NOT NULL OR a.node_id % 3 = 0 OR NOT (sib.n > 1 OR up.parent_id = -1))"""
+
+
+SETTLED = f"WITH {TREE}, t0 AS (SELECT node_id, parent_id FROM tree), " + ", ".join(map(_round, range(_ROUNDS))) + f" SELECT node_id, parent_id FROM t{_ROUNDS}"
+DIRECTIONAL = f"WITH {FAR} SELECT count(*) AS points, count(*) AS near, round(sum(f), 4) AS total, round(max(f), 6) AS most, round(sum(CASE WHEN f >= 2 THEN f END), 4) AS over_total, count(CASE WHEN f >= 2 THEN 1 END) AS over FROM m WHERE cloud = 0"
+SPATIAL = f"WITH {FAR}, w AS (SELECT cloud, avg(f) AS sd, coalesce(avg(CASE WHEN f >= 2 THEN f END), 0.0) AS ssd, avg(CASE WHEN f >= 2 THEN 1.0 ELSE 0.0 END) AS share, max(f) AS most FROM m GROUP BY 1) SELECT round(avg(sd), 6) AS sd, round(avg(ssd), 6) AS ssd, round(avg(share), 6) AS ssd_share, round(min(most), 6) AS most FROM w"
+
 QUERIES = {
     "tree_degree": (degrees, f"WITH {TREE}, {KIDS} SELECT t.node_id, coalesce(children, 0) AS children, coalesce(children, 0) + CASE WHEN parent_id <> -1 THEN 1 ELSE 0 END AS degree FROM tree t LEFT JOIN kids USING (node_id)"),
     "tree_leaves": (leaves, f"WITH {TREE}, {ENDS} SELECT node_id FROM ends"),
@@ -313,7 +319,7 @@ QUERIES = {
     "tree_prune_order": (prune_order, f"WITH RECURSIVE {ORDERS} SELECT node_id, parent_id FROM tree JOIN o USING (node_id) WHERE branch_order <= 4"),
     "tree_segments": (segments, f"WITH RECURSIVE {SEGMENTS} SELECT top, count(*) AS nodes, max(node_id) AS last FROM s GROUP BY 1"),
     "tree_prune_short_leaves": (prune_tips, f"WITH RECURSIVE {SEGMENTS}, {ENDS}, short AS (SELECT top FROM s GROUP BY 1 HAVING count(*) < 2) SELECT node_id, parent_id FROM tree WHERE parent_id = -1 OR node_id NOT IN (SELECT s.node_id FROM s JOIN s l ON l.top = s.top JOIN ends ON ends.node_id = l.node_id WHERE s.top IN (SELECT top FROM short))"),
-    "tree_prune_settles": (prune_tips_stable, f"WITH {TREE} SELECT count(*) > 0 AS some, true AS settled FROM tree"),
+    "tree_prune_settles": (prune_tips_stable, SETTLED),
     "tree_transform": (transform, f"WITH {TREE}, m AS (SELECT node_id, (x + 10) * 0.5 AS x, (y - 5) * 2 AS y, (z + 2) * 3 AS z, radius * 1.5 AS radius FROM tree) SELECT node_id, round(x * cos(0.5) - y * sin(0.5), 6) AS x, round(x * sin(0.5) + y * cos(0.5), 6) AS y, round(z, 6) AS z, round(radius, 6) AS radius FROM m"),
     "tree_to_whole_volume": (to_whole, f"WITH {TREE} SELECT node_id, CAST(CASE WHEN parent_id = -1 THEN 1 ELSE 0 END AS BIGINT) AS node_type, round(x * 4 + 100, 6) AS x, round(y * 4 + 20, 6) AS y, round(z + 3, 6) AS z, round(radius * pow(16.0, 1.0 / 3), 6) AS radius FROM tree"),
     "tree_standardize": (standardized, f"WITH {TREE}, k AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN parent_id = -1 THEN -1 ELSE 0 END, node_id) AS n FROM tree WHERE node_id >= 4 OR node_id = 1) SELECT a.n AS node_id, coalesce(b.n, -1) AS parent_id, a.node_id AS old_id FROM k a LEFT JOIN k b ON b.node_id = a.parent_id"),
@@ -338,12 +344,12 @@ QUERIES = {
     "gcut_unit_somas": (gcut_unit_somas, f"WITH RECURSIVE {UNITS}, p AS (SELECT lower AS soma, upper AS node_id FROM neurites UNION SELECT upper, lower FROM neurites), j AS (SELECT DISTINCT unit, soma FROM p JOIN units USING (node_id) JOIN topo ON topo.node_id = soma WHERE kind = 'soma') SELECT unit, count(*) AS somas, min(soma) AS least FROM j GROUP BY 1"),
     "gcut_assign": (gcut_assign, "WITH c AS (SELECT o_custkey % 300 AS neurite, o_orderkey % 4 AS soma, CAST(sum(floor(o_totalprice)) AS BIGINT) AS cost FROM orders GROUP BY 1, 2), n AS (SELECT DISTINCT neurite FROM c), f AS (SELECT n.neurite, s.range AS soma, coalesce(cost, 10000000) AS cost FROM n CROSS JOIN range(4) s LEFT JOIN c ON c.neurite = n.neurite AND c.soma = s.range), g AS (SELECT neurite % 100 AS grp, soma, sum(cost) AS cost FROM f GROUP BY 1, 2), b AS (SELECT grp, soma FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY cost, soma) AS r FROM g) WHERE r = 1) SELECT neurite, soma FROM n JOIN b ON grp = neurite % 100"),
     "bfs_hops": (bfs_hops, _levels("")),
-    "bfs_trapped": (trapped_hops, _levels("AND (b.hops = 0 OR NOT e.trap)")),
-    "dijkstra_cost": (dijkstra_cost, None),
-    "marching_tree": (marching_tree, None),
-    "sssp_boundary": (sssp_boundary, None),
-    "directional_distance": (directional_distance, f"WITH {FAR} SELECT count(*) AS points, count(*) AS near, round(sum(f), 4) AS total, round(max(f), 6) AS most, round(sum(CASE WHEN f >= 2 THEN f END), 4) AS over_total, count(CASE WHEN f >= 2 THEN 1 END) AS over FROM m WHERE cloud = 0"),
-    "spatial_distance": (spatial_distance, f"WITH {FAR}, w AS (SELECT cloud, avg(f) AS sd, coalesce(avg(CASE WHEN f >= 2 THEN f END), 0.0) AS ssd, avg(CASE WHEN f >= 2 THEN 1.0 ELSE 0.0 END) AS share, max(f) AS most FROM m GROUP BY 1) SELECT round(avg(sd), 6) AS sd, round(avg(ssd), 6) AS ssd, round(avg(share), 6) AS ssd_share, round(min(most), 6) AS most FROM w"),
-    "directional_distance_whole": (directional_distance_whole, None),
-    "spatial_distance_whole": (spatial_distance_whole, None),
+    "bfs_trapped": (trapped_hops, _levels("AND (x.hops = 0 OR NOT e.trap)")),
+    "dijkstra_cost": (dijkstra_cost, f"WITH RECURSIVE {PATHS} SELECT id, round(distance, 6) AS distance FROM d"),
+    "marching_tree": (marching_tree, f"WITH RECURSIVE {PATHS} SELECT d.id, parent FROM d LEFT JOIN up ON up.id = d.id"),
+    "sssp_boundary": (sssp_boundary, f"WITH RECURSIVE {PATHS} SELECT id FROM d WHERE id NOT IN (SELECT parent FROM up)"),
+    "directional_distance": (_directional(40.0), DIRECTIONAL),
+    "spatial_distance": (_spatial(40.0), SPATIAL),
+    "directional_distance_whole": (_directional(None), DIRECTIONAL),
+    "spatial_distance_whole": (_spatial(None), SPATIAL),
 }

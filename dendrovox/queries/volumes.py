@@ -8,25 +8,30 @@ from pyspark.sql import functions as F
 from dendrovox.operators import arrays, components, neighbours, sampling, views
 from dendrovox.plans import catalog
 from dendrovox.sources import derived
-from dendrovox.sources.derived import PLANES, POINTS, VOXELS, XDIM, YDIM, ZDIM
+from dendrovox.sources.derived import PLANES, POINTS, VOXELS, XDIM, YDIM
 
-DIMS = (ZDIM, YDIM, XDIM)
-LEVELS = [DIMS, (ZDIM, YDIM // 2, XDIM // 2), (ZDIM, YDIM // 4, XDIM // 4)]
 Q = 0.15
 BOX = ", ".join(f"CAST(min({a}) AS BIGINT) AS {a}min, CAST(max({a}) + 1 AS BIGINT) AS {a}max" for a in "zyx")
 RANKED = f"ranked AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS r, count(*) OVER () AS n FROM voxels), cut AS (SELECT v AS t FROM ranked WHERE r = least(n - 1, ceil(CAST({1 - Q} AS DOUBLE) * n - 0.5)))"
-FRONT = f"{VOXELS}, {RANKED}, front AS (SELECT z, y, x, v, (z * {YDIM} + y) * {XDIM} + x AS address FROM voxels, cut WHERE v >= t)"
+#: ``spot`` numbers the places of the volume widened by one on every side, so that a step is one difference.
+SPOT = "(z * 34 + y + 1) * 34 + x + 1"
+FRONT = f"{VOXELS}, {RANKED}, front AS MATERIALIZED (SELECT z, y, x, v, (z * {YDIM} + y) * {XDIM} + x AS address, {SPOT} AS spot FROM voxels, cut WHERE v >= t)"
 
 
-def _near(a: str, b: str, most: int) -> str:
-    each = [f"abs({a}.{c} - {b}.{c})" for c in "zyx"]
-    return " AND ".join(f"{e} <= 1" for e in each) + f" AND {' + '.join(each)} BETWEEN 1 AND {most}"
+def pairs(most: int, columns: str = "") -> str:
+    """CTE of neighbouring front voxels: addresses u and w, and ``columns`` of the two (a and b)."""
+    steps = ", ".join(f"({(dz * 34 + dy) * 34 + dx})" for dz in (-1, 0, 1) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if 0 < abs(dz) + abs(dy) + abs(dx) <= most)
+    return f"pairs AS MATERIALIZED (SELECT a.address AS u, b.address AS w{columns} FROM (SELECT *, spot + step AS there FROM front, (VALUES {steps}) s(step)) a JOIN front b ON b.spot = a.there)"
 
 
 def _labelled(most: int) -> str:
-    return f"""{FRONT}, pairs AS (SELECT a.address AS u, b.address AS w FROM front a JOIN front b ON {_near('a', 'b', most)}),
-      reach(u, w) AS (SELECT address, address FROM front UNION SELECT reach.u, pairs.w FROM reach JOIN pairs ON reach.w = pairs.u),
-      labelled AS (SELECT u AS address, min(w) AS label FROM reach GROUP BY 1)"""
+    return f"""{FRONT}, {pairs(most)}, labelled(address, label) USING KEY (address) AS (SELECT address, address FROM front
+      UNION SELECT p.u, min(x.label) FROM labelled x JOIN pairs p ON p.w = x.address JOIN recurring.labelled c ON c.address = p.u WHERE x.label < c.label GROUP BY p.u)"""
+
+
+def levels(dims: tuple[int, int, int]) -> list[tuple[int, int, int]]:
+    z, y, x = dims
+    return [dims, (z, y // 2, x // 2), (z, y // 4, x // 4)]
 
 
 def front(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,8 +41,11 @@ def front(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _view(block: views.Block, level: int = 0, local: bool = False):
-    view = views.select_view(LEVELS, block, level, local)
-    return lambda spark, d: views.read_view(_at_level(derived.voxels(spark, d), level), view)
+    def run(spark, d):
+        view = views.select_view(levels(derived.dims(spark, d)), block, level, local)
+        return views.read_view(_at_level(derived.voxels(spark, d), level), view)
+
+    return run
 
 
 def _at_level(v: DataFrame, level: int) -> DataFrame:
@@ -47,19 +55,19 @@ def _at_level(v: DataFrame, level: int) -> DataFrame:
 
 
 def view_padded(spark, d):
-    view = views.select_view(LEVELS, views.Block((5, 28, 28), (4, 8, 8)))
+    view = views.select_view(levels(derived.dims(spark, d)), views.Block((5, 28, 28), (4, 8, 8)))
     return views.padded_view(derived.voxels(spark, d), view)
 
 
 def address_roundtrip(spark, d):
-    v = derived.voxels(spark, d).withColumn("address", views.address(DIMS))
-    back = views.coordinates("address", DIMS)
+    v = derived.voxels(spark, d).withColumn("address", views.address(derived.dims(spark, d)))
+    back = views.coordinates("address", derived.dims(spark, d))
     return v.select("address", *[c.alias(f"b{a}") for a, c in back.items()], "v")
 
 
 def _neighbour_counts(connectivity: int):
     def run(spark, d):
-        f = front(spark, d).withColumn("address", views.address(DIMS))
+        f = front(spark, d).withColumn("address", views.address(derived.dims(spark, d)))
         return neighbours.neighbour_pairs(f, connectivity, keep=("v",)).groupBy("address").agg(F.count(F.lit(1)).alias("neighbours"), F.sum("n_v").alias("total"))
 
     return run
@@ -124,7 +132,7 @@ def plane_top_percentile(spark, d):
 
 
 def block_top_percentile(spark, d):
-    block = views.Block((0, 0, 0), (ZDIM, 16, 16), (1, 2, 1))
+    block = views.Block((0, 0, 0), (derived.dims(spark, d)[0], 16, 16), (1, 2, 1))
     return arrays.top_percentile(derived.voxels(spark, d).where(views.in_block(block)), Q)
 
 
@@ -179,7 +187,7 @@ def pyramid_gauss(spark, d):
 
 def gauss_conv3d(spark, d):
     v, kernel = derived.voxels(spark, d), arrays.gaussian_kernel(3, 1.0)
-    for axis, n in zip("zyx", DIMS):
+    for axis, n in zip("zyx", derived.dims(spark, d)):
         v = arrays.convolve(v, axis, kernel, n)
     return v.select("z", "y", "x", F.round("v", 6).alias("v"))
 
@@ -189,7 +197,7 @@ def plane_cdf(spark, d):
 
 
 def match_history(spark, d):
-    return arrays.match_histograms(derived.planes(spark, d).withColumn("v", F.expr("least(v, 60)")), 2)
+    return arrays.match_histograms(derived.planes(spark, d), 2)
 
 
 def match_history_whole(spark, d):
@@ -197,19 +205,19 @@ def match_history_whole(spark, d):
 
 
 def _cc(connectivity):
-    return lambda spark, d: components.label_voxels(front(spark, d), DIMS, connectivity).select("address", "label")
+    return lambda spark, d: components.label_voxels(front(spark, d), derived.dims(spark, d), connectivity).select("address", "label")
 
 
 def cc_count(spark, d):
-    return components.label_voxels(front(spark, d), DIMS, 6).agg(F.countDistinct("label").alias("components"), F.count(F.lit(1)).alias("voxels"))
+    return components.label_voxels(front(spark, d), derived.dims(spark, d), 6).agg(F.countDistinct("label").alias("components"), F.count(F.lit(1)).alias("voxels"))
 
 
 def chunked_cc(spark, d):
-    return components.label_chunks(front(spark, d), DIMS, (3, 16, 16), 6).select("address", "label")
+    return components.label_chunks(front(spark, d), derived.dims(spark, d), (3, 16, 16), 6).select("address", "label")
 
 
 def _blobs(spark, d):
-    return components.blobs(components.label_voxels(front(spark, d), DIMS, 6))
+    return components.blobs(components.label_voxels(front(spark, d), derived.dims(spark, d), 6))
 
 
 def blob_table(spark, d):
@@ -222,8 +230,8 @@ def blob_mass_filter(spark, d):
 
 
 def clusters_with_somas(spark, d):
-    somas = front(spark, d).where("(z * 32 + y) * 32 + x < 7168 and (y * 7 + x * 3 + z) % 11 = 0").select("z", "y", "x", F.col("v").alias("mass"))
-    found = components.clusters_with_somas(components.label_voxels(front(spark, d), DIMS, 6), somas)
+    somas = front(spark, d).where("(y * 7 + x * 3 + z) % 11 = 0").select("z", "y", "x", F.col("v").alias("mass"))
+    found = components.clusters_with_somas(components.label_voxels(front(spark, d), derived.dims(spark, d), 6), somas)
     text = components.parse_cluster_lines(components.cluster_lines(found))
     return text.select("zmin", "zmax", "ymin", "ymax", "xmin", "xmax", F.size("somas").cast("long").alias("n"), F.aggregate("somas", F.lit(0).cast("long"), lambda a, s: a + s["mass"]).alias("mass"))
 
@@ -233,10 +241,10 @@ def point_cc(spark, d):
 
 
 def chunk_completeness(spark, d):
-    levels = spark.createDataFrame([(0, k, *dims, 2, 8, 8, "u16", "parquet") for k, dims in enumerate(LEVELS)], catalog.CATALOG)
+    table = spark.createDataFrame([(0, k, *dims, 2, 8, 8, "u16", "parquet") for k, dims in enumerate(levels(derived.dims(spark, d)))], catalog.CATALOG)
     v = derived.voxels(spark, d).where("(z + y + x) % 3 = 0 and x < 30")
     present = v.select(F.lit(0).alias("c"), F.lit(0).alias("level"), F.expr("z div 2").alias("cz"), F.expr("y div 8").alias("cy"), F.expr("x div 8").alias("cx")).where("cx < 3").distinct()
-    full = catalog.completeness(levels, present)
+    full = catalog.completeness(table, present)
     return full.select(F.col("c").cast("long").alias("c"), F.col("level").cast("long").alias("level"), "expected", "present", "complete")
 
 
@@ -295,13 +303,19 @@ BOXES = ", ".join(f"CAST(min(floor({a})) AS BIGINT) AS {a}min, CAST(max(floor({a
 GAUSS = "kernel AS (SELECT * FROM (VALUES (-2, 1), (-1, 4), (0, 6), (1, 4), (2, 1)) t(d, w))"
 _K = arrays.gaussian_kernel(3, 1.0)
 
+MATCHED = f"""WITH {PLANES}, h AS (SELECT z, v, count(*) AS n FROM planes GROUP BY 1, 2), o AS (SELECT z, row_number() OVER (ORDER BY z) AS k FROM (SELECT DISTINCT z FROM h)),
+        c AS (SELECT k, z, v, n, CAST(sum(n) OVER (PARTITION BY z ORDER BY v) AS DOUBLE) / sum(n) OVER (PARTITION BY z) AS cdf FROM h JOIN o USING (z)),
+        p AS (SELECT b.k AS k, a.v AS pv, sum(a.n) AS w FROM c a JOIN o b ON a.k BETWEEN b.k - 2 AND b.k - 1 GROUP BY 1, 2), s AS (SELECT k, pv, CASE WHEN lead(pv) OVER (PARTITION BY k ORDER BY pv) = pv + 1 THEN pv + 1 ELSE pv END AS goes, CAST(sum(w) OVER (PARTITION BY k ORDER BY pv) AS DOUBLE) / sum(w) OVER (PARTITION BY k) AS share FROM p),
+        m AS (SELECT c.k, c.v, arg_min(goes, pv) AS m FROM c JOIN s ON s.k = c.k AND share >= cdf - 1e-12 GROUP BY 1, 2)
+        SELECT z, c.v, CASE WHEN c.k > 2 THEN coalesce(m, c.v) ELSE c.v END AS matched FROM c LEFT JOIN m ON m.k = c.k AND m.v = c.v"""
+
 QUERIES = {
     "voxel_view_global_l0": (_view(views.Block((1, 4, 8), (4, 16, 16))), f"WITH {VOXELS} SELECT z - 1 AS z, y - 4 AS y, x - 8 AS x, v FROM voxels WHERE z BETWEEN 1 AND 4 AND y BETWEEN 4 AND 19 AND x BETWEEN 8 AND 23"),
     "voxel_view_strided": (_view(views.Block((0, 2, 3), (0, 0, 20), (2, 3, 4))), f"WITH {VOXELS} SELECT z // 2 AS z, (y - 2) // 3 AS y, (x - 3) // 4 AS x, v FROM voxels WHERE z % 2 = 0 AND y >= 2 AND (y - 2) % 3 = 0 AND x BETWEEN 3 AND 22 AND (x - 3) % 4 = 0"),
     "voxel_view_local_l1": (_view(views.Block((1, 2, 2), (3, 8, 8), (1, 2, 2)), 1, True), f"WITH {VOXELS}, half AS (SELECT z, y // 2 AS y, x // 2 AS x, CAST(sum(v) AS BIGINT) AS v FROM voxels GROUP BY 1, 2, 3) SELECT z - 1 AS z, (y - 2) // 2 AS y, (x - 2) // 2 AS x, v FROM half WHERE z BETWEEN 1 AND 3 AND y BETWEEN 2 AND 9 AND y % 2 = 0 AND x BETWEEN 2 AND 9 AND x % 2 = 0"),
     "voxel_view_padded": (view_padded, f"WITH {VOXELS} SELECT g.z, g.y, g.x, coalesce(v, 0) AS v FROM (SELECT a.range AS z, b.range AS y, c.range AS x FROM range(4) a, range(8) b, range(8) c) g LEFT JOIN voxels o ON o.z = g.z + 5 AND o.y = g.y + 28 AND o.x = g.x + 28"),
     "voxel_address_roundtrip": (address_roundtrip, f"WITH {VOXELS} SELECT (z * {YDIM} + y) * {XDIM} + x AS address, z AS bz, y AS by, x AS bx, v FROM voxels"),
-    **{f"neighbour_counts_{n}": (_neighbour_counts(n), f"WITH {FRONT} SELECT a.address, count(*) AS neighbours, CAST(sum(b.v) AS BIGINT) AS total FROM front a JOIN front b ON {_near('a', 'b', m)} GROUP BY 1") for n, m in neighbours.REACH.items()},
+    **{f"neighbour_counts_{n}": (_neighbour_counts(n), f"WITH {FRONT}, {pairs(m, ', b.v AS n_v')} SELECT u AS address, count(*) AS neighbours, CAST(sum(n_v) AS BIGINT) AS total FROM pairs GROUP BY 1") for n, m in neighbours.REACH.items()},
     "volume_copy_block": (copy_block, f"WITH {VOXELS} SELECT z, y, x, v FROM voxels WHERE NOT (z BETWEEN 3 AND 4 AND y BETWEEN 16 AND 19 AND x BETWEEN 16 AND 23) UNION ALL SELECT z // 2 + 3, y // 2 + 16, x + 16, v FROM voxels WHERE z < 4 AND z % 2 = 0 AND y < 8 AND y % 2 = 0 AND x < 8"),
     "volume_set_block": (set_block, f"WITH {VOXELS} SELECT z, y, x, CASE WHEN z IN (1, 3) AND y IN (4, 7, 10) AND x BETWEEN 4 AND 12 THEN 0 ELSE v END AS v FROM voxels"),
     "volumes_differ": (volumes_differ, f"WITH {VOXELS}, inside AS (SELECT * FROM voxels WHERE z = 0 AND y < 2 AND x < 2) SELECT z, y, x, v, 'left' AS side FROM inside UNION ALL SELECT z, y, x, 0, 'right' FROM inside"),
@@ -330,13 +344,10 @@ QUERIES = {
         FROM range(16) p, range(16) q, kernel a, kernel b) SELECT z, p AS y, q AS x, CAST((sum(v * w) + 128) // 256 AS BIGINT) AS v FROM voxels JOIN taps USING (y, x) GROUP BY 1, 2, 3"""),
     "gauss_conv3d": (gauss_conv3d, f"""WITH {VOXELS}, k AS (SELECT * FROM (VALUES (-1, CAST({_K[0]!r} AS DOUBLE)), (0, CAST({_K[1]!r} AS DOUBLE)), (1, CAST({_K[2]!r} AS DOUBLE))) t(d, w))
         SELECT o.z - a.d AS z, o.y - b.d AS y, o.x - c.d AS x, round(sum(o.v * a.w * b.w * c.w), 6) AS v FROM voxels o, k a, k b, k c
-        WHERE o.z - a.d BETWEEN 0 AND {ZDIM - 1} AND o.y - b.d BETWEEN 0 AND {YDIM - 1} AND o.x - c.d BETWEEN 0 AND {XDIM - 1} GROUP BY 1, 2, 3"""),
+        WHERE o.z - a.d BETWEEN 0 AND (SELECT max(z) FROM voxels) AND o.y - b.d BETWEEN 0 AND {YDIM - 1} AND o.x - c.d BETWEEN 0 AND {XDIM - 1} GROUP BY 1, 2, 3"""),
     "plane_hist_cdf": (plane_cdf, f"WITH {PLANES}, h AS (SELECT z, v, count(*) AS n FROM planes GROUP BY 1, 2) SELECT z, v, n, round(CAST(sum(n) OVER (PARTITION BY z ORDER BY v) AS DOUBLE) / sum(n) OVER (PARTITION BY z), 9) AS cdf FROM h"),
-    "hist_match_history": (match_history, f"""WITH {PLANES}, h AS (SELECT z, least(v, 60) AS v, count(*) AS n FROM planes GROUP BY 1, 2), o AS (SELECT z, row_number() OVER (ORDER BY z) AS k FROM (SELECT DISTINCT z FROM h)),
-        c AS (SELECT k, z, v, n, CAST(sum(n) OVER (PARTITION BY z ORDER BY v) AS DOUBLE) / sum(n) OVER (PARTITION BY z) AS cdf FROM h JOIN o USING (z)),
-        p AS (SELECT b.k AS k, a.v AS pv, sum(a.n) AS w FROM c a JOIN o b ON a.k BETWEEN b.k - 2 AND b.k - 1 GROUP BY 1, 2), s AS (SELECT k, pv, CAST(sum(w) OVER (PARTITION BY k ORDER BY pv) AS DOUBLE) / sum(w) OVER (PARTITION BY k) AS share FROM p)
-        SELECT z, v, CASE WHEN k > 2 THEN coalesce((SELECT min(pv) FROM s WHERE s.k = c.k AND share >= cdf - 1e-12), v) ELSE v END AS matched FROM c"""),
-    "hist_match_history_whole": (match_history_whole, None),
+    "hist_match_history": (match_history, MATCHED),
+    "hist_match_history_whole": (match_history_whole, MATCHED),
     "cc_labels_6": (_cc(6), f"WITH RECURSIVE {_labelled(1)} SELECT address, label FROM labelled"),
     "cc_labels_18": (_cc(18), f"WITH RECURSIVE {_labelled(2)} SELECT address, label FROM labelled"),
     "cc_labels_26": (_cc(26), f"WITH RECURSIVE {_labelled(3)} SELECT address, label FROM labelled"),
@@ -346,7 +357,7 @@ QUERIES = {
     "blob_mass_filter": (blob_mass_filter, f"WITH RECURSIVE {_labelled(1)} SELECT label, count(*) AS mass, round(pow(0.75 * count(*) / 3.141592653589793, 1.0 / 3), 6) AS radius FROM labelled GROUP BY label HAVING count(*) >= 3"),
     "cluster_bounds_somas": (clusters_with_somas, f"WITH RECURSIVE {_labelled(1)}, b AS (SELECT label, {BOX}, CAST(sum(CASE WHEN (y * 7 + x * 3 + z) % 11 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n, CAST(sum(CASE WHEN (y * 7 + x * 3 + z) % 11 = 0 THEN v ELSE 0 END) AS BIGINT) AS mass FROM labelled JOIN front USING (address) GROUP BY label) SELECT zmin, zmax, ymin, ymax, xmin, xmax, n, mass FROM b WHERE n > 0"),
     "point_cc_distance": (point_cc, f"WITH RECURSIVE {POINTS}, pairs AS (SELECT a.id AS u, b.id AS w FROM points a JOIN points b ON a.id <> b.id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) <= 9.0), reach(u, w) AS (SELECT id, id FROM points UNION SELECT reach.u, pairs.w FROM reach JOIN pairs ON reach.w = pairs.u) SELECT u AS id, min(w) AS label FROM reach GROUP BY 1"),
-    "chunk_completeness": (chunk_completeness, f"WITH {VOXELS}, l AS (SELECT * FROM (VALUES (0, 32), (1, 16), (2, 8)) t(level, n)), e AS (SELECT level, 4 * (n // 8) * (n // 8) AS expected FROM l), p AS (SELECT count(DISTINCT (z // 2, y // 8, x // 8)) AS present FROM voxels WHERE (z + y + x) % 3 = 0 AND x // 8 < 3 AND x < 30) SELECT CAST(0 AS BIGINT) AS c, CAST(level AS BIGINT) AS level, CAST(expected AS BIGINT) AS expected, CAST(CASE WHEN level = 0 THEN present ELSE 0 END AS BIGINT) AS present, level = 0 AND expected = present AS complete FROM e, p"),
+    "chunk_completeness": (chunk_completeness, f"WITH {VOXELS}, l AS (SELECT * FROM (VALUES (0, 32), (1, 16), (2, 8)) t(level, n)), e AS (SELECT level, (SELECT max(z) // 2 + 1 FROM voxels) * (n // 8) * (n // 8) AS expected FROM l), p AS (SELECT count(DISTINCT (z // 2, y // 8, x // 8)) AS present FROM voxels WHERE (z + y + x) % 3 = 0 AND x // 8 < 3 AND x < 30) SELECT CAST(0 AS BIGINT) AS c, CAST(level AS BIGINT) AS level, CAST(expected AS BIGINT) AS expected, CAST(CASE WHEN level = 0 THEN present ELSE 0 END AS BIGINT) AS present, level = 0 AND expected = present AS complete FROM e, p"),
     "chunk_lookup": (chunk_lookup, f"WITH {VOXELS} SELECT z, y, x, printf('pyr_level_01/z%04d_%06d/y%04d_%06d/x%04d_%06d', z // 4 * 4, z // 4 * 4 + 4, y // 16 * 16, y // 16 * 16 + 16, x // 16 * 16, x // 16 * 16 + 16) AS path, CAST(1 AS BIGINT) AS p_level, z // 4 * 4 AS p_z0, y // 16 * 16 AS p_y0, x // 16 * 16 AS p_x0 FROM voxels"),
     "class_weights": (class_weights, "SELECT lang, n, round(exp(CAST(n AS DOUBLE) / sum(n) OVER ()), 9) AS weight FROM (SELECT lang, count(*) AS n FROM documents GROUP BY 1)"),
     "confusion_iou": (confusion_iou, """WITH p AS (SELECT toxic AS t, 1 - quality AS g FROM labels), c AS (SELECT k AS class, (SELECT count(*) FROM p WHERE t = k AND g = k) AS tp, (SELECT count(*) FROM p WHERE t <> k AND g = k) AS fp, (SELECT count(*) FROM p WHERE t = k AND g <> k) AS fn FROM (SELECT DISTINCT t AS k FROM p UNION SELECT DISTINCT g FROM p))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ZDIM, YDIM, XDIM = 7, 32, 32
+YDIM, XDIM = 32, 32
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,12 +13,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """z, y, x, v: how many line items fall on each voxel of a 7 x 32 x 32 volume."""
+    """z, y, x, v: how many line items fall on each voxel. Each 32 suppliers make seven more planes, so the volume grows with the data."""
     lines = table(spark, sf_dir, "lineitem")
-    return lines.groupBy((F.col("l_linenumber") - 1).cast("long").alias("z"), (F.col("l_suppkey") % YDIM).alias("y"), (F.col("l_partkey") % XDIM).alias("x")).agg(F.count(F.lit(1)).alias("v"))
+    return lines.groupBy((F.col("l_linenumber") - 1 + 7 * F.expr("l_suppkey div 32")).cast("long").alias("z"), (F.col("l_suppkey") % YDIM).alias("y"), (F.col("l_partkey") % XDIM).alias("x")).agg(F.count(F.lit(1)).alias("v"))
 
 
-VOXELS = "voxels AS (SELECT CAST(l_linenumber - 1 AS BIGINT) AS z, l_suppkey % 32 AS y, l_partkey % 32 AS x, count(*) AS v FROM lineitem GROUP BY 1, 2, 3)"
+def dims(spark: SparkSession, sf_dir: str) -> tuple[int, int, int]:
+    """Planes, rows and columns of the volume."""
+    last = table(spark, sf_dir, "lineitem").agg(F.max(F.col("l_linenumber") - 1 + 7 * F.expr("l_suppkey div 32")).alias("z")).first()["z"]
+    return int(last if last is not None else -1) + 1, YDIM, XDIM
+
+
+VOXELS = "voxels AS (SELECT CAST(l_linenumber - 1 + 7 * (l_suppkey // 32) AS BIGINT) AS z, l_suppkey % 32 AS y, l_partkey % 32 AS x, count(*) AS v FROM lineitem GROUP BY 1, 2, 3)"
 
 
 def tree(spark: SparkSession, sf_dir: str) -> DataFrame:

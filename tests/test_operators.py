@@ -286,6 +286,7 @@ def brute_matches(planes, history, decay):
         for v in set(values):
             share = sum(x <= v for x in values) / len(values)
             out[z, v] = v if at < history else min(p for p, _ in past if sum(w for x, w in past if x <= p) / weight >= share - 1e-12)
+            out[z, v] += at >= history and out[z, v] + 1 in {p for p, _ in past}
     return out
 
 
