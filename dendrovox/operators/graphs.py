@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dendrovox.operators.neighbours import neighbour_pairs
+from dendrovox.operators.neighbours import neighbour_pairs, offsets
 from dendrovox.operators.views import Triple, address
 from dendrovox.plans.durable import materialize
 
@@ -85,7 +85,7 @@ def _relaxed(state: pa.Table, edges: pa.Table) -> pa.Table:
 def shortest_paths(edges: DataFrame, sources: DataFrame, part: Callable[[Column], Column] | None = None) -> DataFrame:
     """(id, distance, parent) of every vertex that the sources (id) reach; a source has no parent.
 
-    Vertices are dealt to parts by ``part`` of their id (without one, by hash). A round relaxes all
+    Sources may bring a ``distance`` of their own to start from. Vertices are dealt to parts by ``part`` of their id (without one, by hash). A round relaxes all
     paths inside the parts that changed and sends out only what crosses their borders, so rounds end
     with the number of borders on a shortest path, not of its edges. Of several parents on shortest
     ways (to a share of 1e-9) the smallest id is given. Negative costs are refused.
@@ -101,7 +101,9 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, part: Callable[[Column]
             return F.pmod(F.xxhash64(at), F.lit(parts))
 
     dealt = materialize(edges.withColumns({"part": part(F.col("u")), "inside": part(F.col("u")) == part(F.col("v"))}))
-    best = materialize(sources.select(F.col("id").cast("long").alias("id"), F.lit(0.0).alias("distance"), F.lit(None).cast("long").alias("parent")).distinct())
+    start = F.col("distance") if "distance" in sources.columns else F.lit(0.0)
+    best = sources.select(F.col("id").cast("long").alias("id"), start.cast("double").alias("distance")).groupBy("id").agg(F.min("distance").alias("distance"))
+    best = materialize(best.withColumn("parent", F.lit(None).cast("long")))
     front = best.select("id")
     while not front.isEmpty():
         placed = best.withColumn("part", part(F.col("id")))
@@ -146,6 +148,30 @@ def _least_parents(paths: DataFrame, edges: DataFrame) -> DataFrame:
     return paths.join(least, "id", "left").select("id", "distance", F.coalesce("_least", "parent").alias("parent"))
 
 
+def distance_transform(foreground: DataFrame, dims: Triple, connectivity: int = 26) -> DataFrame:
+    """``foreground`` (z, y, x, ...) with distance: the length of the shortest way to a place of the volume without a voxel.
+
+    Ways go by steps to neighbours, each as long as the root of the axes it changes. Null if every
+    place holds a voxel.
+    """
+    nodes = materialize(foreground.select("z", "y", "x", address(dims).alias("id")))
+    pairs = neighbour_pairs(nodes, connectivity, keep=("id",))
+    step = F.sqrt((F.abs(F.col("z") - F.col("n_z")) + F.abs(F.col("y") - F.col("n_y")) + F.abs(F.col("x") - F.col("n_x"))).cast("double"))
+    links = pairs.select(F.col("id").alias("u"), F.col("n_id").alias("v"), step.alias("cost"))
+    steps = F.array(*[F.struct(*[F.lit(v).alias(c) for v, c in zip(d, ("dz", "dy", "dx"))], F.lit(float(sum(map(abs, d))) ** 0.5).alias("far")) for d in offsets(connectivity)])
+    around = nodes.withColumn("_s", F.explode(steps)).select("id", F.col("_s.far").alias("distance"), *[(F.col(a) + F.col(f"_s.d{a}")).alias(a) for a in "zyx"])
+    for a, n in zip("zyx", dims):
+        around = around.where(F.col(a).between(0, n - 1))
+    border = around.join(nodes.select("z", "y", "x"), ["z", "y", "x"], "left_anti").groupBy("id").agg(F.min("distance").alias("distance"))
+    far = shortest_paths(links, border, voxel_part(dims)).select("id", "distance")
+    return foreground.withColumn("id", address(dims)).join(far, "id", "left").drop("id")
+
+
+def soma_seed(transform: DataFrame) -> DataFrame:
+    """The place of the largest distance; of several the first in z, y and x."""
+    return transform.agg(F.max_by(F.struct("z", "y", "x", "distance"), F.struct("distance", -F.col("z"), -F.col("y"), -F.col("x"))).alias("s")).select("s.*")
+
+
 def hops(edges: DataFrame, sources: DataFrame, part: Callable[[Column], Column] | None = None) -> DataFrame:
     """Breadth-first levels: (id, hops)."""
     return shortest_paths(edges.select("u", "v", F.lit(1.0).alias("cost")), sources, part).select("id", F.col("distance").cast("long").alias("hops"))

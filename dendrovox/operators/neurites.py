@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dendrovox.operators.trees import ROOT, child_counts, leaves
+from dendrovox.operators.trees import ROOT, child_counts, leaves, subtree_sum
 from dendrovox.plans.components import connected_components
 from dendrovox.plans.durable import materialize
 from dendrovox.plans.paths import climb
@@ -106,11 +106,6 @@ def fit_cost(probability: Column, length: Column, order: Column | int = 1) -> Co
     return (1 - probability * F.log(1 + 1 / o)) * F.log1p(length)
 
 
-def cheapest_soma(costs: DataFrame) -> DataFrame:
-    """(neurite, soma) for units where no neurite binds another: the least cost, ties to the smaller soma."""
-    return costs.groupBy("neurite").agg(F.min(F.struct("cost", "soma")).alias("b")).select("neurite", F.col("b.soma").alias("soma"), F.col("b.cost").alias("cost"))
-
-
 def assign_tree(costs: DataFrame, parents: DataFrame) -> DataFrame:
     """(neurite, soma): least total cost where every neurite follows its parent neurite's soma.
 
@@ -123,3 +118,110 @@ def assign_tree(costs: DataFrame, parents: DataFrame) -> DataFrame:
     summed = costs.join(tops, "neurite").groupBy("group", "soma").agg(F.sum("cost").alias("cost"))
     best = summed.groupBy("group").agg(F.min(F.struct("cost", "soma")).alias("b"))
     return tops.join(best, "group").select("neurite", F.col("b.soma").alias("soma"))
+
+
+def neurite_nodes(tree: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(lower, upper, node_id, at): every node of every neurite; ``at`` counts from 0 at the lower end.
+
+    A node between two topology nodes has one child, so it climbs down to its neurite's lower end.
+    """
+    ends = neurites(tree, nodes)
+    only = tree.where(F.col("parent_id") != ROOT).groupBy(F.col("parent_id").alias("node_id")).agg(F.min("node_id").alias("child_id"))
+    inner = tree.select("node_id").join(only, "node_id", "left").join(nodes, "node_id", "left")
+    down = climb(inner, F.lit(1).cast("long"), F.col("kind").isNotNull() | F.col("child_id").isNull(), "node_id", "child_id").where("steps > 0")
+    held = down.select("node_id", F.col("top").alias("lower"), F.col("steps").alias("at")).join(ends.select("lower", "upper"), "lower")
+    own = ends.select("lower", "upper", F.col("lower").alias("node_id"), F.lit(0).cast("long").alias("at"))
+    last = ends.select("lower", "upper", F.col("upper").alias("node_id"), (F.col("n_inner") + 1).alias("at"))
+    return held.select("lower", "upper", "node_id", "at").unionByName(own).unionByName(last)
+
+
+def neurite_lines(tree: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One tree a neurite, from its upper end down: (lower, node_id, ..., parent_id) with ids counted in the neurite."""
+    held = neurite_nodes(tree, nodes).join(tree.drop("parent_id").withColumnRenamed("node_id", "_old"), F.col("node_id") == F.col("_old")).drop("_old")
+    last = Window.partitionBy("lower")
+    place = F.max("at").over(last) - F.col("at")
+    return held.withColumns({"old_id": F.col("node_id"), "_p": place}).select("lower", (F.col("_p") + 1).alias("node_id"), "node_type", "x", "y", "z", "radius", F.when(F.col("_p") == 0, ROOT).otherwise(F.col("_p")).cast("long").alias("parent_id"), "old_id")
+
+
+def directed(neurites_: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(src, dst, low, high, stem, unresolvable): ways along neurites. Neurites to a leaf lead there only, others both ways."""
+    kinds = nodes.select("node_id", "kind")
+    both = neurites_.join(kinds.withColumnsRenamed({"node_id": "lower", "kind": "_l"}), "lower").join(kinds.withColumnsRenamed({"node_id": "upper", "kind": "_u"}), "upper")
+    down = both.select(F.col("upper").alias("src"), F.col("lower").alias("dst"), F.col("_u").alias("_s"), F.col("_l").alias("_d"))
+    ways = down.union(both.select("lower", "upper", "_l", "_u")).where("_s <> 'leaf'")
+    return ways.select("src", "dst", F.least("src", "dst").alias("low"), F.greatest("src", "dst").alias("high"), (F.col("_s") == "soma").alias("stem"), ((F.col("_s") == "soma") & (F.col("_d") == "soma")).alias("unresolvable"))
+
+
+def distribution_for(table: dict[str, tuple[float, float]], *names: Column) -> Column:
+    """Struct (mean, std) of the first of ``names`` (region, species, cell type) that ``table`` knows; else null."""
+    known = F.create_map(*[x for k, (mean, std) in table.items() for x in (F.lit(k), F.struct(F.lit(float(mean)).alias("mean"), F.lit(float(std)).alias("std")))])
+    return F.coalesce(*[F.try_element_at(known, n) for n in names])
+
+
+def neurite_units(neurites_: DataFrame, nodes: DataFrame, units_: DataFrame) -> DataFrame:
+    """``neurites_`` with the unit of the end that is no soma; between two somas there is none."""
+    plain = units_.select(F.col("node_id").alias("lower"), F.col("unit").alias("_lower"))
+    upper = units_.select(F.col("node_id").alias("upper"), F.col("unit").alias("_upper"))
+    return neurites_.join(plain, "lower", "left").join(upper, "upper", "left").withColumn("unit", F.coalesce("_lower", "_upper")).drop("_lower", "_upper")
+
+
+def roads(neurites_: DataFrame, nodes: DataFrame, units_: DataFrame) -> DataFrame:
+    """(lower, upper, unit, road, ramp): 'freeway' between two somas of a unit, else 'ramp'; ramp: the neurite it hangs on.
+
+    A neurite lies between two somas of its unit exactly if some, but not all of them are below it.
+    The others hang on the freeway by one neurite each: the highest below it, or the lowest above it.
+    Only units of two and more somas have roads.
+    """
+    placed = materialize(neurite_units(neurites_, nodes, units_).where("unit is not null"))
+    somas = materialize(nodes.where("kind = 'soma'").select("node_id"))
+    totals = somas_of_units(neurites_, nodes, units_).groupBy("unit").agg(F.count(F.lit(1)).alias("somas")).where("somas > 1")
+    placed = materialize(placed.join(totals, "unit"))
+    at_soma = somas.select(F.col("node_id").alias("upper"), F.lit(True).alias("_top"))
+    held = placed.join(at_soma, "upper", "left").select(F.col("lower").alias("node_id"), F.when(F.col("_top"), F.lit(ROOT)).otherwise(F.col("upper")).alias("parent_id"))
+    rest = held.join(held.select(F.col("node_id").alias("parent_id"), F.lit(True).alias("_known")), "parent_id", "left").select("node_id", F.when(F.col("_known"), F.col("parent_id")).otherwise(ROOT).alias("parent_id"))
+    rest = materialize(rest)
+    below = subtree_sum(rest, held.select("node_id").join(somas, "node_id", "left_semi").select("node_id", F.lit(1).cast("long").alias("total")))
+    marked = materialize(placed.join(below.withColumnRenamed("node_id", "lower"), "lower").withColumn("free", (F.col("total") > 0) & (F.col("total") < F.col("somas"))))
+    on = marked.where("free").select(F.col("lower").alias("node_id"), "unit").union(marked.where("free").select("upper", "unit")).distinct().withColumn("_on", F.lit(True))
+    # Off the freeway and without somas below: climb to the highest such neurite.
+    chain = rest.join(marked.select(F.col("lower").alias("node_id"), "total", "unit", "upper"), "node_id")
+    up = chain.select(F.col("node_id").alias("parent_id"), F.col("total").alias("_up"))
+    chain = chain.join(up, "parent_id", "left")
+    tops = climb(chain.where("total = 0"), F.lit(0).cast("long"), (F.col("parent_id") == ROOT) | F.col("_up").isNull() | (F.col("_up") > 0)).select(F.col("node_id").alias("lower"), F.col("top").alias("_entry"))
+    entry = marked.select(F.col("lower").alias("_entry"), F.col("upper").alias("node_id"), "unit").join(on, ["node_id", "unit"], "left").select("_entry", F.coalesce("_on", F.lit(False)).alias("_meets"))
+    # Above all somas: the neurite that meets the freeway from above, one a unit at most.
+    crown = marked.where("total = somas").join(on.withColumnRenamed("node_id", "lower"), ["lower", "unit"], "left_semi").groupBy("unit").agg(F.min("lower").alias("_crown"))
+    out = marked.join(tops, "lower", "left").join(entry, "_entry", "left").join(crown, "unit", "left")
+    ramp = F.when(~F.col("free"), F.when(F.col("_meets"), F.col("_entry")).otherwise(F.coalesce("_crown", "_entry")))
+    return out.select("lower", "upper", "unit", F.when(F.col("free"), "freeway").otherwise("ramp").alias("road"), ramp.alias("ramp"))
+
+
+def assembled(tree: DataFrame, nodes: DataFrame, assigned: DataFrame) -> DataFrame:
+    """(soma, node_id, parent_id): the neuron of each soma, from the neurites ``assigned`` (lower, soma) to it.
+
+    Nodes keep their parents, but for those on the way from a soma up to the highest node that it can
+    reach: there parents turn round, and the soma becomes the root. What the soma cannot reach over
+    its own neurites is left out.
+    """
+    held = neurite_nodes(tree, nodes).join(assigned, "lower")
+    links = materialize(held.where("node_id <> upper").select("soma", "node_id").join(tree.select("node_id", "parent_id"), "node_id"))
+    key = F.struct("soma", "node_id")
+    chain = links.select(key.alias("node_id"), F.struct("soma", F.col("parent_id").alias("node_id")).alias("parent_id"))
+    ends = chain.select(F.col("parent_id").alias("node_id")).distinct().join(chain.select("node_id"), "node_id", "left_anti").select("node_id", F.lit(None).cast(chain.schema["parent_id"].dataType).alias("parent_id"))
+    walk = materialize(chain.unionByName(ends))
+    tops = materialize(climb(walk, F.lit(1).cast("long"), F.col("parent_id").isNull()).select("node_id", "top"))
+    somas = assigned.select("soma").distinct().select("soma", F.struct("soma", F.col("soma").alias("node_id")).alias("node_id"))
+    home = somas.join(tops, "node_id").select("top", F.col("node_id.soma").alias("soma"))
+    mine = materialize(tops.join(home, "top", "left_semi").select("node_id"))
+    path = materialize(somas.select("node_id").join(walk, "node_id"))
+    found = path.select("node_id")
+    jumps = walk.select("node_id", F.col("parent_id").alias("jump"))
+    while not jumps.where("jump is not null").isEmpty():
+        jumps = materialize(jumps)
+        found = materialize(found.union(found.join(jumps.where("jump is not null"), "node_id").select(F.col("jump").alias("node_id"))).distinct())
+        above = jumps.select(F.col("node_id").alias("jump"), F.col("jump").alias("_next"))
+        jumps = jumps.join(above, "jump", "left").select("node_id", F.col("_next").alias("jump"))
+    turned = walk.where("parent_id is not null").join(found, "node_id", "left_semi").select(F.col("parent_id").alias("node_id"), F.col("node_id.node_id").alias("_turned"))
+    out = mine.join(walk, "node_id").join(turned, "node_id", "left").join(found.withColumn("_on", F.lit(True)), "node_id", "left")
+    parent = F.when(F.col("_turned").isNotNull(), F.col("_turned")).when(F.col("_on"), F.lit(ROOT)).otherwise(F.col("parent_id.node_id"))
+    return out.select(F.col("node_id.soma").alias("soma"), F.col("node_id.node_id").alias("node_id"), parent.cast("long").alias("parent_id"))

@@ -255,3 +255,68 @@ def hierarchical_segments(tree: DataFrame, weight: str = "radius") -> DataFrame:
     owned = done.join(depth.select("node_id", "steps"), "node_id")
     tops = owned.groupBy(F.col("best.leaf").alias("leaf")).agg(F.min(F.struct("steps", "node_id")).alias("t"), F.count(F.lit(1)).alias("nodes"))
     return owned.select("node_id", F.col("best.leaf").alias("leaf")).join(tops.select("leaf", F.col("t.node_id").alias("top"), "nodes"), "leaf")
+
+
+def subtree_sum(tree: DataFrame, value: DataFrame) -> DataFrame:
+    """(node_id, total): sum of ``value`` (node_id, total) over each node and all below it, in log2(depth) rounds."""
+    state = tree.select("node_id", F.when(F.col("parent_id") != ROOT, F.col("parent_id")).alias("jump")).join(value, "node_id", "left")
+    state = materialize(state.withColumn("total", F.coalesce("total", F.lit(0))))
+    while not state.where("jump is not null").isEmpty():
+        sent = state.where("jump is not null").groupBy(F.col("jump").alias("node_id")).agg(F.sum("total").alias("_sent"))
+        above = state.select(F.col("node_id").alias("jump"), F.col("jump").alias("_next"))
+        state = state.join(above, "jump", "left").join(sent, "node_id", "left")
+        state = materialize(state.select("node_id", F.col("_next").alias("jump"), (F.col("total") + F.coalesce("_sent", F.lit(0))).alias("total")))
+    return state.select("node_id", "total")
+
+
+def depth_first(tree: DataFrame) -> DataFrame:
+    """(node_id, order): places from 0 in the walk that goes down before it goes on, smaller ids first; roots in order of id.
+
+    A node's place is its parent's, one more, and the sizes of the subtrees of its smaller siblings.
+    """
+    sizes = subtree_sum(tree, tree.select("node_id", F.lit(1).cast("long").alias("total")))
+    before = Window.partitionBy("parent_id").orderBy("node_id").rowsBetween(Window.unboundedPreceding, -1)
+    step = tree.select("node_id", "parent_id").join(sizes, "node_id").withColumn("_step", F.coalesce(F.sum("total").over(before), F.lit(0)) + (F.col("parent_id") != ROOT).cast("long"))
+    summed = climb(step, F.col("_step"), F.col("parent_id") == ROOT)
+    tops = step.where(F.col("parent_id") == ROOT).select(F.col("node_id").alias("top"), F.col("_step").alias("_base"))
+    return summed.join(tops, "top").select("node_id", (F.col("total") + F.col("_base")).alias("order"))
+
+
+def sorted_tree(tree: DataFrame) -> DataFrame:
+    """``tree`` renumbered from 1 depth first, without nodes that lie where their parent does; ``old_id`` keeps the former id."""
+    same = edges(tree).where(" and ".join(f"{a} = p_{a}" for a in "xyz")).select("node_id")
+    tree = materialize(removed(tree, same))
+    order = materialize(depth_first(tree))
+    own = order.select("node_id", (F.col("order") + 1).alias("_new"))
+    up = order.select(F.col("node_id").alias("parent_id"), (F.col("order") + 1).alias("_up"))
+    joined = tree.join(own, "node_id").join(up, "parent_id", "left")
+    return joined.select(F.col("_new").alias("node_id"), "node_type", "x", "y", "z", "radius", F.coalesce("_up", F.lit(ROOT)).cast("long").alias("parent_id"), F.col("node_id").alias("old_id"))
+
+
+def prune_by_length(tree: DataFrame, least: float) -> DataFrame:
+    """``tree`` without the tips (chains up to the branching or root) that are shorter than ``least``."""
+    chains = materialize(segments(tree))
+    long = edges(tree).select("node_id", length().alias("_len"))
+    sums = chains.join(long, "node_id").groupBy("top").agg(F.sum("_len").alias("_len"))
+    ended = chains.join(leaves(tree).select("node_id"), "node_id", "left_semi").select("top")
+    short = sums.where(F.col("_len") < least).join(ended, "top", "left_semi").select("top")
+    gone = chains.join(short, "top", "left_semi").select("node_id").join(roots(tree).select("node_id"), "node_id", "left_anti")
+    return tree.join(gone, "node_id", "left_anti")
+
+
+def added(tree: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``tree`` with ``nodes``; those whose id is there already or whose parent is nowhere stay out."""
+    fresh = nodes.join(tree.select("node_id"), "node_id", "left_anti")
+    known = tree.select(F.col("node_id").alias("parent_id")).union(fresh.select("node_id")).distinct()
+    return tree.unionByName(fresh.join(known, "parent_id", "left_semi").select(*tree.columns))
+
+
+def degree_counts(tree: DataFrame) -> DataFrame:
+    """(degree, children, nodes): tips, branchings and chain nodes by their links."""
+    return degrees(tree).groupBy("degree", "children").agg(F.count(F.lit(1)).alias("nodes"))
+
+
+def bifurcations(tree: DataFrame, most: int) -> DataFrame:
+    """(branch_order, bifurcations) of branchings up to order ``most``."""
+    held = branch_orders(tree).where(F.col("branch_order") <= most).join(branch_nodes(tree), "node_id")
+    return held.groupBy("branch_order").agg(F.count(F.lit(1)).alias("bifurcations"))

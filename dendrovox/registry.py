@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dendrovox.queries import images, trees, volumes
+from dendrovox.queries import images, partition, trees, volumes
 
-ALL = volumes.QUERIES | trees.QUERIES | images.QUERIES
+ALL = volumes.QUERIES | trees.QUERIES | images.QUERIES | partition.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
