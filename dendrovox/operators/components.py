@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from dendrovox.operators.neighbours import neighbour_pairs, offsets
 from dendrovox.operators.views import Triple, address
-from dendrovox.plans.components import connected_components
+from dendrovox.plans.components import connected_components, least_heads
 from dendrovox.plans.durable import materialize
 
 
@@ -20,8 +20,7 @@ def _labelled(nodes: DataFrame, parts: DataFrame, node: str) -> DataFrame:
 def _least_in_chunk(place: np.ndarray, wide: tuple[int, int, int], at: np.ndarray, steps: list[tuple[int, int, int]]) -> np.ndarray:
     """The least address of each voxel's component inside one chunk.
 
-    ``place``: addresses in the chunk widened by one on every side, so a step is one difference. Ends
-    of edges hang on the smaller of their heads, chains are halved, until all ends of edges agree.
+    ``place``: addresses in the chunk widened by one on every side, so a step is one difference.
     """
     order = np.argsort(place)
     ordered = place[order]
@@ -32,16 +31,7 @@ def _least_in_chunk(place: np.ndarray, wide: tuple[int, int, int], at: np.ndarra
         met = np.flatnonzero(ordered[spot] == to)
         ends.append(np.stack([met, spot[met]]))
     a, b = np.concatenate(ends, axis=1)
-    head = np.arange(len(ordered))
-    while len(a):
-        ha, hb = head[a], head[b]
-        apart = ha != hb
-        if not apart.any():
-            break
-        a, b = a[apart], b[apart]
-        np.minimum.at(head, np.maximum(ha[apart], hb[apart]), np.minimum(ha[apart], hb[apart]))
-        while (head[head] != head).any():
-            head = head[head]
+    head = least_heads(a, b, len(ordered))
     least = np.full(len(ordered), np.iinfo(np.int64).max)
     np.minimum.at(least, head, at[order])
     out = np.empty(len(ordered), np.int64)

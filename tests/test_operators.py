@@ -70,8 +70,12 @@ def test_ranks_have_no_gap(spark):
         assert [r[:2] for r in sorted(mine, key=lambda r: r[2])] == [r[:2] for r in mine]
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_components_match_union_find(spark, seed):
+@pytest.mark.parametrize("a_task", [10, 200_000])
+@pytest.mark.parametrize("seed", range(2))
+def test_components_match_union_find(spark, seed, a_task, monkeypatch):
+    from dendrovox.plans import components as plan
+
+    monkeypatch.setattr(plan, "EDGES_A_TASK", a_task)
     random.seed(seed)
     edges = [(random.randint(0, 120), random.randint(0, 120)) for _ in range(90)] + [(200 + i, 201 + i) for i in range(60)] + [(400, 401 + i) for i in range(40)]
     parent = {}
