@@ -57,4 +57,21 @@ SHARDS = f"""WITH crc_table AS (SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0,
   {_descent(8, 'now_', 'documents')}, {_descent(9, 'later', 'documents')}
 SELECT doc_id, size, text_crc32, 'key' AS law, now_.shard, row_number() OVER (PARTITION BY now_.shard ORDER BY substr(md5(CAST(doc_id AS VARCHAR)), 1, 3), doc_id) - 1 AS slot, later.shard AS grown_shard, now_.region, now_.rack FROM facts JOIN now_ USING (doc_id) JOIN later USING (doc_id)"""
 
-ORACLES = {"op3_minhash_near_dups": NEAR_DUPS, "op5_warc_index": WARC, "op9_url_filters": URLS, "op10_hash_tree_shards": SHARDS}
+def _merge_level(k: int) -> str:
+    """CTEs that put the units of two nodes into one order by their deadlines, and time the merged order."""
+    return f"""p{k} AS (SELECT source, unit, seat >> {k + 1} AS node, seat, row_number() OVER (PARTITION BY seat >> {k + 1} ORDER BY round(time, 8), (seat >> {k}) & 1, pos) - 1 AS pos FROM u{k}),
+  b{k} AS (SELECT seat >> {k + 1} AS node, n / w AS ends, sum(n) OVER o AS due, coalesce(sum(w) OVER (PARTITION BY seat >> {k + 1} ORDER BY n / w, seat ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS rate, sum(w) OVER (PARTITION BY seat >> {k + 1}) AS whole FROM s WINDOW o AS (PARTITION BY seat >> {k + 1} ORDER BY n / w, seat ROWS UNBOUNDED PRECEDING)),
+  v{k} AS (SELECT p.source, p.unit, max(due + ends * rate) AS reached, arg_max(due, due + ends * rate) AS due, arg_max(rate, due + ends * rate) AS rate FROM p{k} p JOIN b{k} b ON b.node = p.node AND b.due + b.ends * b.rate < p.pos + 1 - 1e-9 GROUP BY 1, 2),
+  u{k + 1} AS MATERIALIZED (SELECT p.source, p.unit, p.seat, p.pos, CASE WHEN v.source IS NULL THEN (p.pos + 1) / w.whole WHEN v.rate > 0 THEN (p.pos + 1 - v.due) / v.rate ELSE 1e300 END AS time FROM p{k} p LEFT JOIN v{k} v ON v.source = p.source AND v.unit = p.unit JOIN (SELECT DISTINCT node, whole FROM b{k}) w ON w.node = p.node)"""
+
+
+#: Six levels of the tree hold 64 sources, three times as many as the tables have.
+MIXTURE = f"""WITH d AS (SELECT doc_id, source, coalesce('s' || source, 'n') AS key FROM documents), c AS (SELECT key AS source, count(*) AS rows, sqrt(CAST(count(*) AS DOUBLE)) AS w FROM d GROUP BY 1),
+  q AS (SELECT CASE WHEN count(*) > 1 THEN CAST(ceil(log2(count(*))) AS BIGINT) ELSE 0 END AS levels FROM c), z AS (SELECT levels, greatest(1, 32 // (levels + 1)) AS rows_ FROM q),
+  s AS (SELECT source, w, row_number() OVER (ORDER BY w DESC, source) - 1 AS seat, (rows + rows_ - 1) // rows_ AS n FROM c, z),
+  u0 AS (SELECT source, unit, seat, unit AS pos, (unit + 1) / w AS time FROM (SELECT *, unnest(range(n)) AS unit FROM s)),
+  {", ".join(map(_merge_level, range(6)))},
+  r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS rank FROM d)
+SELECT doc_id, r.source, rank // (rows_ * (levels + 1)) AS block, pos AS slot, pos * rows_ + rank % rows_ AS place FROM r, z JOIN u6 ON u6.source = r.key AND u6.unit = rank // rows_"""
+
+ORACLES = {"op4_mix_sources": MIXTURE, "op3_minhash_near_dups": NEAR_DUPS, "op5_warc_index": WARC, "op9_url_filters": URLS, "op10_hash_tree_shards": SHARDS}
