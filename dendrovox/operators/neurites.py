@@ -225,3 +225,42 @@ def assembled(tree: DataFrame, nodes: DataFrame, assigned: DataFrame) -> DataFra
     out = mine.join(walk, "node_id").join(turned, "node_id", "left").join(found.withColumn("_on", F.lit(True)), "node_id", "left")
     parent = F.when(F.col("_turned").isNotNull(), F.col("_turned")).when(F.col("_on"), F.lit(ROOT)).otherwise(F.col("parent_id.node_id"))
     return out.select(F.col("node_id.soma").alias("soma"), F.col("node_id.node_id").alias("node_id"), parent.cast("long").alias("parent_id"))
+
+
+def resampled_segments(tree: DataFrame, step: float) -> DataFrame:
+    """(lower, k, x, y, z, radius): points every ``step`` along each segment from its lower end up, and its upper end last.
+
+    A segment runs between branchings, tips and the root; places between nodes are interpolated.
+    """
+    nodes = topology_nodes(tree, tree.select("node_id").limit(0))
+    held = neurite_nodes(tree, nodes).join(tree.select("node_id", "x", "y", "z", "radius"), "node_id")
+    way = Window.partitionBy("lower").orderBy("at")
+    held = held.withColumns({f"n_{c}": F.lead(c).over(way) for c in ("x", "y", "z", "radius")})
+    held = held.withColumn("_len", _norm([F.col(f"n_{a}") - F.col(a) for a in "xyz"]))
+    held = held.withColumn("_from", F.coalesce(F.sum("_len").over(way.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    inner = held.where("n_x is not null").withColumns({"_a": F.ceil(F.round(F.col("_from") / step, 9)), "_b": F.ceil(F.round((F.col("_from") + F.col("_len")) / step, 9)) - 1})
+    inner = inner.where("_a <= _b").withColumn("k", F.explode(F.sequence("_a", "_b")))
+    t = F.when(F.col("_len") > 0, (F.col("k") * step - F.col("_from")) / F.col("_len")).otherwise(0.0)
+    points = inner.select("lower", F.col("k").cast("long").alias("k"), *[(F.col(c) + (F.col(f"n_{c}") - F.col(c)) * t).alias(c) for c in ("x", "y", "z", "radius")])
+    ends = held.where("n_x is null").select("lower", F.ceil(F.round(F.col("_from") / step, 9)).cast("long").alias("k"), "x", "y", "z", "radius")
+    return points.unionByName(ends)
+
+
+def smoothed_lines(lines: DataFrame, columns: tuple[str, ...] = ("x", "y", "z"), line: str = "line", seq: str = "seq") -> DataFrame:
+    """``lines`` with ``columns`` weighted 1 2 3 2 1 over five neighbouring points, cut at the ends, which stay."""
+    order = Window.partitionBy(line).orderBy(seq)
+    ends = F.lag(F.lit(1)).over(order).isNull() | F.lead(F.lit(1)).over(order).isNull()
+    out = {}
+    for c in columns:
+        near = [(1.0, F.lag(c, 2).over(order)), (2.0, F.lag(c).over(order)), (3.0, F.col(c)), (2.0, F.lead(c).over(order)), (1.0, F.lead(c, 2).over(order))]
+        total = sum((F.lit(k) * F.coalesce(v, F.lit(0.0)) for k, v in near), F.lit(0.0))
+        weight = sum((F.when(v.isNotNull(), F.lit(k)).otherwise(0.0) for k, v in near), F.lit(0.0))
+        out[c] = F.when(ends, F.col(c)).otherwise(total / weight)
+    return lines.withColumns(out)
+
+
+def contours(points: DataFrame, by: str = "contour") -> DataFrame:
+    """Centre and mean distance from it of the points (x, y, z) of each contour."""
+    centre = points.groupBy(by).agg(*[F.avg(a).alias(f"c{a}") for a in "xyz"])
+    far = _norm([F.col(a) - F.col(f"c{a}") for a in "xyz"])
+    return points.join(centre, by).groupBy(by, *[f"c{a}" for a in "xyz"]).agg(F.avg(far).alias("radius"))

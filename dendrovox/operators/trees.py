@@ -320,3 +320,9 @@ def bifurcations(tree: DataFrame, most: int) -> DataFrame:
     """(branch_order, bifurcations) of branchings up to order ``most``."""
     held = branch_orders(tree).where(F.col("branch_order") <= most).join(branch_nodes(tree), "node_id")
     return held.groupBy("branch_order").agg(F.count(F.lit(1)).alias("bifurcations"))
+
+
+def prune_dark(tree: DataFrame, value: str, most: float) -> DataFrame:
+    """``tree`` without tips as long as they are dark: a node stays if it, a node below it or the root has more than ``most``."""
+    bright = subtree_max(tree, tree.select("node_id", F.col(value).alias("best"))).where(F.col("best") > most).select("node_id")
+    return tree.join(bright.union(roots(tree).select("node_id")).distinct(), "node_id", "left_semi")

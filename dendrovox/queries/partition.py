@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dendrovox.operators import graphs, neurites, trees
-from dendrovox.queries.trees import ENDS, NEURITES, ORDERS, PATHS, SEGMENTS, UNITS, _somas, tree
+from dendrovox.queries.trees import ENDS, NEURITES, ORDERS, PATHS, SEGMENTS, SOMA_EVERY, UNITS, _somas, tree
 from dendrovox.queries.volumes import FRONT, front, pairs
 from dendrovox.sources import derived
-from dendrovox.sources.derived import TREE
+from dendrovox.sources.derived import POLYLINES, TREE
+from dendrovox.streaming import histograms
 
 
 def _topology(spark, d):
@@ -33,6 +34,28 @@ def neurite_directions(spark, d):
     return neurites.directed(found, nodes)
 
 
+def tree_resample_segments(spark, d):
+    t = tree(spark, d).withColumn("x", F.col("x") / 100)
+    return neurites.resampled_segments(t, 10.0).select("lower", "k", *[F.round(c, 5).alias(c) for c in ("x", "y", "z", "radius")])
+
+
+def tree_prune_dark(spark, d):
+    return trees.prune_dark(tree(spark, d), "radius", 3.0).select("node_id", "parent_id")
+
+
+def contour_nearest(spark, d):
+    lines = derived.polylines(spark, d).withColumn("contour", F.col("line") % 101)
+    rings = neurites.contours(lines).withColumnRenamed("contour", "node_id")
+    roots = tree(spark, d).select(F.col("node_id").alias("target_id"), (F.col("x") / 100).alias("x"), "y", "z")
+    found = trees.nearest_node(rings.select("node_id", *[F.col(f"c{a}").alias(a) for a in "xyz"]), roots, 8.0)
+    return found.join(rings.select("node_id", F.round("radius", 5).alias("radius")), "node_id").select("target_id", "node_id", F.round("distance", 5).alias("distance"), "radius")
+
+
+def hist_match_feedback(spark, d):
+    planes = derived.planes(spark, d).select((F.col("i") % 5).alias("sequence"), "z", "v")
+    return histograms.match_with_feedback(planes, 3, 0.8)
+
+
 #: Means and deviations of angles: region, then species, then cell type.
 ANGLES = {"1": (0.8, 0.5), "3": (0.9, 0.6), "MACHINERY": (1.0, 0.4), "AUTOMOBILE": (0.7, 0.3), "cell": (1.1, 0.7)}
 
@@ -110,6 +133,7 @@ def tree_to_targets(spark, d):
 
 
 NODES = f"{NEURITES}, held AS (SELECT w.lower, n.upper, w.pos AS node_id, w.inner_ + 1 AS place FROM walk w JOIN neurites n ON n.lower = w.lower UNION ALL SELECT lower, upper, lower, 0 FROM neurites)"
+PLAIN = NODES.replace(f"WHEN t.node_id % {SOMA_EVERY} = 0 THEN 'soma' ", "")
 PLACED = f"""{UNITS}, placed AS (SELECT lower, upper, coalesce(a.unit, b.unit) AS unit FROM neurites LEFT JOIN units a ON a.node_id = lower LEFT JOIN units b ON b.node_id = upper),
     pairs_ AS (SELECT lower AS soma, upper AS node_id FROM neurites UNION SELECT upper, lower FROM neurites), members AS (SELECT DISTINCT unit, soma FROM pairs_ JOIN units USING (node_id) JOIN topo ON topo.node_id = soma WHERE kind = 'soma')"""
 ROADS = f"""{PLACED}, totals AS (SELECT unit, count(*) AS somas FROM members GROUP BY 1 HAVING count(*) > 1), r AS (SELECT p.*, somas, t.kind AS lk, u.kind AS uk FROM placed p JOIN totals USING (unit) JOIN topo t ON t.node_id = lower JOIN topo u ON u.node_id = upper),
@@ -122,6 +146,13 @@ ROADS = f"""{PLACED}, totals AS (SELECT unit, count(*) AS somas FROM members GRO
 
 QUERIES = {
     "neurite_nodes": (neurite_nodes, f"WITH RECURSIVE {NODES} SELECT lower, upper, node_id, place FROM held"),
+    "hist_match_feedback": (hist_match_feedback, None),
+    "tree_prune_dark": (tree_prune_dark, f"WITH RECURSIVE {TREE}, up(node_id) AS (SELECT node_id FROM tree WHERE radius > 3 UNION SELECT parent_id FROM up JOIN tree USING (node_id)) SELECT node_id, parent_id FROM tree WHERE parent_id = -1 OR node_id IN (SELECT node_id FROM up)"),
+    "tree_resample_segments": (tree_resample_segments, f"""WITH RECURSIVE {PLAIN}, q AS (SELECT h.lower, place, t.x / 100 AS x, t.y, t.z, t.radius AS r FROM held h JOIN tree t USING (node_id)), n AS (SELECT *, lead(x) OVER o AS nx, lead(y) OVER o AS ny, lead(z) OVER o AS nz, lead(r) OVER o AS nr FROM q WINDOW o AS (PARTITION BY lower ORDER BY place)),
+        l AS (SELECT *, sqrt((nx - x) ** 2 + (ny - y) ** 2 + (nz - z) ** 2) AS len FROM n), f AS (SELECT *, coalesce(sum(len) OVER (PARTITION BY lower ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM l),
+        k AS (SELECT *, unnest(range(CAST(ceil(round(start / 10, 9)) AS BIGINT), CAST(ceil(round((start + len) / 10, 9)) AS BIGINT))) AS k FROM f WHERE nx IS NOT NULL), p AS (SELECT *, CASE WHEN len > 0 THEN (k * 10.0 - start) / len ELSE 0 END AS t FROM k)
+        SELECT lower, k, round(x + (nx - x) * t, 5) AS x, round(y + (ny - y) * t, 5) AS y, round(z + (nz - z) * t, 5) AS z, round(r + (nr - r) * t, 5) AS radius FROM p UNION ALL SELECT lower, CAST(ceil(round(start / 10, 9)) AS BIGINT), round(x, 5), round(y, 5), round(z, 5), round(r, 5) FROM f WHERE nx IS NULL"""),
+    "contour_nearest": (contour_nearest, f"WITH {TREE}, {POLYLINES}, p AS (SELECT line % 101 AS contour, x, y, z FROM polylines), c AS (SELECT contour, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz FROM p GROUP BY 1), r AS (SELECT contour, cx, cy, cz, avg(sqrt((x - cx) ** 2 + (y - cy) ** 2 + (z - cz) ** 2)) AS radius FROM p JOIN c USING (contour) GROUP BY ALL), m AS (SELECT t.node_id AS target_id, contour, r.radius AS radius, sqrt((t.x / 100 - cx) ** 2 + (t.y - cy) ** 2 + (t.z - cz) ** 2) AS far FROM tree t, r) SELECT target_id, arg_min(contour, far) AS node_id, round(min(far), 5) AS distance, round(arg_min(radius, far), 5) AS radius FROM m GROUP BY 1"),
     "neurite_trees": (neurite_trees, f"WITH RECURSIVE {NODES}, p AS (SELECT *, max(place) OVER (PARTITION BY lower) - place AS p FROM held) SELECT p.lower, p + 1 AS node_id, CASE WHEN p = 0 THEN -1 ELSE p END AS parent_id, p.node_id AS old_id, node_type, round(x, 6) AS x, radius FROM p JOIN tree ON tree.node_id = p.node_id"),
     "neurite_directions": (neurite_directions, f"WITH RECURSIVE {NEURITES}, b AS (SELECT lower, upper, l.kind AS lk, u.kind AS uk FROM neurites JOIN topo l ON l.node_id = lower JOIN topo u ON u.node_id = upper), w AS (SELECT upper AS src, lower AS dst, uk AS s, lk AS t FROM b UNION ALL SELECT lower, upper, lk, uk FROM b) SELECT src, dst, least(src, dst) AS low, greatest(src, dst) AS high, s = 'soma' AS stem, s = 'soma' AND t = 'soma' AS unresolvable FROM w WHERE s <> 'leaf'"),
     "distribution_keys": (distribution_keys, "SELECT c_custkey AS id, CAST(coalesce(CASE c_nationkey WHEN 1 THEN 0.8 WHEN 3 THEN 0.9 END, CASE c_mktsegment WHEN 'MACHINERY' THEN 1.0 WHEN 'AUTOMOBILE' THEN 0.7 END, CASE WHEN c_custkey % 2 = 0 THEN 1.1 END) AS DOUBLE) AS mean, CAST(coalesce(CASE c_nationkey WHEN 1 THEN 0.5 WHEN 3 THEN 0.6 END, CASE c_mktsegment WHEN 'MACHINERY' THEN 0.4 WHEN 'AUTOMOBILE' THEN 0.3 END, CASE WHEN c_custkey % 2 = 0 THEN 0.7 END) AS DOUBLE) AS std FROM customer"),

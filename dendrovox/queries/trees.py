@@ -132,14 +132,7 @@ def polyline_length(spark, d):
 
 
 def polyline_smooth(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("line").orderBy("seq")
-    near = [(1.0, F.lag("x", 2).over(w)), (2.0, F.lag("x").over(w)), (3.0, F.col("x")), (2.0, F.lead("x").over(w)), (1.0, F.lead("x", 2).over(w))]
-    total = sum((F.lit(k) * F.coalesce(c, F.lit(0.0)) for k, c in near), F.lit(0.0))
-    weight = sum((F.when(c.isNotNull(), F.lit(k)).otherwise(0.0) for k, c in near), F.lit(0.0))
-    ends = F.lag("x").over(w).isNull() | F.lead("x").over(w).isNull()
-    return derived.polylines(spark, d).select("line", F.col("seq.o_orderkey").alias("k"), F.round(F.when(ends, F.col("x")).otherwise(total / weight), 6).alias("x"))
+    return neurites.smoothed_lines(derived.polylines(spark, d)).select("line", F.col("seq.o_orderkey").alias("k"), *[F.round(c, 6).alias(c) for c in "xyz"])
 
 
 def _angles(spark, d):
@@ -335,7 +328,7 @@ QUERIES = {
     "dark_segments": (dark_segments, f"WITH RECURSIVE {HIER}, s AS (SELECT leaf, avg(radius) AS mean, avg(CASE WHEN radius <= 2 THEN 1.0 ELSE 0.0 END) AS dark FROM best JOIN tree USING (node_id) GROUP BY 1) SELECT leaf, round(mean, 6) AS mean, round(dark, 6) AS dark FROM s WHERE mean <= 3 OR dark >= 0.2"),
     "swc_roundtrip": (swc_roundtrip, f"WITH {TREE} SELECT * FROM tree"),
     "polyline_length": (polyline_length, f"WITH {STEPS} SELECT line, round(coalesce(sum(sqrt((nx - x) * (nx - x) + (ny - y) * (ny - y) + (nz - z) * (nz - z))), 0.0), 5) AS length, count(*) AS points, round(avg(radius), 6) AS mean_radius FROM s GROUP BY 1"),
-    "polyline_smooth": (polyline_smooth, f"WITH {POLYLINES}, s AS (SELECT *, lag(x, 2) OVER o AS a, lag(x) OVER o AS b, lead(x) OVER o AS c, lead(x, 2) OVER o AS e FROM polylines WINDOW o AS (PARTITION BY line ORDER BY d, k)) SELECT line, k, round(CASE WHEN b IS NULL OR c IS NULL THEN x ELSE (coalesce(a, 0) + 2 * b + 3 * x + 2 * c + coalesce(e, 0)) / (7.0 + CASE WHEN a IS NULL THEN 0 ELSE 1 END + CASE WHEN e IS NULL THEN 0 ELSE 1 END) END, 6) AS x FROM s"),
+    "polyline_smooth": (polyline_smooth, f"WITH {POLYLINES} SELECT line, k, " + ", ".join(f"round(CASE WHEN lag({c}) OVER o IS NULL OR lead({c}) OVER o IS NULL THEN {c} ELSE (coalesce(lag({c}, 2) OVER o, 0) + 2 * lag({c}) OVER o + 3 * {c} + 2 * lead({c}) OVER o + coalesce(lead({c}, 2) OVER o, 0)) / (7.0 + CASE WHEN lag({c}, 2) OVER o IS NULL THEN 0 ELSE 1 END + CASE WHEN lead({c}, 2) OVER o IS NULL THEN 0 ELSE 1 END) END, 6) AS {c}" for c in "xyz") + " FROM polylines WINDOW o AS (PARTITION BY line ORDER BY d, k)"),
     "gof_angle": (gof_angle, f"WITH {ANGLES} SELECT line, round(angle, 6) AS angle FROM a"),
     "gof_probability": (gof_cost, f"WITH {ANGLES}, l AS (SELECT line, sum(sqrt((nx - x) * (nx - x) + (ny - y) * (ny - y) + (nz - z) * (nz - z))) AS length FROM s GROUP BY 1) SELECT line, round({_P}, 6) AS probability, round((1 - {_P} * ln(2.0)) * ln(1 + length), 5) AS cost FROM a JOIN l USING (line)"),
     "topo_nodes": (topo_nodes, f"WITH {KINDS} SELECT node_id, kind FROM kinds WHERE kind IS NOT NULL"),

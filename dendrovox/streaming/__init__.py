@@ -1 +1 @@
-"""dendrovox.streaming"""
+"""Operators that keep a state from plane to plane."""
