@@ -315,3 +315,58 @@ def test_whole_history_matches_values_of_60_and_more(spark, sf_dir):
     for z, v in spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("datediff(to_date(ts), '2020-01-01')", "cast(floor(value) as long)").collect():
         events.setdefault(z, []).append(v)
     assert max(v for _, v in planes) > 60 and planes == brute_matches(events, 2, 1.0)
+
+
+def test_nearest_node_of_targets_without_a_place(spark):
+    tree = spark.createDataFrame([(1, 0, 0.0, 0.0, 0.0, 1.0, -1), (2, 0, 5000.0, 0.0, 0.0, 1.0, 1), (3, 0, float("nan"), 0.0, 0.0, 1.0, 1)], TREE)
+    targets = spark.createDataFrame([(1, 4000.0, 0.0, 0.0), (2, float("nan"), 0.0, 0.0), (3, None, 1.0, 1.0), (4, float("inf"), 0.0, 0.0), (5, -1.0, 0.0, 0.0)], "target_id long, x double, y double, z double")
+    got = {r["target_id"]: (r["node_id"], r["distance"]) for r in trees.nearest_node(tree, targets, 0.5).collect()}
+    assert got == {1: (2, 1000.0), 2: (None, None), 3: (None, None), 4: (None, None), 5: (1, 1.0)}
+    assert {r["node_id"] for r in trees.nearest_node(tree.limit(0), targets, 1.0).collect()} == {None}
+
+
+def test_ranks_leave_other_columns_alone(spark):
+    frame = spark.createDataFrame([("a", i, 7, 8) for i in range(20)], "g string, k long, _bucket int, _row int")
+    got = ranked(frame, ["g"], F.col("k") % 3, [F.col("k")], "_rank").collect()
+    assert sorted(r["_rank"] for r in got) == list(range(20)) and {(r["_bucket"], r["_row"]) for r in got} == {(7, 8)}
+
+
+def test_paths_over_many_parts(spark):
+    random.seed(9)
+    edges = [(random.randrange(60), random.randrange(60), random.uniform(0.5, 4)) for _ in range(240)]
+    best = {0: 0.0, 1: 2.5}
+    for _ in range(60):
+        for u, v, c in edges:
+            if u in best and best[u] + c < best.get(v, math.inf):
+                best[v] = best[u] + c
+    frame = spark.createDataFrame(edges, "u long, v long, cost double")
+    sources = spark.createDataFrame([(0, 0.0), (1, 2.5)], "id long, distance double")
+    got = {r["id"]: r["distance"] for r in graphs.shortest_paths(frame, sources, lambda at: at % 7).collect()}
+    assert got == pytest.approx(best)
+    targets = spark.createDataFrame([(5,), (999,)], "id long")
+    state = {r["id"]: r["reached"] for r in graphs.reached(graphs.shortest_paths(frame, sources), targets).collect()}
+    assert state == {5: 5 in best, 999: False}
+    assert graphs.shortest_paths(frame, sources.limit(0)).count() == 0
+
+
+def test_chunks_cut_values_and_keep_odd_ends(spark, tmp_path):
+    from dendrovox.operators import chunks
+
+    voxels = spark.createDataFrame([(0, 0, 0, 300), (1, 4, 6, -5), (2, 2, 3, 9)], "z long, y long, x long, v long")
+    chunks.write_chunks(chunks.to_chunks(voxels, (3, 5, 7), (2, 2, 4), "u8"), f"file://{tmp_path}/v")
+    held = chunks.read_chunks(spark, f"file://{tmp_path}/v")
+    got = {(r["z"], r["y"], r["x"]): r["v"] for r in chunks.read_block(held, Block((0, 0, 0), (3, 5, 7)), (2, 2, 4)).collect() if r["v"]}
+    assert got == {(0, 0, 0): 255.0, (2, 2, 3): 9.0}
+    plan = chunks.read_block(held, Block((2, 0, 0), (1, 2, 2)), (2, 2, 4))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull" in plan or "PartitionFilters: [" in plan and "cz#" in plan
+    assert chunks.read_block(held, Block((2, 4, 4), (1, 1, 3)), (2, 2, 4)).count() == 0
+
+
+def test_neurons_turn_round_below_their_soma(spark):
+    t = spark.createDataFrame([(i, 0, float(i), 0.0, 0.0, 1.0, p) for i, p in ((1, -1), (2, 1), (3, 2), (4, 3), (5, 3), (6, 5), (7, 2))], TREE)
+    nodes = neurites.topology_nodes(t, spark.createDataFrame([(5,)], "node_id long"))
+    ends = neurites.neurites(t, nodes).select("lower", F.lit(5).cast("long").alias("soma"))
+    got = {r["node_id"]: r["parent_id"] for r in neurites.assembled(t, nodes, ends).collect()}
+    assert got == {5: -1, 6: 5, 3: 5, 4: 3, 2: 3, 7: 2, 1: 2}
+    cut = neurites.assembled(t, nodes, ends.where("lower <> 3")).collect()
+    assert {r["node_id"]: r["parent_id"] for r in cut} == {5: -1, 6: 5, 3: 5, 4: 3}
