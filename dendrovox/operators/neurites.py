@@ -264,3 +264,9 @@ def contours(points: DataFrame, by: str = "contour") -> DataFrame:
     centre = points.groupBy(by).agg(*[F.avg(a).alias(f"c{a}") for a in "xyz"])
     far = _norm([F.col(a) - F.col(f"c{a}") for a in "xyz"])
     return points.join(centre, by).groupBy(by, *[f"c{a}" for a in "xyz"]).agg(F.avg(far).alias("radius"))
+
+
+def decision_costs(roads_: DataFrame, costs: DataFrame) -> DataFrame:
+    """(unit, neurite, road, neurites, cost): what is decided on. A ramp carries the costs (lower, cost) of all that hangs on it."""
+    held = roads_.join(costs, "lower").withColumn("neurite", F.coalesce("ramp", "lower"))
+    return held.groupBy("unit", "neurite", "road").agg(F.count(F.lit(1)).alias("neurites"), F.sum("cost").alias("cost"))

@@ -123,3 +123,35 @@ def level_for_memory(dz: Column, dy: Column, dx: Column, limit_gb: float, voxel_
     """The first level whose view fits: each level holds a quarter of the one before."""
     size = dz * dy * dx * voxel_bytes / F.lit(float(1 << 30))
     return F.greatest(F.lit(0), F.ceil(F.log2(size / limit_gb) / 2)).cast("long")
+
+
+def placed_markers(markers: DataFrame, voxels: DataFrame, dims: Triple, level: int, least: float) -> DataFrame:
+    """``markers`` (x, y, z at level 0) with lx, ly, lz at ``level`` (cut down) and whether a search can start there.
+
+    It can where the place lies in ``dims`` of the level and its voxel has at least ``least``.
+    """
+    ratio = float(1 << level)
+    at = markers.withColumns({"lz": F.floor("z").cast("long"), "ly": F.floor(F.col("y") / ratio).cast("long"), "lx": F.floor(F.col("x") / ratio).cast("long")})
+    inside = F.lit(True)
+    for a, n in zip("zyx", dims):
+        inside &= F.col(f"l{a}").between(0, n - 1)
+    held = voxels.where(F.col("v") >= least).select(*[F.col(a).alias(f"l{a}") for a in "zyx"], F.lit(True).alias("_bright"))
+    return at.join(held, ["lz", "ly", "lx"], "left").withColumn("usable", inside & F.coalesce("_bright", F.lit(False))).drop("_bright")
+
+
+def crops(points: DataFrame, by: str, margin: float, cell: float) -> DataFrame:
+    """The box of the points of each ``by``, widened by ``margin``, and whether a box of a smaller ``by`` meets it.
+
+    Boxes meet only where they share a grid cell of side ``cell``.
+    """
+    boxes = points.groupBy(by).agg(*[f(F.col(a)).alias(f"{a}{e}") for a in "zyx" for f, e in ((F.min, "min"), (F.max, "max"))])
+    boxes = boxes.withColumns({f"{a}{e}": F.col(f"{a}{e}") + d for a in "zyx" for e, d in (("min", -margin), ("max", margin))})
+    cells = boxes
+    for a in "zyx":
+        cells = cells.withColumn(f"_{a}", F.explode(F.sequence(F.floor(F.col(f"{a}min") / cell), F.floor(F.col(f"{a}max") / cell))))
+    others = cells.select(F.col(by).alias("_by"), "_z", "_y", "_x", *[F.col(f"{a}{e}").alias(f"_{a}{e}") for a in "zyx" for e in ("min", "max")])
+    meet = F.lit(True)
+    for a in "zyx":
+        meet &= (F.col(f"{a}min") < F.col(f"_{a}max")) & (F.col(f"_{a}min") < F.col(f"{a}max"))
+    taken = cells.join(others, ["_z", "_y", "_x"]).where((F.col("_by") < F.col(by)) & meet).select(by).distinct().withColumn("_taken", F.lit(True))
+    return boxes.join(taken, by, "left").withColumn("overlaps", F.coalesce("_taken", F.lit(False))).drop("_taken")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dendrovox.operators import graphs, neurites, trees
+from dendrovox.operators import arrays, components, graphs, neurites, trees, views
 from dendrovox.queries.trees import ENDS, NEURITES, ORDERS, PATHS, SEGMENTS, SOMA_EVERY, UNITS, _somas, tree
 from dendrovox.queries.volumes import FRONT, front, pairs
 from dendrovox.sources import derived
-from dendrovox.sources.derived import POLYLINES, TREE
+from dendrovox.sources.derived import POINTS, POLYLINES, TREE, VOXELS
 from dendrovox.streaming import histograms
 
 
@@ -71,6 +71,23 @@ def gcut_roads(spark, d):
     return neurites.roads(found, nodes, neurites.units(found, nodes))
 
 
+def gcut_decisions(spark, d):
+    _, nodes, found = _topology(spark, d)
+    return neurites.decision_costs(neurites.roads(found, nodes, neurites.units(found, nodes)), found.select("lower", (F.col("n_inner") + 1).alias("cost")))
+
+
+def trace_sources(spark, d):
+    dims = derived.dims(spark, d)
+    marks = derived.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 70 - 3 + 0.5).alias("x"), (F.col("o_custkey") % 68 - 2 + 0.25).alias("y"), (F.col("o_orderkey") % 9 + 0.75).alias("z"))
+    half = arrays.pyramid(derived.voxels(spark, d), "max")
+    return views.placed_markers(marks, half, (dims[0], 16, 16), 1, 4).select("id", "lz", "ly", "lx", "usable")
+
+
+def soma_crops(spark, d):
+    found = components.label_points(derived.points(spark, d), 3.0)
+    return views.crops(found, "label", 2.0, 16.0).select("label", "overlaps", *[F.round(f"{a}{e}", 5).alias(f"{a}{e}") for a in "zyx" for e in ("min", "max")])
+
+
 def _assigned(found, nodes):
     units = neurites.units(found, nodes)
     least = neurites.somas_of_units(found, nodes, units).groupBy("unit").agg(F.min("soma").alias("soma"))
@@ -157,6 +174,12 @@ QUERIES = {
     "neurite_directions": (neurite_directions, f"WITH RECURSIVE {NEURITES}, b AS (SELECT lower, upper, l.kind AS lk, u.kind AS uk FROM neurites JOIN topo l ON l.node_id = lower JOIN topo u ON u.node_id = upper), w AS (SELECT upper AS src, lower AS dst, uk AS s, lk AS t FROM b UNION ALL SELECT lower, upper, lk, uk FROM b) SELECT src, dst, least(src, dst) AS low, greatest(src, dst) AS high, s = 'soma' AS stem, s = 'soma' AND t = 'soma' AS unresolvable FROM w WHERE s <> 'leaf'"),
     "distribution_keys": (distribution_keys, "SELECT c_custkey AS id, CAST(coalesce(CASE c_nationkey WHEN 1 THEN 0.8 WHEN 3 THEN 0.9 END, CASE c_mktsegment WHEN 'MACHINERY' THEN 1.0 WHEN 'AUTOMOBILE' THEN 0.7 END, CASE WHEN c_custkey % 2 = 0 THEN 1.1 END) AS DOUBLE) AS mean, CAST(coalesce(CASE c_nationkey WHEN 1 THEN 0.5 WHEN 3 THEN 0.6 END, CASE c_mktsegment WHEN 'MACHINERY' THEN 0.4 WHEN 'AUTOMOBILE' THEN 0.3 END, CASE WHEN c_custkey % 2 = 0 THEN 0.7 END) AS DOUBLE) AS std FROM customer"),
     "gcut_roads": (gcut_roads, f"WITH RECURSIVE {ROADS} SELECT lower, upper, m.unit, CASE WHEN free THEN 'freeway' ELSE 'ramp' END AS road, CASE WHEN NOT free THEN CASE WHEN o.node_id IS NOT NULL THEN tops.entry ELSE coalesce(crown, tops.entry) END END AS ramp FROM m LEFT JOIN tops ON tops.e = lower LEFT JOIN (SELECT m.lower AS l, m.upper AS u, unit FROM m) x ON x.l = tops.entry LEFT JOIN on_ o ON o.node_id = x.u AND o.unit = m.unit LEFT JOIN crown ON crown.unit = m.unit"),
+    "gcut_decisions": (gcut_decisions, f"WITH RECURSIVE {ROADS}, w AS (SELECT m.lower, m.unit, CASE WHEN free THEN 'freeway' ELSE 'ramp' END AS road, CASE WHEN free THEN m.lower WHEN o.node_id IS NOT NULL THEN tops.entry ELSE coalesce(crown, tops.entry) END AS neurite, n_inner + 1 AS cost FROM m JOIN neurites ne ON ne.lower = m.lower LEFT JOIN tops ON tops.e = m.lower LEFT JOIN (SELECT lower AS l, upper AS u FROM m) x ON x.l = tops.entry LEFT JOIN on_ o ON o.node_id = x.u AND o.unit = m.unit LEFT JOIN crown ON crown.unit = m.unit) SELECT unit, neurite, road, count(*) AS neurites, CAST(sum(cost) AS BIGINT) AS cost FROM w GROUP BY 1, 2, 3"),
+    "trace_sources": (trace_sources, f"WITH {VOXELS}, half AS (SELECT z, y // 2 AS y, x // 2 AS x, max(v) AS v FROM voxels GROUP BY 1, 2, 3), k AS (SELECT o_orderkey AS id, CAST(floor(o_orderkey % 9 + 0.75) AS BIGINT) AS lz, CAST(floor((o_custkey % 68 - 2 + 0.25) / 2) AS BIGINT) AS ly, CAST(floor((o_orderkey % 70 - 3 + 0.5) / 2) AS BIGINT) AS lx FROM orders) SELECT id, lz, ly, lx, v IS NOT NULL AS usable FROM k LEFT JOIN half h ON h.z = lz AND h.y = ly AND h.x = lx AND v >= 4"),
+    "soma_crops": (soma_crops, f"""WITH RECURSIVE {POINTS}, near AS MATERIALIZED (SELECT a.id AS u, b.id AS w FROM points a JOIN points b ON a.id <> b.id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) <= 9.0),
+        l(id, label) USING KEY (id) AS (SELECT id, id FROM points UNION SELECT n.u, min(x.label) FROM l x JOIN near n ON n.w = x.id JOIN recurring.l c ON c.id = n.u WHERE x.label < c.label GROUP BY n.u),
+        b AS (SELECT label, {", ".join(f"min({a}) - 2 AS {a}min, max({a}) + 2 AS {a}max" for a in "zyx")} FROM points JOIN l USING (id) GROUP BY 1)
+        SELECT label, EXISTS (SELECT 1 FROM b o WHERE o.label < b.label AND {" AND ".join(f"b.{a}min < o.{a}max AND o.{a}min < b.{a}max" for a in "zyx")}) AS overlaps, {", ".join(f"round({a}{e}, 5) AS {a}{e}" for a in "zyx" for e in ("min", "max"))} FROM b"""),
     "gcut_neurons": (gcut_neurons, f"""WITH RECURSIVE {PLACED}, least_ AS (SELECT unit, min(soma) AS soma FROM members GROUP BY 1), given AS (SELECT lower, soma FROM placed JOIN least_ USING (unit)),
         chain AS (SELECT lower, pos AS upper_, inner_, lag(pos) OVER (PARTITION BY lower ORDER BY inner_) AS before_ FROM walk),
         strands AS (SELECT soma, coalesce(before_, c.lower) AS u, upper_ AS v FROM chain c JOIN given USING (lower)), ways AS (SELECT soma, u, v FROM strands UNION ALL SELECT soma, v, u FROM strands),

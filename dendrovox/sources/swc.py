@@ -30,9 +30,20 @@ def swc_lines(tree: DataFrame) -> DataFrame:
     return tree.select(F.concat_ws(" ", *[F.col(name).cast("string") for name, _ in SWC_FIELDS]).alias("value"))
 
 
-def write_swc(tree: DataFrame, path: str) -> None:
-    """Lines in the order of node ids, over as many files as Spark makes of the order."""
-    swc_lines(tree.orderBy("node_id")).write.mode("overwrite").text(path)
+def write_swc(tree: DataFrame, path: str, notes: list[str] | None = None) -> None:
+    """Lines in the order of node ids, over as many files as Spark makes of the order; ``notes`` come first, as comments."""
+    lines = swc_lines(tree).withColumn("_at", F.element_at(F.split("value", " "), 1).cast("long"))
+    if notes:
+        head = tree.sparkSession.createDataFrame([(f"# {note}", k - len(notes)) for k, note in enumerate(notes)], "value string, k long")
+        lowest = tree.agg(F.coalesce(F.min("node_id"), F.lit(0)).alias("low"))
+        lines = lines.union(head.join(lowest).select("value", F.col("low") + F.col("k")))
+    lines.orderBy("_at").select("value").write.mode("overwrite").text(path)
+
+
+def read_notes(spark: SparkSession, path: str) -> DataFrame:
+    """(tree_id, note) of the comment lines of all files below ``path``."""
+    lines = spark.read.text(path).select("value", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("tree_id"))
+    return lines.where(F.ltrim("value").startswith("#")).select("tree_id", F.trim(F.regexp_replace("value", r"^\s*#", "")).alias("note"))
 
 
 def read_markers(spark: SparkSession, path: str) -> DataFrame:

@@ -166,6 +166,9 @@ def test_swc_round_trip(spark, tmp_path):
     swc.write_swc(t, path)
     back = swc.read_swc(spark, path).drop("tree_id")
     assert back.exceptAll(t).count() == 0 and back.count() == t.count()
+    swc.write_swc(t, path, ["scaled by 2", "pruned"])
+    assert swc.read_swc(spark, path).count() == t.count()
+    assert [r["note"] for r in swc.read_notes(spark, path).collect()] == ["scaled by 2", "pruned"]
     lines = spark.createDataFrame([("# c",), ("",), ("1,0,1.5,2,3,1,-1",), ("bad line",)], "value string")
     rows = swc.parse_swc(lines).collect()
     assert len(rows) == 2 and rows[0]["x"] == 1.5 and rows[1]["node_id"] is None
