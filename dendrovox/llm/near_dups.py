@@ -27,7 +27,7 @@ from dendrovox.plans.durable import materialize, scratch_path
 SHINGLE = 5
 BANDS, ROWS = 40, 7
 SEED = 20240229
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 SKETCH_LONGS = -(-BANDS * ROWS // 64)
 #: Bits of two sketches that may differ: seven standard deviations above the mean at 0.85.
 MOST_APART = int(BANDS * ROWS * 0.075 + 7 * (BANDS * ROWS * 0.075 * 0.925) ** 0.5)
@@ -120,8 +120,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         hashes, minhash = WordHashes(), MinHash()
         for batch in batches:
             n, same, keys, sketches = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                words = words_of(text)
+            for text in batch.column(1):
+                words = words_of(text.as_py())
                 shingles = shingle_set(words, hashes)
                 minima = minhash.minima(shingles) if words else None
                 n.append(len(shingles))
@@ -140,7 +140,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            sets = [shingle_set(words_of(x), hashes).view(np.int64) for x in batch.column(1).to_pylist()]
+            sets = [shingle_set(words_of(x.as_py()), hashes).view(np.int64) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc", "shingles"])
 
     return docs.mapInArrow(make, "doc long, shingles array<long>")

@@ -28,9 +28,11 @@ if TYPE_CHECKING:
     from tokenizers import Tokenizer
 
 END_ID = 1
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
 RANK_BUCKETS = 256
 RUN_ROWS = 4096
+#: Rows whose texts are held as Python strings at a time.
+ROWS_AT_ONCE = 1024
 
 
 def _byte_letters() -> dict[int, str]:
@@ -136,7 +138,7 @@ def cut_pieces(df: DataFrame, tokenizer: str, capacity: int = 4096, key: str = "
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordIds(tokenizer)
         end = np.asarray([END_ID], "<u4").tobytes()
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS_AT_ONCE) for whole in batches for at in range(0, whole.num_rows, ROWS_AT_ONCE)):
             rows: list[list] = [[], [], [], [], [], []]
             origin: list[int] = []
             keys = batch.column(0).to_pylist()

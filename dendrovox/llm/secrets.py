@@ -132,7 +132,7 @@ def secret_spans(text: Column, scanner: Scanner | None = None) -> Column:
 
     @F.arrow_udf(SPANS)
     def spans(texts: pa.Array) -> pa.Array:
-        return pa.array([scan(x) for x in texts.to_pylist()], ARROW_SPANS)
+        return pa.array([scan(x.as_py()) for x in texts], ARROW_SPANS)
 
     return spans(text)
 
@@ -154,7 +154,7 @@ def redacted(text: Column, mark: str = "<secret>", scanner: Scanner | None = Non
 
     @F.arrow_udf("string")
     def redact(texts: pa.Array) -> pa.Array:
-        return pa.array([clean(x) for x in texts.to_pylist()], pa.string())
+        return pa.array([clean(x.as_py()) for x in texts], pa.string())
 
     return redact(text)
 

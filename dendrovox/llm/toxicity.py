@@ -54,7 +54,7 @@ class OrdinalModel:
 class _Scorer(dict):
     """Known features of each word seen; most words have none."""
 
-    LIMIT = 300_000
+    LIMIT = 100_000
 
     def __init__(self, model: OrdinalModel) -> None:
         super().__init__()
@@ -79,8 +79,8 @@ def _counted(rows: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             toxic, names, counts = [], [], []
-            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                c = Counter(x for w in WORD.findall((text or "").lower()) for x in features_of(w))
+            for text, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                c = Counter(x for w in WORD.findall((text.as_py() or "").lower()) for x in features_of(w))
                 toxic.append(int(y))
                 names.append(list(c))
                 counts.append(list(c.values()))
@@ -191,7 +191,7 @@ def score(df: DataFrame, model: OrdinalModel, text: str = "text") -> DataFrame:
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = shared.value.scorer()
         for texts in batches:
-            yield pa.array([scorer.score(x) for x in texts.to_pylist()], ARROW_SCORE)
+            yield pa.array([scorer.score(x.as_py()) for x in texts], ARROW_SCORE)
 
     own = ("severity", "p_toxic", "grade")
     kept = [c for c in df.columns if c not in own]
