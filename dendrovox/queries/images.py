@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dendrovox.operators import arrays, chunks, filters, patches, views
+from dendrovox.operators import arrays, chunks, filters, patches, sampling, views
+from dendrovox.plans import catalog
 from dendrovox.plans.durable import scratch_path
 from dendrovox.queries.volumes import _K
-from dendrovox.sources import derived
+from dendrovox.sources import derived, swc
 from dendrovox.sources.derived import VOXELS
 
 CHUNK = (4, 16, 16)
@@ -104,6 +105,40 @@ def transform_reverse(spark, d):
     return patches.reversed_axes(derived.voxels(spark, d), derived.dims(spark, d), "yx")
 
 
+def vesselness_scales(spark, d):
+    v = _doubles(spark, d)
+    both = [filters.vesselness_2d(v), filters.vesselness_2d(v.withColumn("v", F.col("v") * 2))]
+    return filters.widest(both).select("z", "y", "x", F.round("v", 6).alias("v"))
+
+
+def max_mappable_level(spark, d):
+    o = derived.table(spark, d, "orders")
+    return o.select(F.col("o_orderkey").alias("id"), catalog.deepest_level(F.col("o_orderkey") % 5000 + 1, F.col("o_custkey") % 900 + 1).alias("level"))
+
+
+def subvolume_crops(spark, d):
+    low, extent = sampling.centred_crop(F.col("o_orderkey") % 3000, 2048, 3000)
+    return derived.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), low.cast("long").alias("low"), extent.cast("long").alias("extent"))
+
+
+def _lines(spark, d, name: str, *fields):
+    """A text table of ``fields``, comma-separated after a comment line, in shared storage."""
+    path = scratch_path(spark, name)
+    lines = derived.table(spark, d, "orders").select(F.concat_ws(",", *[f.cast("string") for f in fields]).alias("value"))
+    lines.union(spark.range(1).select(F.lit("# x,y,z"))).write.text(path)
+    return path
+
+
+def soma_scan(spark, d):
+    at = _lines(spark, d, "somas", F.col("o_orderkey") + 0.75, F.col("o_custkey") - 0.5, F.col("o_orderkey") % 7, F.col("o_custkey") * 1.5)
+    return swc.read_somas(spark, at)
+
+
+def marker_scan(spark, d):
+    at = _lines(spark, d, "markers", F.col("o_orderkey"), F.col("o_custkey") * 0.25, F.col("o_orderkey") % 7, F.when(F.col("o_orderkey") % 2 == 0, F.col("o_custkey")))
+    return swc.read_markers(spark, at)
+
+
 _STENCIL = ", ".join(f"({a}, {b})" for a in (-1, 0, 1) for b in (-1, 0, 1))
 HESS2 = f"""{VOXELS}, s AS (SELECT * FROM (VALUES {_STENCIL}) t(dy, dx)), sent AS (SELECT z, y - dy AS y, x - dx AS x, CAST(v AS DOUBLE) AS v, dy, dx FROM voxels, s),
   h AS (SELECT z, y, x, sum(v * CASE WHEN dx <> 0 THEN 0 WHEN dy = 0 THEN -2 ELSE 1 END) AS yy, sum(v * CASE WHEN dy <> 0 THEN 0 WHEN dx = 0 THEN -2 ELSE 1 END) AS xx, sum(v * dy * dx / 4.0) AS yx FROM sent GROUP BY 1, 2, 3),
@@ -139,6 +174,11 @@ QUERIES = {
         j AS (SELECT z, y, x, CAST(v AS DOUBLE) / 40 AS v, least(s, 1 - 1e-9) AS s FROM voxels JOIN s USING (z, y, x)), b AS (SELECT *, 2.0 * s / (1 - s) + 0.5 AS b FROM j)
         SELECT z, y, x, round(CASE WHEN s > 0 THEN least(greatest(v / s * (pow(s, b) + b * pow(s, b - 1) * (v - s)), 0.0), 1.0) ELSE 0.0 END, 6) AS v FROM b"""),
     "vesselness_2d": (vesselness_2d, f"WITH {HESS2} SELECT z, y, x, round(CASE WHEN b < 0 THEN exp(-((a / b) * (a / b)) / 0.5) * (1 - exp(-(a * a + b * b) / 2)) ELSE 0.0 END, 6) AS v FROM l"),
+    "vesselness_scales": (vesselness_scales, f"WITH {HESS2} SELECT z, y, x, round(CASE WHEN b < 0 THEN exp(-((a / b) * (a / b)) / 0.5) * (1 - exp(-(a * a + b * b) * 4 / 2)) ELSE 0.0 END, 6) AS v FROM l"),
+    "max_mappable_level": (max_mappable_level, "SELECT o_orderkey AS id, CAST(floor(log2(CAST(least(o_orderkey % 5000 + 1, o_custkey % 900 + 1) AS DOUBLE))) AS BIGINT) AS level FROM orders"),
+    "subvolume_crops": (subvolume_crops, "SELECT o_orderkey AS id, greatest(0, o_orderkey % 3000 - 1024) AS low, least(3000, o_orderkey % 3000 + 1024) - greatest(0, o_orderkey % 3000 - 1024) AS extent FROM orders"),
+    "soma_scan": (soma_scan, "SELECT CAST(floor(o_orderkey + 0.75) AS BIGINT) AS x, CAST(floor(o_custkey - 0.5) AS BIGINT) AS y, o_orderkey % 7 AS z, CAST(floor(o_custkey * 1.5) AS BIGINT) AS mass FROM orders"),
+    "marker_scan": (marker_scan, "SELECT CAST(o_orderkey AS DOUBLE) AS x, CAST(o_custkey * 0.25 AS DOUBLE) AS y, CAST(o_orderkey % 7 AS DOUBLE) AS z, CAST(CASE WHEN o_orderkey % 2 = 0 THEN o_custkey ELSE 0 END AS DOUBLE) AS radius FROM orders"),
     "vesselness_3d": (vesselness_3d, f"WITH {HESS3} SELECT z, y, x, round(v * exp(CASE WHEN b < -1e-9 AND c < -1e-9 THEN exp(-(a * a) / abs(b * c)) * (1 - exp(-(a * a + b * b + c * c) / 2)) * (1 - exp(-((b / c) * (b / c)))) ELSE 0.0 END), 5) AS v FROM k JOIN voxels USING (z, y, x)"),
     "patch_stitch": (patch_stitch, f"WITH {VOXELS} SELECT z, y, x, CASE WHEN (y + x) % 5 > 0 THEN v % 3 * 32767 ELSE 0 END AS v FROM voxels"),
     "patch_counts": (patch_counts, f"WITH {VOXELS}, p AS (SELECT z, count(*) AS voxels, count(*) % 97 + 12 AS height, count(*) % 53 + 12 AS width FROM voxels GROUP BY 1), n AS (SELECT *, CAST(greatest(1, ceil((height - 4) / 8.0)) * greatest(1, ceil((width - 4) / 8.0)) AS BIGINT) AS patches FROM p) SELECT z, voxels, height, width, patches, (patches + 7) // 8 AS batches, CAST(ceil(CAST(height * width * 2 AS DOUBLE) / 16384) AS BIGINT) AS shards FROM n"),
