@@ -1,73 +1,28 @@
 """MinHash near-duplicates: banded universal-hash minima, exact confirmation, star components.
 
 Texts of equal words are first one class, held by its least document. Each class gets ``BANDS`` keys
-of ``ROWS`` minima and a sketch: one bit of each of the minima. Classes that share a key may be
-linked; pairs whose sizes or sketches rule the threshold out are put aside, all others are confirmed
-on their full shingle sets. Instead of all pairs of a bucket, every class is held against the
-bucket's leader, the member whose buckets are the fullest: the text that the copies were made from
-shares more keys with them than they share with each other. Once the confirmed links are joined to
-components, the pairs that still matter are those of one bucket in two components; their documents meet on their rarest shingles, an
-exact filter, and only pairs that stay possible come out of that join. A pair at the threshold
-of 0.85 misses every band with probability (1 - 0.85 ** 7) ** 40 = 2e-7.
+of ``ROWS`` minima. Classes that share a key may be linked; pairs whose sizes or parity maps rule the
+threshold out are put aside without loss, all others are confirmed on their full shingle sets, fragment
+by fragment (``fragments``). A pair at the threshold of 0.85 misses every band with probability
+(1 - 0.85 ** 7) ** 40 = 2e-7; nothing else is left to chance.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dendrovox.plans.components import connected_components
-from dendrovox.plans.durable import materialize, scratch_path
+from dendrovox.llm import fragments
+from dendrovox.llm.fragments import mixed
+from dendrovox.plans.durable import scratch_path
 
 SHINGLE = 5
 BANDS, ROWS = 40, 7
 SEED = 20240229
-CACHE_WORDS = 100_000
-SKETCH_LONGS = -(-BANDS * ROWS // 64)
-#: Bits of two sketches that may differ: seven standard deviations above the mean at 0.85.
-MOST_APART = int(BANDS * ROWS * 0.075 + 7 * (BANDS * ROWS * 0.075 * 0.925) ** 0.5)
-
-
-class WordHashes(dict):
-    """64-bit hash of each word; forgets all when full."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return h
-
-
-def words_of(text: str | None) -> list[bytes]:
-    """Runs of anything but blanks and the controls 9 to 13, A-Z lower-cased."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-POWERS = np.asarray([pow(0x9E3779B97F4A7C15, n, 1 << 64) for n in range(SHINGLE)], np.uint64)
-
-
-def shingle_set(words: list[bytes], hashes: WordHashes) -> np.ndarray:
-    """Distinct 64-bit hashes of all runs of five words (of fewer words: of them all), sorted."""
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    width = min(SHINGLE, len(words))
-    n = len(words) - width + 1
-    total = np.full(n, width, np.uint64)
-    for i in range(width):
-        total += _mixed(h[i : i + n] + np.uint64(i)) * POWERS[i]
-    return np.unique(_mixed(total))
 
 
 class MinHash:
@@ -99,152 +54,49 @@ class MinHash:
     def keys(self, minima: np.ndarray) -> np.ndarray:
         """One 64-bit key a band, of each row of minima."""
         parts = minima.reshape(-1, self.bands, self.rows).astype(np.uint64) + np.uint64(1)
-        total = _mixed(parts * self.spread).sum(axis=2, dtype=np.uint64) + np.arange(1, self.bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        return _mixed(total).view(np.int64)
-
-    def sketch(self, minima: np.ndarray) -> np.ndarray:
-        """One hashed bit of each minimum, as longs."""
-        bits = np.zeros(64 * SKETCH_LONGS, np.uint8)
-        mixed = _mixed(minima.astype(np.uint64) + np.uint64(1))
-        bits[: len(minima)] = mixed & np.uint64(1)
-        return np.packbits(bits).view(np.int64)
-
-
-FINGERPRINT = "doc long, n_shingles long, same binary, keys array<long>, sketch array<long>"
+        total = mixed(parts * self.spread).sum(axis=2, dtype=np.uint64) + np.arange(1, self.bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return mixed(total).view(np.int64)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc, n_shingles, same, keys, sketch) of rows (doc, text); without words: 0 and nulls."""
+    """(doc, n, class, same, keys, bits) of rows (doc, text); without words: 0 and nulls."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, minhash = WordHashes(), MinHash()
+        hashes, minhash = fragments.WordHashes(), MinHash()
+        longs = pa.list_(pa.int64())
         for batch in batches:
-            n, same, keys, sketches = [], [], [], []
+            n, same, keys, bits = [], [], [], []
             for text in batch.column(1):
-                words = words_of(text.as_py())
-                shingles = shingle_set(words, hashes)
-                minima = minhash.minima(shingles) if words else None
+                words = fragments.words_of(text.as_py())
+                shingles = fragments.shingle_set(words, hashes, SHINGLE)
                 n.append(len(shingles))
-                same.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest() if words else None)
-                keys.append(minhash.keys(minima)[0] if words else None)
-                sketches.append(minhash.sketch(minima) if words else None)
-            longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(same, pa.binary()), pa.array(keys, longs), pa.array(sketches, longs)], names=["doc", "n_shingles", "same", "keys", "sketch"])
-
-    return docs.mapInArrow(make, FINGERPRINT)
+                same.append(fragments.same_words(words))
+                keys.append(minhash.keys(minhash.minima(shingles))[0] if words else None)
+                bits.append(fragments.parity_map(shingles) if words else None)
+            same = pa.array(same, pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), same, same, pa.array(keys, longs), pa.array(bits, longs)], names=["doc", "n", "class", "same", "keys", "bits"])
 
-
-def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(doc, shingles) of rows (doc, text)."""
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            sets = [shingle_set(words_of(x.as_py()), hashes).view(np.int64) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc", "shingles"])
-
-    return docs.mapInArrow(make, "doc long, shingles array<long>")
-
-
-def _possible(percent: int) -> Column:
-    """Whether sizes (un, vn) and sketches (us, vs) leave the threshold possible."""
-    apart = sum((F.bit_count(F.get("us", F.lit(i)).bitwiseXOR(F.get("vs", F.lit(i)))) for i in range(SKETCH_LONGS)), F.lit(0))
-    return (100 * F.least("un", "vn") >= percent * F.greatest("un", "vn")) & (apart <= MOST_APART)
-
-
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose full sets reach ``percent``."""
-    left = sets.select(F.col("doc").alias("u"), F.col("shingles").alias("a"))
-    right = sets.select(F.col("doc").alias("v"), F.col("shingles").alias("b"))
-    both = F.size(F.array_intersect("a", "b"))
-    return pairs.join(left, "u").join(right, "v").where(100 * both >= percent * (F.size("a") + F.size("b") - both)).select("u", "v")
-
-
-def _on_rare_shingles(pool: DataFrame, sets: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) of ``pool`` (doc, component) in two components that may reach ``percent``.
-
-    Shingles are ordered by how few documents have them. Two linked sets share one among the first
-    n - ceil(n percent / 100) + 1 of each; what comes after the places where they meet bounds how
-    much they can share.
-    """
-    words = sets.join(pool, "doc").select("doc", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
-    seen = words.groupBy("s").agg(F.count(F.lit(1)).alias("seen"))
-    ordered = words.join(seen.where("seen > 1"), "s").groupBy("doc", "component", "n").agg(F.array_sort(F.collect_list(F.struct("seen", "s"))).alias("common"))
-    # Shingles that no other document has come first in the order and can match nothing.
-    alone = F.col("n") - F.size("common")
-    room = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - alone
-    prefix = ordered.withColumns({"alone": alone, "room": room.cast("int")}).where("room > 0").select("doc", "component", "n", "alone", F.posexplode(F.slice("common", F.lit(1), F.col("room"))).alias("i", "word"))
-    prefix = prefix.select("doc", "component", "n", (F.col("alone") + F.col("i")).alias("i"), F.col("word.s").alias("s"))
-    prefix = materialize(prefix.join(heads.select("doc", "sketch"), "doc"))
-    u, v = (prefix.select(F.col("s").alias(f"{x}w"), *[F.col(c).alias(n) for c, n in (("doc", x), ("component", f"{x}c"), ("n", f"{x}n"), ("i", f"{x}i"), ("sketch", f"{x}s"))]) for x in "uv")
-    rest = 1 + F.least(F.col("un") - F.col("ui") - 1, F.col("vn") - F.col("vi") - 1)
-    enough = (100 + percent) * rest >= percent * (F.col("un") + F.col("vn"))
-    met = u.join(v, (F.col("uw") == F.col("vw")) & (F.col("u") < F.col("v")) & (F.col("uc") != F.col("vc")) & enough & _possible(percent))
-    return met.select("u", "v").distinct()
+    return docs.mapInArrow(make, "doc long, n long, class binary, same binary, keys array<long>, bits array<long>")
 
 
 def near_duplicates(df: DataFrame, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id, kept) for each row of ``df``.
 
     Rows without words are linked with nothing. Rows of a null key take no part: their component is
-    null and they are not kept. Repeated rows each come back. Other columns are left out.
+    null and they are not kept. Repeated rows each come back; a key with several texts is one document
+    in as many classes (see ``fragments.by_class``). Other columns are left out.
     """
     spark = df.sparkSession
     docs = df.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
     path = scratch_path(spark, "minhash")
     fingerprints(docs).write.parquet(f"{path}/prints")
-    prints = spark.read.parquet(f"{path}/prints")
-
-    classes = materialize(prints.where("same is not null and doc is not null").groupBy("same").agg(F.min("doc").alias("head")))
-    heads = prints.join(classes.select(F.col("head").alias("doc")).distinct(), "doc", "left_semi").dropDuplicates(["doc"])
-    heads.drop("same").write.parquet(f"{path}/heads")
-    heads = spark.read.parquet(f"{path}/heads")
-    u_facts = heads.select(F.col("doc").alias("u"), F.col("n_shingles").alias("un"), F.col("sketch").alias("us"))
-    v_facts = heads.select(F.col("doc").alias("v"), F.col("n_shingles").alias("vn"), F.col("sketch").alias("vs"))
-
-    keyed = heads.select("doc", F.explode("keys").alias("key"))
-    crowded = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    buckets = materialize(keyed.join(crowded, "key"))
-    scores = buckets.groupBy("doc").agg(F.sum("n").alias("score"))
-    leads = buckets.join(scores, "doc").groupBy("key").agg(F.max(F.struct("score", "doc")).alias("lead")).select("key", F.col("lead.doc").alias("leader"))
-    led = materialize(buckets.join(leads, "key").where("doc <> leader").select("key", "doc", "leader"))
-
-    votes = led.groupBy(F.least("doc", "leader").alias("u"), F.greatest("doc", "leader").alias("v")).agg(F.count(F.lit(1)).alias("votes"))
-    votes = materialize(votes.join(u_facts, "u").join(v_facts, "v").where(_possible(percent)).select("u", "v", "votes"))
-    # Written, so that Spark knows its size and need not shuffle texts while it is small.
-    buckets.select("doc").distinct().write.parquet(f"{path}/involved")
-    involved = spark.read.parquet(f"{path}/involved")
-    shingle_sets(docs.join(involved, "doc", "left_semi").dropDuplicates(["doc"])).write.parquet(f"{path}/sets")
-    sets = spark.read.parquet(f"{path}/sets")
-
-    ends = votes.select(F.col("u").alias("doc"), "u", "v", "votes").union(votes.select(F.col("v").alias("doc"), "u", "v", "votes"))
-    first = ends.groupBy("doc").agg(F.max(F.struct("votes", F.xxhash64("u", "v").alias("draw"), "u", "v")).alias("best")).select("best.u", "best.v").distinct()
-    first = materialize(first)
-    links = materialize(_linked(first, sets, percent))
-    parts = connected_components(links)
-
-    u_part = parts.select(F.col("node").alias("u"), F.col("component").alias("cu"))
-    v_part = parts.select(F.col("node").alias("v"), F.col("component").alias("cv"))
-    rest = votes.select("u", "v").join(first, ["u", "v"], "left_anti").join(u_part, "u", "left").join(v_part, "v", "left")
-    rest = rest.where("coalesce(cu, u) <> coalesce(cv, v)").select("u", "v")
-    found = materialize(_linked(rest, sets, percent))
-    if not found.isEmpty():
-        links = links.union(found)
-        parts = connected_components(links)
 
-    # What is left: pairs of a bucket, neither the leader, in two components. Documents of such
-    # buckets meet on their rarest shingles, of which any linked pair shares one.
-    placed = led.join(parts.select(F.col("node").alias("doc"), "component"), "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
-    pool = materialize(placed.join(mixed, "key").select("doc", "component").distinct())
-    left = _on_rare_shingles(pool, sets, heads, percent)
-    found = materialize(_linked(left, sets, percent))
-    if not found.isEmpty():
-        parts = connected_components(links.union(found))
+    def cut_of(wanted: DataFrame) -> DataFrame:
+        fragments.segments(docs.join(wanted, "doc"), SHINGLE).dropDuplicates(["doc", "f"]).write.parquet(f"{path}/segments")
+        return spark.read.parquet(f"{path}/segments")
 
-    resolved = classes.join(parts.select(F.col("node").alias("head"), "component"), "head", "left").select("same", F.coalesce("component", "head").alias("component"))
-    out = prints.select("doc", "n_shingles", "same").join(resolved, "same", "left").withColumn("component_id", F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc")))
-    return out.select(F.col("doc").alias(key), "n_shingles", "component_id", F.coalesce(F.col("doc") == F.col("component_id"), F.lit(False)).alias("kept"))
+    out = fragments.by_class(spark.read.parquet(f"{path}/prints"), percent, cut_of, path, key)
+    return out.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(False)))
 
 
 def keep_one(df: DataFrame, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:

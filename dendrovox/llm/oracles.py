@@ -2,15 +2,21 @@
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-NEAR_DUPS = rf"""WITH RECURSIVE words AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
-  shingles AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END) AS s FROM words),
+def _near(width: int, also: str) -> str:
+    """Links by all pairs that share a shingle of ``width`` words, components by reach."""
+    return rf"""WITH RECURSIVE words AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+  shingles AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {width} THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - {width - 2}), lambda i: array_to_string(w[i:i+{width - 1}], ' ')) END) AS s FROM words),
   sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
   pairs AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
   links AS (SELECT u, v FROM pairs JOIN sizes a ON a.doc_id = u JOIN sizes b ON b.doc_id = v WHERE 100 * c >= 85 * (a.n + b.n - c)),
   edges AS (SELECT u, v FROM links UNION SELECT v, u FROM links),
   reach(u, v) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.u, edges.v FROM reach JOIN edges ON edges.u = reach.v),
   parts AS (SELECT u AS doc_id, min(v) AS component_id FROM reach GROUP BY 1)
-SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d JOIN parts USING (doc_id) LEFT JOIN sizes USING (doc_id)"""
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id{also} FROM documents d JOIN parts USING (doc_id) LEFT JOIN sizes USING (doc_id)"""
+
+
+NEAR_DUPS = _near(5, ", d.doc_id = component_id AS kept")
+NGRAM_JOIN = _near(4, "")
 
 WARC = r"""WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS digest FROM pages),
   k AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY html) ELSE page_id END AS keeper, regexp_replace(url, '(?s)^.*?://', '') AS rest FROM p),
@@ -102,4 +108,20 @@ MERKLE = f"""WITH RECURSIVE crc_table AS (SELECT list(list_reduce([n, 0, 0, 0, 0
 SELECT p.doc_id, p.leaf, t.h AS subroot, r.h AS root, sha256(coalesce(array_to_string(list_transform(way, lambda s: s.h), ''), '')) AS proof_sha256, folded_root, folded_root = r.h AS verified
 FROM placed p JOIN low_top t ON t.g = p.g CROSS JOIN high_top r LEFT JOIN sides USING (doc_id) JOIN reached USING (doc_id)"""
 
-ORACLES = {"op12_merkle_manifest": MERKLE, "op4_mix_sources": MIXTURE, "op3_minhash_near_dups": NEAR_DUPS, "op5_warc_index": WARC, "op9_url_filters": URLS, "op10_hash_tree_shards": SHARDS}
+def _clustered() -> str:
+    """Three rounds and a last assignment; centroids keep their numbers and empty ones their place."""
+    apart = "list_sum(list_transform(range(1, 65), lambda i: (k.v[i] - c.v[i]) * (k.v[i] - c.v[i])))"
+    parts = []
+    for r in range(4):
+        parts.append(f"m{r} AS (SELECT k.vec_id, k.row, k.v, c.j, {apart} AS d FROM kept k, c{r} c), a{r} AS (SELECT vec_id, row, any_value(v) AS v, CAST(arg_min(j, struct_pack(d := d, j := j)) AS INTEGER) AS j, CAST(min(d) AS BIGINT) AS d FROM m{r} GROUP BY vec_id, row)")
+        if r < 3:
+            parts.append(f"t{r} AS (SELECT j, i, sum(v[i]) AS s, count(*) AS n FROM a{r}, range(1, 65) x(i) GROUP BY 1, 2), n{r} AS (SELECT j, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v FROM t{r} GROUP BY 1), c{r + 1} AS (SELECT c.j, coalesce(n.v, c.v) AS v FROM c{r} c LEFT JOIN n{r} n USING (j))")
+    return ", ".join(parts)
+
+
+CLUSTERS = f"""WITH kept AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS row, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS j, v FROM kept QUALIFY j < 16), {_clustered()},
+  f AS (SELECT j, sha256(array_to_string(v, ',')) AS centroid_sha256 FROM c3)
+SELECT vec_id, a3.j AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY a3.j) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256 FROM a3 JOIN f ON f.j = a3.j"""
+
+ORACLES = {"op13_ngram_jaccard_join": NGRAM_JOIN, "op11_subvector_clusters": CLUSTERS, "op12_merkle_manifest": MERKLE, "op4_mix_sources": MIXTURE, "op3_minhash_near_dups": NEAR_DUPS, "op5_warc_index": WARC, "op9_url_filters": URLS, "op10_hash_tree_shards": SHARDS}

@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dendrovox.llm import merkle, mixing, near_dups, oracles, packing, prefix_forest, progressive_jpeg, secrets, sharding, toxicity, url_filters, warc
+from dendrovox.llm import merkle, mixing, near_dups, ngram_join, oracles, packing, prefix_forest, progressive_jpeg, secrets, sharding, subvectors, toxicity, url_filters, warc
 from dendrovox.plans.durable import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,12 +80,20 @@ def op10_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "region", "rack")
 
 
+def op11_subvector_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subvectors.cluster(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(_table(spark, sf_dir, "documents"))
 
 
+def op13_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_join(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Query]:
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_progressive_jpeg, op2_toxicity, op3_minhash_near_dups, op4_mix_sources, op5_warc_index, op6_best_fit_packing, op7_secret_scans, op8_prefix_forest_neighbours, op9_url_filters, op10_hash_tree_shards, op12_merkle_manifest)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_progressive_jpeg, op2_toxicity, op3_minhash_near_dups, op4_mix_sources, op5_warc_index, op6_best_fit_packing, op7_secret_scans, op8_prefix_forest_neighbours, op9_url_filters, op10_hash_tree_shards, op11_subvector_clusters, op12_merkle_manifest, op13_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
