@@ -39,8 +39,10 @@ def _settled(edges: DataFrame) -> bool:
     return ends.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above")).where("below > 1 or (below = 1 and above = 1)").isEmpty()
 
 
-#: Edges that one task contracts; a table of n edges is dealt to n / EDGES_A_TASK tasks.
+#: Edges that one task contracts; a table of n edges is dealt to n / EDGES_A_TASK tasks. Smaller tables are dealt to
+#: tasks of a few thousand, up to ``LEAST_TASKS`` of them, so that no task sees a whole table of any size that matters.
 EDGES_A_TASK = 200_000
+LEAST_EDGES, LEAST_TASKS = 4096, 8
 
 
 def least_heads(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -70,7 +72,8 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def contracted(edges: DataFrame, count: int) -> DataFrame:
     """Fewer edges of the same components: each task joins what its own edges join before anything is shuffled."""
-    return edges.select("u", "v").coalesce(max(1, -(-count // EDGES_A_TASK))).mapInArrow(_contract, "u long, v long")
+    tasks = max(-(-count // EDGES_A_TASK), min(LEAST_TASKS, -(-count // LEAST_EDGES)), 1)
+    return edges.select("u", "v").coalesce(tasks).mapInArrow(_contract, "u long, v long")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
