@@ -90,17 +90,24 @@ def eigenvalues(h: DataFrame) -> DataFrame:
     return h.withColumn("e2", 3 * q - F.col("e1") - F.col("e3")).drop("_q", "_p", "_f")
 
 
+#: Share by which eigenvalues must differ to count as different.
+TIE = 1e-6
+
+
 def vesselness_3d(voxels: DataFrame) -> DataFrame:
     """(z, y, x, v): lines of a volume. With |l1| <= |l2| <= |l3| it is 0 unless l2 and l3 are negative, else
 
     exp(-l1^2 / |l2 l3|) (1 - exp(-(l1^2 + l2^2 + l3^2) / 2)) (1 - exp(-(l2 / l3)^2)).
+
+    Of l1 and l2 that are equal but for their sign, to a share of ``TIE``, the positive one is l2: no
+    line. An l2 of less than that share of l3 is 0. So no rounding of the eigenvalues decides.
     """
+    # The two lowest eigenvalues are l2 and l3 wherever there is a line.
     e = eigenvalues(hessian(voxels))
-    e = e.withColumn("_l", F.array_sort(F.array(*[F.struct(F.abs(c).alias("size"), F.col(c).alias("l")) for c in ("e1", "e2", "e3")])))
-    l1, l2, l3 = (F.get("_l", F.lit(i))["l"] for i in range(3))
+    l1, l2, l3 = F.col("e1"), F.col("e2"), F.col("e3")
     size = l1 * l1 + l2 * l2 + l3 * l3
     line = F.exp(-(l1 * l1) / F.abs(l2 * l3)) * (1 - F.exp(-size / 2)) * (1 - F.exp(-((l2 / l3) * (l2 / l3))))
-    return e.select("z", "y", "x", F.when((l2 < -1e-9) & (l3 < -1e-9), line).otherwise(0.0).alias("v"))
+    return e.select("z", "y", "x", F.when((l2 < TIE * l3) & (l1 < -l2 * (1 - TIE)), line).otherwise(0.0).alias("v"))
 
 
 def brightened(voxels: DataFrame, line: DataFrame) -> DataFrame:

@@ -160,8 +160,7 @@ HESS3 = f"""{VOXELS}, s AS (SELECT * FROM (VALUES {_STENCIL3}) t(dz, dy, dx)), s
   p AS (SELECT *, sqrt(((zz - q) ** 2 + (yy - q) ** 2 + (xx - q) ** 2 + 2 * (zy * zy + zx * zx + yx * yx)) / 6) AS p, (zz - q) * ((yy - q) * (xx - q) - yx * yx) - zy * (zy * (xx - q) - yx * zx) + zx * (zy * yx - (yy - q) * zx) AS det FROM q),
   f AS (SELECT *, acos(least(greatest(CASE WHEN p = 0 THEN 0 ELSE det / (2 * p * p * p) END, -1.0), 1.0)) / 3 AS f FROM p),
   e AS (SELECT z, y, x, q + 2 * p * cos(f) AS e1, q + 2 * p * cos(f + 2 * pi() / 3) AS e3, q FROM f),
-  l AS (SELECT z, y, x, list_sort([{{'s': abs(e1), 'l': e1}}, {{'s': abs(3 * q - e1 - e3), 'l': 3 * q - e1 - e3}}, {{'s': abs(e3), 'l': e3}}]) AS l FROM e),
-  k AS (SELECT z, y, x, l[1].l AS a, l[2].l AS b, l[3].l AS c FROM l)"""
+  k AS (SELECT z, y, x, e1 AS a, 3 * q - e1 - e3 AS b, e3 AS c FROM e)"""
 _CONV = f"""k AS (SELECT * FROM (VALUES (-1, CAST({_K[0]!r} AS DOUBLE)), (0, CAST({_K[1]!r} AS DOUBLE)), (1, CAST({_K[2]!r} AS DOUBLE))) t(d, w))"""
 
 QUERIES = {
@@ -179,7 +178,7 @@ QUERIES = {
     "subvolume_crops": (subvolume_crops, "SELECT o_orderkey AS id, greatest(0, o_orderkey % 3000 - 1024) AS low, least(3000, o_orderkey % 3000 + 1024) - greatest(0, o_orderkey % 3000 - 1024) AS extent FROM orders"),
     "soma_scan": (soma_scan, "SELECT CAST(floor(o_orderkey + 0.75) AS BIGINT) AS x, CAST(floor(o_custkey - 0.5) AS BIGINT) AS y, o_orderkey % 7 AS z, CAST(floor(o_custkey * 1.5) AS BIGINT) AS mass FROM orders"),
     "marker_scan": (marker_scan, "SELECT CAST(o_orderkey AS DOUBLE) AS x, CAST(o_custkey * 0.25 AS DOUBLE) AS y, CAST(o_orderkey % 7 AS DOUBLE) AS z, CAST(CASE WHEN o_orderkey % 2 = 0 THEN o_custkey ELSE 0 END AS DOUBLE) AS radius FROM orders"),
-    "vesselness_3d": (vesselness_3d, f"WITH {HESS3} SELECT z, y, x, round(v * exp(CASE WHEN b < -1e-9 AND c < -1e-9 THEN exp(-(a * a) / abs(b * c)) * (1 - exp(-(a * a + b * b + c * c) / 2)) * (1 - exp(-((b / c) * (b / c)))) ELSE 0.0 END), 5) AS v FROM k JOIN voxels USING (z, y, x)"),
+    "vesselness_3d": (vesselness_3d, f"WITH {HESS3} SELECT z, y, x, round(v * exp(CASE WHEN b < {filters.TIE} * c AND a < -b * (1 - {filters.TIE}) THEN exp(-(a * a) / abs(b * c)) * (1 - exp(-(a * a + b * b + c * c) / 2)) * (1 - exp(-((b / c) * (b / c)))) ELSE 0.0 END), 5) AS v FROM k JOIN voxels USING (z, y, x)"),
     "patch_stitch": (patch_stitch, f"WITH {VOXELS} SELECT z, y, x, CASE WHEN (y + x) % 5 > 0 THEN v % 3 * 32767 ELSE 0 END AS v FROM voxels"),
     "patch_counts": (patch_counts, f"WITH {VOXELS}, p AS (SELECT z, count(*) AS voxels, count(*) % 97 + 12 AS height, count(*) % 53 + 12 AS width FROM voxels GROUP BY 1), n AS (SELECT *, CAST(greatest(1, ceil((height - 4) / 8.0)) * greatest(1, ceil((width - 4) / 8.0)) AS BIGINT) AS patches FROM p) SELECT z, voxels, height, width, patches, (patches + 7) // 8 AS batches, CAST(ceil(CAST(height * width * 2 AS DOUBLE) / 16384) AS BIGINT) AS shards FROM n"),
     "image_pairs": (image_pairs, "WITH p AS (SELECT DISTINCT CAST(date_diff('day', DATE '2020-01-01', CAST(ts AS DATE)) AS BIGINT) AS z FROM events), a AS (SELECT z, printf('a_z%04d.tif', z) AS image FROM p), b AS (SELECT z, printf('label_z%04d.tif', z) AS label FROM p WHERE z % 3 > 0) SELECT a.z AS number, a.image, label, c.image AS before_1, d.image AS after_1 FROM a JOIN b USING (z) LEFT JOIN a c ON c.z = a.z - 1 LEFT JOIN a d ON d.z = a.z + 1"),

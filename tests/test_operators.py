@@ -273,13 +273,14 @@ def test_spatial_distance_to_a_tree_without_edges(spark):
 
 
 def test_whole_distance_takes_every_point(spark, tmp_path):
+    """The two trees are the points of even clouds and those of odd ones, so all three labels take part."""
     from dendrovox import registry
 
     rng = random.Random(8)
     rows = [(i, [rng.gauss(0, 0.1) for _ in "xyz"], i % 3) for i in range(0, 900, 10)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
     points = {r["vec_id"]: tuple(x * 100 for x in r["embedding"]) for r in spark.read.parquet(f"{tmp_path}/embeddings.parquet").collect()}
-    a, b = ([points[i] for i, _, label in rows if label == cloud] for cloud in (0, 1))
+    a, b = ([points[i] for i, _, label in rows if label % 2 == side] for side in (0, 1))
     got = registry.queries()["spatial_distance_whole"](spark, str(tmp_path)).first()
     assert [got[c] for c in ("sd", "ssd", "ssd_share", "most")] == pytest.approx(brute_spatial_distance(a, b), abs=2e-6)
 
