@@ -32,6 +32,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Reliable eager checkpoint of ``df``."""
-    shared_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` as a table written below the shared root: its lineage is cut and its size known.
+
+    A checkpoint would keep the size that was estimated for it, which for a join is the product of both
+    sides': in rounds of joins that estimate grows to millions of digits and planning takes longer than
+    the work. A table has the size it has, so small ones are sent to the tasks that join them.
+    """
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
