@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dendrovox.queries import images, partition, traces, trees, volumes
+from dendrovox.queries import decisions, images, partition, traces, trees, volumes
 
-ALL = volumes.QUERIES | trees.QUERIES | images.QUERIES | partition.QUERIES | traces.QUERIES
+ALL = volumes.QUERIES | trees.QUERIES | images.QUERIES | partition.QUERIES | traces.QUERIES | decisions.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
