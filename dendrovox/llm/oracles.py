@@ -37,8 +37,8 @@ def _least(nodes: list[tuple[str, int]]) -> str:
     return f"[{names}][list_position([{draws}], list_min([{draws}]))]"
 
 
-def _descent(shards: int, name: str, source: str) -> str:
-    """CTEs that take each row of ``source`` from the root to a region, a rack and a shard of the even tree."""
+def _descent(shards: int, name: str, source: str, laid: int) -> str:
+    """CTEs that take each row of ``source`` from the root to a region, a rack and a shard of the even tree; shards from ``laid`` on hang on the root."""
     def below(node: str, node_of: dict[int, str], all_of: dict[int, str]) -> list[tuple[str, int]]:
         held = {n: 0 for i, n in node_of.items() if all_of[i] == node}
         for i, n in node_of.items():
@@ -46,7 +46,8 @@ def _descent(shards: int, name: str, source: str) -> str:
                 held[n] += 1
         return sorted(held.items())
 
-    levels = [{i: "" for i in range(shards)}, {i: f"{i // 4}" for i in range(shards)}, {i: f"{i // 4}/{i // 2}" for i in range(shards)}, {i: f"{i // 4}/{i // 2}/{i}" for i in range(shards)}]
+    whole = {i: f"{i // 4}/{i // 2}/{i}" for i in range(shards)}
+    levels = [{i: "" for i in range(shards)}, *[{i: "/".join(w.split("/")[: k if i < laid else 3]) for i, w in whole.items()} for k in (1, 2, 3)]]
     out, last = [], source
     for k in (1, 2, 3):
         at = f"{name}{k}"
@@ -60,7 +61,7 @@ SHARDS = f"""WITH crc_table AS (SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0,
   body AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
   bytes AS (SELECT doc_id, length(h) // 2 AS n, list_transform(range(length(h) // 2), lambda i: CAST('0x' || h[2 * i + 1:2 * i + 2] AS BIGINT)) AS l FROM body),
   facts AS (SELECT doc_id, CAST(n + 1 AS BIGINT) AS size, xor(list_reduce(list_concat([4294967295], l), lambda c, x: xor(c >> 8, t[1 + (xor(c, x) & 255)])), 4294967295) AS text_crc32 FROM bytes, crc_table),
-  {_descent(8, 'now_', 'documents')}, {_descent(9, 'later', 'documents')}
+  {_descent(8, 'now_', 'documents', 8)}, {_descent(9, 'later', 'documents', 8)}
 SELECT doc_id, size, text_crc32, 'key' AS law, now_.shard, row_number() OVER (PARTITION BY now_.shard ORDER BY substr(md5(CAST(doc_id AS VARCHAR)), 1, 3), doc_id) - 1 AS slot, later.shard AS grown_shard, now_.region, now_.rack FROM facts JOIN now_ USING (doc_id) JOIN later USING (doc_id)"""
 
 def _merge_level(k: int) -> str:

@@ -76,7 +76,7 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    placed = sharding.shard(docs, sharding.even_tree(8), sharding.even_tree(9))
+    placed = sharding.shard(docs, sharding.even_tree(8), sharding.even_tree(9, laid=8))
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "region", "rack")
 
 

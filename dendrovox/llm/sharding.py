@@ -5,6 +5,11 @@ key and the child, its weight being the sum below it, and the least draw is take
 grows, only the children on the way to it draw better than before, so rows move from anywhere only
 into subtrees whose weight has changed; a child whose weights stay keeps its draws and its rows'
 places below. A row costs one draw for each child of the nodes on its way, not one for each shard.
+
+A weight that grows inside the tree also draws rows to that subtree's old shards. A shard that joins a
+laid tree ``late`` does not: it competes at the root with a draw of its own weight, rows that it wins are
+its, and all others descend as if it were not there. So it takes its fair share from all shards alike and
+rows move only into it, however many have joined before.
 """
 
 from __future__ import annotations
@@ -27,29 +32,30 @@ class Leaf:
     rack: int
     shard: int
     weight: float = 1.0
+    late: bool = False
 
     def path(self, depth: int) -> tuple[int, ...]:
         return (self.region, self.rack, self.shard)[:depth]
 
 
-def even_tree(shards: int, per_rack: int = 2, racks_per_region: int = 2) -> list[Leaf]:
-    """Shards 0..n-1 of weight 1, filled into racks and regions in order."""
-    return [Leaf(i // (per_rack * racks_per_region), i // per_rack, i) for i in range(shards)]
+def even_tree(shards: int, per_rack: int = 2, racks_per_region: int = 2, laid: int | None = None) -> list[Leaf]:
+    """Shards 0..n-1 of weight 1, filled into racks and regions in order; those from ``laid`` on have joined late."""
+    return [Leaf(i // (per_rack * racks_per_region), i // per_rack, i, late=laid is not None and i >= laid) for i in range(shards)]
 
 
 def _name(path: tuple[int, ...]) -> str:
     return "/".join(map(str, path))
 
 
-def children(tree: list[Leaf]) -> dict[str, list[tuple[str, int, float]]]:
-    """(name, number, weight) of the children of each inner node, by the node's name; the root is ''."""
-    below: dict[str, dict[str, tuple[int, float]]] = {}
+def children(tree: list[Leaf]) -> dict[str, list[tuple[str, tuple[int, ...], float]]]:
+    """(name, numbers, weight) of the children of each inner node, by the node's name; the root is '', late leaves hang on it."""
+    below: dict[str, dict[str, tuple[tuple[int, ...], float]]] = {}
     for x in tree:
         if x.weight > 0:
-            for depth in (1, 2, 3):
-                held = below.setdefault(_name(x.path(depth - 1)), {})
-                name = _name(x.path(depth))
-                held[name] = (x.path(depth)[-1], held.get(name, (0, 0.0))[1] + x.weight)
+            steps = [("", x.path(3))] if x.late else [(_name(x.path(depth - 1)), x.path(depth)) for depth in (1, 2, 3)]
+            for node, path in steps:
+                held, name = below.setdefault(node, {}), _name(path)
+                held[name] = (path if x.late else path[-1:], held.get(name, ((), 0.0))[1] + x.weight)
     return {node: [(name, *held[name]) for name in sorted(held)] for node, held in below.items()}
 
 
@@ -64,12 +70,12 @@ def descend(df: DataFrame, key: Column, tree: list[Leaf], out: str) -> DataFrame
     held = children(tree)
     if not held:
         raise ValueError("no shard has a weight above 0")
-    table = F.create_map(*[x for node, parts in held.items() for x in (F.lit(node), F.array(*[F.struct(F.lit(n).alias("name"), F.lit(i).alias("number"), F.lit(float(w)).alias("weight")) for n, i, w in parts]))])
+    table = F.create_map(*[x for node, parts in held.items() for x in (F.lit(node), F.array(*[F.struct(F.lit(n).alias("name"), F.array(*map(F.lit, numbers)).alias("numbers"), F.lit(float(w)).alias("weight")) for n, numbers, w in parts]))])
     step = F.struct(F.lit("").alias("name"), F.array().cast("array<int>").alias("way"))
 
     def down(at: Column, _: Column) -> Column:
-        best = F.array_min(F.transform(F.element_at(table, at["name"]), lambda c: F.struct(draw(key, c["name"], c["weight"]).alias("draw"), c["name"].alias("name"), c["number"].alias("number"))))
-        return F.struct(best["name"].alias("name"), F.concat(at["way"], F.array(best["number"])).alias("way"))
+        best = F.array_min(F.transform(F.element_at(table, at["name"]), lambda c: F.struct(draw(key, c["name"], c["weight"]).alias("draw"), c["name"].alias("name"), c["numbers"].alias("numbers"))))
+        return F.when(F.size(at["way"]) == 3, at).otherwise(F.struct(best["name"].alias("name"), F.concat(at["way"], best["numbers"]).alias("way")))
 
     way = F.aggregate(F.array(F.lit(1), F.lit(2), F.lit(3)), step, down, lambda at: at["way"])
     return df.withColumn(out, way).withColumn(out, F.struct(*[F.get(out, F.lit(i)).alias(n) for i, n in enumerate(("region", "rack", "shard"))]))

@@ -10,6 +10,7 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from dendrovox.llm import mixing, near_dups, packing, prefix_forest, registry, sharding, toxicity, warc
 from dendrovox.llm.warc import LoserTree
@@ -386,8 +387,8 @@ def test_neighbours(spark):
 def test_shards_grow_only_into_the_new_one(spark):
     texts = [None, "", "é", "a" * 1000, *[f"t{i}" for i in range(400)]]
     frame = spark.createDataFrame([(i, x, "s", 3) for i, x in enumerate(texts)] + [(7, texts[7], "s", 3), (None, "n", "s", 3)], "doc_id long, text string, shard string, size int")
-    for n in (1, 4, 8, 12):  # the new shard begins a rack or a region of its own
-        rows = sharding.shard(frame, sharding.even_tree(n), sharding.even_tree(n + 1)).collect()
+    for n in (1, 4, 8, 12):
+        rows = sharding.shard(frame, sharding.even_tree(n), sharding.even_tree(n + 1, laid=n)).collect()
         assert len(rows) == len(texts) + 2
         assert all(r["grown_shard"] in (r["shard"], n) for r in rows)
         slots = collections.defaultdict(list)
@@ -399,6 +400,20 @@ def test_shards_grow_only_into_the_new_one(spark):
     assert sharding.shard(frame.limit(0), sharding.even_tree(8)).count() == 0
 
 
+def test_any_number_of_shards_grows_by_one(spark):
+    """From n to n + 1 for n of 1 to 20, all joined after the first eight, or none laid before: rows move only into the new one."""
+    frame = spark.range(3000).selectExpr("cast(id as string) as key")
+    for laid in (1, 8):
+        sizes = range(laid, 21)
+        held = frame
+        for n in [*sizes, 21]:
+            held = sharding.descend(held, F.col("key"), sharding.even_tree(n, laid=laid), f"at{n}")
+        rows = held.select(*[F.col(f"at{n}.shard").alias(f"s{n}") for n in [*sizes, 21]]).collect()
+        for n in sizes:
+            assert all(r[f"s{n + 1}"] in (r[f"s{n}"], n) for r in rows)
+            assert 0.5 < sum(r[f"s{n + 1}"] == n for r in rows) * (n + 1) / 3000 < 1.5
+
+
 def brute_descent(key, tree):
     """Region, rack and shard with the least draw among the children of each node, from plain Python."""
     node, way = "", []
