@@ -235,10 +235,12 @@ def plan_bins(counts: dict[int, int], capacity: int) -> Plan:
 
 
 def in_file_order(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Key and text of ``df``, read from Parquet that Spark wrote, with _file and _line: the order its rows were written in."""
+    """Key and text of ``df``, read from Parquet that Spark wrote, with _file and _line: the order its rows were written in. A file of any other name is an error."""
     meta = df.metadataColumn("_metadata")
     name = F.element_at(F.split(meta["file_path"], "/"), -1)
-    part, more = (F.coalesce(F.regexp_extract(name, x, 1).try_cast("long"), F.lit(0).cast("long")) for x in (r"^part-(\d+)", r"-c(\d+)\."))
+    part, more = (F.regexp_extract(name, x, 1).try_cast("long") for x in (r"^part-(\d+)", r"-c(\d+)\."))
+    part = F.coalesce(part, F.raise_error(F.concat(F.lit("not a file that Spark wrote in an order: "), name)).cast("long"))
+    more = F.coalesce(more, F.lit(0).cast("long"))
     return df.select(key, text, (part * 1_000_000 + more).alias("_file"), meta["row_index"].cast("long").alias("_line"))
 
 
