@@ -157,9 +157,14 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return values.reshape(len(flat), -1) if len(flat) else values.reshape(0, 1)
 
 
-def nearest(df: DataFrame, every: int = 100, k: int = 10, key: str = "vec_id", vector: str = "embedding", segment_rows: int = SEGMENT_ROWS) -> DataFrame:
+def nearest(df: DataFrame, every: int = 100, k: int = 10, key: str = "vec_id", vector: str = "embedding", segment_rows: int = SEGMENT_ROWS, segment_keep: int | None = SEGMENT_KEEP, keep: int | None = KEEP, share: float | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found for each row whose key ``every`` divides.
 
+    A descent goes on until all trees together hold ``share`` of all rows, each tree counted (by itself:
+    as the sample's neighbours need); of the rows that it meets the ``segment_keep * k`` closest by code
+    in a segment and the ``keep * k`` closest of all are measured, with None all that it meets. With
+    ``share=TREES`` and None for both the search is exact.
+
     Null, zero and non-finite vectors, null keys and vectors of another than the commonest dimension
     (of equally common ones: the smallest) take no part; an empty table gives no rows. Some tree
     always holds k others, if there are as many. Of equal vectors only the k + 1 smallest keys are
@@ -182,7 +187,7 @@ def nearest(df: DataFrame, every: int = 100, k: int = 10, key: str = "vec_id", v
     sample = kept.where(F.pmod(F.xxhash64(F.lit("forest"), "id"), F.lit(1 << 20)) <= F.lit(round(part * (1 << 20)))).limit(2 * SAMPLE_ROWS)
     vectors = np.array([r["v"] for r in sample.orderBy("id").select("v").collect()])
     fitted = Hashes.fit(vectors)
-    wanted = max(needed_share(fitted, vectors, k) * total, TREES * (k + 1))
+    wanted = max((needed_share(fitted, vectors, k) if share is None else share) * total, TREES * (k + 1))
     hashes = spark.sparkContext.broadcast(fitted)
     codes = Codes.fit(vectors)
 
@@ -243,7 +248,7 @@ def nearest(df: DataFrame, every: int = 100, k: int = 10, key: str = "vec_id", v
             for own, a, b, code in zip(queries.column("id").to_pylist(), *ends, Codes.read(queries.column("code"), dim), strict=True):
                 if b > a:
                     gap = norms[a:b] - 2 * (held[a:b] @ code) + code @ code
-                    near = np.argpartition(gap, SEGMENT_KEEP * k)[: SEGMENT_KEEP * k + 1] if b - a > SEGMENT_KEEP * k + 1 else np.arange(b - a)
+                    near = np.argpartition(gap, segment_keep * k)[: segment_keep * k + 1] if segment_keep is not None and b - a > segment_keep * k + 1 else np.arange(b - a)
                     near = near[ids[a:b][near] != own]
                     for column, value in zip(found, (np.full(len(near), own), ids[a:b][near], gap[near]), strict=True):
                         column.append(value)
@@ -260,7 +265,7 @@ def nearest(df: DataFrame, every: int = 100, k: int = 10, key: str = "vec_id", v
     met = arrays.groupBy("segment").cogroup(asked.groupBy("segment")).applyInArrow(search, "query_id long, vec_id long, gap float")
     met = met.groupBy("query_id", "vec_id").agg(F.min("gap").alias("gap"))
     closest = Window.partitionBy("query_id").orderBy("gap", "vec_id")
-    survivors = met.withColumn("r", F.row_number().over(closest)).where(F.col("r") <= KEEP * k).select("query_id", "vec_id")
+    survivors = met.select("query_id", "vec_id") if keep is None else met.withColumn("r", F.row_number().over(closest)).where(F.col("r") <= keep * k).select("query_id", "vec_id")
     asking = queries.select(F.col("id").alias("query_id"), F.col("v").alias("q"))
     asking = F.broadcast(asking) if queries.count() * (8 * dim + 64) <= BROADCAST_BYTES else asking
     paired = survivors.join(kept.select(F.col("id").alias("vec_id"), "v"), "vec_id").join(asking, "query_id").select("query_id", "vec_id", "q", "v")

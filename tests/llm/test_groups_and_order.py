@@ -381,6 +381,19 @@ def test_neighbours(spark):
     assert prefix_forest.nearest(frame.limit(0)).count() == 0
 
 
+def test_a_search_that_measures_all_is_exact(spark):
+    rng = np.random.default_rng(12)
+    vectors = rng.normal(size=(400, 6))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in prefix_forest.nearest(frame, every=40, k=7, segment_rows=50, segment_keep=None, keep=None, share=prefix_forest.TREES).collect()}
+    want = {}
+    for q in range(0, 400, 40):
+        far = np.sqrt(((vectors - vectors[q]) ** 2).sum(axis=1))
+        far[q] = np.inf
+        want |= {(q, n + 1): int(i) for n, i in enumerate(np.argsort(far, kind="stable")[:7])}
+    assert got == want
+
+
 # ---- op10
 
 
