@@ -12,18 +12,19 @@ rarest members.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from dendrovox.plans.components import connected_components
 from dendrovox.plans.durable import materialize
 
 FRAGMENTS = 16
-CACHE_WORDS = 100_000
 #: Bits of a set's parity map.
 MAP_BITS = 1024
 #: Rows of one key that a task may hold; a key with more is dealt to several tasks.
@@ -31,16 +32,10 @@ HOT_ROWS = 1_000_000
 #: One of this many documents is looked at to find such keys.
 SAMPLED = 64
 LONGEST = 16
-
-
-class WordHashes(dict):
-    """64-bit hash of each word; forgets all when full."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return h
+#: Rows of a bucket whose pairs are looked at one by one; larger ones take the way over rare members. Both ways find all links.
+SMALL = 16
+#: Rows of (doc, digest) that are sent to every task: 40 MB at most.
+SENT_ROWS = 1_000_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -57,17 +52,19 @@ def mixed(x: np.ndarray) -> np.ndarray:
 POWERS = np.asarray([pow(0x9E3779B97F4A7C15, n, 1 << 64) for n in range(LONGEST)], np.uint64)
 
 
-def shingle_set(words: list[bytes], hashes: WordHashes, width: int) -> np.ndarray:
+def shingle_set(words: list[bytes], width: int) -> np.ndarray:
     """Distinct 64-bit hashes of all runs of ``width`` words (of fewer words: of them all), sorted."""
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
     width = min(width, len(words))
     n = len(words) - width + 1
     total = np.full(n, width, np.uint64)
     for i in range(width):
-        total += mixed(h[i : i + n] + np.uint64(i)) * POWERS[i]
-    return np.unique(mixed(total))
+        total += h[i : i + n] * POWERS[i]
+    total = mixed(total)
+    total.sort()
+    return total[np.concatenate([[True], total[1:] != total[:-1]])]
 
 
 def same_words(words: list[bytes]) -> bytes | None:
@@ -84,14 +81,13 @@ def segments(docs: DataFrame, width: int, fragments: int = FRAGMENTS) -> DataFra
     """(doc, f, seg): the members of each fragment, for rows (doc, text, same); rows of other words than ``same`` are left out."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             doc, at, parts = [], [], []
             for key, text, same in zip(*(batch.column(i) for i in range(3))):
                 words = words_of(text.as_py())
                 if not words or same_words(words) != same.as_py():
                     continue
-                shingles = shingle_set(words, hashes, width)
+                shingles = shingle_set(words, width)
                 f = ((shingles >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(np.int64)
                 ends = np.searchsorted(f, np.arange(fragments + 1))
                 for i in np.flatnonzero(np.diff(ends)):
@@ -103,6 +99,24 @@ def segments(docs: DataFrame, width: int, fragments: int = FRAGMENTS) -> DataFra
     return docs.mapInArrow(cut, "doc long, f int, seg array<long>")
 
 
+def segment_tables(docs: DataFrame, width: int, path: str) -> Callable[[DataFrame], DataFrame]:
+    """A function that cuts the texts of given rows (doc, same, copies) of ``docs`` (doc, text) into segments, a written table a call.
+
+    Only documents that have several rows are cut more than once, and then their segments are made one again.
+    """
+    calls = itertools.count()
+
+    def cut_of(wanted: DataFrame) -> DataFrame:
+        table, wanted = f"{path}/segments-{next(calls)}", materialize(wanted)
+        once, often = wanted.where("copies = 1").drop("copies"), wanted.where("copies > 1").drop("copies")
+        segments(docs.join(near_rows(once), "doc"), width).write.parquet(table)
+        if not often.isEmpty():
+            segments(docs.join(near_rows(often), "doc"), width).dropDuplicates(["doc", "f"]).write.mode("append").parquet(table)
+        return docs.sparkSession.read.parquet(table)
+
+    return cut_of
+
+
 def possible(percent: int) -> Column:
     """Whether sizes (un, vn) and parity maps (us, vs) leave the threshold possible: what they rule out is never linked."""
     apart = sum((F.bit_count(F.get("us", F.lit(i)).bitwiseXOR(F.get("vs", F.lit(i)))) for i in range(MAP_BITS // 64)), F.lit(0))
@@ -112,10 +126,14 @@ def possible(percent: int) -> Column:
 def linked(pairs: DataFrame, cut: DataFrame, percent: int) -> DataFrame:
     """Pairs (u, v) of ``pairs`` (u, v, un, vn) whose sets reach ``percent``: overlaps counted by fragment, summed by pair.
 
-    The segments of v travel to those of u, so u should be the one with more pairs.
+    The segments of v travel to those of u, so u should be the one with more pairs. Other segments stay where they are.
     """
-    own = pairs.select("u", "v", "un", "vn").join(cut.select(F.col("doc").alias("v"), "f", F.col("seg").alias("b")), "v")
-    met = own.join(cut.select(F.col("doc").alias("u"), "f", F.col("seg").alias("a")), ["u", "f"])
+    pairs = materialize(pairs.select("u", "v", "un", "vn"))
+
+    def of(x: str, seg: str) -> DataFrame:
+        return cut.join(near_rows(pairs.select(F.col(x).alias("doc")).distinct()), "doc", "left_semi").select(F.col("doc").alias(x), "f", F.col("seg").alias(seg))
+
+    met = pairs.join(of("v", "b"), "v").join(of("u", "a"), ["u", "f"])
     partial = met.select("u", "v", "un", "vn", F.size(F.array_intersect("a", "b")).cast("long").alias("part"))
     both = partial.groupBy("u", "v", "un", "vn").agg(F.sum("part").alias("both"))
     return both.where(100 * F.col("both") >= percent * (F.col("un") + F.col("vn") - F.col("both"))).select("u", "v")
@@ -132,7 +150,7 @@ def crowded(keyed: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     return dealt.withColumn("many", many).where("many").select("key", "doc")
 
 
-def on_rare_members(pool: DataFrame, cut: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+def on_rare_members(pool: DataFrame, cut: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
     """Pairs (u, v, un, vn) of ``pool`` (doc, component) in two components that may reach ``percent``.
 
     Members are ordered by how few documents have them. Two linked sets share one among the first
@@ -141,7 +159,7 @@ def on_rare_members(pool: DataFrame, cut: DataFrame, heads: DataFrame, percent:
     """
     words = cut.join(pool, "doc").select("doc", "component", F.explode("seg").alias("s"))
     seen = words.groupBy("s").agg(F.count(F.lit(1)).alias("seen"))
-    ordered = words.join(seen.where("seen > 1"), "s").groupBy("doc", "component").agg(F.array_sort(F.collect_list(F.struct("seen", "s"))).alias("common")).join(heads.select("doc", "n", "bits"), "doc")
+    ordered = words.join(seen.where("seen > 1"), "s").groupBy("doc", "component").agg(F.array_sort(F.collect_list(F.struct("seen", "s"))).alias("common")).join(facts, "doc")
     # Members that no other document has come first in the order and can match nothing.
     alone = F.col("n") - F.size("common")
     room = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - alone
@@ -154,47 +172,64 @@ def on_rare_members(pool: DataFrame, cut: DataFrame, heads: DataFrame, percent:
     return met.select("u", "v", "un", "vn").distinct()
 
 
-def components(heads: DataFrame, cut_of: Callable[[DataFrame], DataFrame], percent: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+def near_rows(wanted: DataFrame) -> DataFrame:
+    """``wanted`` for a join with the texts: sent to every task while it is small, so that no text is shuffled."""
+    return F.broadcast(wanted) if wanted.count() <= SENT_ROWS else wanted
+
+
+def within(buckets: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v, un, vn) that may be linked of small buckets: rows (key, doc, component) of at most ``SMALL`` a key."""
+    u, v = (buckets.select("key", F.col("doc").alias(x), F.col("component").alias(f"{x}c")) for x in "uv")
+    met = u.join(v, "key").where("u < v and uc <> vc").select("u", "v").distinct()
+    u_facts, v_facts = (facts.select(F.col("doc").alias(x), F.col("n").alias(f"{x}n"), F.col("bits").alias(f"{x}s")) for x in "uv")
+    return met.join(u_facts, "u").join(v_facts, "v").where(possible(percent)).select("u", "v", "un", "vn")
+
+
+def components(keyed: DataFrame, facts: DataFrame, cut_of: Callable[[DataFrame], DataFrame], percent: int, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(node, component) of all documents that are linked with another.
 
-    ``heads``: (doc, n, keys, bits), one row a document, all sets different; linked documents share a
-    key. ``cut_of``: the segments of given documents (doc), as a written table.
+    ``facts``: (doc, n, bits), one row a document, all sets different; ``keyed``: (key, doc), linked
+    documents share a key. ``cut_of``: the segments of given documents (doc), as a written table.
     """
-    buckets = materialize(crowded(heads.select("doc", F.explode("keys").alias("key")), hot_rows))
+    buckets = materialize(crowded(keyed, hot_rows).distinct())
     sizes = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
     counted = materialize(buckets.join(sizes, "key"))
     scores = counted.groupBy("doc").agg(F.sum("rows").alias("score"))
     # The text that copies were made from shares more keys with them than they share with each other.
     leads = counted.join(scores, "doc").groupBy("key").agg(F.max(F.struct("score", "doc")).alias("lead")).select("key", F.col("lead.doc").alias("leader"))
-    led = materialize(counted.join(leads, "key").where("doc <> leader").select("key", "doc", "leader"))
+    led = materialize(counted.join(leads, "key").where("doc <> leader").select("key", "doc", "leader", "rows"))
 
-    u_facts = heads.select(F.col("doc").alias("u"), F.col("n").alias("un"), F.col("bits").alias("us"))
-    v_facts = heads.select(F.col("doc").alias("v"), F.col("n").alias("vn"), F.col("bits").alias("vs"))
+    u_facts, v_facts = (facts.select(F.col("doc").alias(x), F.col("n").alias(f"{x}n"), F.col("bits").alias(f"{x}s")) for x in "uv")
     met = led.groupBy(F.least("doc", "leader").alias("low"), F.greatest("doc", "leader").alias("high")).agg(F.count(F.lit(1)).alias("votes"), F.max("leader").alias("u"))
     met = met.select("u", F.when(F.col("u") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("v"), "votes")
     votes = materialize(met.join(u_facts, "u").join(v_facts, "v").where(possible(percent)).select("u", "v", "un", "vn", "votes"))
-    cut = cut_of(counted.select("doc").distinct())
-
     ends = votes.select(F.col("u").alias("doc"), "*").union(votes.select(F.col("v").alias("doc"), "*"))
+    cut = cut_of(ends.select("doc").distinct())
+
     best = F.max(F.struct("votes", F.xxhash64("u", "v").alias("draw"), "u", "v", "un", "vn")).alias("best")
     first = materialize(ends.groupBy("doc").agg(best).select("best.u", "best.v", "best.un", "best.vn").distinct())
     links = materialize(linked(first, cut, percent))
     parts = connected_components(links)
 
-    u_part = parts.select(F.col("node").alias("u"), F.col("component").alias("cu"))
-    v_part = parts.select(F.col("node").alias("v"), F.col("component").alias("cv"))
-    rest = votes.drop("votes").join(first.select("u", "v"), ["u", "v"], "left_anti").join(u_part, "u", "left").join(v_part, "v", "left")
-    found = materialize(linked(rest.where("coalesce(cu, u) <> coalesce(cv, v)"), cut, percent))
+    def apart(pairs: DataFrame) -> DataFrame:
+        u_part, v_part = (parts.select(F.col("node").alias(x), F.col("component").alias(f"{x}c")) for x in "uv")
+        return pairs.join(u_part, "u", "left").join(v_part, "v", "left").where("coalesce(uc, u) <> coalesce(vc, v)").drop("uc", "vc")
+
+    found = materialize(linked(apart(votes.drop("votes").join(first.select("u", "v"), ["u", "v"], "left_anti")), cut, percent))
     if not found.isEmpty():
         links = links.union(found)
         parts = connected_components(links)
 
-    # What is left: pairs of a bucket, neither the leader, in two components. Documents of such
-    # buckets meet on their rarest members, of which any linked pair shares one.
-    placed = led.join(parts.select(F.col("node").alias("doc"), "component"), "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("component"))
-    apart = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
-    pool = materialize(placed.join(apart, "key").select("doc", "component").distinct())
-    found = materialize(linked(on_rare_members(pool, cut, heads, percent), cut, percent))
+    # What is left: pairs of a bucket, neither the leader, in two components. Those of small buckets
+    # are looked at one by one. Documents of large ones meet on their rarest members, of which any
+    # linked pair shares one.
+    placed = led.join(parts.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    split = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
+    placed = materialize(placed.join(split, "key").select("key", "doc", "component", "rows"))
+    few = materialize(within(placed.where(F.col("rows") <= SMALL), facts, percent))
+    pool = materialize(placed.where(F.col("rows") > SMALL).select("doc", "component").distinct())
+    more = cut_of(few.select(F.col("u").alias("doc")).union(few.select("v")).union(pool.select("doc")).distinct())
+    found = materialize(linked(few, more, percent).union(linked(on_rare_members(pool, more, facts, percent), more, percent)))
     return parts if found.isEmpty() else connected_components(links.union(found))
 
 
@@ -202,15 +237,18 @@ def by_class(prints: DataFrame, percent: int, cut_of: Callable[[DataFrame], Data
     """(key, n_shingles, component_id) for each row of ``prints`` (doc, n, class, same, keys, bits), written before.
 
     Rows of one class have equal sets; its least document stands for it. Of a document with several
-    texts that leads classes of its own, the text with the least digest is held against others, so the
-    result does not depend on the order of rows.
+    texts that leads classes of its own, the text with the least class and digest is held against
+    others, so the result does not depend on the order of rows. ``cut_of``: the segments of (doc, same, copies).
     """
     spark = prints.sparkSession
     classes = materialize(prints.where("class is not null and doc is not null").groupBy("class").agg(F.min("doc").alias("head")))
-    leading = prints.join(classes, "class").where("doc = head").groupBy("doc").agg(F.min(F.struct("class", "same", "n", "keys", "bits")).alias("p"))
-    leading.select("doc", "p.same", "p.n", "p.keys", "p.bits").write.parquet(f"{path}/heads")
-    heads = spark.read.parquet(f"{path}/heads")
-    parts = components(heads.drop("same"), lambda docs: cut_of(docs.join(heads.select("doc", "same"), "doc")), percent, hot_rows)
+    leading = prints.select("doc", "class", "same").join(classes, "class").where("doc = head")
+    counted = leading.groupBy("doc", "class", "same").agg(F.count(F.lit(1)).alias("copies"))
+    heads = materialize(counted.groupBy("doc").agg(F.min(F.struct("class", "same", "copies")).alias("p"), F.sum("copies").alias("copies")).select("doc", "p.same", "copies"))
+    near = near_rows(heads.select("doc", "same"))
+    prints.join(near, ["doc", "same"]).select("doc", "n", "bits").dropDuplicates(["doc"]).write.parquet(f"{path}/facts")
+    keyed = prints.select("doc", "same", "keys").join(near, ["doc", "same"]).select("doc", F.explode("keys").alias("key"))
+    parts = components(keyed, spark.read.parquet(f"{path}/facts"), lambda docs: cut_of(docs.join(heads, "doc")), percent, hot_rows)
     resolved = classes.join(parts.select(F.col("node").alias("head"), "component"), "head", "left").select("class", F.coalesce("component", "head").alias("component"))
     out = prints.select("doc", "n", "class").join(resolved, "class", "left").withColumn("component_id", F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc")))
     return out.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), "component_id")

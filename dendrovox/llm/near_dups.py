@@ -62,13 +62,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc, n, class, same, keys, bits) of rows (doc, text); without words: 0 and nulls."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, minhash = fragments.WordHashes(), MinHash()
+        minhash = MinHash()
         longs = pa.list_(pa.int64())
         for batch in batches:
             n, same, keys, bits = [], [], [], []
             for text in batch.column(1):
                 words = fragments.words_of(text.as_py())
-                shingles = fragments.shingle_set(words, hashes, SHINGLE)
+                shingles = fragments.shingle_set(words, SHINGLE)
                 n.append(len(shingles))
                 same.append(fragments.same_words(words))
                 keys.append(minhash.keys(minhash.minima(shingles))[0] if words else None)
@@ -91,11 +91,7 @@ def near_duplicates(df: DataFrame, percent: int = 85, key: str = "doc_id", text:
     path = scratch_path(spark, "minhash")
     fingerprints(docs).write.parquet(f"{path}/prints")
 
-    def cut_of(wanted: DataFrame) -> DataFrame:
-        fragments.segments(docs.join(wanted, "doc"), SHINGLE).dropDuplicates(["doc", "f"]).write.parquet(f"{path}/segments")
-        return spark.read.parquet(f"{path}/segments")
-
-    out = fragments.by_class(spark.read.parquet(f"{path}/prints"), percent, cut_of, path, key)
+    out = fragments.by_class(spark.read.parquet(f"{path}/prints"), percent, fragments.segment_tables(docs, SHINGLE, path), path, key)
     return out.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(False)))
 
 

@@ -85,13 +85,13 @@ def fingerprints(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """(doc, n, class, same, keys, bits) of rows (doc, text); class: the digest of the set; without words: 0 and nulls."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, levels = fragments.WordHashes(), Levels(percent)
+        levels = Levels(percent)
         longs = pa.list_(pa.int64())
         for batch in batches:
             n, sets, same, keys, bits = [], [], [], [], []
             for text in batch.column(1):
                 words = fragments.words_of(text.as_py())
-                shingles = fragments.shingle_set(words, hashes, width)
+                shingles = fragments.shingle_set(words, width)
                 n.append(len(shingles))
                 sets.append(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if words else None)
                 same.append(fragments.same_words(words))
@@ -117,8 +117,4 @@ def jaccard_join(df: DataFrame, percent: int = PERCENT, width: int = WIDTH, key:
     path = scratch_path(spark, "ngrams")
     fingerprints(docs, width, percent).write.parquet(f"{path}/prints")
 
-    def cut_of(wanted: DataFrame) -> DataFrame:
-        fragments.segments(docs.join(wanted, "doc"), width).dropDuplicates(["doc", "f"]).write.parquet(f"{path}/segments")
-        return spark.read.parquet(f"{path}/segments")
-
-    return fragments.by_class(spark.read.parquet(f"{path}/prints"), percent, cut_of, path, key, hot_rows)
+    return fragments.by_class(spark.read.parquet(f"{path}/prints"), percent, fragments.segment_tables(docs, width, path), path, key, hot_rows)
