@@ -140,14 +140,18 @@ def linked(pairs: DataFrame, cut: DataFrame, percent: int) -> DataFrame:
 
 
 def crowded(keyed: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Rows (key, doc) whose key some other document has too. A key of more than ``hot_rows`` rows is dealt to several tasks."""
+    """Rows (key, doc, rows) whose key some other document has too; rows: about how many the key has.
+
+    A key of more than ``hot_rows`` rows is dealt to several tasks, which count each by themselves.
+    """
     seen = keyed.where(F.pmod(F.xxhash64("doc"), F.lit(SAMPLED)) == 0).groupBy("key").agg((F.count(F.lit(1)) * SAMPLED).alias("rows"))
     # At most one key for every ``hot_rows`` rows of the table; AQE decides by size how they meet.
     hot = seen.where(F.col("rows") > hot_rows).select("key", F.ceil(F.col("rows") / hot_rows).cast("int").alias("tasks"))
     dealt = keyed.join(hot, "key", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc", F.lit(7)), F.col("tasks")), F.lit(0))) if not hot.isEmpty() else keyed.withColumns({"tasks": F.lit(None).cast("int"), "salt": F.lit(0)})
     group = Window.partitionBy("key", "salt")
     many = F.col("tasks").isNotNull() | (F.min("doc").over(group) != F.max("doc").over(group))
-    return dealt.withColumn("many", many).where("many").select("key", "doc")
+    rows = F.count(F.lit(1)).over(group) * F.coalesce("tasks", F.lit(1))
+    return dealt.withColumns({"many": many, "rows": rows}).where("many").select("key", "doc", "rows")
 
 
 def on_rare_members(pool: DataFrame, cut: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
@@ -191,9 +195,9 @@ def components(keyed: DataFrame, facts: DataFrame, cut_of: Callable[[DataFrame],
     ``facts``: (doc, n, bits), one row a document, all sets different; ``keyed``: (key, doc), linked
     documents share a key. ``cut_of``: the segments of given documents (doc), as a written table.
     """
-    buckets = materialize(crowded(keyed, hot_rows).distinct())
-    sizes = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
-    counted = materialize(buckets.join(sizes, "key"))
+    counted = materialize(crowded(keyed, hot_rows))
+    involved = materialize(counted.select("doc").distinct())
+    facts = materialize(facts.join(near_rows(involved), "doc", "left_semi"))
     scores = counted.groupBy("doc").agg(F.sum("rows").alias("score"))
     # The text that copies were made from shares more keys with them than they share with each other.
     leads = counted.join(scores, "doc").groupBy("key").agg(F.max(F.struct("score", "doc")).alias("lead")).select("key", F.col("lead.doc").alias("leader"))

@@ -95,7 +95,7 @@ def test_parity_maps_never_differ_more_than_sets():
 def test_hot_keys_are_dealt_to_tasks_and_lose_no_row(spark):
     rows = [(7, i) for i in range(3000)] + [(8, 1), (8, 2), (9, 5), (10, 6), (10, 6)]
     keyed = spark.createDataFrame(rows, "key long, doc long")
-    got = sorted(map(tuple, fragments.crowded(keyed, 100).collect()))
+    got = sorted((r["key"], r["doc"]) for r in fragments.crowded(keyed, 100).collect())
     assert got == sorted(r for r in rows if r[0] in (7, 8))
 
 
