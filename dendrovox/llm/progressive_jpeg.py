@@ -32,8 +32,6 @@ SCANS = (((0, 1, 2), 0, 0, 0, 1), *(((c,), 1, 5, 0, 1) for c in range(3)), *(((c
 RESTART_BLOCKS = 4
 RESTART_UNITS = 4
 BATCH_BYTES = 1 << 20
-#: Pixels that a stream may declare; more are a problem of that stream, not of its task's memory.
-MOST_PIXELS = 1 << 27
 SCALE = 12
 
 
@@ -431,9 +429,12 @@ def _parse(data: bytes, at: int, end: int, marks: list[int], closing: list[int],
             most_h, most_v = (max(x) for x in zip(*sampling, strict=True))
             if len(ids) not in (1, 3) or any(not a or not b or most_h % a or most_v % b for a, b in sampling):
                 raise ValueError("unsupported components or sampling")
-            if not 0 < w * h <= MOST_PIXELS or body[0] != 8:
+            if not w * h or body[0] != 8:
                 raise ValueError("unsupported size or precision")
             image = Image(-(-w // (8 * most_h)), -(-h // (8 * most_v)), np.zeros((0, 64), np.int32), sampling=sampling, size=(w, h))
+            # Each block takes at least a bit of its first scan, so a short stream cannot ask for much memory.
+            if sum(map(image.blocks, range(len(sampling)))) > 8 * (end - at):
+                raise ValueError("more blocks than bits")
         elif marker in (0xC0, 0xC1):
             raise ValueError("not a progressive stream")
         elif marker == 0xDA:
@@ -630,7 +631,9 @@ def read_images(streams: list[bytes]) -> list[Image]:
     groups: dict[tuple, list[Scan]] = {}
     for x in scans:
         tables = dict(zip(x.components, x.tables, strict=True)) if x.band[0] == 0 else x.tables[0]
-        groups.setdefault((x.depth, x.band, x.components if x.band[0] == 0 else None, tuple(tables.items()) if isinstance(tables, dict) else tables), []).append(x)
+        # Units of other samplings hold other places, so scans of several components go together only where their units agree.
+        slots = tuple(images[x.image].order(x.components)[1].tolist()) if x.band[0] == 0 else None
+        groups.setdefault((x.depth, x.band, slots, tuple(tables.items()) if isinstance(tables, dict) else tables), []).append(x)
     lookups: dict[Huffman, np.ndarray] = {}
     for (_, band, _, tables), group in sorted(groups.items(), key=lambda g: g[0][0]):
         first_k, last_k, high, low = band

@@ -44,6 +44,7 @@ CLASSES = (
 )
 ALLOWED = (
     re.compile(r"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}"),
+    re.compile(r"wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"),
     re.compile(r"example|placeholder|changeme|x{8}|0123456789|abcdefghij", re.IGNORECASE),
 )
 
@@ -96,26 +97,36 @@ class Scanner:
             found += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
         return found + [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
 
+    def pieces(self, word: str) -> list[tuple[int, str]]:
+        """What lies between the allowed strings of ``word``, with its places: the windows that touch none of them."""
+        out, at = [], 0
+        for start, end in sorted(m.span() for x in self.allowed for m in x.finditer(word)):
+            if start > at:
+                out.append((at, word[at:start]))
+            at = max(at, end)
+        return [*out, (at, word[at:])]
+
     def entropic(self, text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-        """Unions of qualifying windows, but for allowed candidates and those inside a taken span."""
+        """Unions of qualifying windows, but for windows that touch an allowed string and unions inside a taken span."""
         found: list[tuple[int, int, str]] = []
         for candidate in CANDIDATE.finditer(text):
-            word = candidate[0]
-            if not DIGIT.search(word) or any(x.search(word) for x in self.allowed):
+            if not DIGIT.search(candidate[0]):
                 continue
-            for kind, runs in zip(self.classes, self.runs, strict=True):
-                for m in runs.finditer(word):
-                    start = end = -1
-                    for i, bits in enumerate(entropy_windows(m[0], kind.window)):
-                        if bits >= kind.bits and all(x.search(m[0], i, i + kind.window) for x in kind.needs):
-                            if start >= 0 and i <= end:
-                                end = i + kind.window
-                                continue
-                            if start >= 0:
-                                found.append((start + candidate.start() + m.start(), end + candidate.start() + m.start(), kind.kind))
-                            start, end = i, i + kind.window
-                    if start >= 0:
-                        found.append((start + candidate.start() + m.start(), end + candidate.start() + m.start(), kind.kind))
+            for at, piece in self.pieces(candidate[0]):
+                for kind, runs in zip(self.classes, self.runs, strict=True):
+                    for m in runs.finditer(piece):
+                        base = candidate.start() + at + m.start()
+                        start = end = -1
+                        for i, bits in enumerate(entropy_windows(m[0], kind.window)):
+                            if bits >= kind.bits and all(x.search(m[0], i, i + kind.window) for x in kind.needs):
+                                if start >= 0 and i <= end:
+                                    end = i + kind.window
+                                    continue
+                                if start >= 0:
+                                    found.append((base + start, base + end, kind.kind))
+                                start, end = i, i + kind.window
+                        if start >= 0:
+                            found.append((base + start, base + end, kind.kind))
         return uncovered(found, taken)
 
     def __call__(self, text: str | None) -> list[dict]:

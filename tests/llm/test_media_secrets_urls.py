@@ -225,6 +225,17 @@ def test_streams_of_another_writer(width, height, sampling):
     assert np.abs(rgb - np.clip(want, 0, 255)).max() <= 4
 
 
+def test_samplings_of_a_batch_are_kept_apart():
+    kinds = [((2, 2), (1, 1), (1, 1)), ((2, 1), (2, 1), (2, 1)), ((1, 1), (1, 1), (1, 1)), ((2, 1), (1, 1), (1, 1)), ((1, 2), (1, 1), (1, 1)), ((1, 1),), ((2, 2), (2, 1), (1, 1))]
+    streams = [plain_stream(35, 27, x, plain_image(35, 27, x, i)) for i, x in enumerate(kinds)]
+    alone = [jpeg.read_images([x])[0].coefficients for x in streams]
+    for i in range(len(kinds)):
+        for k in range(len(kinds)):
+            both = jpeg.read_images([streams[i], streams[k]])
+            assert (both[0].coefficients == alone[i]).all() and (both[1].coefficients == alone[k]).all(), (kinds[i], kinds[k])
+    assert all((x.coefficients == y).all() for x, y in zip(jpeg.read_images(streams), alone))
+
+
 def test_a_bad_stream_is_a_row_with_a_problem(spark):
     good = plain_stream(24, 24, ((2, 2), (1, 1), (1, 1)), plain_image(24, 24, ((2, 2), (1, 1), (1, 1)), 1))
     grey = plain_stream(13, 30, ((1, 1),), plain_image(13, 30, ((1, 1),), 2))
@@ -301,6 +312,46 @@ def test_entropy_finds_and_allows():
     assert [s["kind"] for s in scan("0A1B2C3D4E5F60718293A4B5")] == ["entropy_hex"]
 
 
+def test_a_key_beside_an_allowed_string_is_found():
+    scan, key = secrets.Scanner(), "q7ZxP2mK9vTbW4nR8sYc"
+    for text in (f"{key}-123e4567-e89b-12d3-a456-426614174000", f"{key}Example", f"example{key}", f"placeholder{key}0123456789"):
+        assert [text[s["start"] : s["end"]].strip("-") for s in scan(text)] == [key], text
+    assert scan("wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY") == []
+
+
+def plain_entropy_spans(text):
+    """Every window of every class looked at by itself, their unions marked place by place."""
+    out = []
+    for kind in secrets.CLASSES:
+        held = set()
+        for c in re.finditer(r"[A-Za-z0-9+/=_-]{20,}", text):
+            barred = {i for x in secrets.ALLOWED for m in x.finditer(c[0]) for i in range(*m.span())}
+            for i in range(len(c[0]) - kind.window + 1):
+                part = c[0][i : i + kind.window]
+                bits = -sum(part.count(a) / kind.window * math.log2(part.count(a) / kind.window) for a in set(part))
+                if re.fullmatch(f"[{kind.members}]+", part) and bits >= kind.bits - 1e-12 and all(x.search(part) for x in kind.needs) and not barred & set(range(i, i + kind.window)):
+                    held.add((c.start() + i, c.start() + i + kind.window))
+        for a, b in sorted(held):
+            if out and out[-1][2] == kind.kind and a <= out[-1][1]:
+                out[-1] = (out[-1][0], b, kind.kind)
+            else:
+                out.append((a, b, kind.kind))
+    return sorted(out)
+
+
+def test_entropy_spans_match_brute_force():
+    rnd = random.Random(4)
+    parts = ["q7ZxP2mK9vTbW4nR8sYc", "example", "123e4567-e89b-12d3-a456-426614174000", "0A1B2C3D4E5F60718293A4B5", " ", "-", "aaaaaaaaaa", "xxxxxxxx", "/K7+", "=", "Hj3", "0123456789", "\u00e9"]
+    seen = 0
+    for _ in range(400):
+        text = "".join(rnd.choices(parts, k=rnd.randrange(1, 9)))
+        got = sorted(secrets.Scanner().entropic(text, []))
+        want = [x for x in plain_entropy_spans(text)]
+        assert got == want, text
+        seen += len(got)
+    assert seen > 200
+
+
 def test_redaction(spark):
     frame = docs(spark, [None, "plain", "password=hunter22 and zX9qLm3Vt7Kp2Rw8Yc5Nd1Hs!", "token=0123456789abcdef0123456789 x"])
     out = [r[0] for r in frame.select("doc_id", secrets.redacted(frame.text).alias("t")).orderBy("doc_id").select("t").collect()]
