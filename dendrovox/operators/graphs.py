@@ -11,9 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dendrovox.operators.neighbours import neighbour_pairs, offsets
+from dendrovox.operators.neighbours import neighbour_links, offsets
 from dendrovox.operators.views import Triple, address
-from dendrovox.plans.durable import materialize
+from dendrovox.plans.durable import materialize, scratch_path
 
 
 def voxel_graph(foreground: DataFrame, dims: Triple, connectivity: int = 26) -> tuple[DataFrame, DataFrame]:
@@ -25,18 +25,24 @@ def voxel_graph(foreground: DataFrame, dims: Triple, connectivity: int = 26) ->
     dark = 1 - F.col("v") / F.col("_top")
     nodes = foreground.join(F.broadcast(top)).withColumns({"id": address(dims), "value": F.exp(10 * dark * dark)}).drop("_top")
     nodes = materialize(nodes)
-    pairs = neighbour_pairs(nodes, connectivity, keep=("id", "value"))
-    length = F.sqrt(F.abs(F.col("z") - F.col("n_z")) + F.abs(F.col("y") - F.col("n_y")) + F.abs(F.col("x") - F.col("n_x")).cast("double"))
-    return nodes, pairs.select(F.col("id").alias("u"), F.col("n_id").alias("v"), (length * (F.col("value") + F.col("n_value")) / 2).alias("cost"))
+    links = neighbour_links(nodes, dims, connectivity, keep=("value",))
+    return nodes, links.select("u", "v", (F.sqrt(F.col("axes").cast("double")) * (F.col("value") + F.col("n_value")) / 2).alias("cost"))
 
 
 #: Edges that one task should hold where the graph gives no parts of its own.
 PART_EDGES = 500_000
+#: Places of a volume in one part: a part of them without a gap has 13 million edges.
+PART_PLACES = 1 << 19
 
 
-def voxel_part(dims: Triple, chunk: Triple = (32, 64, 64)) -> Callable[[Column], Column]:
-    """The chunk of a volume that an address lies in: vertices of one part are relaxed together."""
-    (_, ydim, xdim), (dz, dy, dx) = dims, chunk
+def voxel_part(dims: Triple, chunk: Triple | None = None) -> Callable[[Column], Column]:
+    """The chunk of a volume that an address lies in: vertices of one part are relaxed together.
+
+    Without ``chunk`` chunks are at most 64 places wide and high, and as deep as ``PART_PLACES`` allows.
+    """
+    _, ydim, xdim = dims
+    dy, dx = min(64, max(ydim, 1)), min(64, max(xdim, 1))
+    dz, dy, dx = chunk or (max(1, PART_PLACES // (dy * dx)), dy, dx)
 
     def part(at: Column) -> Column:
         z, y, x = F.floor(at / (ydim * xdim)), F.floor(at / xdim) % ydim, at % xdim
@@ -45,77 +51,118 @@ def voxel_part(dims: Triple, chunk: Triple = (32, 64, 64)) -> Callable[[Column],
     return part
 
 
+_REACHED = "id long, distance double, parent long, own boolean"
+
+
 def _relaxed(state: pa.Table, edges: pa.Table) -> pa.Table:
-    """Shortest distances inside one part from its changed vertices on, and what they offer to other parts."""
-    known, far = state.column("id").to_numpy(), state.column("distance").to_numpy()
+    """What is known inside one part once better offers have spread in it, and what it offers to other parts; nothing if no offer is better."""
+    known, far, offered = (state.column(c).to_numpy() for c in ("id", "distance", "changed"))
+    above, rootless = state.column("parent").fill_null(0).to_numpy(), state.column("parent").is_null().to_numpy()
     start, end, cost, inside = (edges.column(c).to_numpy() for c in ("u", "v", "cost", "inside"))
     order = np.argsort(start, kind="stable")
     start, end, cost, inside = start[order], end[order], cost[order], inside[order]
     nodes = np.unique(np.concatenate([known, start, end[inside]]))
-    distance, parent = np.full(len(nodes), np.inf), np.full(len(nodes), -1)
+    distance, parent, bare = np.full(len(nodes), np.inf), np.zeros(len(nodes), np.int64), np.ones(len(nodes), bool)
     spots = np.searchsorted(nodes, known)
-    distance[spots] = far
-    heap = [(float(distance[i]), int(i)) for i in spots[state.column("changed").to_numpy()]]
+    held = ~offered
+    distance[spots[held]], parent[spots[held]], bare[spots[held]] = far[held], above[held], rootless[held]
+    # Of several offers the nearest is written last.
+    ranked = np.flatnonzero(offered)[np.lexsort((-above[offered], -far[offered]))]
+    ranked = ranked[far[ranked] < distance[spots[ranked]]]
+    distance[spots[ranked]], parent[spots[ranked]], bare[spots[ranked]] = far[ranked], above[ranked], rootless[ranked]
+    seeds = np.unique(spots[ranked])
+    heap = list(zip(distance[seeds].tolist(), seeds.tolist()))
     heapq.heapify(heap)
     firsts, lasts = (np.searchsorted(start, nodes, side).tolist() for side in ("left", "right"))
-    to, to_id = np.where(inside, np.minimum(np.searchsorted(nodes, end), len(nodes) - 1), -1).tolist(), end.tolist()
-    cost, best, up, offers = cost.tolist(), distance.tolist(), parent.tolist(), {}
-    moved = set()
+    to = np.where(inside, np.minimum(np.searchsorted(nodes, end), len(nodes) - 1), -1)
+    best, up, offers = distance.tolist(), {}, {}
     while heap:
         d, i = heapq.heappop(heap)
         if d > best[i]:
             continue
-        for k in range(firsts[i], lasts[i]):
-            new, j = d + cost[k], to[k]
+        first, last = firsts[i], lasts[i]
+        for k, (j, more) in enumerate(zip(to[first:last].tolist(), cost[first:last].tolist()), first):
+            new = d + more
             if j < 0:
-                if new < offers.get(to_id[k], (math.inf,))[0]:
-                    offers[to_id[k]] = new, i
+                other = int(end[k])
+                if new < offers.get(other, (math.inf,))[0]:
+                    offers[other] = new, i
             elif new < best[j]:
                 best[j], up[j] = new, i
-                moved.add(j)
                 heapq.heappush(heap, (new, j))
-    mine = sorted(moved)
+    distance = np.asarray(best, np.float64)
+    moved = np.fromiter(up.keys(), np.int64, len(up))
+    parent[moved], bare[moved] = nodes[np.fromiter(up.values(), np.int64, len(up))], False
+    mine = np.flatnonzero(np.isfinite(distance)) if len(seeds) else np.empty(0, np.int64)
     others = sorted(offers)
-    ids = [*(int(nodes[i]) for i in mine), *others]
-    distances = [*(best[i] for i in mine), *(offers[i][0] for i in others)]
-    parents = [int(nodes[up[i]]) for i in mine] + [int(nodes[offers[i][1]]) for i in others]
-    return pa.table({"id": pa.array(ids, pa.int64()), "distance": pa.array(distances, pa.float64()), "parent": pa.array(parents, pa.int64()), "own": pa.array([True] * len(mine) + [False] * len(others), pa.bool_())})
-
+    ids = [*nodes[mine].tolist(), *others]
+    distances = [*distance[mine].tolist(), *(offers[i][0] for i in others)]
+    parents = np.concatenate([parent[mine], nodes[[offers[i][1] for i in others]]]) if others else parent[mine]
+    none = np.concatenate([bare[mine], np.zeros(len(others), bool)])
+    return pa.table({"id": pa.array(ids, pa.int64()), "distance": pa.array(distances, pa.float64()), "parent": pa.array(parents, pa.int64(), mask=none), "own": pa.array([True] * len(mine) + [False] * len(others), pa.bool_())})
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, part: Callable[[Column], Column] | None = None) -> DataFrame:
-    """(id, distance, parent) of every vertex that the sources (id) reach; a source has no parent.
 
-    Sources may bring a ``distance`` of their own to start from. Vertices are dealt to parts by ``part`` of their id (without one, by hash). A round relaxes all
-    paths inside the parts that changed and sends out only what crosses their borders, so rounds end
-    with the number of borders on a shortest path, not of its edges. Of several parents on shortest
-    ways (to a share of 1e-9) the smallest id is given. Negative costs are refused.
-    """
-    edges = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"), F.col("cost").cast("double").alias("cost"))
-    edges = materialize(edges)
+def _costed(edges: DataFrame) -> DataFrame:
+    """``edges`` as a table of (u, v, cost) without negative costs."""
+    edges = materialize(edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"), F.col("cost").cast("double").alias("cost")))
     if not edges.where("cost < 0").isEmpty():
         raise ValueError("negative cost")
+    return edges
+
+
+def _distances(edges: DataFrame, sources: DataFrame, part: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(id, distance, parent) by ``_costed`` edges; a parent is the last vertex before, on some shortest way.
+
+    Edges lie in one folder a part, and so does what a round finds: a round reads, relaxes and writes
+    the parts that have offers and leaves the others alone. The driver sees the names of parts only.
+    """
+    spark = edges.sparkSession
     if part is None:
         parts = edges.count() // PART_EDGES + 1
 
         def part(at: Column) -> Column:
             return F.pmod(F.xxhash64(at), F.lit(parts))
 
-    dealt = materialize(edges.withColumns({"part": part(F.col("u")), "inside": part(F.col("u")) == part(F.col("v"))}))
+    root = scratch_path(spark, "paths")
+    dealt = edges.withColumns({"part": part(F.col("u")).cast("long"), "inside": part(F.col("u")) == part(F.col("v"))})
+    dealt.repartition("part").write.partitionBy("part").parquet(f"{root}/edges")
+    dealt = spark.read.schema(dealt.schema).parquet(f"{root}/edges")
     start = F.col("distance") if "distance" in sources.columns else F.lit(0.0)
-    best = sources.select(F.col("id").cast("long").alias("id"), start.cast("double").alias("distance")).groupBy("id").agg(F.min("distance").alias("distance"))
-    best = materialize(best.withColumn("parent", F.lit(None).cast("long")))
-    front = best.select("id")
-    while not front.isEmpty():
-        placed = best.withColumn("part", part(F.col("id")))
-        touched = materialize(front.select(part(F.col("id")).alias("part")).distinct())
-        state = placed.join(touched, "part", "left_semi").join(front.withColumn("changed", F.lit(True)), "id", "left").select("id", "distance", F.coalesce("changed", F.lit(False)).alias("changed"), "part")
-        sent = state.groupBy("part").cogroup(dealt.join(touched, "part", "left_semi").groupBy("part")).applyInArrow(_relaxed, "id long, distance double, parent long, own boolean")
-        nearest = sent.groupBy("id").agg(F.min(F.struct("distance", "parent", "own")).alias("b")).select("id", "b.*")
-        had = best.select("id", F.col("distance").alias("_had"))
-        better = materialize(nearest.join(had, "id", "left").where(F.col("_had").isNull() | (F.col("distance") < F.col("_had"))).drop("_had"))
-        front = better.where("not own").select("id")
-        best = materialize(best.join(better.select("id"), "id", "left_anti").unionByName(better.drop("own")))
-    return _least_parents(best, edges)
+    first = sources.select(F.col("id").cast("long").alias("id"), start.cast("double").alias("distance"), F.lit(None).cast("long").alias("parent"), F.lit(False).alias("own"))
+    found, number, held = first.where("id is not null and distance is not null"), 0, {}
+    while True:
+        folder = f"{root}/round-{number}"
+        found.withColumn("part", part(F.col("id")).cast("long")).write.partitionBy("own", "part").parquet(folder)
+        found = spark.read.schema(f"{_REACHED}, part long").parquet(folder)
+        touched = [(r["own"], r["part"]) for r in found.select("own", "part").distinct().collect()]
+        held.update({p: f"{folder}/own=true/part={p}" for own, p in touched if own})
+        active = [p for own, p in touched if not own]
+        if not active:
+            break
+        asked = found.where("not own").select("id", "distance", "parent", F.lit(True).alias("changed"), "part")
+        before = [held[p] for p in active if p in held]
+        if before:
+            state = spark.read.schema("id long, distance double, parent long").parquet(*before)
+            asked = asked.union(state.select("*", F.lit(False).alias("changed"), part(F.col("id")).cast("long").alias("part")))
+        tasks = min(4 * len(active), 1000)
+        theirs = dealt.where(F.col("part").isin(active)).repartition(tasks, "part").groupBy("part")
+        found = asked.repartition(tasks, "part").groupBy("part").cogroup(theirs).applyInArrow(_relaxed, _REACHED)
+        number += 1
+    if not held:
+        return spark.createDataFrame([], "id long, distance double, parent long")
+    return spark.read.schema("id long, distance double, parent long").parquet(*held.values())
+
+
+def shortest_paths(edges: DataFrame, sources: DataFrame, part: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(id, distance, parent) of every vertex that the sources (id) reach; a source has no parent.
+
+    Sources may bring a ``distance`` of their own to start from. Vertices are dealt to parts by ``part`` of their id (without one, by hash). A round relaxes all
+    paths inside the parts that have offers and sends out only what crosses their borders, so rounds end
+    with the number of borders on a shortest path, not of its edges. Of several parents on shortest
+    ways (to a share of 1e-9) the smallest id is given. Negative costs are refused.
+    """
+    edges = _costed(edges)
+    return _least_parents(_distances(edges, sources, part), edges)
 
 
 def reached(paths: DataFrame, targets: DataFrame) -> DataFrame:
@@ -155,15 +202,13 @@ def distance_transform(foreground: DataFrame, dims: Triple, connectivity: int =
     place holds a voxel.
     """
     nodes = materialize(foreground.select("z", "y", "x", address(dims).alias("id")))
-    pairs = neighbour_pairs(nodes, connectivity, keep=("id",))
-    step = F.sqrt((F.abs(F.col("z") - F.col("n_z")) + F.abs(F.col("y") - F.col("n_y")) + F.abs(F.col("x") - F.col("n_x"))).cast("double"))
-    links = pairs.select(F.col("id").alias("u"), F.col("n_id").alias("v"), step.alias("cost"))
+    links = neighbour_links(nodes, dims, connectivity).select("u", "v", F.sqrt(F.col("axes").cast("double")).alias("cost"))
     steps = F.array(*[F.struct(*[F.lit(v).alias(c) for v, c in zip(d, ("dz", "dy", "dx"))], F.lit(float(sum(map(abs, d))) ** 0.5).alias("far")) for d in offsets(connectivity)])
     around = nodes.withColumn("_s", F.explode(steps)).select("id", F.col("_s.far").alias("distance"), *[(F.col(a) + F.col(f"_s.d{a}")).alias(a) for a in "zyx"])
     for a, n in zip("zyx", dims):
         around = around.where(F.col(a).between(0, n - 1))
     border = around.join(nodes.select("z", "y", "x"), ["z", "y", "x"], "left_anti").groupBy("id").agg(F.min("distance").alias("distance"))
-    far = shortest_paths(links, border, voxel_part(dims)).select("id", "distance")
+    far = _distances(_costed(links), border, voxel_part(dims)).select("id", "distance")
     return foreground.withColumn("id", address(dims)).join(far, "id", "left").drop("id")
 
 
@@ -174,7 +219,7 @@ def soma_seed(transform: DataFrame) -> DataFrame:
 
 def hops(edges: DataFrame, sources: DataFrame, part: Callable[[Column], Column] | None = None) -> DataFrame:
     """Breadth-first levels: (id, hops)."""
-    return shortest_paths(edges.select("u", "v", F.lit(1.0).alias("cost")), sources, part).select("id", F.col("distance").cast("long").alias("hops"))
+    return _distances(_costed(edges.select("u", "v", F.lit(1.0).alias("cost"))), sources, part).select("id", F.col("distance").cast("long").alias("hops"))
 
 
 def outer_vertices(paths: DataFrame) -> DataFrame:

@@ -136,16 +136,18 @@ def _targets(f, spark, d):
 
 
 def path_targets(spark, d):
-    f = front(spark, d).withColumn("address", graphs.address(derived.dims(spark, d)))
-    _, edges = graphs.voxel_graph(f.drop("address"), derived.dims(spark, d), 26)
-    paths = graphs.shortest_paths(edges, f.agg(F.min("address").alias("id")), graphs.voxel_part(derived.dims(spark, d)))
+    dims = derived.dims(spark, d)
+    f = front(spark, d).withColumn("address", graphs.address(dims))
+    _, edges = graphs.voxel_graph(f.drop("address"), dims, 26)
+    paths = graphs.shortest_paths(edges, f.agg(F.min("address").alias("id")), graphs.voxel_part(dims))
     return graphs.reached(paths, _targets(f, spark, d).withColumnRenamed("address", "id")).select("id", "reached", F.round("distance", 6).alias("distance"))
 
 
 def tree_to_targets(spark, d):
-    f = front(spark, d).withColumn("address", graphs.address(derived.dims(spark, d)))
-    _, edges = graphs.voxel_graph(f.drop("address"), derived.dims(spark, d), 26)
-    paths = graphs.shortest_paths(edges, f.agg(F.min("address").alias("id")), graphs.voxel_part(derived.dims(spark, d)))
+    dims = derived.dims(spark, d)
+    f = front(spark, d).withColumn("address", graphs.address(dims))
+    _, edges = graphs.voxel_graph(f.drop("address"), dims, 26)
+    paths = graphs.shortest_paths(edges, f.agg(F.min("address").alias("id")), graphs.voxel_part(dims))
     return graphs.traced(paths, _targets(f, spark, d).withColumnRenamed("address", "id")).select("id", "parent")
 
 

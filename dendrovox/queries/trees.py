@@ -186,22 +186,25 @@ def gcut_assign(spark, d):
 
 
 def bfs_hops(spark, d):
-    f = front(spark, d).withColumn("address", views.address(derived.dims(spark, d)))
-    _, edges = graphs.voxel_graph(f.drop("address"), derived.dims(spark, d), 26)
-    return graphs.hops(edges, f.agg(F.min("address").alias("id")), graphs.voxel_part(derived.dims(spark, d)))
+    dims = derived.dims(spark, d)
+    f = front(spark, d).withColumn("address", views.address(dims))
+    _, edges = graphs.voxel_graph(f.drop("address"), dims, 26)
+    return graphs.hops(edges, f.agg(F.min("address").alias("id")), graphs.voxel_part(dims))
 
 
 def trapped_hops(spark, d):
-    f = front(spark, d).withColumn("address", views.address(derived.dims(spark, d)))
-    _, edges = graphs.voxel_graph(f.drop("address"), derived.dims(spark, d), 26)
+    dims = derived.dims(spark, d)
+    f = front(spark, d).withColumn("address", views.address(dims))
+    _, edges = graphs.voxel_graph(f.drop("address"), dims, 26)
     traps = f.where("(y + x) % 3 = 0").select(F.col("address").alias("id"))
-    return graphs.trapped(edges, f.agg(F.min("address").alias("id")), traps, graphs.voxel_part(derived.dims(spark, d)))
+    return graphs.trapped(edges, f.agg(F.min("address").alias("id")), traps, graphs.voxel_part(dims))
 
 
 def _paths(spark, d):
-    f = front(spark, d).withColumn("address", views.address(derived.dims(spark, d)))
-    _, edges = graphs.voxel_graph(f.drop("address"), derived.dims(spark, d), 26)
-    return graphs.shortest_paths(edges, f.agg(F.min("address").alias("id")), graphs.voxel_part(derived.dims(spark, d)))
+    dims = derived.dims(spark, d)
+    f = front(spark, d).withColumn("address", views.address(dims))
+    _, edges = graphs.voxel_graph(f.drop("address"), dims, 26)
+    return graphs.shortest_paths(edges, f.agg(F.min("address").alias("id")), graphs.voxel_part(dims))
 
 
 def dijkstra_cost(spark, d):

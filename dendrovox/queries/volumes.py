@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dendrovox.operators import arrays, components, neighbours, sampling, views
 from dendrovox.plans import catalog
+from dendrovox.plans.durable import materialize
 from dendrovox.sources import derived
 from dendrovox.sources.derived import PLANES, POINTS, VOXELS, XDIM, YDIM
 
@@ -35,9 +36,9 @@ def levels(dims: tuple[int, int, int]) -> list[tuple[int, int, int]]:
 
 
 def front(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Voxels from the top-percentile threshold up."""
-    v = derived.voxels(spark, sf_dir)
-    return v.join(F.broadcast(arrays.top_percentile(v, Q)), F.col("v") >= F.col("threshold")).drop("threshold")
+    """Voxels from the top-percentile threshold up, as a table: its users read it several times."""
+    v = materialize(derived.voxels(spark, sf_dir))
+    return materialize(v.join(F.broadcast(arrays.top_percentile(v, Q)), F.col("v") >= F.col("threshold")).drop("threshold"))
 
 
 def _view(block: views.Block, level: int = 0, local: bool = False):

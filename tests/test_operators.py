@@ -1,14 +1,17 @@
 import math
 import random
+from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from dendrovox.functions import boxes
-from dendrovox.operators import arrays, components, graphs, neurites, similarity, trees, views
+from dendrovox.operators import arrays, components, graphs, neighbours, neurites, similarity, trees, views
 from dendrovox.operators.ranking import ranked
 from dendrovox.plans import catalog
 from dendrovox.plans.components import connected_components
+from dendrovox.plans.durable import shared_root
 from dendrovox.plans.paths import climb
 from dendrovox.sources import swc
 from dendrovox.operators.views import Block, select_view
@@ -374,3 +377,37 @@ def test_neurons_turn_round_below_their_soma(spark):
     assert got == {5: -1, 6: 5, 3: 5, 4: 3, 2: 3, 7: 2, 1: 2}
     cut = neurites.assembled(t, nodes, ends.where("lower <> 3")).collect()
     assert {r["node_id"]: r["parent_id"] for r in cut} == {5: -1, 6: 5, 3: 5, 4: 3}
+
+
+def _written(spark):
+    """Rows of all tables below the shared folder."""
+    return sum(pq.read_metadata(f).num_rows for f in Path(shared_root(spark).removeprefix("file://")).rglob("*.parquet"))
+
+
+def test_rounds_leave_parts_without_offers_alone(spark):
+    """A way through 16 parts of 40 vertices: what is written grows with the graph, not with rounds times the graph."""
+    n, size = 640, 40
+    edges = spark.range(n - 1).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"), F.lit(0.5).alias("cost"))
+    before = _written(spark)
+    found = graphs.shortest_paths(edges, spark.range(1), lambda at: F.floor(at / size)).collect()
+    assert sorted((r["id"], r["distance"], r["parent"]) for r in found) == [(i, i / 2, i - 1 if i else None) for i in range(n)]
+    assert _written(spark) - before < 4 * n
+
+
+def test_deep_volumes_have_few_parts(spark):
+    """A part is bounded by its places, not by its depth alone: a column of 13,125 planes has 26 parts."""
+    dims = (13125, 32, 32)
+    places = spark.range(0, 13125 * 1024, 1024)
+    sizes = places.groupBy(graphs.voxel_part(dims)(F.col("id")).alias("part")).count().collect()
+    assert len(sizes) == 26 and max(r["count"] for r in sizes) * 1024 <= graphs.PART_PLACES
+
+
+def test_neighbour_links_are_the_pairs_of_a_join(spark):
+    dims = (4, 5, 6)
+    voxels = spark.range(120).where("id * 7 % 5 < 3").select("id", *[c.alias(a) for a, c in views.coordinates("id", dims).items()])
+    for connectivity in (6, 18, 26):
+        pairs = neighbours.neighbour_pairs(voxels, connectivity, keep=("id",))
+        axes = sum(F.abs(F.col(a) - F.col(f"n_{a}")) for a in "zyx").cast("int")
+        plain = pairs.withColumn("n_z", F.floor(F.col("n_id") / 30)).withColumn("n_y", F.floor(F.col("n_id") / 6) % 5).withColumn("n_x", F.col("n_id") % 6).select("id", "n_id", axes)
+        links = neighbours.neighbour_links(voxels, dims, connectivity).select("u", "v", "axes")
+        assert sorted(map(tuple, links.collect())) == sorted(map(tuple, plain.collect()))
