@@ -70,12 +70,15 @@ def rotated(voxels: DataFrame, dims: Pair, theta: float) -> DataFrame:
     """(z, y, x, v): planes turned about their middle by ``theta``; every place takes the nearest voxel's value (labels stay labels)."""
     (ydim, xdim), c, s = dims, math.cos(theta), math.sin(theta)
     my, mx = (ydim - 1) / 2, (xdim - 1) / 2
-    grid = voxels.select("z").distinct().select("z", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ydim - 1).cast("long"))).alias("y"))
-    grid = grid.select("z", "y", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(xdim - 1).cast("long"))).alias("x"))
+    # A place takes a voxel within half a step on both axes, so it lies within 0.7072 of where the voxel turns to.
+    low_y = F.ceil(my + c * (F.col("_y") - my) - s * (F.col("_x") - mx) - 0.7072)
+    low_x = F.ceil(mx + s * (F.col("_y") - my) + c * (F.col("_x") - mx) - 0.7072)
+    near = F.array(*[F.struct((low_y + i).cast("long").alias("y"), (low_x + j).cast("long").alias("x")) for i in (0, 1) for j in (0, 1)])
+    asked = voxels.select("z", F.col("y").alias("_y"), F.col("x").alias("_x"), "v").withColumn("_p", F.explode(near)).select("z", "_p.y", "_p.x", "v", "_y", "_x")
+    asked = asked.where(F.col("y").between(0, ydim - 1) & F.col("x").between(0, xdim - 1))
     from_y = F.round(my + c * (F.col("y") - my) + s * (F.col("x") - mx)).cast("long")
     from_x = F.round(mx - s * (F.col("y") - my) + c * (F.col("x") - mx)).cast("long")
-    asked = grid.withColumns({"sy": from_y, "sx": from_x})
-    return asked.join(voxels.select("z", F.col("y").alias("sy"), F.col("x").alias("sx"), "v"), ["z", "sy", "sx"]).select("z", "y", "x", "v")
+    return asked.where((from_y == F.col("_y")) & (from_x == F.col("_x"))).select("z", "y", "x", "v")
 
 
 def linear(voxels: DataFrame, alpha: float, beta: float, low: float, high: float) -> DataFrame:

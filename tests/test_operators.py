@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dendrovox.functions import boxes
-from dendrovox.operators import arrays, components, graphs, neighbours, neurites, similarity, trees, views
+from dendrovox.operators import arrays, components, graphs, neighbours, neurites, patches, similarity, trees, views
 from dendrovox.operators.ranking import ranked
 from dendrovox.plans import catalog
 from dendrovox.plans.components import connected_components
@@ -411,3 +411,20 @@ def test_neighbour_links_are_the_pairs_of_a_join(spark):
         plain = pairs.withColumn("n_z", F.floor(F.col("n_id") / 30)).withColumn("n_y", F.floor(F.col("n_id") / 6) % 5).withColumn("n_x", F.col("n_id") % 6).select("id", "n_id", axes)
         links = neighbours.neighbour_links(voxels, dims, connectivity).select("u", "v", "axes")
         assert sorted(map(tuple, links.collect())) == sorted(map(tuple, plain.collect()))
+
+
+@pytest.mark.parametrize("theta", [0.0, 0.5, math.pi / 4, -2.3, math.pi])
+def test_rotation_meets_every_place_without_a_grid(spark, theta):
+    """Voxels go to their places by themselves: nothing is joined, so no plane is sent anywhere whole."""
+    ydim, xdim = 9, 14
+    voxels = spark.range(2 * ydim * xdim).select(F.expr(f"id div {ydim * xdim}").alias("z"), F.expr(f"(id div {xdim}) % {ydim}").alias("y"), (F.col("id") % xdim).alias("x"), F.col("id").alias("v"))
+    turned = patches.rotated(voxels, (ydim, xdim), theta)
+    c, s, my, mx = math.cos(theta), math.sin(theta), (ydim - 1) / 2, (xdim - 1) / 2
+    want = []
+    for y in range(ydim):
+        for x in range(xdim):
+            at = [math.floor(abs(p) + 0.5) * (1 if p >= 0 else -1) for p in (my + c * (y - my) + s * (x - mx), mx - s * (y - my) + c * (x - mx))]
+            if 0 <= at[0] < ydim and 0 <= at[1] < xdim:
+                want += [(z, y, x, (z * ydim + at[0]) * xdim + at[1]) for z in (0, 1)]
+    assert sorted(map(tuple, turned.collect())) == sorted(want)
+    assert "Join" not in turned._jdf.queryExecution().optimizedPlan().toString()
