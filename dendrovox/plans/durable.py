@@ -31,13 +31,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Rows up to which a table may be sent whole to the tasks that join it: some MB.
+SENT_ROWS = 50_000
+
+
+def unsent(df: DataFrame) -> DataFrame:
+    """``df``, joined by shuffles: what is planned by the size of compressed files would be sent through the driver at many times that size."""
+    return df.hint("merge")
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """``df`` as a table written below the shared root: its lineage is cut and its size known.
 
     A checkpoint would keep the size that was estimated for it, which for a join is the product of both
     sides': in rounds of joins that estimate grows to millions of digits and planning takes longer than
-    the work. A table has the size it has, so small ones are sent to the tasks that join them.
+    the work. A table has the size it has, so small ones are sent to the tasks that join them; those of
+    more than ``SENT_ROWS`` rows are not, however well their files are compressed.
     """
     path = scratch_path(df.sparkSession, "table")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    return unsent(written) if written.count() > SENT_ROWS else written

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dendrovox.plans.durable import unsent
+
 YDIM, XDIM = 32, 32
 
 
@@ -31,7 +33,7 @@ def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One neuron tree over the customers: node n hangs below about n / 2."""
     node = F.col("c_custkey") + 1
     parent = F.when(node == 1, F.lit(-1)).otherwise(F.greatest(F.lit(1), F.expr("(c_custkey + 1 - c_nationkey % 2) div 2")))
-    return table(spark, sf_dir, "customer").select(
+    return unsent(table(spark, sf_dir, "customer")).select(
         node.alias("node_id"), (F.col("c_nationkey") % 5).cast("long").alias("node_type"),
         F.col("c_acctbal").alias("x"), F.col("c_nationkey").cast("double").alias("y"), (F.col("c_custkey") % 50).cast("double").alias("z"),
         (1 + F.col("c_nationkey") % 7).cast("double").alias("radius"), parent.cast("long").alias("parent_id"),

@@ -11,7 +11,7 @@ from dendrovox.operators import arrays, components, graphs, neighbours, neurites
 from dendrovox.operators.ranking import ranked
 from dendrovox.plans import catalog
 from dendrovox.plans.components import connected_components
-from dendrovox.plans.durable import shared_root
+from dendrovox.plans.durable import materialize, shared_root
 from dendrovox.plans.paths import climb
 from dendrovox.sources import swc
 from dendrovox.operators.views import Block, select_view
@@ -428,3 +428,11 @@ def test_rotation_meets_every_place_without_a_grid(spark, theta):
                 want += [(z, y, x, (z * ydim + at[0]) * xdim + at[1]) for z in (0, 1)]
     assert sorted(map(tuple, turned.collect())) == sorted(want)
     assert "Join" not in turned._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_large_tables_are_not_sent_through_the_driver(spark):
+    """60,000 numbers are some 100 KB of Parquet, yet MB once they are rows: such tables are joined by shuffles, small ones are sent."""
+    large, small = materialize(spark.range(60_000)), materialize(spark.range(10))
+    plans = [large.join(other, "id")._jdf.queryExecution().executedPlan().toString() for other in (large.groupBy("id").count(), materialize(spark.range(60_001)))]
+    assert all("BroadcastHashJoin" not in p and "SortMergeJoin" in p for p in plans)
+    assert "BroadcastHashJoin" in spark.range(20).join(small, "id")._jdf.queryExecution().executedPlan().toString()
