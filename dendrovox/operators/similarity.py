@@ -6,7 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dendrovox.operators.trees import edges, length
-from dendrovox.plans.durable import materialize
+from dendrovox.plans.durable import materialize, unsent
+
+#: Sides of a cell of the search for near edges, in reaches of the search.
+WIDE = 6
+#: Edges that every point may meet.
+FEW = 256
 
 
 def segment_distance(p: tuple[str, str, str], a: tuple[str, str, str], b: tuple[str, str, str]) -> Column:
@@ -27,49 +32,58 @@ def samples(tree: DataFrame) -> DataFrame:
 
 
 def spacing(tree: DataFrame) -> float:
-    """About the distance between neighbouring edges of ``tree``: a side for the cells of a first search."""
-    cut = edges(tree)
-    spread = F.lit(1.0)
+    """About the distance between neighbouring edges of ``tree``: how far a first search looks."""
+    return _spacing(edges(tree))
+
+
+def _spacing(cut: DataFrame) -> float:
+    # Edges in a plane or on a line leave no volume, so it has a thickness of its own.
+    extents = F.lit(1.0)
     for a in "xyz":
-        spread = spread * (F.coalesce(F.stddev_pop(a), F.lit(0.0)) * 4 + 1e-6)
-    side = cut.agg(F.sqrt(spread / (F.sum(length()) + 1e-6)).alias("side")).first()["side"]
+        extents = extents * (F.coalesce(F.stddev_pop(a), F.lit(0.0)) * 4 + F.avg(length()) / 16 + 1e-6)
+    side = cut.agg(F.sqrt(extents / (F.sum(length()) + 1e-6)).alias("side")).first()["side"]
     return max(float(side or 1.0), 1e-3)
 
 
-def _met(asked: DataFrame, cut: DataFrame, side: float) -> DataFrame:
-    """Distance of each point to the nearest of the edges close by; the nearest of all if at most ``side``."""
+def _met(asked: DataFrame, cut: DataFrame, reach: float) -> DataFrame:
+    """Distance of each point to the nearest of the edges close by; the nearest of all if at most ``reach``."""
+    side = reach * WIDE
     pieces = cut.withColumn("_n", F.greatest(F.lit(1), F.ceil(length() / side).cast("int"))).withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     for a in "xyz":
         ends = [F.col(a) + (F.col(f"p_{a}") - F.col(a)) * (F.col("_k") + i) / F.col("_n") for i in (0, 1)]
-        low, high = F.least(*ends) - side * 1.001, F.greatest(*ends) + side * 1.001
+        low, high = F.least(*ends) - reach * 1.001, F.greatest(*ends) + reach * 1.001
         pieces = pieces.withColumn(f"c{a}", F.explode(F.sequence(F.floor(low / side).cast("long"), F.floor(high / side).cast("long"))))
     near = pieces.select("cx", "cy", "cz", *[F.col(a).alias(f"a_{a}") for a in "xyz"], *[F.col(f"p_{a}").alias(f"b_{a}") for a in "xyz"]).distinct()
     asked = asked.withColumns({f"c{a}": F.floor(F.col(a) / side).cast("long") for a in "xyz"})
     far = segment_distance(("x", "y", "z"), ("a_x", "a_y", "a_z"), ("b_x", "b_y", "b_z"))
-    return asked.join(near, ["cx", "cy", "cz"]).groupBy("node_id", "k").agg(F.min(far).alias("distance"))
+    # An edge lies in many cells, of which a plan by the size of the edges knows nothing.
+    return unsent(asked).join(unsent(near), ["cx", "cy", "cz"]).groupBy("node_id", "k").agg(F.min(far).alias("distance"))
 
 
 def point_distances(points: DataFrame, tree: DataFrame, cell: float) -> DataFrame:
     """``points`` with their distance to the nearest edge of ``tree``, however far it is.
 
-    An edge is cut into pieces no longer than ``cell`` and put in all grid cells of their boxes
-    widened by ``cell``, a point in its own, so points meet only edges close by. What a point finds
-    within ``cell`` is final; others look again in cells twice as wide until all are done.
+    Grid cells are ``WIDE`` times as wide as the search reaches. An edge is cut into pieces no longer
+    than a cell and put in all cells of their boxes widened by the reach, a point in its own, so points
+    meet only edges close by. What a point finds within the reach is final; others look again three times as
+    far until all are done. The first reach is ``cell``, or in a tree of more than ``FEW`` edges their
+    spacing if that is less, so a point meets about as many edges in a dense tree as in a sparse one.
     ``distance`` is null only where the tree has no edge or the point no place.
     """
     cut = materialize(edges(tree).select(*[c for a in "xyz" for c in (a, f"p_{a}")]).where(" and ".join(f"abs({c}) < double('Infinity')" for a in "xyz" for c in (a, f"p_{a}"))).distinct())
     points = materialize(points)
-    left, found, side = points.where(" and ".join(f"abs({a}) < double('Infinity')" for a in "xyz")).select("node_id", "k", "x", "y", "z"), None, float(cell)
+    left, found = points.where(" and ".join(f"abs({a}) < double('Infinity')" for a in "xyz")).select("node_id", "k", "x", "y", "z"), None
     if cut.isEmpty():
         return points.withColumn("distance", F.lit(None).cast("double"))
+    reach = float(cell) if cut.count() <= FEW else min(float(cell), _spacing(cut))
     while not left.isEmpty():
-        sure = materialize(_met(left, cut, side).where(F.col("distance") <= side))
+        sure = materialize(_met(left, cut, reach).where(F.col("distance") <= reach))
         found = sure if found is None else found.unionByName(sure)
         left = materialize(left.join(sure, ["node_id", "k"], "left_anti"))
-        side *= 2
+        reach *= 3
     if found is None:
         return points.withColumn("distance", F.lit(None).cast("double"))
-    return points.join(found, ["node_id", "k"], "left")
+    return points.join(unsent(found), ["node_id", "k"], "left")
 
 
 def directional_distance(a: DataFrame, b: DataFrame, threshold: float, cell: float) -> DataFrame:
