@@ -7,10 +7,12 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dendrovox.plans.durable import materialize
+from dendrovox.plans.durable import materialize, unsent
 from dendrovox.plans.paths import climb
 
 ROOT = -1
+#: Nodes that every target may meet in a search for the nearest.
+FEW = 256
 
 
 def roots(tree: DataFrame) -> DataFrame:
@@ -195,7 +197,8 @@ def nearest_node(tree: DataFrame, targets: DataFrame, cell: float) -> DataFrame:
 
     Nodes lie in cubes of side ``cell``. A target looks in the 27 cubes around its own, and what it
     finds within ``cell`` is final; others look again in cubes twice as wide until all are done, so
-    ``cell`` decides the speed only. Equally near nodes: the smaller id. Targets without a place
+    ``cell`` decides the speed only. Up to ``FEW`` nodes, which may lie in one cube that all targets ask,
+    are measured by each target where it stands. Equally near nodes: the smaller id. Targets without a place
     (null, NaN or infinite) and all targets of a tree without placed nodes have null results.
     """
     shift = F.array(*[F.struct(*[F.lit(v).alias(f"d{a}") for v, a in zip(d, "xyz")]) for d in [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]])
@@ -204,6 +207,14 @@ def nearest_node(tree: DataFrame, targets: DataFrame, cell: float) -> DataFrame:
     nothing = [F.lit(None).cast(tree.schema["node_id"].dataType).alias("node_id"), F.lit(None).cast("double").alias("distance")]
     if nodes.isEmpty():
         return targets.select("target_id", *nothing)
+    far = F.sqrt(sum(((F.col(a) - F.col(f"n{a}")) * (F.col(a) - F.col(f"n{a}")) for a in "xyz"), F.lit(0.0)))
+    if nodes.count() <= FEW:
+        # Two passes of plain minima: one of pairs would sort all that meet.
+        placed, every = targets.where(_finite("x", "y", "z")), F.broadcast(nodes)
+        least = materialize(placed.crossJoin(every).groupBy("target_id").agg(F.min(far).alias("distance")))
+        met = placed.join(unsent(least), "target_id").crossJoin(every).where(far == F.col("distance"))
+        best = met.groupBy("target_id", "distance").agg(F.min("node_id").alias("node_id")).select("target_id", "node_id", "distance")
+        return targets.where(~_finite("x", "y", "z")).select("target_id", *nothing).unionByName(best)
     found = targets.where(~_finite("x", "y", "z")).select("target_id", *nothing)
     left, side = targets.where(_finite("x", "y", "z")), float(cell)
     while not left.isEmpty():
@@ -211,7 +222,6 @@ def nearest_node(tree: DataFrame, targets: DataFrame, cell: float) -> DataFrame:
         held = nodes.select("*", *[F.floor(F.col(f"n{a}") / side).alias(f"c{a}") for a in "xyz"])
         asked = left.select("target_id", "x", "y", "z", *cells).withColumn("_s", F.explode(shift))
         asked = asked.select("target_id", "x", "y", "z", *[(F.col(f"c{a}") + F.col(f"_s.d{a}")).alias(f"c{a}") for a in "xyz"])
-        far = F.sqrt(sum(((F.col(a) - F.col(f"n{a}")) * (F.col(a) - F.col(f"n{a}")) for a in "xyz"), F.lit(0.0)))
         best = asked.join(held, ["cx", "cy", "cz"]).groupBy("target_id").agg(F.min(F.struct(far.alias("distance"), "node_id")).alias("b"))
         sure = materialize(best.where(F.col("b.distance") <= side).select("target_id", F.col("b.node_id").alias("node_id"), F.col("b.distance").alias("distance")))
         found = found.unionByName(sure)

@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from dendrovox.operators import similarity
+from dendrovox.operators import similarity, trees
 
 TREE = "node_id long, node_type long, x double, y double, z double, radius double, parent_id long"
 
@@ -39,3 +39,20 @@ def test_a_wide_cell_is_no_reach_of_all_edges(spark, monkeypatch):
     assert len(found) == 41
     for i, k, *p in asked:
         assert found[i, k] == pytest.approx(min(far(p, a, b) for a, b in zip(spots, spots[1:])))
+
+
+def test_few_nodes_in_one_cube_are_measured_without_a_search(spark, monkeypatch):
+    rng = random.Random(4)
+    nodes = [(i, rng.uniform(90, 90.5), 3.0, 1.0) for i in range(30)] + [(30, 95.0, 3.0, 1.0), (31, 97.0, 3.0, 1.0)]
+    asked = [(i, rng.uniform(-100, 100), rng.uniform(0, 9), 2.0) for i in range(50)] + [(50, 96.0, 3.0, 1.0), (51, None, 0.0, 0.0), (52, float("nan"), 0.0, 0.0)]
+    tree = spark.createDataFrame(nodes, "node_id long, x double, y double, z double")
+    targets = spark.createDataFrame(asked, "target_id long, x double, y double, z double")
+    written, keep = [], trees.materialize
+    monkeypatch.setattr(trees, "materialize", lambda df: written.append(1) or keep(df))
+    found = {r["target_id"]: (r["node_id"], r["distance"]) for r in trees.nearest_node(tree, targets, 0.01).collect()}
+    # A search in cubes of 0.01 would go through more than ten rounds of two tables each.
+    assert len(written) <= 3
+    assert len(found) == 53 and found[50][0] == 30 and found[51] == found[52] == (None, None)
+    for i, *p in asked[:50]:
+        far, least = min((sum((a - b) ** 2 for a, b in zip(p, q)) ** 0.5, n) for n, *q in nodes)
+        assert found[i] == (least, pytest.approx(far))
