@@ -195,20 +195,65 @@ def _least_parents(paths: DataFrame, edges: DataFrame) -> DataFrame:
     return paths.join(least, "id", "left").select("id", "distance", F.coalesce("_least", "parent").alias("parent"))
 
 
+#: Places around a chunk that its voxels' distances are looked for in.
+HALO = 4
+
+
+def _near_places(voxels: DataFrame, dims: Triple, connectivity: int, chunk: Triple = (32, 64, 64)) -> DataFrame:
+    """(id, z, y, x, distance) of ``voxels``: their distance to a place without one, null if it may be farther than ``HALO``.
+
+    A voxel goes to the chunks whose surroundings hold it. A way that leaves a chunk's surroundings has at
+    least as many steps as lead out of them, so what is no longer than these is the shortest.
+    """
+    _, ydim, xdim = dims
+    inside = voxels.select(*[F.col(a).cast("long").alias(a) for a in "zyx"]).where(" and ".join(f"{a} >= 0 and {a} < {n}" for a, n in zip("zyx", dims)))
+    for a, n, size in zip("zyx", dims, chunk):
+        inside = inside.withColumn(f"k{a}", F.explode(F.expr(f"sequence(greatest(0, {a} - {HALO}) div {size}, least({n - 1}, {a} + {HALO}) div {size})")))
+    steps = [(d, math.sqrt(sum(map(abs, d)))) for d in offsets(connectivity)]
+
+    def measured(part: pa.Table) -> pa.Table:
+        core = np.array([part.column(f"k{a}")[0].as_py() * n for a, n in zip("zyx", chunk)])
+        end = np.minimum(core + chunk, dims)
+        low, high = np.maximum(core - HALO, 0), np.minimum(end + HALO, dims)
+        at = np.stack([part.column(a).to_numpy() for a in "zyx"], 1)
+        # One place more on every side, from which no way comes.
+        far = np.full(high - low + 2, np.inf)
+        own = tuple(slice(1, n + 1) for n in high - low)
+        far[own] = 0.0
+        far[tuple((at - low + 1).T)] = np.inf
+        while True:
+            before = far[own].copy()
+            for d, length in steps:
+                np.minimum(far[own], far[tuple(slice(1 + s, n + 1 + s) for s, n in zip(d, high - low))] + length, out=far[own])
+            if np.array_equal(before, far[own]):
+                break
+        at = np.unique(at[((at >= core) & (at < end)).all(1)], axis=0)
+        out = np.minimum(np.where(low > 0, at - low + 1, np.inf), np.where(high < dims, high - at, np.inf)).min(1)
+        found = far[tuple((at - low + 1).T)]
+        ids = (at[:, 0] * ydim + at[:, 1]) * xdim + at[:, 2]
+        return pa.table({"id": ids, **{a: at[:, i] for i, a in enumerate("zyx")}, "distance": pa.array(found, mask=~((found <= out) & np.isfinite(found)))})
+
+    return inside.groupBy("kz", "ky", "kx").applyInArrow(measured, "id long, z long, y long, x long, distance double")
+
+
 def distance_transform(foreground: DataFrame, dims: Triple, connectivity: int = 26) -> DataFrame:
     """``foreground`` (z, y, x, ...) with distance: the length of the shortest way to a place of the volume without a voxel.
 
     Ways go by steps to neighbours, each as long as the root of the axes it changes. Null if every
-    place holds a voxel.
+    place holds a voxel. Short distances are found chunk by chunk; the search for the others starts from these.
     """
-    nodes = materialize(foreground.select("z", "y", "x", address(dims).alias("id")))
-    links = neighbour_links(nodes, dims, connectivity).select("u", "v", F.sqrt(F.col("axes").cast("double")).alias("cost"))
-    steps = F.array(*[F.struct(*[F.lit(v).alias(c) for v, c in zip(d, ("dz", "dy", "dx"))], F.lit(float(sum(map(abs, d))) ** 0.5).alias("far")) for d in offsets(connectivity)])
-    around = nodes.withColumn("_s", F.explode(steps)).select("id", F.col("_s.far").alias("distance"), *[(F.col(a) + F.col(f"_s.d{a}")).alias(a) for a in "zyx"])
-    for a, n in zip("zyx", dims):
-        around = around.where(F.col(a).between(0, n - 1))
-    border = around.join(nodes.select("z", "y", "x"), ["z", "y", "x"], "left_anti").groupBy("id").agg(F.min("distance").alias("distance"))
-    far = _distances(_costed(links), border, voxel_part(dims)).select("id", "distance")
+    nodes = materialize(_near_places(foreground, dims, connectivity))
+    far, rest = nodes.where("distance is not null").select("id", "distance"), nodes.where("distance is null").drop("distance")
+    if not rest.isEmpty():
+        links = neighbour_links(rest, dims, connectivity).select("u", "v", F.sqrt(F.col("axes").cast("double")).alias("cost"))
+        steps = F.array(*[F.struct(*[F.lit(v).alias(c) for v, c in zip(d, ("dz", "dy", "dx"))], F.lit(float(sum(map(abs, d))) ** 0.5).alias("far")) for d in offsets(connectivity)])
+        around = rest.withColumn("_s", F.explode(steps)).select("id", F.col("_s.far").alias("far"), *[(F.col(a) + F.col(f"_s.d{a}")).alias(a) for a in "zyx"])
+        for a, n in zip("zyx", dims):
+            around = around.where(F.col(a).between(0, n - 1))
+        met = around.join(nodes.select("z", "y", "x", "distance", F.lit(True).alias("_voxel")), ["z", "y", "x"], "left")
+        offer = F.when(F.col("_voxel").isNull(), F.col("far")).otherwise(F.col("distance") + F.col("far"))
+        border = met.groupBy("id").agg(F.min(offer).alias("distance")).where("distance is not null")
+        far = far.union(_distances(_costed(links), border, voxel_part(dims)).select("id", "distance"))
     return foreground.withColumn("id", address(dims)).join(far, "id", "left").drop("id")
 
 
