@@ -106,9 +106,18 @@ def set_block(voxels: DataFrame, block: Block, value: int) -> DataFrame:
     return voxels.withColumn("v", F.when(in_block(block), F.lit(value)).otherwise(F.col("v")))
 
 
-def volumes_differ(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Voxels that only one side has (no rows: equal)."""
-    return a.exceptAll(b).withColumn("side", F.lit("left")).union(b.exceptAll(a).withColumn("side", F.lit("right")))
+def volumes_differ(a: DataFrame, b: DataFrame, parts: int | None = None) -> DataFrame:
+    """Voxels that only one side has, as often as it has more of them (no rows: equal).
+
+    Both sides are counted at once, in ``parts`` partitions if they are given.
+    """
+    both = a.withColumn("__n", F.lit(1).cast("long")).union(b.withColumn("__n", F.lit(-1).cast("long")))
+    keys = [f"`{c}`" for c in a.columns]
+    if parts:
+        both = both.repartition(parts, *keys)
+    more = both.groupBy(*keys).agg(F.sum("__n").alias("__n")).where("__n <> 0")
+    one = F.explode(F.array_repeat(F.when(F.col("__n") > 0, "left").otherwise("right"), F.abs("__n").cast("int")))
+    return more.select(*keys, one.alias("side"))
 
 
 def address(dims: Triple) -> Column:

@@ -85,7 +85,7 @@ def set_block(spark, d):
 
 def volumes_differ(spark, d):
     v = derived.voxels(spark, d)
-    return views.volumes_differ(v, views.set_block(v, views.Block((0, 0, 0), (1, 2, 2)), 0))
+    return views.volumes_differ(v, views.set_block(v, views.Block((0, 0, 0), (1, 2, 2)), 0), derived.parts(spark, d))
 
 
 def mask_apply(spark, d):

@@ -14,10 +14,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Line items for each partition of a volume, and how many leave the number of partitions to Spark.
+PART_ROWS, FEW_ROWS = 500_000, 8_000_000
+
+
+def parts(spark: SparkSession, sf_dir: str) -> int | None:
+    """Partitions of a volume, so that none grows with it; none for a small one.
+
+    Spark would join partitions by the bytes of their compressed shuffle, and voxels take up to twenty times those in memory.
+    """
+    rows = table(spark, sf_dir, "lineitem").count()
+    return -(-rows // PART_ROWS) if rows > FEW_ROWS else None
+
+
 def voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """z, y, x, v: how many line items fall on each voxel. Each 32 suppliers make seven more planes, so the volume grows with the data."""
-    lines = table(spark, sf_dir, "lineitem")
-    return lines.groupBy((F.col("l_linenumber") - 1 + 7 * F.expr("l_suppkey div 32")).cast("long").alias("z"), (F.col("l_suppkey") % YDIM).alias("y"), (F.col("l_partkey") % XDIM).alias("x")).agg(F.count(F.lit(1)).alias("v"))
+    at = {"z": (F.col("l_linenumber") - 1 + 7 * F.expr("l_suppkey div 32")).cast("long"), "y": F.col("l_suppkey") % YDIM, "x": F.col("l_partkey") % XDIM}
+    places = table(spark, sf_dir, "lineitem").select(*[c.alias(a) for a, c in at.items()])
+    if n := parts(spark, sf_dir):
+        places = places.repartition(n, *at)
+    return places.groupBy(*at).agg(F.count(F.lit(1)).alias("v"))
 
 
 def dims(spark: SparkSession, sf_dir: str) -> tuple[int, int, int]:

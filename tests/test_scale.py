@@ -6,7 +6,8 @@ import random
 
 import pytest
 
-from dendrovox.operators import similarity, trees
+from dendrovox.operators import similarity, trees, views
+from dendrovox.sources import derived
 
 TREE = "node_id long, node_type long, x double, y double, z double, radius double, parent_id long"
 
@@ -56,3 +57,23 @@ def test_few_nodes_in_one_cube_are_measured_without_a_search(spark, monkeypatch)
     for i, *p in asked[:50]:
         far, least = min((sum((a - b) ** 2 for a, b in zip(p, q)) ** 0.5, n) for n, *q in nodes)
         assert found[i] == (least, pytest.approx(far))
+
+
+def test_sides_of_volumes_are_counted_at_once(spark):
+    kind = "z long, y long, x long, v long"
+    a = spark.createDataFrame([(0, 0, 0, 1)] * 3 + [(0, 0, 1, None), (1, 0, 0, 5), (None, 0, 0, 2)], kind)
+    b = spark.createDataFrame([(0, 0, 0, 1), (0, 0, 1, None), (1, 0, 0, 6), (None, 0, 0, 2), (None, 0, 0, 2)], kind)
+    found = views.volumes_differ(a, b, 3)
+    assert found.rdd.getNumPartitions() == 3
+    assert sorted(map(tuple, found.collect()), key=str) == sorted([(0, 0, 0, 1, "left")] * 2 + [(1, 0, 0, 5, "left"), (1, 0, 0, 6, "right"), (None, 0, 0, 2, "right")], key=str)
+    assert views.volumes_differ(a, a).collect() == []
+
+
+def test_a_large_volume_has_partitions_of_its_own(spark, sf_dir, monkeypatch):
+    small = derived.voxels(spark, sf_dir)
+    rows, one = derived.table(spark, sf_dir, "lineitem").count(), sorted(map(tuple, small.collect()))
+    assert derived.parts(spark, sf_dir) is None
+    monkeypatch.setattr(derived, "FEW_ROWS", 100)
+    monkeypatch.setattr(derived, "PART_ROWS", 700)
+    assert derived.voxels(spark, sf_dir).rdd.getNumPartitions() == derived.parts(spark, sf_dir) == -(-rows // 700)
+    assert sorted(map(tuple, derived.voxels(spark, sf_dir).collect())) == one
