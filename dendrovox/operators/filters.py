@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,10 +39,11 @@ def adjusted(voxels: DataFrame, kernel: list[float], dims: Triple, c1: float, c2
     return voxels.join(near, ["z", "y", "x"]).withColumn("v", F.when(F.col("_s") > 0, F.least(F.greatest(out, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)).drop("_s")
 
 
-def hessian(voxels: DataFrame, axes: str = "zyx") -> DataFrame:
+def hessian(voxels: DataFrame, axes: str = "zyx", parts: int | None = None, chunk: Triple = (32, 64, 64)) -> DataFrame:
     """(z, y, x, h_ab...): second differences at every voxel that is there; absent neighbours count 0.
 
-    Each voxel is sent once to every neighbour whose difference it enters, with its weights there.
+    Each voxel is sent to the ``chunk`` that holds it and, at a border, to those beside it; differences are
+    taken there, so no voxel becomes a row for each of its neighbours. ``parts``: partitions, else Spark's.
     """
     pairs = [(a, b) for i, a in enumerate(axes) for b in axes[i:]]
     taps: dict[tuple[int, ...], dict[str, float]] = {}
@@ -57,16 +60,43 @@ def hessian(voxels: DataFrame, axes: str = "zyx") -> DataFrame:
         else:
             for d, e in product((-1, 1), repeat=2):
                 tap({a: d, b: e}, a + b, d * e / 4)
-    names = [a + b for a, b in pairs]
-    steps = F.array(*[F.struct(*[F.lit(d).alias(f"d{a}") for a, d in zip("zyx", key)], *[F.lit(float(held.get(n, 0.0))).alias(n) for n in names]) for key, held in sorted(taps.items())])
-    sent = voxels.select("z", "y", "x", "v", F.explode(steps).alias("t"))
-    sums = sent.groupBy(*[(F.col(a) - F.col(f"t.d{a}")).alias(a) for a in "zyx"]).agg(*[F.sum(F.col("v") * F.col(f"t.{n}")).alias(f"h_{n}") for n in names])
-    return sums.join(voxels.select("z", "y", "x"), ["z", "y", "x"], "left_semi")
-
-
-def vesselness_2d(planes: DataFrame, beta: float = 0.5, c: float = 1.0) -> DataFrame:
+    names, keys = [a + b for a, b in pairs], [f"k{a}" for a in "zyx"]
+    sent = voxels.dropna(subset=["z", "y", "x"]).select(*[F.col(a).cast("long").alias(a) for a in "zyx"], F.col("v").cast("double").alias("v"))
+    for a, n in zip("zyx", chunk):
+        near = F.array_distinct(F.array(*[F.floor((F.col(a) + d) / n) for d in (-1, 0, 1)]))
+        sent = sent.withColumn(f"k{a}", F.explode(near) if a in axes else F.floor(F.col(a) / n))
+    if parts:
+        sent = sent.repartition(parts, *keys)
+
+    def differences(part: pa.Table) -> pa.Table:
+        at = np.stack([part.column(a).to_numpy() for a in "zyx"], 1)
+        here = np.array([part.column(k)[0].as_py() for k in keys])
+        own = (at // np.array(chunk) == here).all(1)
+        first = at.min(0) - 1
+        size = at.max(0) - first + 2
+        image, seen, mine = np.zeros(size), np.zeros(size, bool), np.zeros(size, bool)
+        known = part.column("v").is_valid().to_numpy()
+        places = tuple((at - first).T)
+        np.add.at(image, tuple(c[known] for c in places), part.column("v").drop_null().to_numpy())
+        seen[tuple(c[known] for c in places)] = True
+        mine[tuple(c[own] for c in places)] = True
+        z, y, x = np.nonzero(mine)
+        sums, met = {n: np.zeros(len(z)) for n in names}, np.zeros(len(z), bool)
+        for (dz, dy, dx), held in taps.items():
+            v = image[z + dz, y + dy, x + dx]
+            met |= seen[z + dz, y + dy, x + dx]
+            for n in names:
+                sums[n] += v * held.get(n, 0.0)
+        # Where nothing around is known, no difference is.
+        return pa.table([pa.array(c + f) for c, f in zip((z, y, x), first)] + [pa.array(sums[n], mask=~met) for n in names], names=[*"zyx", *[f"h_{n}" for n in names]])
+
+    found = sent.groupBy(*keys).applyInArrow(differences, ", ".join([f"{a} long" for a in "zyx"] + [f"h_{n} double" for n in names]))
+    return found.select(*[F.col(a).cast(voxels.schema[a].dataType).alias(a) for a in "zyx"], *[f"h_{n}" for n in names])
+
+
+def vesselness_2d(planes: DataFrame, beta: float = 0.5, c: float = 1.0, parts: int | None = None) -> DataFrame:
     """(z, y, x, v): how much a bright line runs through a voxel of its plane; 0 unless the larger eigenvalue is negative."""
-    h = hessian(planes, "yx")
+    h = hessian(planes, "yx", parts)
     half, diff = (F.col("h_yy") + F.col("h_xx")) / 2, (F.col("h_yy") - F.col("h_xx")) / 2
     root = F.sqrt(diff * diff + F.col("h_yx") * F.col("h_yx"))
     one, two = half + root, half - root
@@ -94,7 +124,7 @@ def eigenvalues(h: DataFrame) -> DataFrame:
 TIE = 1e-6
 
 
-def vesselness_3d(voxels: DataFrame) -> DataFrame:
+def vesselness_3d(voxels: DataFrame, parts: int | None = None) -> DataFrame:
     """(z, y, x, v): lines of a volume. With |l1| <= |l2| <= |l3| it is 0 unless l2 and l3 are negative, else
 
     exp(-l1^2 / |l2 l3|) (1 - exp(-(l1^2 + l2^2 + l3^2) / 2)) (1 - exp(-(l2 / l3)^2)).
@@ -103,7 +133,7 @@ def vesselness_3d(voxels: DataFrame) -> DataFrame:
     line. An l2 of less than that share of l3 is 0. So no rounding of the eigenvalues decides.
     """
     # The two lowest eigenvalues are l2 and l3 wherever there is a line.
-    e = eigenvalues(hessian(voxels))
+    e = eigenvalues(hessian(voxels, parts=parts))
     l1, l2, l3 = F.col("e1"), F.col("e2"), F.col("e3")
     size = l1 * l1 + l2 * l2 + l3 * l3
     line = F.exp(-(l1 * l1) / F.abs(l2 * l3)) * (1 - F.exp(-size / 2)) * (1 - F.exp(-((l2 / l3) * (l2 / l3))))

@@ -64,12 +64,12 @@ def _doubles(spark, d):
 
 
 def vesselness_2d(spark, d):
-    return filters.vesselness_2d(_doubles(spark, d)).select("z", "y", "x", F.round("v", 6).alias("v"))
+    return filters.vesselness_2d(_doubles(spark, d), parts=derived.parts(spark, d)).select("z", "y", "x", F.round("v", 6).alias("v"))
 
 
 def vesselness_3d(spark, d):
     v = _doubles(spark, d)
-    return filters.brightened(v, filters.vesselness_3d(v)).select("z", "y", "x", F.round("v", 5).alias("v"))
+    return filters.brightened(v, filters.vesselness_3d(v, derived.parts(spark, d))).select("z", "y", "x", F.round("v", 5).alias("v"))
 
 
 def patch_stitch(spark, d):
@@ -107,7 +107,8 @@ def transform_reverse(spark, d):
 
 def vesselness_scales(spark, d):
     v = _doubles(spark, d)
-    both = [filters.vesselness_2d(v), filters.vesselness_2d(v.withColumn("v", F.col("v") * 2))]
+    parts = derived.parts(spark, d)
+    both = [filters.vesselness_2d(v, parts=parts), filters.vesselness_2d(v.withColumn("v", F.col("v") * 2), parts=parts)]
     return filters.widest(both).select("z", "y", "x", F.round("v", 6).alias("v"))
 
 

@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from dendrovox.operators import similarity, trees, views
+from dendrovox.operators import filters, similarity, trees, views
 from dendrovox.sources import derived
 
 TREE = "node_id long, node_type long, x double, y double, z double, radius double, parent_id long"
@@ -77,3 +77,27 @@ def test_a_large_volume_has_partitions_of_its_own(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(derived, "PART_ROWS", 700)
     assert derived.voxels(spark, sf_dir).rdd.getNumPartitions() == derived.parts(spark, sf_dir) == -(-rows // 700)
     assert sorted(map(tuple, derived.voxels(spark, sf_dir).collect())) == one
+
+
+@pytest.mark.parametrize("axes, parts", [("zyx", None), ("yx", 3)])
+def test_differences_across_borders_of_chunks(spark, axes, parts):
+    rng = random.Random(6)
+    rows = [(z, y, x, None if rng.random() < 0.1 else rng.randint(1, 9)) for z in range(-3, 4) for y in range(-3, 4) for x in range(6) if rng.random() < 0.5] + [(0, 0, 0, 4), (50, 50, 50, None), (90, 90, 90, 2), (None, 0, 0, 3)]
+    volume = spark.createDataFrame(rows, "z long, y int, x long, v long").repartition(4)
+    got = {tuple(r)[:3]: tuple(r)[3:] for r in filters.hessian(volume, axes, parts, (2, 3, 4)).collect()}
+    light = {}
+    for *p, v in rows:
+        if v is not None and None not in p:
+            light[tuple(p)] = light.get(tuple(p), 0) + v
+    assert got.keys() == {tuple(p) for *p, _ in rows if None not in p}
+    unit = {a: tuple(int(a == b) for b in "zyx") for a in "zyx"}
+
+    def at(p, *steps):
+        return light.get(tuple(c + sum(k * unit[a][i] for a, k in steps) for i, c in enumerate(p)), 0)
+
+    for p, h in got.items():
+        want = []
+        for i, a in enumerate(axes):
+            for b in axes[i:]:
+                want.append(at(p, (a, 1)) + at(p, (a, -1)) - 2 * at(p) if a == b else sum(d * e * at(p, (a, d), (b, e)) for d in (-1, 1) for e in (-1, 1)) / 4)
+        assert h == ((None,) * len(want) if p == (50, 50, 50) else tuple(want))
