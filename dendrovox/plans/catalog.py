@@ -54,18 +54,23 @@ def completeness(catalog: DataFrame, present: DataFrame) -> DataFrame:
     return counts.withColumn("complete", F.col("expected") == F.col("present"))
 
 
+def padded(number: Column, width: int) -> Column:
+    """A whole number with zeros in front, at least ``width`` wide; longer ones are whole."""
+    return F.when(number.isNotNull(), F.format_string(f"%0{width}d", number))
+
+
 def chunk_path(level: Column, z: Column, y: Column, x: Column, sizes: tuple[int, int, int]) -> Column:
     """Folder of the chunk that holds a place: level, then one range for each axis."""
-    parts = [F.concat(F.lit("pyr_level_"), F.lpad(level.cast("string"), 2, "0"))]
+    parts = [F.concat(F.lit("pyr_level_"), padded(level, 2))]
     for axis, at, n in zip("zyx", (z, y, x), sizes):
         low = F.floor(at / n) * n
-        parts.append(F.concat(F.lit(axis), F.lpad(low.cast("string"), 4, "0"), F.lit("_"), F.lpad((low + n).cast("string"), 6, "0")))
+        parts.append(F.concat(F.lit(axis), padded(low, 4), F.lit("_"), padded(low + n, 6)))
     return F.concat_ws("/", *parts)
 
 
 def parsed_path(path: Column) -> dict[str, Column]:
     """Level and first z, y and x that a chunk's path states."""
-    found = {"level": F.regexp_extract(path, r"pyr_level_(\d{2})", 1).cast("long")}
+    found = {"level": F.regexp_extract(path, r"pyr_level_(\d{2,})", 1).cast("long")}
     return found | {f"{a}0": F.regexp_extract(path, rf"/{a}(\d{{4,}})_\d+", 1).try_cast("long") for a in "zyx"}
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from dendrovox.operators import arrays, chunks, filters, patches, sampling, views
 from dendrovox.plans import catalog
+from dendrovox.plans.catalog import padded
 from dendrovox.plans.durable import scratch_path
 from dendrovox.queries.volumes import _K
 from dendrovox.sources import derived, swc
@@ -87,8 +88,8 @@ def patch_counts(spark, d):
 
 def image_pairs(spark, d):
     planes = derived.planes(spark, d).select("z").distinct()
-    images = planes.select(F.concat(F.lit("a_z"), F.lpad(F.col("z").cast("string"), 4, "0"), F.lit(".tif")).alias("name"))
-    labels = planes.where("z % 3 > 0").select(F.concat(F.lit("label_z"), F.lpad(F.col("z").cast("string"), 4, "0"), F.lit(".tif")).alias("name"))
+    images = planes.select(F.concat(F.lit("a_z"), padded(F.col("z"), 4), F.lit(".tif")).alias("name"))
+    labels = planes.where("z % 3 > 0").select(F.concat(F.lit("label_z"), padded(F.col("z"), 4), F.lit(".tif")).alias("name"))
     return patches.paired(images, labels, r"z(\d+)\.tif$", context=1)
 
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from dendrovox.operators import chunks, filters, similarity, trees, views
 from dendrovox.operators.views import Block
+from dendrovox.plans import catalog
 from dendrovox.sources import derived
 
 TREE = "node_id long, node_type long, x double, y double, z double, radius double, parent_id long"
@@ -121,3 +123,16 @@ def test_chunks_share_files(spark, tmp_path):
     none = f"file://{tmp_path}/none"
     chunks.write_chunks(chunks.to_chunks(volume.limit(0), (20, 5, 6), (1, 1, 2)), none)
     assert chunks.layout(spark, none).count() == 0
+
+
+def test_long_numbers_in_paths_are_whole(spark):
+    places = spark.createDataFrame([(1, 7, 3, 40), (1, 13124, 31, 0), (100, 1234567, 123456, 0), (2, None, 0, 0)], "level int, z long, y long, x long")
+    path = catalog.chunk_path(F.col("level"), F.col("z"), F.col("y"), F.col("x"), (4, 16, 16))
+    found = places.withColumn("path", path).select("path", *[c.alias(k) for k, c in catalog.parsed_path(F.col("path")).items()]).collect()
+    assert [r["path"] for r in found[:3]] == [
+        "pyr_level_01/z0004_000008/y0000_000016/x0032_000048",
+        "pyr_level_01/z13124_013128/y0016_000032/x0000_000016",
+        "pyr_level_100/z1234564_1234568/y123456_123472/x0000_000016",
+    ]
+    assert [(r["level"], r["z0"], r["y0"], r["x0"]) for r in found[1:3]] == [(1, 13124, 16, 0), (100, 1234564, 123456, 0)]
+    assert found[3]["z0"] is None
