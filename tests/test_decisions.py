@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from dendrovox.operators import decisions, neurites
+from dendrovox.operators import decisions, neurites, ways
 
 
 def forest(seed, n, share):
@@ -152,3 +152,41 @@ def test_branchings_of_many_neurites():
             chosen = star.choose((1 << k) - 1, offered)
             assert sum(values[i][s] for i, s in chosen.items()) == pytest.approx(best)
             assert best == pytest.approx(star.split((1 << k) - 1)[0] if offered is None else star.cost((1 << k) - 1)[offered])
+
+
+def test_rows_of_ways_are_made_where_they_are_sent_on(spark, monkeypatch):
+    """Neither tables nor blocks hold a row for each neurite and soma."""
+    rows, somas = forest(8, 150, 0.25)
+    _, marks, _, _, _, roads = prepared(spark, rows, somas)
+    edges = [(r["lower"], r["upper"], r["unit"]) for r in roads.collect()]
+    written, keep = [], decisions.materialize
+
+    def counted(df):
+        out = keep(df)
+        written.append(out.count())
+        return out
+
+    for module in (decisions, ways):
+        monkeypatch.setattr(module, "materialize", counted)
+    monkeypatch.setattr(ways, "BLOCK", 50)
+    monkeypatch.setattr(ways, "BATCH", 20)
+    found = decisions.unit_ways(roads, marks)
+    got = {(r["unit"], r["soma"], r["lower"]): (r["next"], r["order"], r["below"]) for r in found.collect()}
+    assert got == plain_ways(edges, set(somas)) and len(got) > 2 * len(edges)
+    assert max(written) <= len(edges)
+
+
+def test_costs_by_vectors_are_those_of_rows(spark, monkeypatch):
+    rows, somas = forest(5, 90, 0.2)
+    tree, marks, nodes, _, _, roads = prepared(spark, rows, somas)
+    tree = tree.withColumn("x", F.when(F.col("node_id") != 7, F.col("x")))
+    monkeypatch.setattr(ways, "BLOCK", 40)
+    want = decisions.way_costs(tree, nodes, decisions.unit_ways(roads, marks), lambda a: neurites.tail_probability(a, [-0.02, 0.0, 0.35], 0.9, 0.6))
+    edges, units = ways.laid_out(roads, marks)
+    edges = ways.with_points(edges, tree, neurites.neurite_nodes(tree, nodes))
+    got = ways.costs(edges, ways.with_places(units, tree), lambda a: neurites.tail_probabilities(a, [-0.02, 0.0, 0.35], 0.9, 0.6), 9)
+    want = {(r["unit"], r["soma"], r["lower"]): r["cost"] for r in want.collect()}
+    got = {(r["unit"], r["soma"], r["lower"]): r["cost"] for r in got.collect()}
+    assert set(got) == set(want) and len(got) > 100
+    assert any(v is None for v in want.values()) == any(v is None for v in got.values())
+    assert all(got[k] == (None if v is None else pytest.approx(v, abs=1e-8)) for k, v in want.items())
