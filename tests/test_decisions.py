@@ -190,3 +190,27 @@ def test_costs_by_vectors_are_those_of_rows(spark, monkeypatch):
     assert set(got) == set(want) and len(got) > 100
     assert any(v is None for v in want.values()) == any(v is None for v in got.values())
     assert all(got[k] == (None if v is None else pytest.approx(v, abs=1e-8)) for k, v in want.items())
+
+
+def test_decisions_without_rows_of_pairs(spark, monkeypatch):
+    """Costs stay vectors from the neurites to the decisions; parts and blocks are cut anywhere."""
+    rows, somas = forest(26, 70, 0.2)
+    tree, marks, nodes, _, _, roads = prepared(spark, rows, somas)
+    roads, inner = roads.cache(), neurites.neurite_nodes(tree, nodes).cache()
+    ways_ = decisions.unit_ways(roads, marks)
+    costs = decisions.way_costs(tree, nodes, ways_, lambda a: neurites.tail_probability(a, [-0.02, 0.0, 0.35], 0.9, 0.6))
+    want = decisions.decide(decisions.decision_tree(roads, ways_, costs)).collect()
+    written, keep = [], decisions.materialize
+
+    def counted(df):
+        out = keep(df)
+        written.append(out.count())
+        return out
+
+    for module in (decisions, ways):
+        monkeypatch.setattr(module, "materialize", counted)
+    monkeypatch.setattr(ways, "BLOCK", 30)
+    monkeypatch.setattr(ways, "TOGETHER", 2)
+    got = decisions.decide_roads(roads, marks, tree, inner, lambda a: neurites.tail_probabilities(a, [-0.02, 0.0, 0.35], 0.9, 0.6), 3)
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want} and len(want) > 20
+    assert max(written) <= 2 * roads.count() < ways_.count()
